@@ -62,6 +62,37 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Ite
     return df.select(*columns).mapInArrow(run, schema)
 
 
+class Recent(dict):
+    """A memory of `size` to 2 * size recently used entries, which notes what it was asked for in vain.
+
+    When it is full, what it holds becomes the older half, from which an entry comes back when it is
+    asked for; the half before is forgotten. `new` collects missing keys until learn() is given their
+    values; until then they read as `blank`, and `asked` counts such reads.
+    """
+
+    def __init__(self, size: int, blank: object) -> None:
+        super().__init__()
+        self.size, self.blank, self.older, self.new, self.asked = size, blank, {}, {}, 0
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            self.new[key] = None
+            self.asked += 1
+            return self.blank
+        self[key] = value
+        return value
+
+    def learn(self, keys: list, values: list) -> None:
+        """Adds entries. What is read right after this is still there, however many entries that are."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+        self.update(zip(keys, values))
+        for k in keys:
+            self.new.pop(k, None)
+
+
 def DataFrameSchema(ddl: str):
     from pyspark.sql.types import StructType
 

@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, cut, shared_dir
+from lodestone.llm.common import Recent, arrow_schema, cut, shared_dir
 
 FORMAT = 1
 #: Encoded stretches a worker remembers, and bytes of ids it holds back before it writes them.
-REMEMBERED, HELD_BYTES = 1_000_000, 8 << 20
+REMEMBERED, HELD_BYTES = 250_000, 8 << 20
+#: Documents whose new stretches are encoded together.
+GROUP = 128
 _STRETCH = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than space and line feed; texts with any are divided by the pattern.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -43,39 +45,51 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.tok.get_vocab_size())])
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(REMEMBERED, b"")
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Stretches that start with their only space are encoded in one text and told apart by that space."""
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Stretches that start with their only space are encoded in long texts and told apart by that space."""
+        out: dict[str, bytes] = {}
         joint = [p for p in new if p[0] == " " and p.count(" ") == 1]
-        if joint:
-            ids = np.array(self.batch(["".join(joint)], add_special_tokens=False)[0].ids, self.dtype)
+        groups = [joint[i : i + 256] for i in range(0, len(joint), 256)]
+        for group, e in zip(groups, self.batch(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
             starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(joint) and starts[0] == 0:
-                data, at = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), len(ids) * self.dtype.itemsize]
-                self.known.update(zip(joint, (data[i:j] for i, j in zip(at, at[1:]))))
-        rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, self._bytes(rest)))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._bytes([text])[0]
-        if text[0] == " " or "  " in text or "\n " in text or " \n" in text or any(c in text for c in _OTHER):
-            parts = [p for p in _STRETCH.split(text) if p]
-        else:
-            parts = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else _STRETCH.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-            self._learn([p for p in set(parts) if p not in self.known])
-            return b"".join(map(self.known.__getitem__, parts))
+            if len(starts) == len(group) and starts[0] == 0:
+                width = self.dtype.itemsize
+                data, at = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]
+                out.update(zip(group, map(data.__getitem__, map(slice, at, at[1:]))))
+        rest = [p for p in new if p not in out]
+        out.update(zip(rest, self._bytes(rest)))
+        return list(map(out.__getitem__, new))
+
+    def _parts(self, text: str) -> list[str]:
+        if text[:1] == " " or "  " in text or "\n " in text or " \n" in text or "\x00" in text or any(c in text for c in _OTHER):
+            return [p for p in _STRETCH.split(text) if p]
+        return text.replace(" ", "\x00 ").split("\x00")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes. What is new in all texts is encoded together."""
+        out: list[bytes] = []
+        wait: list[tuple[int, list[str]]] = []
+        get = self.known.__getitem__
+        for i, text in enumerate(texts):
+            if not text or any(s in text for s in self.special):
+                out.append(self._bytes([text])[0])
+                continue
+            parts, asked = self._parts(text), self.known.asked
+            out.append(b"".join(map(get, parts)))
+            if self.known.asked > asked:
+                wait.append((i, parts))
+        if wait:
+            new = list(self.known.new)
+            self.known.learn(new, self._learn(new))
+            for i, parts in wait:
+                out[i] = b"".join(map(get, parts))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -104,13 +118,14 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         store, path = _store(name)
         ids, ends, out, held, size, total = [], [0], None, [], 0, 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = enc.encode(text.as_py() or "") + end
-                ids.append(doc_id)
-                total += len(data) // enc.dtype.itemsize
-                ends.append(total)
-                held.append(data)
-                size += len(data)
+            for k in range(0, b.num_rows, GROUP):
+                part = b.slice(k, GROUP)
+                ids += part.column(0).to_pylist()
+                for data in enc.encode([t or "" for t in part.column(1).to_pylist()]):
+                    total += len(data) // enc.dtype.itemsize + 1
+                    ends.append(total)
+                    held += (data, end)
+                    size += len(data)
                 if size > HELD_BYTES:
                     out = out or store.open_output_stream(path + ".ids")
                     out.write(b"".join(held))
