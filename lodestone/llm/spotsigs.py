@@ -2,7 +2,7 @@
 
 A signature is a chain of content words that follows an anchor, an anchor being a common word. A
 text's fingerprint is its set of signatures, told apart by a digest of the set; likeness is the
-Jaccard similarity of two sets. Texts without an anchor have one signature, all their words.
+Jaccard similarity of two sets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ el los las y del se un una por con no su al lo como para más pero sus o este ya
 ANCHORS = sorted(set(ANCHORS))
 #: Content words in a chain.
 CHAIN = 2
-SPACE = "\x20\t\n\x0b\x0c\r"
 
 
 def _after(a: Column, by: int) -> Column:
@@ -35,25 +34,29 @@ def _after(a: Column, by: int) -> Column:
 def signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
     """docs with column `out`: the sorted set of the text's signatures, 32-bit hashes; none for an empty text.
 
-    Words are lower-cased and parted at white space. A content word that stands right behind an
-    anchor starts a chain: the anchor, the word and the next content words, as far as there are any.
-    Every step is a projection of its own, so that no list is made twice; all within a row.
+    Words are the lower-cased runs of letters and digits. A content word right behind an anchor
+    starts a chain: the anchor, the word and the next content words, as far as there are any. In a
+    text without a chain every content word starts one; a text without words has one signature, the
+    whole of it. Every step is a projection of its own, so that no list is made twice; all of it
+    stays within a row.
     """
-    t, w, c = f"_{out}_t", f"_{out}_w", f"_{out}_c"
-    d = docs.withColumn(t, F.lower(F.translate(F.coalesce(F.col(text), F.lit("")), SPACE, " " * len(SPACE))))
-    d = d.withColumn(w, F.filter(F.split(t, " "), lambda x: x != ""))
-    mark = F.lit("\x01")
-    # a content word behind an anchor carries it in front; anchors go
-    with_anchor = F.zip_with(F.concat(F.array(F.lit("")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))), F.col(w), lambda p, x: F.when(x.isin(ANCHORS), None).when(p.isin(ANCHORS), F.concat(p, mark, x)).otherwise(x))
-    d = d.withColumn(c, F.when(F.size(w) > 0, F.filter(with_anchor, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")))
-    hashes, plain = f"_{out}_h", F.transform(F.col(c), lambda x: F.hash(F.when(x.contains("\x01"), F.substring_index(x, "\x01", -1)).otherwise(x)))
-    d = d.withColumn(hashes, plain)
-    lists = F.transform(F.col(c), lambda x: F.when(x.contains("\x01"), F.hash(x)))
-    for by in range(1, chain):
-        lists = F.zip_with(lists, _after(F.col(hashes), by), lambda a, b: F.when(a.isNotNull(), F.hash(a, b)))
-    d = d.withColumn(out, F.filter(lists, lambda x: x.isNotNull()))
-    whole = F.when(F.size(w) > 0, F.array(F.hash(F.array_join(F.col(w), " ")))).otherwise(F.array().cast("array<int>"))
-    return d.withColumn(out, F.when(F.size(out) > 0, F.sort_array(F.array_distinct(out))).otherwise(whole)).drop(t, w, c, hashes)
+    w, c, h = f"_{out}_w", f"_{out}_c", f"_{out}_h"
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = docs.withColumn(w, F.filter(F.split(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != ""))
+    before = F.concat(F.array(F.lit("")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
+    # a content word behind an anchor carries it in front, with a mark between; anchors go
+    marked = F.zip_with(before, F.col(w), lambda p, x: F.when(x.isin(ANCHORS), None).when(p.isin(ANCHORS), F.concat(p, F.lit("\x01"), x)).otherwise(x))
+    d = d.withColumn(c, F.when(F.size(w) > 0, F.filter(marked, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn(h, F.transform(c, lambda x: F.hash(F.when(x.contains("\x01"), F.substring_index(x, "\x01", -1)).otherwise(x))))
+
+    def chains(starts: Column) -> Column:
+        for by in range(1, chain):
+            starts = F.zip_with(starts, _after(F.col(h), by), lambda a, b: F.when(a.isNotNull(), F.hash(a, b)))
+        return F.filter(starts, lambda x: x.isNotNull())
+
+    d = d.withColumn(out, chains(F.transform(c, lambda x: F.when(x.contains("\x01"), F.hash(x)))))
+    rest = F.when(F.size(h) > 0, chains(F.col(h))).when(F.length(t) > 0, F.array(F.hash(t))).otherwise(F.array().cast("array<int>"))
+    return d.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(rest)).withColumn(out, F.sort_array(F.array_distinct(out))).drop(w, c, h)
 
 
 def digest(sigs: str) -> Column:
