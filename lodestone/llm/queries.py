@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, langid, mixing, rules, simhash, spotsigs, tokencount, tokenfile
+from lodestone.llm import chat, langid, mixing, pieces, rules, simhash, spotsigs, tokencount, tokenfile, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), nbest=3)
+    return coded.select("doc_id", "n_pieces", "scores", "ids_crc32", "round_trip")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -53,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
+    "op8_pieces": op8_pieces,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }

@@ -118,15 +118,32 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, label[own]
 
 
-def _subtree_links(budget: int, level: int):
+def nearest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, each: int = 8) -> np.ndarray:
+    """Which of the pairs to keep where there are more than 4 n: those that are among the `each` nearest of an end."""
+    if len(i) <= 4 * n:
+        return np.arange(len(i))
+    keep = np.zeros(len(i), bool)
+    for end in (i, j):
+        order = np.lexsort((distance, end))
+        first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]])
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        keep[order[rank < each]] = True
+    return np.flatnonzero(keep)
+
+
+def _subtree_links(budget: int, level: int, pairs: bool):
     depth = sum(LEVELS[level])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def walk(t: np.ndarray, key: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | ((key[1:] >> np.uint64(64 - depth)) != (key[:-1] >> np.uint64(64 - depth)))])
             i, j = trie_pairs(key, np.r_[starts, len(key)], depth, budget)
-            i, j = forest(len(key), i, j)
-            return pd.DataFrame({"a": _restored(key[i], t[i], level), "b": _restored(key[j], t[j], level)})
+            if pairs:
+                some = nearest(len(key), i, j, np.bitwise_count(key[i] ^ key[j]))
+                i, j = i[some], j[some]
+            else:
+                i, j = forest(len(key), i, j)
+            return pd.DataFrame({"table": t[i] >> (2 * (level + 1)), "a": _restored(key[i], t[i], level), "b": _restored(key[j], t[j], level)})
 
         held_t, held_k = np.zeros(0, np.int32), np.zeros(0, np.uint64)
         for b in batches:  # sorted by subtree: only the last may go on in the next batch
@@ -156,15 +173,17 @@ def _rotated(key: str, fixed: int, by: int) -> str:
     return f"({top} | ((shiftleft({low}, {by}) | shiftrightunsigned({low}, {m - by})) & {mask if mask < 1 << 63 else -1}L))"
 
 
-def near_links(fps: DataFrame, budget: int = 3, crowded: int = 4096) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that join exactly those in reach of each other.
+def near_links(fps: DataFrame, budget: int = 3, crowded: int = 4096, pairs: bool = False) -> DataFrame:
+    """Distinct fingerprints (table, fp) -> links (table, a, b); only those of a table meet.
 
-    Two fingerprints are in reach if a chain of steps of at most `budget` bits joins them; within a
-    task the pairs found are reduced to a spanning forest before they leave it. budget: 1 to 3.
+    By default links join exactly the fingerprints that a chain of steps of at most `budget` bits
+    joins; within a task the pairs found are reduced to a spanning forest before they leave it. With
+    `pairs` they are pairs at most `budget` bits apart: all of them, or in a dense task those among
+    the nearest of one of their ends. budget: 1 to 3.
     """
     if not 1 <= budget <= 3:
         raise ValueError("budget must be 1, 2 or 3")
-    rows, out = fps.select(F.lit(0).alias("turn"), F.col("fp").alias("key")), None
+    rows, out = fps.select(F.col("table").cast("int").alias("turn"), F.col("fp").alias("key")), None
     for level, (fixed, width) in enumerate(LEVELS):
         turned = [F.expr(f"named_struct('turn', cast(turn * 4 + {c} as int), 'key', {_rotated('key', fixed, c * width)})") for c in range(4)]
         rows = rows.select(F.explode(F.array(*turned)).alias("r")).select("r.turn", "r.key")
@@ -183,7 +202,7 @@ def near_links(fps: DataFrame, budget: int = 3, crowded: int = 4096) -> DataFram
             .sortWithinPartitions("turn", "path")
             .select("turn", "path")
         )
-        links = parts.mapInPandas(_subtree_links(budget, level), "a long, b long")
+        links = parts.mapInPandas(_subtree_links(budget, level, pairs), "table int, a long, b long")
         out = links if out is None else out.unionAll(links)
         if more is None:
             break
@@ -215,7 +234,73 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, budget: int
     """
     each = cut(fingerprints(docs, words, seed))
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = cut(connected_components(near_links(distinct.select("fp"), budget, crowded)))
+    roots = cut(connected_components(near_links(distinct.select(F.lit(0).alias("table"), "fp"), budget, crowded)))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash of each hash (a public finaliser of well-known constants)."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3, crowded: int = 4096) -> DataFrame:
+    """Links (a, b) between text hashes of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
+
+    A shingle changes with any of its words, so at 0.8 the 64 bits over shingles already differ in
+    about ten places. Candidates therefore come from `tables` independent fingerprints over the set
+    of single words, which such texts share nearly all of: one within the budget is enough. Every
+    candidate is then held against the exact similarity of the shingle sets.
+    """
+    marked = docs.select(F.xxhash64("text").alias("h"), "text")
+
+    def sketch(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, 1, 42)) for t in b["text"]]
+            yield {"h": b["h"], "fps": [[majority_bits(mixed(x, k)) for k in range(tables)] for x in sets]}
+
+    each = cut(map_rows(marked, ["h", "text"], "h long, fps array<long>", sketch, 256))
+    classes = each.groupBy("h").agg(F.first("fps").alias("fps"))  # equal texts have equal sketches
+    placed = cut(classes.select("h", F.posexplode("fps").alias("table", "fp")))
+    firsts = placed.groupBy("table", "fp").agg(F.min("h").alias("first"))
+    links = near_links(firsts.select("table", "fp"), budget, crowded, pairs=True)
+    met = links.join(firsts.select("table", F.col("fp").alias("a"), F.col("first").alias("x")), ["table", "a"])
+    met = met.join(firsts.select("table", F.col("fp").alias("b"), F.col("first").alias("y")), ["table", "b"]).select("x", "y")
+    same = placed.join(firsts, ["table", "fp"]).where("h <> first").select(F.col("first").alias("x"), F.col("h").alias("y"))
+    pairs = cut(met.unionAll(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+
+    def shingles(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"h": b["h"], "s": [np.unique(shingle_hashes(t, words, 42).astype(np.uint32).view(np.int32)) for t in b["text"]]}
+
+    nodes = pairs.select(F.col("x").alias("h")).unionAll(pairs.select(F.col("y").alias("h"))).distinct()
+    texts = marked.join(nodes, "h", "left_semi")
+    sets = cut(map_rows(texts, ["h", "text"], "h long, s array<int>", shingles, 256).dropDuplicates(["h"]))
+    both = pairs.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    alike = (shared >= F.lit(similarity) * (F.size("sx") + F.size("sy") - shared)) | ((F.size("sx") == 0) & (F.size("sy") == 0))
+    return both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """docs with one document of each group of near copies left: the smallest doc_id, of equal ids the smallest text hash.
+
+    Groups are joined by equal texts and by near_copies(); null texts equal each other, and so do
+    texts without words. A null doc_id stays only where the group has no other; repeated rows leave
+    one; an empty table gives none. All columns stay.
+    """
+    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    roots = cut(connected_components(near_copies(docs, words, similarity, **options)))
+    grouped = ids.join(roots, ids.h == roots.node, "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
+    kept = grouped.groupBy("root").agg(first, F.count("*").alias("n")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    here = docs.withColumn("_k", F.xxhash64("text"))
+    out = here.join(kept, (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_h")
+    if not cut(ids.groupBy("doc_id", "h").count().where(F.col("count") > 1)).isEmpty():
+        out = out.dropDuplicates(["doc_id", "_k"])
+    return out.drop("_k")
