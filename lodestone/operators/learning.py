@@ -8,6 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def stratified_group_folds(df: DataFrame, group: str, k: int = 5, classes: int = 4, buckets: int = 4096) -> DataFrame:
@@ -40,11 +41,9 @@ def stacked(df: DataFrame, folds: int = 5, iterations: int = 30) -> DataFrame:
     """
     x = stacker_features(df)
     names = [c for c in x.columns if c not in df.columns]
-    w = Window.partitionBy("label")
     sizes = x.groupBy("label").agg(F.count("*").alias("_n"))
     total = x.count()
     x = x.join(F.broadcast(sizes), "label").withColumn("_w", F.lit(total) / (F.lit(4) * F.col("_n")))  # a row a class
-    del w
     stages = [VectorAssembler(inputCols=names, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r", maxIter=iterations, family="multinomial")]
     out = None
     for f in range(1, folds + 1):
@@ -56,4 +55,4 @@ def stacked(df: DataFrame, folds: int = 5, iterations: int = 30) -> DataFrame:
 
 def scored_by(df: DataFrame, model, output: str, kind: str = "double") -> DataFrame:
     """The plug-in point: model(iterator of pandas frames) -> the same with column `output`; batches come by Arrow."""
-    return df.mapInPandas(model, df.schema.add(output, kind))
+    return df.mapInPandas(model, StructType([*df.schema.fields, *StructType.fromDDL(f"{output} {kind}").fields]))

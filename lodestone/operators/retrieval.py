@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions.arrays import choose_diverse, dot, unit
 
@@ -190,7 +191,7 @@ def alpha_sweep(bm25: DataFrame, semantic: DataFrame, alphas: tuple[float, ...]
 
 def reranked(ranked: DataFrame, scorer, k: int) -> DataFrame:
     """Rows rescored by `scorer` (an iterator of pandas frames -> the same with a column `rerank_score`), the k best of each key."""
-    schema = ranked.schema.add("rerank_score", "double")
+    schema = StructType([*ranked.schema.fields, StructField("rerank_score", DoubleType())])
     by = Window.partitionBy(*KEY).orderBy(F.desc("rerank_score"), "rank")
     return ranked.mapInPandas(scorer, schema).withColumn("new_rank", F.row_number().over(by)).where(F.col("new_rank") <= k)
 
@@ -199,7 +200,11 @@ def packed(ranked: DataFrame, base: DataFrame, sep: str) -> DataFrame:
     """base with ids, scores and one text of each key's ranked rows (which carry `text`); keys without any get empty ones."""
     row = F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "text")))
     lists = ranked.groupBy(*KEY).agg(row.alias("_l"))
-    ids, scores, texts = (F.transform("_l", lambda x, f=f: x[f]) for f in ("doc_id", "score", "text"))
+
+    def field(name: str) -> Column:
+        return F.transform("_l", lambda x: x[name])
+
+    ids, scores, texts = field("doc_id"), field("score"), field("text")
     got = lists.select(*KEY, ids.alias("ids"), scores.alias("scores"), F.array_join(texts, sep).alias("pack"), F.size("_l").alias("n_windows"))
     out = base.join(got, KEY, "left")
     return out.withColumns({"pack": F.coalesce("pack", F.lit("")), "n_windows": F.coalesce("n_windows", F.lit(0))})

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.functions.text import TURN_SEP, collapse, is_participant
 
@@ -159,5 +160,5 @@ def length_batches(rows: DataFrame, cap: int, largest: int, samples: int = 1, le
                 out.append((n << 32) + batch)
             yield df.assign(batch=pd.Series(out, index=df.index, dtype="int64"))
 
-    schema = rows.schema.add("batch", "long")
+    schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
     return rows.sortWithinPartitions(length, key).mapInPandas(run, schema)

@@ -424,9 +424,7 @@ def diverse_windows(spark, d):
     s = w.withColumn("q", F.explode(words)).select("participant_id", "q.item_id", F.col("context_window_id").alias("doc_id"), "center_turn_index", "turn_ids", F.size(F.filter(T.tokens(F.col("window_text")), lambda x: F.array_contains("q.words", x))).cast("double").alias("score"))
     by = Window.partitionBy("participant_id", "item_id").orderBy(F.desc("score"), "center_turn_index")
     c = s.withColumn("rank", F.row_number().over(by)).where("rank <= 6")
-    chosen = retrieval.diversified(c, retrieval.Ranking(k=2, multiplier=3, zero_policy="fallback"))
     lists = c.groupBy("participant_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "turn_ids"))).alias("all"))
-    del chosen  # the query shows the choice alone, without the policy for zero scores
     return lists.select("participant_id", "item_id", F.array_join(F.transform(A.choose_diverse(F.col("all"), 2), lambda x: x["doc_id"]), ",").alias("chosen"))
 
 
@@ -1134,10 +1132,10 @@ def dimension_join(spark, d):
     return j.select("c_custkey", F.md5(F.trim("c_name")).alias("name_md5"), "n_name", "r_name")
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_quantity BETWEEN 5 AND 30 GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM lineitem WHERE l_quantity BETWEEN 5 AND 30 GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def grouping_sets(spark, d):
     li = table(spark, d, "lineitem").where("l_quantity BETWEEN 5 AND 30")
-    return li.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return li.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
