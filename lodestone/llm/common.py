@@ -66,8 +66,8 @@ class Recent(dict):
     """A memory of `size` to 2 * size recently used entries, which notes what it was asked for in vain.
 
     When it is full, what it holds becomes the older half, from which an entry comes back when it is
-    asked for; the half before is forgotten. `new` collects missing keys until learn() is given their
-    values; until then they read as `blank`, and `asked` counts such reads.
+    asked for; the half before is forgotten. `new` collects missing keys until learn() is given the
+    values of all of them; until then they read as `blank`, and `asked` counts such reads.
     """
 
     def __init__(self, size: int, blank: object) -> None:
@@ -89,8 +89,7 @@ class Recent(dict):
             self.older = dict(self)
             self.clear()
         self.update(zip(keys, values))
-        for k in keys:
-            self.new.pop(k, None)
+        self.new = {}
 
 
 def DataFrameSchema(ddl: str):

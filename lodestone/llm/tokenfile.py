@@ -17,18 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Recent, arrow_schema, cut, shared_dir
+from lodestone.llm.common import arrow_schema, cut, shared_dir
 
 FORMAT = 1
 #: Encoded stretches a worker remembers, and bytes of ids it holds back before it writes them.
-REMEMBERED, HELD_BYTES = 250_000, 8 << 20
+REMEMBERED, HELD_BYTES = 500_000, 8 << 20
 #: Documents whose new stretches are encoded together.
-GROUP = 128
+GROUP = 4096
 _STRETCH = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than space and line feed; texts with any are divided by the pattern.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -45,13 +46,13 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.tok.get_vocab_size())])
-        self.known = Recent(REMEMBERED, b"")
+        self.known: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """Stretches that start with their only space are encoded in long texts and told apart by that space."""
+    def _joint(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of stretches. Those that start with their only space are encoded in long texts and told apart by it."""
         out: dict[str, bytes] = {}
         joint = [p for p in new if p[0] == " " and p.count(" ") == 1]
         groups = [joint[i : i + 256] for i in range(0, len(joint), 256)]
@@ -64,31 +65,55 @@ class Encoder:
                 out.update(zip(group, map(data.__getitem__, map(slice, at, at[1:]))))
         rest = [p for p in new if p not in out]
         out.update(zip(rest, self._bytes(rest)))
-        return list(map(out.__getitem__, new))
+        return out
 
-    def _parts(self, text: str) -> list[str]:
-        if text[:1] == " " or "  " in text or "\n " in text or " \n" in text or "\x00" in text or any(c in text for c in _OTHER):
-            return [p for p in _STRETCH.split(text) if p]
-        return text.replace(" ", "\x00 ").split("\x00")
+    def _plain(self, text: str) -> bool:
+        """Whether every space stands between characters that aren't white space, and no special string occurs."""
+        return not (
+            not text or text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text
+            or any(c in text for c in _OTHER) or any(s in text for s in self.special)
+        )
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        get = self.known.get
+        found = list(map(get, words))
+        new = [w for w, f in zip(words, found) if f is None]
+        if new:
+            data = self._joint(list(dict.fromkeys(new)))
+            if len(self.known) < REMEMBERED:  # frequent words come first, so what is full is what's wanted
+                self.known.update(data)
+            found = [data[w] if f is None else f for w, f in zip(words, found)]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes. What is new in all texts is encoded together."""
-        out: list[bytes] = []
-        wait: list[tuple[int, list[str]]] = []
-        get = self.known.__getitem__
-        for i, text in enumerate(texts):
-            if not text or any(s in text for s in self.special):
-                out.append(self._bytes([text])[0])
-                continue
-            parts, asked = self._parts(text), self.known.asked
-            out.append(b"".join(map(get, parts)))
-            if self.known.asked > asked:
-                wait.append((i, parts))
-        if wait:
-            new = list(self.known.new)
-            self.known.learn(new, self._learn(new))
-            for i, parts in wait:
-                out[i] = b"".join(map(get, parts))
+        """The ids of each text as bytes.
+
+        Words of all plain texts are told apart by Arrow, so that only different ones are looked up, and
+        NumPy lays their ids out. The others are divided by the pattern.
+        """
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        out = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            t = texts[i]
+            out[i] = self._bytes([t])[0] if not t or any(s in t for s in self.special) else b"".join(self._known([p for p in _STRETCH.split(t) if p]))
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        begins = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        data = self._known([" " + w for w in words])
+        heads = self._known([words[c] for c in codes[begins]])
+        codes[begins] = len(words) + np.arange(len(plain))  # a text's first word has no space in front
+        data += heads
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.dtype.itemsize
+        flat, starts = np.frombuffer(b"".join(data), self.dtype), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+        bounds = (np.r_[(ends - each)[begins], ends[-1]] * self.dtype.itemsize).tolist()
+        for i, x, y in zip(plain, bounds, bounds[1:]):
+            out[i] = ids[x:y]
         return out
 
 
