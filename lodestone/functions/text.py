@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Separators of packed evidence, and the stopwords of the ranking tokenizer.
+#: Separators of packed evidence, stopwords of the ranking tokenizer, markers of speakers.
 WINDOW_SEP, TURN_SEP, UTTERANCE_SEP = " [WINDOW_SEP] ", " [TURN_SEP] ", " [UTT_SEP] "
-STOPWORDS = "a an and are been for from had has have in is of or over that the this to was were with".split()
-PARTICIPANT_MARKS, INTERVIEWER_MARKS = ("participant", "user", "patient"), ("interviewer", "assistant", "system")
+STOPWORDS = "a an and are be been being did do does for in is of on or the to was were with".split()
+INTERVIEWER_MARKS = ("ellie", "interviewer", "therapist", "clinician", "doctor", "agent", "system")
+PARTICIPANT_MARKS = ("participant", "subject", "patient", "client", "user")
+#: Column names to look for, first come first served.
+TEXT_COLUMNS = ["Text", "text", "Utterance", "utterance", "Value", "value", "transcript_text"]
+SPEAKER_COLUMNS = ["Speaker", "speaker", "Role", "role", "speaker_role", "Participant", "participant"]
 
 
 def participant_id(c: Column) -> Column:
@@ -64,8 +68,8 @@ def readable_evidence(c: Column) -> Column:
 
 
 def snippets(c: Column, most: int = 3, longest: int = 240) -> Column:
-    """The first snippets of an evidence text, each cut to a length."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\[WINDOW_SEP\]|///"), lambda x: F.trim(x)), lambda x: x != "")
+    """The first snippets of an evidence text, turns parted by `; `, each cut to a length."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\[WINDOW_SEP\]|///"), readable_turns), lambda x: x != "")
     return F.transform(F.slice(parts, 1, most), lambda x: F.substring(x, 1, longest))
 
 
@@ -105,27 +109,33 @@ def head_tail(words: Column, budget: int) -> Column:
 
 
 def salvage_judgment(raw: Column) -> Column:
-    """struct(status, severity_hint, reason) from a reply: its JSON object if it reads as one, else by patterns.
+    """struct(status, severity_hint, reason) of a reply.
 
-    status is null if neither way finds one of the known words; a hint outside 0..3 is null.
+    If its JSON object reads and names a known status, all three come from there (a hint outside 0..3 is
+    null, the reason is cut at 120). Else a pattern finds status and hint, and the reason says so.
+    Else both are null.
     """
     known = ("supports", "against", "ambiguous", "none")
     body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
     read = F.from_json(F.when(body != "", body), "status string, severity_hint string, reason string")
     status = F.lower(F.trim(read["status"]))
     found = F.lower(F.regexp_extract(raw, r'(?i)"?status"?\s*[:=]\s*"?(supports|against|ambiguous|none)', 1))
-    hint = F.coalesce(F.expr("try_cast(null as int)"), read["severity_hint"].try_cast("int"), F.regexp_extract(raw, r'(?i)"?severity_hint"?\s*[:=]\s*"?([0-3])', 1).try_cast("int"))
+    hint = read["severity_hint"].try_cast("double").cast("int")
+    by_pattern = F.regexp_extract(raw, r'(?i)"?severity_hint"?\s*[:=]\s*"?([0-3])', 1).try_cast("int")
+    parsed = F.coalesce(status.isin(*known), F.lit(False))
     return F.struct(
-        F.when(status.isin(*known), status).when(found != "", found).alias("status"),
-        F.when(hint.between(0, 3), hint).alias("severity_hint"),
-        F.coalesce(read["reason"], F.lit("")).alias("reason"),
+        F.when(parsed, status).when(found != "", found).alias("status"),
+        F.when(parsed, F.when(hint.between(0, 3), hint)).when(found != "", by_pattern).alias("severity_hint"),
+        F.when(parsed, F.substring(F.coalesce(read["reason"], F.lit("")), 1, 120)).when(found != "", "[regex-parsed]").otherwise("[unparseable]").alias("reason"),
     )
 
 
 def salvage_relevant(raw: Column) -> Column:
-    """true/false from a `relevant` value that is a boolean or starts with t; null if there is none."""
-    found = F.lower(F.regexp_extract(raw, r'(?i)"?relevant"?\s*[:=]\s*"?(\w+)', 1))
-    return F.when(found != "", found.startswith("t"))
+    """true/false of a JSON `relevant`, a boolean or a text that starts with t, else of a bare one by pattern; null if there is none."""
+    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    read = F.lower(F.trim(F.from_json(F.when(body != "", body), "relevant string")["relevant"]))
+    found = F.lower(F.regexp_extract(raw, r'(?i)"?relevant"?\s*[:=]\s*(true|false)', 1))
+    return F.coalesce(read.startswith("t"), F.when(found != "", found == "true"))
 
 
 def salvage_label(raw: Column) -> Column:

@@ -117,7 +117,7 @@ def select_config(candidates: DataFrame, tie: float = 0.005) -> DataFrame:
     best = F.max("informative_rate").over(Window.partitionBy(F.lit(0)))
     c = candidates.withColumns({"_worst": F.coalesce(worst, F.lit(0.0)) + 1, "_best": best}).where(F.col("informative_rate") >= F.col("_best") - tie)
     place = lambda col, names: F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col(col)), F.lit(99))
-    order = [F.asc("none_rate"), F.asc("ambiguous_rate"), F.asc(F.coalesce("redundancy", "_worst")), place("prefix", ["top3", "top5", "budget"]), place("retriever", ["bm25", "semantic", "hybrid"]), F.desc("informative_rate"), F.asc("config")]
+    order = [F.asc("none_rate"), F.asc("ambiguous_rate"), F.asc(F.coalesce("redundancy", "_worst")), place("prefix", ["top3", "top5", "budget"]), F.least(place("retriever", ["bm25", "semantic", "hybrid_a50", "hybrid_a25", "hybrid_a75"]), F.when(F.col("retriever") == "hybrid_a75", 4).otherwise(99)), F.desc("informative_rate"), F.asc("config")]
     return c.withColumn("choice", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where("choice <= 1").drop("_worst", "_best", "choice")
 
 
@@ -128,20 +128,24 @@ def shortlist(candidates: DataFrame, prefix: str = "top5", tie: float = 0.005, m
     return best.withColumn("_t", top).where(F.col("rate") >= F.col("_t") - tie).orderBy(F.desc("rate"), "config").limit(most).drop("_t")
 
 
-def constrained_winner(runs: DataFrame, baseline: str, mae: float = 0.02, recall: float = 0.05, false_severe: float = 0.02) -> DataFrame:
-    """The run of highest (qwk, macro_f1) among those not worse than the baseline by more than the allowances; among all if none is."""
-    base = runs.where(F.col("run") == baseline).select(F.col("mae").alias("m0"), F.col("severe_recall").alias("s0"), F.col("false_severe_rate").alias("f0")).limit(1)
-    ok = (F.col("mae") <= F.col("m0") + mae) & (F.col("severe_recall") >= F.col("s0") - recall) & (F.col("false_severe_rate") <= F.col("f0") + false_severe)
-    c = runs.join(F.broadcast(base)).withColumn("allowed", ok)  # one row
+def constrained_winner(runs: DataFrame, baseline: str, mae: float = 0.02, recall: float = 0.03, false_severe: float = 0.015) -> DataFrame:
+    """The run of highest (qwk, macro_f1) among the baseline and those that pass against it; among all if none does.
+
+    A run fails if its MAE is higher by over `mae` without a higher kappa, or if severe recall falls or
+    false alarms rise by more than allowed.
+    """
+    base = runs.where(F.col("run") == baseline).select(F.col("mae").alias("m0"), F.col("qwk").alias("q0"), F.col("severe_recall").alias("s0"), F.col("false_severe_rate").alias("f0")).limit(1)
+    fails = ((F.col("mae") > F.col("m0") + mae) & (F.col("qwk") <= F.col("q0"))) | (F.col("severe_recall") < F.col("s0") - recall) | (F.col("false_severe_rate") > F.col("f0") + false_severe)
+    c = runs.join(F.broadcast(base)).withColumn("allowed", (F.col("run") == baseline) | ~F.coalesce(fails, F.lit(False)))  # one row
     best = F.max_by("run", F.struct("allowed", "qwk", "macro_f1"))
     return c.agg(best.alias("winner"), F.max("allowed").alias("constrained"))
 
 
 def accepted(cascade_row: Column, better: Column) -> Column:
-    """Whether a cascade may replace the better of its parts: no worse on kappa and F1, MAE, severe recall and false alarms within limits."""
+    """Whether a cascade may replace the better of its parts: higher kappa; F1, MAE and false alarms within limits; severe recall no lower."""
     return (
-        (cascade_row["qwk"] >= better["qwk"]) & (cascade_row["macro_f1"] >= better["macro_f1"]) & (cascade_row["mae"] <= better["mae"])
-        & (cascade_row["severe_recall"] >= better["severe_recall"] - 0.05) & (cascade_row["false_severe_rate"] <= better["false_severe_rate"] + 0.02)
+        (cascade_row["qwk"] > better["qwk"]) & (cascade_row["macro_f1"] >= better["macro_f1"] - 0.005) & (cascade_row["mae"] <= better["mae"] + 0.02)
+        & F.coalesce(cascade_row["severe_recall"] >= better["severe_recall"] - 1e-9, F.lit(True)) & (cascade_row["false_severe_rate"] <= better["false_severe_rate"] + 0.015)
     )
 
 

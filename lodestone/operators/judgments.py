@@ -11,7 +11,7 @@ INFORMATIVE = ("supports", "against")
 
 
 def vote_status(votes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, status, severity_hint) votes -> the most frequent status, `ambiguous` on ties, with the winners' median hint cut to an integer.
+    """(keys, status, severity_hint) votes -> the most frequent status, `ambiguous` on ties, with the median hint of that status' votes cut to an integer.
 
     n_votes and agreement (largest share) come with it; null statuses don't vote.
     """
@@ -23,7 +23,7 @@ def vote_status(votes: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(
         *keys,
         F.when(single, F.get(won, F.lit(0))["status"]).otherwise("ambiguous").alias("status"),
-        F.when(single, F.get(won, F.lit(0))["hint"].cast("int")).alias("severity_hint"),
+        F.when(single, F.get(won, F.lit(0))["hint"]).otherwise(F.get(F.filter("all", lambda x: x["status"] == "ambiguous"), F.lit(0))["hint"]).cast("int").alias("severity_hint"),
         "n_votes",
         (F.col("top") / F.col("n_votes")).alias("agreement"),
     )

@@ -38,10 +38,10 @@ def kept_terms(terms: DataFrame) -> DataFrame:
     return terms.where("decision = 'keep' AND relation <> 'related_nonspecific'")
 
 
-def manifest(terms: DataFrame) -> DataFrame:
+def manifest(terms: DataFrame, cues: tuple[str, ...] = INDIRECT) -> DataFrame:
     """Every term with relation by its cues and whether it is in the primary query."""
     cue = F.lit(False)
-    for c in INDIRECT:
+    for c in cues:
         cue = cue | F.contains(F.lower("term"), F.lit(c))
     return terms.withColumn("relation_class", F.when(cue, "indirect").otherwise("direct")).withColumn(
         "in_primary_query", (F.col("decision") == "keep") & (F.col("relation") != "related_nonspecific")

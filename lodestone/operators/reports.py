@@ -10,20 +10,24 @@ from lodestone.operators.metrics import band
 
 
 def confidence_category(p: Column) -> Column:
-    return F.when(p >= 0.6, "high").when(p >= 0.4, "medium").otherwise("low")
+    return F.when(p >= 0.6, "high").when(p >= 0.4, "moderate").otherwise("low")
 
 
 def flags(df: DataFrame) -> DataFrame:
-    """contradiction, not_discussed, interview_only and followup of (prediction, self_score, status, confidence)."""
-    status, self_score = F.coalesce("status", F.lit("none")), F.col("self_score")
-    contradiction = (F.abs(F.col("prediction") - self_score) >= 2) | ((status == "against") & (self_score >= 1))
+    """contradiction, not_discussed, interview_only and followup of (prediction, self_score, status, p_max).
+
+    self_score is the questionnaire's own answer. A sure prediction of the top class needs follow-up, too.
+    """
+    status, own = F.coalesce("status", F.lit("none")), F.col("self_score")
+    contradiction = (F.abs(F.col("prediction") - own) >= 2) | ((status == "against") & (own >= 1))
     out = df.withColumns({
         "contradiction": F.coalesce(contradiction, F.lit(False)),
-        "not_discussed": status == "none",
-        "interview_only": (status == "supports") & F.coalesce(self_score == 0, F.lit(False)),
+        "not_discussed": F.coalesce((status == "none") & (own >= 1), F.lit(False)),
+        "interview_only": F.coalesce((status == "supports") & (own == 0), F.lit(False)),
         "confidence": confidence_category(F.col("p_max")),
     })
-    return out.withColumn("followup", F.col("contradiction") | F.col("not_discussed") | (F.col("confidence") == "low"))
+    sure = F.coalesce((F.col("prediction") == 3) & (F.col("p_max") >= 0.6), F.lit(False))
+    return out.withColumn("followup", F.col("contradiction") | F.col("not_discussed") | F.col("interview_only") | sure)
 
 
 def records(df: DataFrame) -> DataFrame:

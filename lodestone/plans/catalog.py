@@ -69,7 +69,7 @@ def normalize_ids(spark, d):
 
 
 @query("""
-WITH marked AS (SELECT *, CASE WHEN speaker IN ('assistant', 'system') THEN FALSE WHEN speaker = 'user' THEN TRUE END AS who FROM turns),
+WITH marked AS (SELECT *, CASE WHEN speaker = 'system' THEN FALSE WHEN speaker = 'user' THEN TRUE END AS who FROM turns),
 known AS (SELECT *, bool_or(coalesce(who, FALSE)) OVER (PARTITION BY participant_id) AS anyone FROM marked)
 SELECT participant_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS places FROM known WHERE CASE WHEN anyone THEN coalesce(who, FALSE) ELSE coalesce(who, TRUE) END GROUP BY participant_id
 """)
@@ -80,7 +80,7 @@ def participant_utterances(spark, d):
 @query("""
 WITH packed AS (SELECT participant_id, string_agg(trim(text), ' [WINDOW_SEP] ' ORDER BY pos) AS pack FROM turns WHERE trim(text) <> '' GROUP BY participant_id)
 SELECT participant_id, md5(pack) AS pack_md5, CAST(len(string_split(pack, '[WINDOW_SEP]')) AS INT) AS n_parts,
-  md5(array_to_string(list_transform(list_filter(list_transform(string_split(pack, '[WINDOW_SEP]'), lambda x: trim(x)), lambda x: x <> '')[1:3], lambda x: x[1:240]), '|')) AS snippets_md5,
+  md5(array_to_string(list_transform(list_filter(list_transform(string_split(pack, '[WINDOW_SEP]'), lambda x: trim(regexp_replace(replace(x, '[TURN_SEP]', '; '), '\s+', ' ', 'g'))), lambda x: x <> '')[1:3], lambda x: x[1:240]), '|')) AS snippets_md5,
   md5(trim(regexp_replace(replace(replace(pack, '[WINDOW_SEP]', ' /// '), '[TURN_SEP]', '; '), '\\s+', ' ', 'g'))) AS readable_md5
 FROM packed
 """)
@@ -101,8 +101,8 @@ WITH replies AS (
     ELSE '{"status": "none", "severity_hint": null, "reason": "cut' END AS raw FROM events)
 SELECT event_id,
   CASE event_id % 5 WHEN 0 THEN 'supports' WHEN 1 THEN 'against' WHEN 4 THEN 'none' END AS status,
-  CAST(CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 6 <= 3 THEN event_id % 6 END WHEN 1 THEN 2 WHEN 3 THEN 1 END AS INT) AS severity_hint,
-  CASE event_id % 5 WHEN 0 THEN 'r' || event_id ELSE '' END AS reason
+  CAST(CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 6 <= 3 THEN event_id % 6 END WHEN 1 THEN 2 END AS INT) AS severity_hint,
+  CASE event_id % 5 WHEN 0 THEN 'r' || event_id WHEN 1 THEN '[regex-parsed]' WHEN 4 THEN '[regex-parsed]' ELSE '[unparseable]' END AS reason
 FROM replies
 """)
 def salvage_judgments(spark, d):
@@ -767,8 +767,9 @@ def pooled_probabilities(spark, d):
 @query("""
 WITH c AS (SELECT participant_id, item_id, status, count(*) AS n, quantile_cont(CAST(severity_hint AS DOUBLE), 0.5) AS hint FROM judged WHERE status IS NOT NULL GROUP BY ALL),
 g AS (SELECT participant_id, item_id, max(n) AS top, sum(n) AS total FROM c GROUP BY ALL),
-w AS (SELECT participant_id, item_id, top, total, count(*) AS ties, min(c.status) AS status, min(hint) AS hint FROM g JOIN c USING (participant_id, item_id) WHERE n = top GROUP BY ALL)
-SELECT participant_id, item_id, CASE WHEN ties = 1 THEN status ELSE 'ambiguous' END AS status, CAST(CASE WHEN ties = 1 THEN trunc(hint) END AS INT) AS severity_hint, CAST(total AS BIGINT) AS n_votes, round(top / total, 6) AS agreement FROM w
+w AS (SELECT participant_id, item_id, top, total, count(*) AS ties, min(c.status) AS status FROM g JOIN c USING (participant_id, item_id) WHERE n = top GROUP BY ALL),
+f AS (SELECT * EXCLUDE (status), CASE WHEN ties = 1 THEN status ELSE 'ambiguous' END AS status FROM w)
+SELECT participant_id, item_id, status, CAST(trunc(c.hint) AS INT) AS severity_hint, CAST(total AS BIGINT) AS n_votes, round(top / total, 6) AS agreement FROM f LEFT JOIN c USING (participant_id, item_id, status)
 """)
 def status_votes(spark, d):
     return rounded(judgments.vote_status(base(spark, d, "judged"), ["participant_id", "item_id"]))
@@ -865,7 +866,7 @@ def shortlist_configs(spark, d):
 
 
 @query(f"""WITH {SQL_TWO}, r AS (SELECT run || '_' || item_id AS run, qwk, macro_f1, mae, severe_recall, false_severe_rate FROM metrics), b AS (SELECT * FROM r WHERE run = 'encoder_1'),
-a AS (SELECT r.*, r.mae <= b.mae + 0.02 AND r.severe_recall >= b.severe_recall - 0.05 AND r.false_severe_rate <= b.false_severe_rate + 0.02 AS ok FROM r, b)
+a AS (SELECT r.*, r.run = b.run OR NOT ((r.mae > b.mae + 0.02 AND r.qwk <= b.qwk) OR r.severe_recall < b.severe_recall - 0.03 OR r.false_severe_rate > b.false_severe_rate + 0.015) AS ok FROM r, b)
 SELECT arg_max(run, (CAST(ok AS INT) * 1000 + qwk) * 1000 + macro_f1) AS winner, bool_or(ok) AS constrained FROM a""")
 def constrained_winner(spark, d):
     long = base(spark, d, "preds").unpivot(["item_id", "label"], ["encoder_pred", "llm_pred"], "run", "prediction")
@@ -1035,14 +1036,12 @@ def unpivot_labels(spark, d):
 
 
 @query("""
-WITH f AS (SELECT *, abs(llm_pred - self_score) >= 2 OR (status = 'against' AND self_score >= 1) AS contradiction, status = 'none' AS nd, CASE WHEN greatest(l0, l1, l2, l3) >= 0.6 THEN 'high' WHEN greatest(l0, l1, l2, l3) >= 0.4 THEN 'medium' ELSE 'low' END AS conf
-  FROM (SELECT * REPLACE (CASE WHEN self_score >= 0 THEN self_score END AS self_score) FROM preds)),
-g AS (SELECT *, coalesce(contradiction, FALSE) OR nd OR conf = 'low' AS fu FROM f)
+WITH g AS (SELECT *, abs(llm_pred - label) >= 2 OR (status = 'against' AND label >= 1) AS contradiction, status = 'none' AND label >= 1 AS nd, status = 'supports' AND label = 0 AS io, llm_pred = 3 AND greatest(l0, l1, l2, l3) >= 0.6 AS sure FROM preds)
 SELECT participant_id, CAST(count(*) AS INT) AS n_items, CAST(sum(llm_pred) AS BIGINT) AS pred_total, CASE WHEN sum(llm_pred) <= 4 THEN 0 WHEN sum(llm_pred) <= 9 THEN 1 WHEN sum(llm_pred) <= 14 THEN 2 WHEN sum(llm_pred) <= 19 THEN 3 ELSE 4 END AS pred_band,
-  coalesce(string_agg(CASE WHEN nd THEN CAST(item_id AS VARCHAR) END, ',' ORDER BY item_id), '') AS no_evidence, coalesce(string_agg(CASE WHEN fu THEN CAST(item_id AS VARCHAR) END, ',' ORDER BY item_id), '') AS followup FROM g GROUP BY participant_id
+  coalesce(string_agg(CASE WHEN nd THEN CAST(item_id AS VARCHAR) END, ',' ORDER BY item_id), '') AS no_evidence, coalesce(string_agg(CASE WHEN contradiction OR nd OR io OR sure THEN CAST(item_id AS VARCHAR) END, ',' ORDER BY item_id), '') AS followup FROM g GROUP BY participant_id
 """)
 def participant_records(spark, d):
-    p = base(spark, d, "preds").withColumns({"prediction": F.col("llm_pred"), "p_max": F.array_max("llm"), "evidence": F.lit("a /// b"), "self_score": F.when(F.col("self_score") >= 0, F.col("self_score"))})
+    p = base(spark, d, "preds").withColumns({"prediction": F.col("llm_pred"), "p_max": F.array_max("llm"), "evidence": F.lit("a /// b"), "self_score": F.col("label")})
     r = reports.records(p)
     return r.select("participant_id", "n_items", F.col("total.pred_total").alias("pred_total"), F.col("total.pred_band").alias("pred_band"), F.array_join("no_evidence_items", ",").alias("no_evidence"), F.array_join("followup_items", ",").alias("followup"))
 
@@ -1055,7 +1054,7 @@ def missing_policy_mask(spark, d):
 
 @query()
 def narrative_reports(spark, d):
-    p = base(spark, d, "preds").withColumns({"prediction": F.col("llm_pred"), "p_max": F.array_max("llm"), "evidence": F.lit("a")})
+    p = base(spark, d, "preds").withColumns({"prediction": F.col("llm_pred"), "p_max": F.array_max("llm"), "evidence": F.lit("a"), "self_score": F.col("label")})
     return reports.narrative(reports.records(p))
 
 
