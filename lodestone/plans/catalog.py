@@ -80,7 +80,7 @@ def participant_utterances(spark, d):
 @query("""
 WITH packed AS (SELECT participant_id, string_agg(trim(text), ' [WINDOW_SEP] ' ORDER BY pos) AS pack FROM turns WHERE trim(text) <> '' GROUP BY participant_id)
 SELECT participant_id, md5(pack) AS pack_md5, CAST(len(string_split(pack, '[WINDOW_SEP]')) AS INT) AS n_parts,
-  md5(array_to_string(list_transform(list_filter(list_transform(string_split(pack, '[WINDOW_SEP]'), lambda x: trim(regexp_replace(replace(x, '[TURN_SEP]', '; '), '\s+', ' ', 'g'))), lambda x: x <> '')[1:3], lambda x: x[1:240]), '|')) AS snippets_md5,
+  md5(array_to_string(list_transform(list_filter(list_transform(string_split(pack, '[WINDOW_SEP]'), lambda x: trim(regexp_replace(replace(x, '[TURN_SEP]', '; '), '\\s+', ' ', 'g'))), lambda x: x <> '')[1:3], lambda x: x[1:240]), '|')) AS snippets_md5,
   md5(trim(regexp_replace(replace(replace(pack, '[WINDOW_SEP]', ' /// '), '[TURN_SEP]', '; '), '\\s+', ' ', 'g'))) AS readable_md5
 FROM packed
 """)
@@ -1141,3 +1141,130 @@ def grouping_sets(spark, d):
 def top_orders(spark, d):
     by = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, d, "orders").withColumn("r", F.row_number().over(by)).where("r <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# ---------------------------------------------------------------- further selections and breakdowns
+
+@query("""
+WITH c AS (SELECT participant_id, item_id, fold, difficult_frac >= 0.5 AND NOT difficult_frac >= 0.9 AS hard FROM preds)
+SELECT fold, CAST(item_id AS INT) AS item_id, round(avg(CAST(hard AS INT)), 4) AS difficult_frac FROM c GROUP BY ALL
+""")
+def difficult_shares(spark, d):
+    p = base(spark, d, "preds")
+    hard = F.when(F.col("difficult_frac") >= 0.5, F.array(F.col("item_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    sure = F.when(F.col("difficult_frac") >= 0.9, F.array(F.col("item_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    chains = p.withColumn("difficult_items", F.array_except(hard, sure))
+    return judgments.difficult_share(chains, ["fold"])
+
+
+@query("SELECT item_id, count(*) AS n, count(*) FILTER (tier = 'clinical') AS clinical, string_agg(tier || ':' || term, '|' ORDER BY tier, pos) AS queries FROM terms GROUP BY item_id")
+def query_payloads(spark, d):
+    q = base(spark, d, "terms").select("item_id", F.lit("p").alias("pole"), F.concat("tier", F.col("pos").cast("string")).alias("id"), F.col("tier").alias("kind"), F.col("term").alias("text"))
+    p = lexicon.query_payload(q)
+    read = F.from_json("payload", "n long, clinical long, queries array<struct<pole:string,id:string,kind:string,text:string>>")
+    return p.select("item_id", read.alias("r")).select("item_id", "r.n", "r.clinical", F.array_join(F.transform("r.queries", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "|").alias("queries"))
+
+
+@query("""
+WITH r AS (SELECT participant_id, item_id, fold, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN fold IN (4, 5) THEN 0 ELSE 1 END, md5('42|' || participant_id || '|' || item_id), participant_id) AS r FROM preds)
+SELECT item_id, participant_id, fold FROM r WHERE r <= 3
+""")
+def preferred_examples(spark, d):
+    by = Window.partitionBy("item_id").orderBy(F.when(F.col("fold").isin(4, 5), 0).otherwise(1), sequences.hash_order("42", "participant_id", "item_id"), "participant_id")
+    return base(spark, d, "preds").withColumn("r", F.row_number().over(by)).where("r <= 3").select("item_id", "participant_id", "fold")
+
+
+@query("""
+WITH b AS (SELECT 'severe_miss' AS bucket, item_id FROM preds WHERE label = 3 AND encoder_pred <= 1 UNION ALL SELECT 'false_alarm', item_id FROM preds WHERE label = 0 AND encoder_pred >= 2
+  UNION ALL SELECT 'no_evidence', item_id FROM preds WHERE status = 'none' AND encoder_pred <> label UNION ALL SELECT 'against_but_high', item_id FROM preds WHERE status = 'against' AND encoder_pred >= 2)
+SELECT bucket, item_id, count(*) AS n FROM b GROUP BY ALL
+""")
+def failure_buckets(spark, d):
+    y, p, s = F.col("label"), F.col("encoder_pred"), F.col("status")
+    kinds = {"severe_miss": (y == 3) & (p <= 1), "false_alarm": (y == 0) & (p >= 2), "no_evidence": (s == "none") & (p != y), "against_but_high": (s == "against") & (p >= 2)}
+    hits = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in kinds.items())), lambda x: x.isNotNull())
+    return base(spark, d, "preds").select("item_id", F.explode(hits).alias("bucket")).groupBy("bucket", "item_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT label, count(*) FILTER (encoder_pred - label >= 2) AS over_by_2, count(*) FILTER (label - encoder_pred >= 2) AS under_by_2, round(avg(CAST(encoder_pred > label AS INT)), 6) AS overcall, round(avg(CAST(encoder_pred < label AS INT)), 6) AS undercall FROM preds GROUP BY label
+""")
+def far_off_breakdown(spark, d):
+    gap = F.col("encoder_pred") - F.col("label")
+    return rounded(base(spark, d, "preds").groupBy("label").agg(F.count_if(gap >= 2).alias("over_by_2"), F.count_if(gap <= -2).alias("under_by_2"), F.avg((gap > 0).cast("double")).alias("overcall"), F.avg((gap < 0).cast("double")).alias("undercall")))
+
+
+@query("""
+SELECT participant_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CASE WHEN llm_pred >= 2 THEN 0 ELSE 1 END, item_id) AS merged FROM preds WHERE llm_pred >= 2 OR encoder_pred >= 2 GROUP BY participant_id
+""")
+def ordered_union(spark, d):
+    p = base(spark, d, "preds").groupBy("participant_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "llm_pred", "encoder_pred"))).alias("x"))
+    ids = lambda c: F.transform(F.filter("x", lambda r: r[c] >= 2), lambda r: r["item_id"].cast("string"))
+    return p.select("participant_id", F.array_join(F.array_distinct(F.concat(ids("llm_pred"), ids("encoder_pred"))), ",").alias("merged")).where("merged <> ''")
+
+
+@query("""
+WITH r AS (SELECT participant_id, item_id, row_number() OVER (PARTITION BY participant_id ORDER BY item_id) AS r FROM preds)
+SELECT participant_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) || repeat(',0', 5 - CAST(count(*) AS INT)) AS bag, CAST(count(*) AS INT) AS real FROM r WHERE r <= 5 GROUP BY participant_id
+""")
+def padded_bags(spark, d):
+    g = base(spark, d, "preds").groupBy("participant_id").agg(F.sort_array(F.collect_list("item_id")).alias("x"))
+    return g.select("participant_id", F.array_join(A.padded(F.col("x"), 5, F.lit(0)).cast("array<string>"), ",").alias("bag"), F.least(F.size("x"), F.lit(5)).alias("real"))
+
+
+@query("""
+SELECT doc_id, CAST(CASE WHEN n <= 50 THEN n ELSE 50 END AS INT) AS n_kept, md5(array_to_string(CASE WHEN n <= 50 THEN w ELSE list_concat(w[1:25], w[n - 24:n]) END, ' ')) AS kept_md5
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM documents)
+""")
+def head_and_tail(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "").alias("w"))
+    k = w.select("doc_id", T.head_tail(F.col("w"), 50).alias("k"))
+    return k.select("doc_id", F.size("k").alias("n_kept"), F.md5(F.array_join("k", " ")).alias("kept_md5"))
+
+
+@query("""
+WITH a AS (SELECT fold, accuracy FROM (SELECT fold, avg(CAST(encoder_pred = label AS INT)) AS accuracy FROM preds GROUP BY fold))
+SELECT round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS sd_sample, round(stddev_pop(accuracy), 6) AS sd_population, count(*) AS folds FROM a
+""")
+def fold_spread(spark, d):
+    m = metrics.item_metrics(metrics.cells(_preds(spark, d), ["fold"]), ["fold"])
+    return rounded(summaries.spread(m, [], "accuracy").select("mean", "sd_sample", "sd_population", F.col("n").alias("folds")))
+
+
+@query("""
+SELECT count(*) AS agree, (SELECT count(*) FROM preds WHERE llm_pred <> encoder_pred) AS disagree, (SELECT count(*) FROM preds WHERE (llm_pred = label) <> (encoder_pred = label)) AS exactly_one_right FROM preds WHERE llm_pred = encoder_pred
+""")
+def model_agreement(spark, d):
+    a, b, y = F.col("llm_pred"), F.col("encoder_pred"), F.col("label")
+    return base(spark, d, "preds").agg(F.count_if(a == b).alias("agree"), F.count_if(a != b).alias("disagree"), F.count_if((a == y) != (b == y)).alias("exactly_one_right"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def resume_keys(spark, d):
+    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("""
+WITH b AS (SELECT *, CASE WHEN greatest(l0, l1, l2, l3) <= 0.5 THEN 'low' WHEN greatest(l0, l1, l2, l3) <= 0.75 THEN 'mid' ELSE 'high' END AS conf_bin FROM preds)
+SELECT conf_bin, count(*) AS n, round(avg(CAST(llm_pred = label AS INT)), 6) AS llm_accuracy, round(avg(CAST(encoder_pred = label AS INT)), 6) AS encoder_accuracy FROM b GROUP BY conf_bin
+""")
+def confidence_bins(spark, d):
+    c = F.array_max("llm")
+    b = base(spark, d, "preds").withColumn("conf_bin", F.when(c <= 0.5, "low").when(c <= 0.75, "mid").otherwise("high"))
+    ok = lambda x: F.avg((F.col(x) == F.col("label")).cast("double"))
+    return rounded(b.groupBy("conf_bin").agg(F.count("*").alias("n"), ok("llm_pred").alias("llm_accuracy"), ok("encoder_pred").alias("encoder_accuracy")))
+
+
+@query()
+def decision_study(spark, d):
+    return rounded(studies.decision_study(base(spark, d, "preds"), 100))
+
+
+@query()
+def retrieval_study(spark, d):
+    return rounded(studies.retrieval_study(base(spark, d, "judged")))
+
+
+@query()
+def run_comparison(spark, d):
+    return rounded(studies.run_comparison(base(spark, d, "preds"), ["encoder_pred", "llm_pred"]))
