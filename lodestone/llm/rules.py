@@ -32,8 +32,8 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal
     an earlier line), n_repeat_words (words in 3-word windows that occur twice or more in the text,
-    each word once, first windows included); and for rules n_lines, n_capitals, n_digits, n_marks
-    (`!?`), n_ends (words that end a sentence), n_distinct.
+    each word once, first windows included); and for rules n_lines, n_capitals (A-Z), n_marks (`!?`),
+    n_distinct.
 
     Repeated windows are found by sorting each text's window hashes beside their places, and only in
     texts whose windows aren't all different; so a text costs n log n whatever repeats in it. All of
@@ -62,7 +62,6 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     a = a.withColumn("places", F.when(F.size("ordered") > 0, F.array_sort(F.filter(kept, lambda i: i.isNotNull()))).otherwise(F.array().cast("array<int>")))
     gaps = F.zip_with("places", _shifted(F.col("places"), 1), lambda i, j: F.coalesce(F.least(j - i, F.lit(3)), F.lit(3)))
     count = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
-    capitals = F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}", ""))
     out = {
         "n_words": F.size("words"),
         "word_chars": F.length(F.translate("t", SPACE, "")),
@@ -70,10 +69,8 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": F.aggregate(gaps, F.lit(0), lambda s, g: s + g),
         "n_lines": F.size("lines"),
-        "n_capitals": capitals,
-        "n_digits": count("0123456789"),
+        "n_capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_marks": count("!?"),
-        "n_ends": count(".!?"),
         "n_distinct": F.size(F.array_distinct("hashes")),
     }
     return a.select("doc_id", *keep, *(c.cast("long").alias(n) for n, c in out.items()))
@@ -90,9 +87,7 @@ def features() -> dict[str, Column]:
         "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
         "repeat_words": F.col("n_repeat_words") / words,
         "capitals": F.col("n_capitals") / chars,
-        "digits": F.col("n_digits") / chars,
         "marks_a_word": F.col("n_marks") / words,
-        "ends_a_word": F.col("n_ends") / words,
         "distinct_words": F.col("n_distinct") / words,
     }
 
@@ -178,15 +173,25 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if case is None else case.otherwise(True)
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> list[Rule]:
-    """Rules from at most `sample` labelled rows, chosen by a hash of doc_id.
-
-    The ids are chosen from the labels alone, then met with their statistics; what comes to the
-    driver are `sample` rows of numbers.
-    """
+def _labelled(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """rows of at most `sample` labelled documents, chosen by a hash of doc_id from the labels alone, with their quality."""
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(c.alias(n) for n, c in features().items())).toPandas()
+    return rows.join(F.broadcast(chosen), "doc_id")
+
+
+def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> list[Rule]:
+    """Rules from at most `sample` labelled rows of statistics; what comes to the driver are that many rows of numbers."""
+    return _learned(_labelled(stats, labels, sample), **options)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> list[Rule]:
+    """fit() for documents whose statistics aren't known yet: only the sample's are worked out."""
+    return _learned(statistics(_labelled(docs.select("doc_id", "text"), labels, sample), "quality"), **options)
+
+
+def _learned(labelled: DataFrame, **options) -> list[Rule]:
+    rows = labelled.select("doc_id", "quality", *(c.alias(n) for n, c in features().items())).toPandas()
     rows = rows.sort_values(["doc_id", *features()]).reset_index(drop=True)
     return learn({n: rows[n].to_numpy(float) for n in features()}, (rows["quality"] == 0).to_numpy(), **options)
 
