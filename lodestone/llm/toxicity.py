@@ -26,7 +26,7 @@ from lodestone.llm.common import cut, held_out, map_rows
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Cost of a word without evidence; the prior's weight in documents, or fewer if there are fewer toxic ones; standard
 #: errors taken off; the least score that is evidence; K of the extreme-value law.
-DRIFT, PRIOR, DOUBT, LEAST, K = 0.2, 100.0, 2.0, 0.3, 0.1
+DRIFT, PRIOR, DOUBT, LEAST, K = 0.2, 100.0, 2.0, 1.0, 0.1
 NOTHING = -12.0
 #: Lengths of beginnings; words whose scores a worker remembers.
 STEMS, REMEMBERED = (4, 5, 6), 500_000
