@@ -118,9 +118,9 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, label[own]
 
 
-def nearest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, each: int = 8) -> np.ndarray:
-    """Which of the pairs to keep where there are more than 4 n: those that are among the `each` nearest of an end."""
-    if len(i) <= 4 * n:
+def nearest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, each: int = 2) -> np.ndarray:
+    """Which pairs to keep where there are more than twice as many as ends: those that are among the `each` nearest of an end."""
+    if len(i) <= 2 * len(np.unique(np.r_[i, j])):
         return np.arange(len(i))
     keep = np.zeros(len(i), bool)
     for end in (i, j):
@@ -131,6 +131,15 @@ def nearest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, each: in
     return np.flatnonzero(keep)
 
 
+def first_rotation(difference: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Whether no rotation before this one has both of a pair in one subtree: a pair is found once."""
+    x = difference.view(np.uint64)
+    own = np.ones(len(x), bool)
+    for c in range(3):
+        own &= (turn <= c) | (((x >> np.uint64(48 - 16 * c)) & np.uint64(0xFFFF)) != 0)
+    return own
+
+
 def _subtree_links(budget: int, level: int, pairs: bool):
     depth = sum(LEVELS[level])
 
@@ -138,8 +147,10 @@ def _subtree_links(budget: int, level: int, pairs: bool):
         def walk(t: np.ndarray, key: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | ((key[1:] >> np.uint64(64 - depth)) != (key[:-1] >> np.uint64(64 - depth)))])
             i, j = trie_pairs(key, np.r_[starts, len(key)], depth, budget)
+            own = first_rotation(_restored(key[i], t[i], level) ^ _restored(key[j], t[j], level), (t[i] >> (2 * level)) & 3)
+            i, j = i[own], j[own]
             if pairs:
-                some = nearest(len(key), i, j, np.bitwise_count(key[i] ^ key[j]))
+                some = nearest(i, j, np.bitwise_count(key[i] ^ key[j]))
                 i, j = i[some], j[some]
             else:
                 i, j = forest(len(key), i, j)
@@ -249,13 +260,14 @@ def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3, crowded: int = 4096) -> DataFrame:
-    """Links (a, b) between text hashes of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3, crowded: int = 4096, first_tables: int = 2) -> DataFrame:
+    """Links (a, b) that join text hashes of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
 
     A shingle changes with any of its words, so at 0.8 the 64 bits over shingles already differ in
     about ten places. Candidates therefore come from `tables` independent fingerprints over the set
     of single words, which such texts share nearly all of: one within the budget is enough. Every
-    candidate is then held against the exact similarity of the shingle sets.
+    candidate is held against the exact similarity of the shingle sets, those of the first tables
+    first; of the others only those whose texts aren't joined by then.
     """
     marked = docs.select(F.xxhash64("text").alias("h"), "text")
 
@@ -270,9 +282,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     firsts = placed.groupBy("table", "fp").agg(F.min("h").alias("first"))
     links = near_links(firsts.select("table", "fp"), budget, crowded, pairs=True)
     met = links.join(firsts.select("table", F.col("fp").alias("a"), F.col("first").alias("x")), ["table", "a"])
-    met = met.join(firsts.select("table", F.col("fp").alias("b"), F.col("first").alias("y")), ["table", "b"]).select("x", "y")
-    same = placed.join(firsts, ["table", "fp"]).where("h <> first").select(F.col("first").alias("x"), F.col("h").alias("y"))
-    pairs = cut(met.unionAll(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    met = met.join(firsts.select("table", F.col("fp").alias("b"), F.col("first").alias("y")), ["table", "b"]).select("table", "x", "y")
+    same = placed.join(firsts, ["table", "fp"]).where("h <> first").select("table", F.col("first").alias("x"), F.col("h").alias("y"))
+    pairs = cut(met.unionAll(same).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("table").alias("table")))
 
     def shingles(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -281,17 +293,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     nodes = pairs.select(F.col("x").alias("h")).unionAll(pairs.select(F.col("y").alias("h"))).distinct()
     texts = marked.join(nodes, "h", "left_semi")
     sets = cut(map_rows(texts, ["h", "text"], "h long, s array<int>", shingles, 256).dropDuplicates(["h"]))
-    both = pairs.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    alike = (shared >= F.lit(similarity) * (F.size("sx") + F.size("sy") - shared)) | ((F.size("sx") == 0) & (F.size("sy") == 0))
-    return both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def alike(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
+        shared = F.size(F.array_intersect("sx", "sy"))
+        near = (shared >= F.lit(similarity) * (F.size("sx") + F.size("sy") - shared)) | ((F.size("sx") == 0) & (F.size("sy") == 0))
+        return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    # what the first tables have joined needs no further look; a large group of copies is nearly done after them
+    early = alike(pairs.where(F.col("table") < first_tables))
+    roots = cut(connected_components(early))
+    rest = pairs.where(F.col("table") >= first_tables)
+    for end in ("x", "y"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    rest = rest.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
+    return early.unionAll(alike(rest))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, **options) -> DataFrame:
     """docs with one document of each group of near copies left: the smallest doc_id, of equal ids the smallest text hash.
 
-    Groups are joined by equal texts and by near_copies(); null texts equal each other, and so do
-    texts without words. A null doc_id stays only where the group has no other; repeated rows leave
+    Groups are joined by equal texts and by near_copies(); texts without words, null ones too, are
+    one group. A null doc_id stays only where the group has no other; repeated rows leave
     one; an empty table gives none. All columns stay.
     """
     ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
