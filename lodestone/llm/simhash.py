@@ -13,12 +13,13 @@ crowded subtree whole and no pair is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, map_rows
@@ -118,19 +119,6 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, label[own]
 
 
-def nearest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, each: int = 2) -> np.ndarray:
-    """Which pairs to keep where there are more than twice as many as ends: those that are among the `each` nearest of an end."""
-    if len(i) <= 2 * len(np.unique(np.r_[i, j])):
-        return np.arange(len(i))
-    keep = np.zeros(len(i), bool)
-    for end in (i, j):
-        order = np.lexsort((distance, end))
-        first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]])
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        keep[order[rank < each]] = True
-    return np.flatnonzero(keep)
-
-
 def first_rotation(difference: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """Whether no rotation before this one has both of a pair in one subtree: a pair is found once."""
     x = difference.view(np.uint64)
@@ -149,10 +137,7 @@ def _subtree_links(budget: int, level: int, pairs: bool):
             i, j = trie_pairs(key, np.r_[starts, len(key)], depth, budget)
             own = first_rotation(_restored(key[i], t[i], level) ^ _restored(key[j], t[j], level), (t[i] >> (2 * level)) & 3)
             i, j = i[own], j[own]
-            if pairs:
-                some = nearest(i, j, np.bitwise_count(key[i] ^ key[j]))
-                i, j = i[some], j[some]
-            else:
+            if not pairs:
                 i, j = forest(len(key), i, j)
             return pd.DataFrame({"table": t[i] >> (2 * (level + 1)), "a": _restored(key[i], t[i], level), "b": _restored(key[j], t[j], level)})
 
@@ -189,8 +174,7 @@ def near_links(fps: DataFrame, budget: int = 3, crowded: int = 4096, pairs: bool
 
     By default links join exactly the fingerprints that a chain of steps of at most `budget` bits
     joins; within a task the pairs found are reduced to a spanning forest before they leave it. With
-    `pairs` they are pairs at most `budget` bits apart: all of them, or in a dense task those among
-    the nearest of one of their ends. budget: 1 to 3.
+    `pairs` they are all pairs at most `budget` bits apart. budget: 1 to 3.
     """
     if not 1 <= budget <= 3:
         raise ValueError("budget must be 1, 2 or 3")
@@ -260,54 +244,108 @@ def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3, crowded: int = 4096, first_tables: int = 2) -> DataFrame:
-    """Links (a, b) that join text hashes of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different runs of `words` words of a text as 64-bit hashes, made from its words' hashes; a shorter text is one run."""
+    each = shingle_hashes(text, 1, 42)
+    if not len(each):
+        return each
+    words = min(words, len(each))
+    out = np.zeros(len(each) - words + 1, np.uint64)
+    for k in range(words):
+        out = mixed(out + each[k : k + len(out)], k + 1)
+    return np.unique(out)
+
+
+def frequent_shingles(texts: DataFrame, words: int, sample: int = 10_000, most: int = 300_000) -> np.ndarray:
+    """Shingles of two or more different texts (h, text) of a sample, the most frequent last.
+
+    They only choose the order in which shingles are looked at: with any list the join finds the same.
+    """
+    some = texts.where(F.pmod(F.xxhash64("h"), F.lit(texts.count() // sample + 1)) == 0).dropDuplicates(["h"])
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"t": np.concatenate([np.zeros(0, np.int64), *(shingle_set(t, words).view(np.int64) for t in b["text"])])}
+
+    counts = map_rows(some, ["text"], "t long", rows, 64).groupBy("t").count().where("count > 1")
+    return counts.orderBy(F.desc("count"), "t").limit(most).toPandas()["t"].to_numpy(np.int64)[::-1].view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles, by an order common to all sets, without one of which no set is `similarity` alike.
+
+    The order is that of the hashes, then of `ranks` for those in `values` (sorted).
+    """
+    n = len(shingles)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+        shingles = shingles[np.argsort(np.where(values[at] == shingles, ranks[at] + 1, 0), kind="stable")]
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 10_000) -> DataFrame:
+    """Links (a, b) that join the same text hashes as all pairs of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
 
-    A shingle changes with any of its words, so at 0.8 the 64 bits over shingles already differ in
-    about ten places. Candidates therefore come from `tables` independent fingerprints over the set
-    of single words, which such texts share nearly all of: one within the budget is enough. Every
-    candidate is held against the exact similarity of the shingle sets, those of the first tables
-    first; of the others only those whose texts aren't joined by then.
+    Two such sets share one of the first shingles of each, a fifth of them at 0.8, in any order that is
+    common to all sets (the prefix filter): texts that share one are candidates, so no pair is lost. Rare
+    shingles come first. Every candidate is held against the exact similarity. Links only have to join,
+    so the texts of a shingle first meet one of them, then another one that is still apart, and only
+    what is still apart after that meets in all pairs.
     """
-    marked = docs.select(F.xxhash64("text").alias("h"), "text")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text")
+    order = frequent_shingles(texts, words, sample)
+    ranks = np.argsort(order)
+    values = order[ranks]
 
-    def sketch(batches: Iterator[dict]) -> Iterator[dict]:
+    def first_shingles(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, 1, 42)) for t in b["text"]]
-            yield {"h": b["h"], "fps": [[majority_bits(mixed(x, k)) for k in range(tables)] for x in sets]}
-
-    each = cut(map_rows(marked, ["h", "text"], "h long, fps array<long>", sketch, 256))
-    classes = each.groupBy("h").agg(F.first("fps").alias("fps"))  # equal texts have equal sketches
-    placed = cut(classes.select("h", F.posexplode("fps").alias("table", "fp")))
-    firsts = placed.groupBy("table", "fp").agg(F.min("h").alias("first"))
-    links = near_links(firsts.select("table", "fp"), budget, crowded, pairs=True)
-    met = links.join(firsts.select("table", F.col("fp").alias("a"), F.col("first").alias("x")), ["table", "a"])
-    met = met.join(firsts.select("table", F.col("fp").alias("b"), F.col("first").alias("y")), ["table", "b"]).select("table", "x", "y")
-    same = placed.join(firsts, ["table", "fp"]).where("h <> first").select("table", F.col("first").alias("x"), F.col("h").alias("y"))
-    pairs = cut(met.unionAll(same).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("table").alias("table")))
+            sets = [shingle_set(t, words) for t in b["text"]]
+            # texts without words share one made-up shingle
+            yield {"h": b["h"], "n": list(map(len, sets)), "t": [prefix(s, similarity, values, ranks).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in sets]}
+
+    each = cut(map_rows(texts, ["h", "text"], "h long, n int, t array<long>", first_shingles, 256))
+    classes = each.groupBy("h").agg(F.first("n").alias("n"), F.first("t").alias("t"))  # equal texts have equal sets
+    by_shingle = Window.partitionBy("t")
+    met = classes.select(F.posexplode("t").alias("p", "t"), "h", "n").select("t", "h", "n", "p")
+    met = met.withColumns({"texts": F.count("*").over(by_shingle), "one": F.min(F.struct("h", "n", "p")).over(by_shingle)})
+    shared = cut(met.where("texts > 1").drop("texts"))
+
+    def enough(n, p, n2, p2):
+        """Whether the shingles from the shared one on can be as many as the two sets must share."""
+        return F.least(n - p, n2 - p2) >= F.lit(similarity / (1 + similarity)) * (n + n2) - 1e-9
+
+    def pairs(df: DataFrame) -> DataFrame:
+        """(x, y) of each row's text and its one."""
+        ends = df.where((F.col("h") != F.col("one.h")) & enough(F.col("n"), F.col("p"), F.col("one.n"), F.col("one.p")))
+        return ends.select(F.least("h", "one.h").alias("x"), F.greatest("h", "one.h").alias("y")).distinct()
 
     def shingles(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"h": b["h"], "s": [np.unique(shingle_hashes(t, words, 42).astype(np.uint32).view(np.int32)) for t in b["text"]]}
+            yield {"h": b["h"], "s": [shingle_set(t, words).astype(np.uint32).view(np.int32) for t in b["text"]]}
 
-    nodes = pairs.select(F.col("x").alias("h")).unionAll(pairs.select(F.col("y").alias("h"))).distinct()
-    texts = marked.join(nodes, "h", "left_semi")
-    sets = cut(map_rows(texts, ["h", "text"], "h long, s array<int>", shingles, 256).dropDuplicates(["h"]))
+    nodes = shared.select("h").distinct()
+    sets = cut(map_rows(texts.join(nodes, "h", "left_semi"), ["h", "text"], "h long, s array<int>", shingles, 256).dropDuplicates(["h"]))
 
     def alike(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
-        shared = F.size(F.array_intersect("sx", "sy"))
-        near = (shared >= F.lit(similarity) * (F.size("sx") + F.size("sy") - shared)) | ((F.size("sx") == 0) & (F.size("sy") == 0))
+        common = F.size(F.array_intersect("sx", "sy"))
+        near = common + 1e-9 >= F.lit(similarity) * (F.size("sx") + F.size("sy") - common)
         return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    # what the first tables have joined needs no further look; a large group of copies is nearly done after them
-    early = alike(pairs.where(F.col("table") < first_tables))
-    roots = cut(connected_components(early))
-    rest = pairs.where(F.col("table") >= first_tables)
-    for end in ("x", "y"):
-        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    rest = rest.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
-    return early.unionAll(alike(rest))
+    def apart(df: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows of shingles whose texts links don't join to one; r names what a text is joined to."""
+        roots = cut(connected_components(links))
+        named = df.select("t", "h", "n", "p").join(roots.withColumnsRenamed({"node": "h", "root": "r"}), "h", "left").withColumn("r", F.coalesce("r", "h"))
+        several = F.min("r").over(by_shingle) != F.max("r").over(by_shingle)
+        return cut(named.withColumn("several", several).where("several").drop("several"))
+
+    links = alike(pairs(shared))
+    left = apart(shared, links)
+    some = F.min(F.struct(F.xxhash64("h", "t").alias("by"), "h", "n", "p", "r")).over(by_shingle)
+    links = cut(links.unionAll(alike(pairs(left.withColumn("one", some).where("r <> one.r")))))
+    left = apart(left, links)
+    other = left.select("t", F.struct("h", "n", "p", "r").alias("one"))
+    return links.unionAll(alike(pairs(left.join(other, "t").where("h < one.h AND r <> one.r"))))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, **options) -> DataFrame:

@@ -123,6 +123,54 @@ def test_near_copies_are_dropped(spark):
     assert {100 * k for k in range(12)} <= kept and len(kept) <= 15
 
 
+def least_of_near_copies(rows, words=5, similarity=0.8):
+    """The least id of every group of (id, text) rows that pairs of alike sets of word runs join, by all pairs."""
+    parent = {i: i for i, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append((i, {tuple(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))} if w else set()))
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if 10 * len(x & y) >= round(10 * similarity) * len(x | y):
+            a, b = sorted((top(a), top(b)))
+            parent[b] = a
+    return {top(i) for i, _ in rows}
+
+
+def kept_of(spark, rows):
+    return {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def made_up(rnd, n):
+    return ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def test_pairs_of_dense_fingerprints_are_all_found(spark):
+    rnd = random.Random(5)
+    centre = rnd.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(0, 3))) for _ in range(150)})
+    df = spark.createDataFrame([(0, f - (1 << 64) if f >> 63 else f) for f in fps], "table int, fp long")
+    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.near_links(df, pairs=True).collect()}
+    assert got == {frozenset(p) for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 3}
+
+
+def test_near_copies_in_a_dense_neighbourhood(spark):
+    rnd = random.Random(11)
+    base, rows = made_up(rnd, 120), []
+    for k in range(60):  # neighbours of neighbours: each text changes the one before or the first
+        c = list(base) if k % 3 else (rows[-1][1].split() if rows else list(base))
+        for p in rnd.sample(range(120), 2):
+            c[p] = made_up(rnd, 1)[0]
+        rows.append((k, " ".join(c)))
+    assert kept_of(spark, rows) == least_of_near_copies(rows)
+
+
 def test_drop_near_copies_odd(odd):
     got = simhash.drop_near_copies(odd)
     assert got.columns == odd.columns
