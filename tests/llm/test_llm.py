@@ -171,6 +171,20 @@ def test_near_copies_in_a_dense_neighbourhood(spark):
     assert kept_of(spark, rows) == least_of_near_copies(rows)
 
 
+def test_near_copies_beside_other_orders_of_their_words(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(6):
+        base = made_up(rnd, 200)
+        for j in range(8):  # eight orders of the same words, each with a near copy of the same words
+            c = rnd.sample(base, 200)
+            rows.append((100 * k + 2 * j, " ".join(c)))
+            c[50], c[51] = c[51], c[50]
+            rows.append((100 * k + 2 * j + 1, " ".join(c)))
+    want = least_of_near_copies(rows)
+    assert len(want) == 48 and kept_of(spark, rows) == want
+
+
 def test_drop_near_copies_odd(odd):
     got = simhash.drop_near_copies(odd)
     assert got.columns == odd.columns
