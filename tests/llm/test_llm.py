@@ -185,6 +185,23 @@ def test_near_copies_beside_other_orders_of_their_words(spark):
     assert len(want) == 48 and kept_of(spark, rows) == want
 
 
+def test_near_copies_with_a_passage_more_or_other(spark):
+    rnd = random.Random(13)
+    rows = []
+    for k in range(20):
+        base = made_up(rnd, 204)
+        at = rnd.randrange(204)
+        for j, c in enumerate((base, base + made_up(rnd, 50), base[:at] + made_up(rnd, 40) + base[at:], base[:184] + made_up(rnd, 20), base[38:], base + made_up(rnd, 60))):
+            rows.append((10 * k + j, " ".join(c)))
+    want = least_of_near_copies(rows)
+    assert 20 <= len(want) <= 40 and kept_of(spark, rows) == want
+
+
+def test_near_copies_of_the_documents(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert kept_of(spark, rows) == least_of_near_copies(rows)
+
+
 def test_drop_near_copies_odd(odd):
     got = simhash.drop_near_copies(odd)
     assert got.columns == odd.columns
