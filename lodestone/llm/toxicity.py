@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segment search.
 
-Every word of a text has a score, where it comes first: the log-odds of documents with it being toxic, under a Dirichlet prior that
-draws rare words to the corpus's own shares, less two standard errors; words without evidence and
-repeated ones cost a little. One linear scan finds all maximal-scoring segments of a text. A segment's score is judged by
+Every word of a text has a score, wherever it comes: the log-odds of documents with it being toxic, under a Dirichlet prior that
+draws rare words to the corpus's own shares, less two standard errors; words without evidence
+cost a little. One linear scan finds all maximal-scoring segments of a text. A segment's score is judged by
 the extreme-value law for such maxima: in a text of n words, segments of score S or more turn up by
 chance E = K n exp(-lambda S) times. What significant segments exceed chance by adds up over the text,
 and a logistic curve fitted to labelled texts turns that into a probability.
@@ -99,8 +99,7 @@ class Model:
     shift: float = 0.0
 
     def segments(self, ws: list[str], scores: WordScores) -> list[Segment]:
-        seen: set[str] = set()
-        places = [i for i, w in enumerate(ws) if scores[w] and not (w in seen or seen.add(w))]
+        places = [i for i, w in enumerate(ws) if scores[w]]
         out = maximal_segments(places, [scores[ws[i]] for i in places])
         for s in out:
             s.expected = K * len(ws) * math.exp(-self.rate * s.score)
@@ -165,7 +164,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model | None:
     """A model from at most `per_class` labelled documents of each class, chosen by a hash of doc_id.
 
-    Held-out rows are never used. Words count once a document; only those in three or more of the
+    Held-out rows are never used. Words count once a document, for lambda as often as clean ones use them; only those in three or more of the
     sample's documents (two, if the sample has fewer than 300 toxic ones) reach the driver. Each
     labelled text is scored for the curve as if its own words had not been counted. Without labels of
     both classes there is no model.
@@ -178,26 +177,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model | No
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            each = {0: Counter(), 1: Counter()}
+            each, uses = {0: Counter(), 1: Counter()}, Counter()
             for t, y in zip(b["text"], b["toxic"]):
                 found = words(t)
                 each[y].update({f for w in set(found) for f in features(w)})
                 each[y][""] += len(found)  # no word: how long texts are
+                if not y:
+                    for w, n in Counter(found).items():
+                        for f in features(w):
+                            uses[f] += n
             ws = list(each[0].keys() | each[1].keys())
-            yield {"word": ws, "toxic": [each[1][w] for w in ws], "clean": [each[0][w] for w in ws]}
+            yield {"word": ws, "toxic": [each[1][w] for w in ws], "clean": [each[0][w] for w in ws], "uses": [uses[w] for w in ws]}
 
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return None
     least = 3 if n1 >= 300 else 2
-    counts = map_rows(sample, ["text", "toxic"], "word string, toxic long, clean long", count, 256)
-    table = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= 1) & (F.col("toxic") + F.col("clean") >= least)).toPandas()
-    length = table.loc[table["word"] == "", "clean"].sum() / n0
+    counts = map_rows(sample, ["text", "toxic"], "word string, toxic long, clean long, uses long", count, 256)
+    table = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("uses").alias("uses")).where((F.col("toxic") >= 1) & (F.col("toxic") + F.col("clean") >= least)).toPandas()
+    length = table.loc[table["word"] == "", "clean"].sum()
     table = table[table["word"] != ""].sort_values("word")
-    t, c = table["toxic"].to_numpy(float), table["clean"].to_numpy(float)
+    t, c, uses = (table[x].to_numpy(float) for x in ("toxic", "clean", "uses"))
     w = weight(t, c, n1, n0)
-    model = Model({x: float(v) for x, v in zip(table["word"], w) if v > 0}, _rate(w[w > 0], c[w > 0] / n0 / max(length, 1.0)))
+    model = Model({x: float(v) for x, v in zip(table["word"], w) if v > 0}, _rate(w[w > 0], uses[w > 0] / max(length, 1.0)))
     less_toxic = {x: float(v) for x, v in zip(table["word"], weight(t - 1, c, n1 - 1, n0)) if v > 0}
     less_clean = {x: float(v) for x, v in zip(table["word"], weight(t, c - 1, n1, n0 - 1)) if v > 0}
 

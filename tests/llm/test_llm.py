@@ -388,6 +388,14 @@ def test_toxicity(spark, odd):
     assert toxicity.keep_clean(odd, model).columns == odd.columns
 
 
+def test_later_toxic_passages_count_in_full():
+    model = toxicity.Model({"vile": 3.0, "foul": 3.0, "nasty": 3.0}, rate=2.0)
+    scores, plain = toxicity.WordScores(model.weights), ["calm"] * 100
+    ws = ["vile", *plain, "foul", *plain, "nasty", *plain, "vile", "foul", "nasty", *plain, "foul", "nasty", "vile"]
+    found = [(s.start, s.end, s.score) for s in model.segments(ws, scores)]
+    assert found == [(0, 1, 3.0), (101, 102, 3.0), (202, 203, 3.0), (303, 306, pytest.approx(9.0)), (406, 409, pytest.approx(9.0))]
+
+
 def test_nbest_is_exact():
     at = pieces.lattice(PIECES)
     rnd = random.Random(2)
