@@ -30,13 +30,18 @@ from pyspark.sql import DataFrame
 from lodestone.llm.common import map_rows
 
 REMEMBERED = 200_000
-#: Documents whose words are looked up together.
-GROUP = 2048
+#: Documents whose words are looked up together, and whose results leave together.
+GROUP, RESULTS = 2048, 128
+#: Words whose further segmentations a worker remembers.
+OPENED = 5000
 _WORDS = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n")
 MARK = "▁"
 #: For marks in a text itself; no valid text has a lone surrogate.
 STAND_IN = "\ud800"
 
+#: Of a word: ids of the best segmentation as bytes, their number, its score, and the losses of the next ones.
+Found = tuple[bytes, int, float, tuple[float, ...]]
+
 
 class Lattice:
     """Pieces of a SentencePiece model file with their scores; bytes stand in for what has no piece."""
@@ -67,7 +72,8 @@ class Lattice:
         self.texts = [chr(self.values[i]) if self.values.get(i, 128) < 128 else n.replace(MARK, " ") for i, n in enumerate(self.names)]
         self.joint = np.array([self.values.get(i, 0) >= 128 for i in range(size)])
         self.byte_score = min(s for _, s in self.scores.values()) - byte_penalty
-        self.known: dict[str, tuple[bytes, int, float, tuple[float, ...]]] = {}
+        self.known: dict[str, Found] = {}
+        self.opened: dict[tuple[str, int], list[bytes]] = {}
 
     def extend(self, word: str, shared: int, best: list[float], edges: list[list[tuple[int, float, tuple[int, ...]]]]) -> None:
         """Brings best (the best score of any path up to each place) and edges ((start, score, ids) that end there) to word.
@@ -136,8 +142,8 @@ class Lattice:
             return _WORDS.findall(marked)
         return [MARK + w for w in marked[1:].split(MARK)]
 
-    def _words(self, words: list[str], n: int) -> dict[str, tuple[bytes, int, float, tuple[float, ...]]]:
-        """For each word: ids of the best as bytes, their number, its score, and the losses of the next ones."""
+    def _words(self, words: list[str], n: int) -> dict[str, Found]:
+        """The n best of each word."""
         out = {}
         best, edges, last = [0.0], [[]], ""
         for word in sorted(words):
@@ -156,24 +162,47 @@ class Lattice:
             out[word] = array("I", ids).tobytes(), len(ids), top, tuple([top - s for s, _ in found[1:]])
         return out
 
-    def _word(self, word: str, n: int) -> tuple[bytes, int, float, tuple[float, ...]]:
+    def _word(self, word: str, n: int) -> Found:
         return self._words([word], n)[word]
 
-    def _spelled(self, word: str, n: int) -> tuple[bytes, int, float, tuple[float, ...]]:
+    def _spelled(self, word: str, n: int) -> Found:
         """A word with marks of its own: its parts' lattices in a chain, the marks in bytes."""
-        ids, size, score, losses = [], 0, 0.0, [0.0]
+        chain = self._chain(word, n)
+        choices = least_choices([(i, f[3]) for i, (_, f) in enumerate(chain) if f[3]], n)
+        return b"".join(f[0] for _, f in chain), sum(f[1] for _, f in chain), sum(f[2] for _, f in chain), tuple([x for x, _ in choices[1:]])
+
+    def _chain(self, word: str, n: int) -> list[tuple[str, Found]]:
+        mark = np.array([self.bytes[b] for b in MARK.encode()], "<u4").tobytes()
+        out: list[tuple[str, Found]] = []
         for k, part in enumerate(word.split(STAND_IN)):
             if k:
-                ids.append(np.array([self.bytes[b] for b in MARK.encode()], "<u4").tobytes())
-                size, score = size + 3, score + 3 * self.byte_score
+                out.append((STAND_IN, (mark, 3, 3 * self.byte_score, ())))
             if part:
-                b, m, s, more = self._word(part, n)
-                ids.append(b)
-                size, score = size + m, score + s
-                losses = sorted(x + y for x in losses for y in (0.0, *more))[:n]
-        return b"".join(ids), size, score, tuple(losses[1:])
+                out.append((part, self._word(part, n)))
+        return out
+
+    def others(self, word: str, n: int) -> list[bytes]:
+        """Ids of the segmentations of a word after the best, in the order of their losses."""
+        out = self.opened.get((word, n))
+        if out is None:
+            if STAND_IN in word:
+                out = self.nbest_ids(self._chain(word, n), n)[0][1:]
+            else:
+                out = [array("I", ids).tobytes() for _, ids in self.nbest(word, n)[1:]]
+            if len(self.opened) >= OPENED:
+                self.opened.clear()
+            self.opened[word, n] = out
+        return out
 
-    def _known(self, words: list[str], n: int) -> list[tuple[bytes, int, float, tuple[float, ...]]]:
+    def nbest_ids(self, chain: list[tuple[str, Found]], n: int) -> tuple[list[bytes], list[float]]:
+        """Ids and scores of the n best of a chain of words."""
+        total = sum(f[2] for _, f in chain)
+        choices = least_choices([(k, f[3]) for k, (_, f) in enumerate(chain) if f[3]], n)
+        starts = np.cumsum([0, *(f[1] for _, f in chain)]).tolist()
+        best = b"".join(f[0] for _, f in chain)
+        return [replaced(best, [(starts[k], chain[k][1][1], self.others(chain[k][0], n)[r - 1]) for k, r in c.items()]) for _, c in choices], [total - x for x, _ in choices]
+
+    def _known(self, words: list[str], n: int) -> list[Found]:
         found = list(map(self.known.get, words))
         new = self._words([w for w, f in zip(words, found) if f is None], n)
         if len(self.known) < REMEMBERED:  # frequent words come first, so what is full is what's wanted
@@ -184,7 +213,11 @@ class Lattice:
         return bool(t) and t[0] not in self.marks + " " and t[-1] != " " and not ("  " in t or " \n" in t or "\n " in t or MARK in t or any(" " + m in t for m in self.marks))
 
     def encode(self, texts: list[str], n: int) -> list[tuple[bytes, int, list[float]]]:
-        """For each text: ids of the best segmentation as 32-bit numbers, how many, and the n best scores.
+        """For each text: ids of the best segmentation as 32-bit numbers, how many, and the n best scores."""
+        return [(ids[0], len(ids[0]) // 4, scores) for ids, scores in self.encode_nbest(texts, n)]
+
+    def encode_nbest(self, texts: list[str], n: int) -> list[tuple[list[bytes], list[float]]]:
+        """For each text: ids of the n best segmentations as 32-bit numbers, best first, and their scores.
 
         Words of plain texts are told apart by Arrow, so that only different ones are looked up, and NumPy
         lays their ids out; the others are divided one by one.
@@ -194,9 +227,7 @@ class Lattice:
         for i in set(range(len(texts))).difference(plain):
             ws = self.split(texts[i])
             found = dict(zip(dict.fromkeys(ws), self._known(list(dict.fromkeys(ws)), n)))
-            each = [found[w] for w in ws]
-            total = sum(f[2] for f in each)
-            out[i] = (b"".join(f[0] for f in each), sum(f[1] for f in each), [total - x for x in least_losses([f[3] for f in each if f[3]], n)])
+            out[i] = self.nbest_ids([(w, found[w]) for w in ws], n)
         if not plain:
             return out
         # a line feed, and a mark behind a letter, starts a word of its own, which has no mark of a word's start
@@ -207,7 +238,8 @@ class Lattice:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         codes, bare = coded.indices.to_numpy(), self.marks + "\n"
-        found = self._known([w if w and w[0] in bare else MARK + w for w in coded.dictionary.to_pylist()], n)
+        ws = [w if w and w[0] in bare else MARK + w for w in coded.dictionary.to_pylist()]
+        found = self._known(ws, n)
         sizes = np.fromiter((f[1] for f in found), np.int64, len(found))
         scores = np.fromiter((f[2] for f in found), float, len(found))
         second = np.fromiter((f[3][0] if f[3] else np.inf for f in found), float, len(found))
@@ -219,9 +251,10 @@ class Lattice:
         place = 0
         for i, a, b, total, count in zip(plain, bounds.tolist(), bounds[1:].tolist(), totals.tolist(), counts.tolist()):
             here = codes[a:b]
-            few = here if len(here) < n else here[np.argpartition(second[here], n - 2)[: n - 1]]
-            losses = least_losses([found[c][3] for c in few.tolist() if found[c][3]], n)
-            out[i] = (ids[place : place + count].tobytes(), count, [total - x for x in losses])
+            few = range(len(here)) if len(here) < n else np.argpartition(second[here], n - 2)[: n - 1].tolist() if n > 1 else []
+            choices = least_choices([(a + k, found[here[k]][3]) for k in few if found[here[k]][3]], n)
+            best = ids[place : place + count].tobytes()
+            out[i] = [replaced(best, [(int(ends[k] - each[k]) - place, int(each[k]), self.others(ws[codes[k]], n)[r - 1]) for k, r in c.items()]) for _, c in choices], [total - x for x, _ in choices]
             place += count
         return out
 
@@ -244,31 +277,41 @@ class Lattice:
         return "".join(out)[1:]
 
 
-def least_losses(losses: list[tuple[float, ...]], n: int) -> list[float]:
-    """The n least sums of one loss from each word, 0 being every word's first.
+def least_choices(losses: list[tuple[int, tuple[float, ...]]], n: int) -> list[tuple[float, dict[int, int]]]:
+    """The n least sums of one loss from each of the words (place, losses of its second, third, ... best), 0 being every word's first.
 
-    Only the n - 1 words with the least second losses can matter.
+    Each with the words it takes another than the best of: place -> 1 for the second best, 2 for the
+    third. Only the n - 1 words with the least second losses can matter.
     """
-    if n < 2 or not losses:
-        return [0.0]
-    words = heapq.nsmallest(n - 1, losses)
-    sums = [0.0]
-    for w in words:
-        sums = heapq.nsmallest(n, (a + b for a in sums for b in (0.0, *w)))
+    sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+    if n < 2:
+        return sums
+    for place, more in heapq.nsmallest(n - 1, losses, key=lambda x: x[1]):
+        sums = heapq.nsmallest(n, [*sums, *((x + y, {**c, place: r}) for x, c in sums for r, y in enumerate(more, 1))], key=lambda x: x[0])
     return sums
 
 
+def replaced(best: bytes, words: list[tuple[int, int, bytes]]) -> bytes:
+    """Ids of a text with those of some words, (start, size, ids), replaced by others."""
+    out, last = [], 0
+    for start, size, ids in sorted(words):
+        out += best[4 * last : 4 * start], ids
+        last = start + size
+    return b"".join([*out, best[4 * last :]])
+
+
 @lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
 def encode_documents(docs: DataFrame, model: str, nbest: int = 3) -> DataFrame:
-    """(doc_id, n_pieces, ids, scores, ids_crc32, round_trip) for every row of docs.
+    """(doc_id, n_pieces, ids, scores, ids_crc32, round_trip, other_ids, nbest_crc32) for every row of docs.
 
     ids are the best segmentation's, scores the `nbest` best ones' in falling order (fewer, if there
     are no more), ids_crc32 the unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers,
-    round_trip whether decoding ids gives the text back. Null texts are empty: no ids, one score of 0.
+    round_trip whether decoding ids gives the text back; other_ids are the ids of the segmentations
+    after the best, in the order of scores, nbest_crc32 the CRC-32 of each, the best's first. Null texts are empty: no ids, one score of 0.
     Null ids and repeated rows stay; other columns are ignored; an empty table gives no rows. No
     shuffle.
     """
@@ -279,16 +322,22 @@ def encode_documents(docs: DataFrame, model: str, nbest: int = 3) -> DataFrame:
             texts = [t or "" for t in b["text"]]
             gc.disable()  # the memory of words has no cycles, and to search it for some costs more than the words
             try:
-                found = at.encode(texts, nbest)
+                found = at.encode_nbest(texts, nbest)
             finally:
                 gc.enable()
-            ids = [np.frombuffer(f[0], "<u4").astype("i4") for f in found]
-            yield {
-                "doc_id": b["doc_id"], "n_pieces": [f[1] for f in found], "ids": ids, "scores": [f[2] for f in found],
-                "ids_crc32": [zlib.crc32(f[0]) for f in found], "round_trip": [at.decode(i) == t for i, t in zip(ids, texts)],
-            }
-
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_pieces long, ids array<int>, scores array<double>, ids_crc32 long, round_trip boolean", rows, GROUP)
+            for k in range(0, len(texts), RESULTS):  # several lists of ids a text: fewer texts at once
+                part = found[k : k + RESULTS]
+                found[k : k + RESULTS] = [None] * len(part)
+                ids = [[np.frombuffer(i, "<i4") for i in f[0]] for f in part]
+                crcs = [list(map(zlib.crc32, f[0])) for f in part]
+                yield {
+                    "doc_id": b["doc_id"][k : k + RESULTS], "n_pieces": [len(i[0]) for i in ids], "ids": [i[0] for i in ids], "scores": [f[1] for f in part],
+                    "ids_crc32": [c[0] for c in crcs], "round_trip": [at.decode(i[0]) == t for i, t in zip(ids, texts[k:])],
+                    "other_ids": [i[1:] for i in ids], "nbest_crc32": crcs,
+                }
+
+    schema = "doc_id long, n_pieces long, ids array<int>, scores array<double>, ids_crc32 long, round_trip boolean, other_ids array<array<int>>, nbest_crc32 array<long>"
+    return map_rows(docs, ["doc_id", "text"], schema, rows, GROUP)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:

@@ -44,7 +44,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), nbest=3)
-    return coded.select("doc_id", "n_pieces", "scores", "ids_crc32", "round_trip")
+    return coded.select("doc_id", "n_pieces", "scores", "ids_crc32", "round_trip", "nbest_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

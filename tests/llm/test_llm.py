@@ -430,6 +430,21 @@ def test_piece_round_trip(docs, odd):
         assert sorted((r.text for r in pieces.decode_documents(enc, PIECES).collect())) == sorted(r.text or "" for r in df.collect())
 
 
+def test_every_one_of_the_n_best_has_its_ids(spark, odd):
+    at = pieces.lattice(PIECES)
+    score = {i: s for i, s in at.scores.values()}
+    rnd = random.Random(8)
+    parts = [" ", "\n", "▁", "a", "the", "é", "漢", "hello", "singing", ".", ","]
+    texts = ["hello there singing", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 6))) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in [*pieces.encode_documents(df, PIECES, nbest=4).collect(), *pieces.encode_documents(odd, PIECES).collect()]:
+        every = [r.ids, *r.other_ids]
+        assert len(every) == len(r.scores) == len(r.nbest_crc32) == len(set(map(tuple, every)))
+        assert r.nbest_crc32 == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in every] and r.nbest_crc32[0] == r.ids_crc32
+        assert np.allclose([sum(score.get(x, at.byte_score) for x in i) for i in every], r.scores)
+        assert len({at.decode(np.array(i, "i4")) for i in every}) == 1
+
+
 def test_token_files(spark, docs, odd, tmp_path):
     from tokenizers import Tokenizer
 
