@@ -112,3 +112,13 @@ def chain_prediction(logits: Column) -> Column:
 def padded(a: Column, n: int, fill: Column) -> Column:
     """The first n values, filled up to n."""
     return F.concat(F.slice(a, 1, n), F.array_repeat(fill, F.greatest(F.lit(n) - F.size(a), F.lit(0))))
+
+
+def range_of(bounds: list, value: Column) -> Column:
+    """How many of the sorted bounds are not above value, by binary search; 0 for a null."""
+    if not bounds:
+        return F.lit(0)
+    kind = "bigint" if all(isinstance(b, int) for b in bounds) else "double"
+    every = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>")  # a constant
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(every, at + step - 1) <= value, at + step).otherwise(at))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.metrics import cells, item_metrics
+from lodestone.operators.metrics import CLASSES, item_metrics, position_kappa
+from lodestone.operators.ordering import running
 
 
 def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
@@ -14,32 +15,62 @@ def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
-def draws(clusters: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, key, weight): how often each replicate draws each cluster; replicates * clusters draws in all.
+def _drawn(clusters: DataFrame, key: str, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(replicate, place), a row a draw, and (key, place), a row a cluster.
 
-    Clusters get places in one pass over one row a cluster; the draws are generated where the
-    replicates are, and only their counts are shuffled.
+    Places come from running counts over ranges of a numeric key. Draws are made from a range of
+    numbers that Spark deals out, replicates * clusters in all.
     """
-    placed = clusters.select(key).distinct().withColumn("place", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("long"))
-    size = placed.agg(F.count("*").alias("size"))
-    reps = clusters.sparkSession.range(replicates).select(F.col("id").alias("replicate")).join(F.broadcast(size))  # one row
-    each = reps.select("replicate", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("j"))
-    counts = each.groupBy("replicate", draw(seed, F.col("replicate"), F.col("j"), F.col("size")).alias("place")).agg(F.count("*").alias("weight"))
-    return counts.join(placed, "place").select("replicate", key, "weight")
+    one = clusters.select(key).distinct().withColumn("_one", F.lit(1).cast("long"))
+    placed = running(one, key, {"place": "_one"}).select(key, (F.col("place") - 1).alias("place"))
+    n = one.count()
+    numbers = clusters.sparkSession.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("j"))
+    return numbers.select("replicate", draw(seed, F.col("replicate"), F.col("j"), F.lit(n)).alias("place")), placed
 
 
-def replicate_metrics(df: DataFrame, key: str, preds: list[str], replicates: int, seed: int = 42) -> DataFrame:
+def draws(clusters: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """(replicate, key, weight): how often each replicate draws each cluster, with replacement, as many as there are."""
+    drawn, placed = _drawn(clusters, key, replicates, seed)
+    return drawn.groupBy("replicate", "place").agg(F.count("*").alias("weight")).join(placed, "place").select("replicate", key, "weight")
+
+
+def _replicated(vectors: DataFrame, key: str, names: list[str], replicates: int, seed: int) -> DataFrame:
+    """A row a cluster with numbers `names` -> a row a replicate with their sums over its draws.
+
+    A draw meets its cluster's row, which Spark broadcasts or sorts by what it measures, and is summed
+    up where it is: what is shuffled after that is a row a replicate and task.
+    """
+    drawn, placed = _drawn(vectors, key, replicates, seed)
+    return drawn.join(vectors.join(placed, key).select("place", *names), "place").groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def replicate_metrics(df: DataFrame, key: str, preds: list[str], replicates: int = 2000, seed: int = 42, classes: int = CLASSES) -> DataFrame:
     """(replicate, run, metrics...): every run under the same draws.
 
-    Rows become confusion cells of a cluster first; a replicate is a weighted sum of those cells. A run
-    is a prediction column; rows without one of the predictions are left out of all runs.
+    Rows become confusion cells of a cluster first, side by side in one row; a replicate is the sum of
+    the rows it draws. A run is a prediction column; rows without one of the predictions are left out
+    of all runs.
+    """
+    whole = df.dropna(subset=[*preds])
+    grid = {f"{run}_{y}_{p}": (run, y, p) for run in preds for y in range(classes) for p in range(classes)}
+    vectors = whole.groupBy(key).agg(*(F.count_if((F.col("label") == y) & (F.col(run) == p)).alias(n) for n, (run, y, p) in grid.items()))
+    summed = _replicated(vectors, key, list(grid), replicates, seed)
+    cell = F.explode(F.array(*(F.struct(F.lit(run).alias("run"), F.lit(y).alias("y"), F.lit(p).alias("p"), F.col(n).alias("n")) for n, (run, y, p) in grid.items())))
+    return item_metrics(summed.select("replicate", cell.alias("c")).select("replicate", "c.*").where("n > 0"), ["replicate", "run"], classes)
+
+
+def replicate_totals(df: DataFrame, key: str, preds: list[str], replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """(replicate, run, total_qwk): kappa of participants' totals, a total counting by its place among those a replicate has.
+
+    Rows without one of the predictions are left out of all runs.
     """
     whole = df.dropna(subset=[*preds])
-    long = whole.unpivot([key, "label"], preds, "run", "prediction")
-    c = cells(long, [key, "run"])
-    w = draws(whole, key, replicates, seed)
-    summed = c.join(w, key).groupBy("replicate", "run", "y", "p").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
-    return item_metrics(summed, ["replicate", "run"])
+    sums = whole.groupBy(key).agg(F.sum("label").alias("true_total"), *(F.sum(p).alias(p) for p in preds))
+    drawn, placed = _drawn(sums, key, replicates, seed)
+    runs = F.explode(F.array(*(F.struct(F.lit(p).alias("run"), F.col(p).alias("pred_total")) for p in preds)))
+    each = drawn.join(sums.join(placed, key), "place").groupBy("replicate", "true_total", *preds).agg(F.count("*").alias("n"))
+    long = each.select("replicate", "true_total", "n", runs.alias("r")).groupBy("replicate", "r.run", "true_total", "r.pred_total").agg(F.sum("n").alias("n"))
+    return position_kappa(long, ["replicate", "run"], weight="n")
 
 
 def intervals(reps: DataFrame, metrics: list[str], by: list[str] = ["run"]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordering import running
+
 CLASSES = 4
 
 
@@ -103,13 +105,13 @@ def totals(df: DataFrame, key: str = "participant_id", complete: int | None = No
     return t.where(F.col("n_items") == complete) if complete else t
 
 
-def position_kappa(t: DataFrame, by: list[str] = [], a: str = "true_total", b: str = "pred_total") -> DataFrame:
-    """Weighted kappa in which a value counts by its place among the values that occur on either side."""
+def position_kappa(t: DataFrame, by: list[str] = [], a: str = "true_total", b: str = "pred_total", weight: str | None = None) -> DataFrame:
+    """Weighted kappa in which a value counts by its place among the values that occur on either side; rows may stand for `weight` ones."""
     seen = t.select(*by, F.explode(F.array(a, b)).alias("v")).distinct()
     place = seen.withColumn("k", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy("v")) - 1)  # one row a distinct total
     y = place.select(*by, F.col("v").alias(a), F.col("k").alias("y"))
     p = place.select(*by, F.col("v").alias(b), F.col("k").alias("p"))
-    c = t.groupBy(*by, a, b).agg(F.count("*").alias("n")).join(y, [*by, a]).join(p, [*by, b])
+    c = t.groupBy(*by, a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n")).join(y, [*by, a]).join(p, [*by, b])
     return c.groupBy(*by).agg(kappa().alias("total_qwk"))
 
 
@@ -164,21 +166,17 @@ def binary_metrics(t: DataFrame, thresholds: list[int], truth: str = "true_total
 
 
 def roc_points(df: DataFrame, truth: Column, score: str) -> DataFrame:
-    """(score, tp, fp, pos, neg) at every distinct score, falling. Works on one row a distinct score."""
+    """(score, a, b, tp, fp, pos, neg) at every distinct score: true and false rows at it, at or above it, and in all."""
     g = df.groupBy(F.col(score).alias("score")).agg(F.sum(truth.cast("long")).alias("a"), F.sum((~truth).cast("long")).alias("b"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return g.select("score", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp"), F.sum("a").over(whole).alias("pos"), F.sum("b").over(whole).alias("neg"))
+    whole = g.agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))  # one row
+    return running(g, "score", {"tp": "a", "fp": "b"}, descending=True).join(F.broadcast(whole))
 
 
 def ranking_quality(points: DataFrame) -> DataFrame:
     """Area under the ROC curve by trapezoids, and average precision by steps."""
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0))
-    step = points.withColumns({"tp0": before("tp"), "fp0": before("fp")})
-    auc = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0 / F.col("pos") / F.col("neg"))
-    ap = F.sum((F.col("tp") - F.col("tp0")) / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return step.agg(auc.alias("auroc"), ap.alias("average_precision"))
+    auc = F.sum(F.col("b") * (2 * F.col("tp") - F.col("a")) / 2.0 / F.col("pos") / F.col("neg"))
+    ap = F.sum(F.col("a") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return points.agg(auc.alias("auroc"), ap.alias("average_precision"))
 
 
 def tuned_threshold(points: DataFrame, least_sensitivity: float = 0.85) -> DataFrame:
@@ -207,8 +205,8 @@ def risk_coverage(df: DataFrame, confidence: str, correct: Column, order: str, c
     `order`, so no task sorts the table.
     """
     by_value = df.groupBy(F.col(confidence).alias("v")).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("good"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("v"))
-    run = by_value.select("v", "n", (F.sum("n").over(down) - F.col("n")).alias("above"), (F.sum("good").over(down) - F.col("good")).alias("good_above"))
+    run = running(by_value, "v", {"to": "n", "good_to": "good"}, descending=True)
+    run = run.select("v", "n", (F.col("to") - F.col("n")).alias("above"), (F.col("good_to") - F.col("good")).alias("good_above"))
     size = by_value.agg(F.sum("n").alias("size"))
     cuts = run.join(F.broadcast(size)).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("keep", F.floor(F.col("coverage") * F.col("size") + 1e-9))
     cuts = cuts.where((F.col("above") < F.col("keep")) & (F.col("keep") <= F.col("above") + F.col("n")))

@@ -13,7 +13,7 @@ def _weights(m: int, a: int, b: int, lift: int) -> str:
     return ", ".join(f"CAST(1 + (o_orderkey * {a + c} + v * {b + c}) % {m + c} + CASE WHEN (o_orderkey * 7 + v) % 4 = {c} THEN {lift} ELSE 0 END AS DOUBLE) AS {'ab'[m > 7]}{c}" for c in range(4))
 
 
-#: Rated items: eight at most a participant, two models' probabilities, an evidence status, a share of difficult votes.
+#: Rated items, every order one: eight orders in turn are a participant's; two models' probabilities, an evidence status, a share of difficult votes.
 PREDS = f"""
 SELECT participant_id, item_id, fold, label, status, difficult_frac, self_score,
   a0 / (a0 + a1 + a2 + a3) AS l0, a1 / (a0 + a1 + a2 + a3) AS l1, a2 / (a0 + a1 + a2 + a3) AS l2, a3 / (a0 + a1 + a2 + a3) AS l3,
@@ -21,15 +21,15 @@ SELECT participant_id, item_id, fold, label, status, difficult_frac, self_score,
   CASE WHEN a0 >= a1 AND a0 >= a2 AND a0 >= a3 THEN 0 WHEN a1 >= a2 AND a1 >= a3 THEN 1 WHEN a2 >= a3 THEN 2 ELSE 3 END AS llm_pred,
   CASE WHEN b0 >= b1 AND b0 >= b2 AND b0 >= b3 THEN 0 WHEN b1 >= b2 AND b1 >= b3 THEN 1 WHEN b2 >= b3 THEN 2 ELSE 3 END AS encoder_pred
 FROM (
-  SELECT CAST(o_custkey AS BIGINT) AS participant_id, CAST(item_id AS INT) AS item_id, CAST(o_custkey % 5 + 1 AS INT) AS fold,
+  SELECT participant_id, item_id, CAST(participant_id % 5 + 1 AS INT) AS fold,
     CAST((o_orderkey * 7 + v) % 4 AS INT) AS label,
     CASE (o_orderkey * 5 + v) % 7 WHEN 0 THEN 'supports' WHEN 1 THEN 'supports' WHEN 2 THEN 'against' WHEN 3 THEN 'ambiguous' ELSE 'none' END AS status,
     CAST((o_orderkey * 11 + v) % 10 AS DOUBLE) / 10 AS difficult_frac, CAST((o_orderkey * 3 + v) % 5 - 1 AS INT) AS self_score,
     {_weights(7, 3, 1, 5)}, {_weights(11, 5, 2, 7)}
   FROM (
-    SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS item_id
+    SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v, CAST(floor(o_orderkey / 8) AS BIGINT) AS participant_id, CAST(o_orderkey % 8 + 1 AS INT) AS item_id
     FROM orders
-  ) AS numbered WHERE item_id <= 8
+  ) AS numbered
 ) AS weighed
 """
 

@@ -616,41 +616,61 @@ def leaderboard(spark, d):
 # ---------------------------------------------------------------- resampling
 
 SQL_DRAWS = """
-clusters AS (SELECT participant_id, row_number() OVER (ORDER BY participant_id) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT participant_id FROM some_preds)),
-draws AS (SELECT b AS replicate, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % size AS place FROM range(100) r(b), (SELECT place AS j, size FROM clusters)),
+clusters AS (SELECT participant_id, row_number() OVER (ORDER BY participant_id) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT participant_id FROM preds)),
+draws AS (SELECT b AS replicate, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % size AS place FROM range(2000) r(b), (SELECT place AS j, size FROM clusters)),
 weights AS (SELECT replicate, participant_id, count(*) AS weight FROM draws JOIN clusters USING (place) GROUP BY ALL)"""
-SOME = "some_preds AS (SELECT * FROM preds WHERE participant_id <= 200)"
 
 
-@query(f"WITH {SOME}, {SQL_DRAWS} SELECT replicate, count(*) AS clusters, CAST(sum(weight) AS BIGINT) AS draws, CAST(sum(weight * participant_id) AS BIGINT) AS checksum FROM weights GROUP BY replicate")
+@query(f"WITH {SQL_DRAWS} SELECT replicate, count(*) AS clusters, CAST(sum(weight) AS BIGINT) AS draws, CAST(sum(weight * participant_id) AS BIGINT) AS checksum FROM weights GROUP BY replicate")
 def bootstrap_draws(spark, d):
-    p = base(spark, d, "preds").where("participant_id <= 200")
-    return inference.draws(p, "participant_id", 100).groupBy("replicate").agg(F.count("*").alias("clusters"), F.sum("weight").alias("draws"), F.sum(F.col("weight") * F.col("participant_id")).alias("checksum"))
+    p = base(spark, d, "preds")
+    return inference.draws(p, "participant_id").groupBy("replicate").agg(F.count("*").alias("clusters"), F.sum("weight").alias("draws"), F.sum(F.col("weight") * F.col("participant_id")).alias("checksum"))
 
 
-SQL_BOOT = f"""{SOME}, {SQL_DRAWS},
-drawn AS (SELECT w.replicate, 'encoder_pred' AS run, label AS y, encoder_pred AS p FROM weights w JOIN some_preds USING (participant_id), LATERAL (SELECT unnest(range(w.weight)))
-  UNION ALL SELECT w.replicate, 'llm_pred', label, llm_pred FROM weights w JOIN some_preds USING (participant_id), LATERAL (SELECT unnest(range(w.weight)))),
-{sql_metrics('drawn', 'replicate, run')}"""
+#: Confusion cells of each participant and run, weighted and written out again as metrics over (y, p, n).
+SQL_BOOT = f"""{SQL_DRAWS},
+cells AS (SELECT participant_id, 'encoder_pred' AS run, label AS y, encoder_pred AS p, count(*) AS k FROM preds GROUP BY ALL UNION ALL SELECT participant_id, 'llm_pred', label, llm_pred, count(*) FROM preds GROUP BY ALL),
+s AS (SELECT replicate, run, y, p, CAST(sum(k * weight) AS DOUBLE) AS n FROM weights JOIN cells USING (participant_id) GROUP BY ALL),
+rows_of AS (SELECT replicate, run, y, sum(n) AS r FROM s GROUP BY ALL), columns_of AS (SELECT replicate, run, p, sum(n) AS c FROM s GROUP BY ALL),
+f AS (SELECT replicate, run, sum(f) / 4 AS macro_f1 FROM (
+  SELECT replicate, run, v, 2 * sum(hit) / (sum(said) + sum(true_n)) AS f FROM (
+    SELECT replicate, run, y AS v, 0 AS hit, 0 AS said, r AS true_n FROM rows_of UNION ALL SELECT replicate, run, p, 0, c, 0 FROM columns_of UNION ALL SELECT replicate, run, y, n, 0, 0 FROM s WHERE y = p) GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT replicate, run, sum(power(y - p, 2) * r * c) AS e FROM rows_of JOIN columns_of USING (replicate, run) GROUP BY ALL),
+m AS (SELECT replicate, run, sum(n) AS n, sum(n) FILTER (y = p) / sum(n) AS accuracy, sum(n * abs(y - p)) / sum(n) AS mae, sum(n * power(y - p, 2)) AS o FROM s GROUP BY ALL),
+metrics AS (SELECT replicate, run, round(accuracy, 6) AS accuracy, round(mae, 6) AS mae, round(macro_f1, 6) AS macro_f1, round(1 - o / (e / n), 6) AS qwk FROM m JOIN x USING (replicate, run) JOIN f USING (replicate, run))"""
 
 
 @query(f"""WITH {SQL_BOOT}, long AS (UNPIVOT (SELECT replicate, run, accuracy, macro_f1, qwk FROM metrics) ON accuracy, macro_f1, qwk INTO NAME metric VALUE value)
 SELECT run, metric, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.025), 5) AS ci_lo, round(quantile_cont(value, 0.975), 5) AS ci_hi FROM long GROUP BY run, metric""")
 def bootstrap_intervals(spark, d):
-    p = base(spark, d, "preds").where("participant_id <= 200")
-    return rounded(inference.intervals(rounded(inference.replicate_metrics(p, "participant_id", ["encoder_pred", "llm_pred"], 100)), ["accuracy", "macro_f1", "qwk"]), 5)
+    reps = inference.replicate_metrics(base(spark, d, "preds"), "participant_id", ["encoder_pred", "llm_pred"])
+    return rounded(inference.intervals(rounded(reps), ["accuracy", "macro_f1", "qwk"]), 5)
+
+
+SQL_SUMMARY = """SELECT metric, round(quantile_cont(d, 0.5), 5) AS median, round(avg(d), 5) AS mean, round(quantile_cont(d, 0.025), 5) AS ci_lo, round(quantile_cont(d, 0.975), 5) AS ci_hi, round(avg(CAST(d > 0 AS INT)), 5) AS p_above,
+  quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_0 FROM dd GROUP BY metric"""
 
 
 @query(f"""WITH {SQL_BOOT}, dd AS (SELECT replicate, 'mae' AS metric, max(mae) FILTER (run = 'llm_pred') - max(mae) FILTER (run = 'encoder_pred') AS d FROM metrics GROUP BY replicate
   UNION ALL SELECT replicate, 'macro_f1', max(macro_f1) FILTER (run = 'llm_pred') - max(macro_f1) FILTER (run = 'encoder_pred') FROM metrics GROUP BY replicate)
-SELECT metric, round(quantile_cont(d, 0.5), 5) AS median, round(avg(d), 5) AS mean, round(quantile_cont(d, 0.025), 5) AS ci_lo, round(quantile_cont(d, 0.975), 5) AS ci_hi, round(avg(CAST(d > 0 AS INT)), 5) AS p_above,
-  quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_0 FROM dd GROUP BY metric""")
+{SQL_SUMMARY}""")
 def paired_bootstrap(spark, d):
-    p = base(spark, d, "preds").where("participant_id <= 200")
-    reps = rounded(inference.replicate_metrics(p, "participant_id", ["encoder_pred", "llm_pred"], 100))
+    reps = rounded(inference.replicate_metrics(base(spark, d, "preds"), "participant_id", ["encoder_pred", "llm_pred"]))
     return rounded(inference.paired_deltas(reps, "encoder_pred", "llm_pred", ["mae", "macro_f1"]), 5)
 
 
+@query(f"""WITH {SQL_DRAWS}, t AS (SELECT participant_id, sum(label) AS y, sum(encoder_pred) AS a, sum(llm_pred) AS b FROM preds GROUP BY participant_id),
+u AS (SELECT replicate, 'encoder_pred' AS run, y, a AS p, sum(weight) AS n FROM weights JOIN t USING (participant_id) GROUP BY ALL UNION ALL SELECT replicate, 'llm_pred', y, b, sum(weight) FROM weights JOIN t USING (participant_id) GROUP BY ALL),
+places AS (SELECT replicate, run, v, dense_rank() OVER (PARTITION BY replicate, run ORDER BY v) AS k FROM (SELECT replicate, run, y AS v FROM u UNION SELECT replicate, run, p FROM u)),
+z AS (SELECT u.replicate, u.run, i.k AS y, j.k AS p, CAST(u.n AS DOUBLE) AS n FROM u JOIN places i ON u.replicate = i.replicate AND u.run = i.run AND u.y = i.v JOIN places j ON u.replicate = j.replicate AND u.run = j.run AND u.p = j.v),
+q AS (SELECT replicate, run, round(1 - sum(n * power(y - p, 2)) / (sum(n * y * y) + sum(n * p * p) - 2 * sum(n * y) * sum(n * p) / sum(n)), 6) AS total_qwk FROM z GROUP BY ALL),
+dd AS (SELECT replicate, 'total_qwk' AS metric, max(total_qwk) FILTER (run = 'llm_pred') - max(total_qwk) FILTER (run = 'encoder_pred') AS d FROM q GROUP BY replicate)
+{SQL_SUMMARY}""")
+def paired_total_bootstrap(spark, d):
+    reps = rounded(inference.replicate_totals(base(spark, d, "preds"), "participant_id", ["encoder_pred", "llm_pred"]))
+    return rounded(inference.paired_deltas(reps, "encoder_pred", "llm_pred", ["total_qwk"]), 5)
+
+
 @query("SELECT fold, count(*) AS n, round(avg(e1 - l1), 6) AS mean_diff, round(avg(e1 - l1) / (stddev_samp(e1 - l1) / sqrt(count(*))), 4) AS t, count(*) FILTER (e1 > l1) AS wins FROM preds GROUP BY fold")
 def paired_t(spark, d):
     return rounded(inference.paired_t(base(spark, d, "preds"), "l1", "e1", ["fold"])).withColumn("t", F.round("t", 4))
