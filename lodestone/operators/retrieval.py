@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions.arrays import choose_diverse, dot, unit
+from lodestone.sources.scratch import cut
 
 KEY = ["participant_id", "item_id"]
+#: Query terms that go into a scan as a list, and queries that are sent to every task at a time.
+LISTED, SENT = 10_000, 4096
 
 
 @dataclass(frozen=True)
@@ -36,29 +39,47 @@ class Ranking:
         return self.k * self.multiplier
 
 
+def postings(docs: DataFrame, queries: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """docs with dl (tokens in all) and hits (those tokens that some query asks for) in place of tokens, written once.
+
+    Texts are read and divided in this one pass; what follows works on hits. A query table of up to
+    LISTED different terms is put into the scan as a list, of a larger one every token is kept.
+    Documents without a token go unless keep_empty.
+    """
+    terms = [r.term for r in queries.select(F.explode("tokens").alias("term")).distinct().limit(LISTED + 1).collect()]
+    hits = F.filter("tokens", lambda x: x.isin(terms)) if len(terms) <= LISTED else F.col("tokens")
+    rest = [c for c in ("pos", "turn_ids") if c in docs.columns]
+    found = docs.select("participant_id", "doc_id", *rest, F.size("tokens").alias("dl"), hits.alias("hits"))
+    return cut(found if keep_empty else found.where("dl > 0"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: str = "plus", keep_empty: bool = False, floor: float = 0.25) -> DataFrame:
     """(participant_id, item_id, doc_id, score) of every document that has a term of the query.
 
-    The corpus is the participant's documents, without those that have no token unless keep_empty. A
-    term that a query repeats counts as often. idf `plus` is ln(1 + (N - df + .5) / (df + .5)),
-    `okapi` ln((N - df + .5) / (df + .5)) with negative values set to floor times the corpus mean.
+    docs have tokens, or are postings(). The corpus is the participant's documents, without those that
+    have no token unless keep_empty. A term that a query repeats counts as often. idf `plus` is
+    ln(1 + (N - df + .5) / (df + .5)), `okapi` ln((N - df + .5) / (df + .5)) with negative values set to
+    floor times the corpus mean; only okapi reads all tokens a second time, for that mean.
     """
-    docs = docs if keep_empty else docs.where(F.size("tokens") > 0)
-    sized = docs.select("participant_id", "doc_id", F.size("tokens").alias("dl"), "tokens")
-    tf = sized.select("participant_id", "doc_id", "dl", F.explode("tokens").alias("term")).groupBy("participant_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    corpus = sized.groupBy("participant_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if idf == "okapi" and "tokens" not in docs.columns:
+        raise ValueError("okapi needs all tokens")
+    post = postings(docs, queries, keep_empty) if "tokens" in docs.columns else docs
+    asked = queries.select("item_id", F.explode("tokens").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qf"))
+    hit = post.select("participant_id", "doc_id", "dl", F.explode("hits").alias("term"))
+    tf = hit.join(asked.select("term").distinct(), "term", "left_semi").groupBy("participant_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    corpus = post.groupBy("participant_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("participant_id", "term").agg(F.count("*").alias("df")).join(corpus, "participant_id")
     ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     if idf == "plus":
         weights = df.withColumn("idf", F.log1p(ratio))
     else:
+        each = docs.select("participant_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("participant_id", "term").agg(F.count("*").alias("df"))
+        mean = each.join(corpus, "participant_id").groupBy("participant_id").agg(F.avg(F.log(ratio)).alias("mean_idf"))
         raw = df.withColumn("idf", F.log(ratio))
-        mean = raw.groupBy("participant_id").agg(F.avg("idf").alias("mean_idf"))
         weights = raw.join(mean, "participant_id").withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
-    asked = queries.select("item_id", F.explode("tokens").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qf"))
-    hits = tf.join(weights.join(asked, "term"), ["participant_id", "term"])
+    scored = tf.join(weights.join(asked, "term"), ["participant_id", "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("participant_id", "item_id", "doc_id").agg(F.sum(part).alias("score"))
+    return scored.groupBy("participant_id", "item_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, stopwords: list[str], ngrams: int = 2) -> DataFrame:
@@ -93,18 +114,29 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, stopwords: list[str], ngra
     return out.select("participant_id", "item_id", "doc_id", (F.col("dot") / F.sqrt((F.col("plain2") + F.col("change2")) * F.col("q2"))).alias("score"))
 
 
+def _against(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every document beside every query: a stated, counted set of queries, sent out in blocks of about SENT."""
+    blocks = max(1, -(-queries.count() // SENT))
+    out = None
+    for k in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*(c for c in queries.columns if c != "q")), F.lit(blocks)) == k)
+        met = docs.join(F.broadcast(some))
+        out = met if out is None else out.unionAll(met)
+    return out
+
+
 def cosine_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Dot products of unit vectors: every document of a participant against every query's embedding."""
     d = docs.select("participant_id", "doc_id", unit(F.col("embedding")).alias("e"))
     q = queries.select("item_id", unit(F.col("embedding")).alias("q"))
-    return d.join(q).select("participant_id", "item_id", "doc_id", dot(F.col("e"), F.col("q")).alias("score"))
+    return _against(d, q).select("participant_id", "item_id", "doc_id", dot(F.col("e"), F.col("q")).alias("score"))
 
 
 def multiquery_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The best of an item's queries: score, winning_query (the first of equal ones by query_ord), per_query map."""
     d = docs.select("participant_id", "doc_id", unit(F.col("embedding")).alias("e"))
     q = queries.select("item_id", "query_key", "query_ord", unit(F.col("embedding")).alias("q"))
-    each = d.join(q).select("participant_id", "item_id", "doc_id", "query_key", "query_ord", dot(F.col("e"), F.col("q")).alias("s"))
+    each = _against(d, q).select("participant_id", "item_id", "doc_id", "query_key", "query_ord", dot(F.col("e"), F.col("q")).alias("s"))
     return each.groupBy("participant_id", "item_id", "doc_id").agg(
         F.max("s").alias("score"),
         F.max_by("query_key", F.struct("s", -F.col("query_ord"))).alias("winning_query"),
@@ -144,11 +176,11 @@ def diversified(ranked: DataFrame, how: Ranking, *extra: str) -> DataFrame:
 
 def bm25_top(docs: DataFrame, queries: DataFrame, how: Ranking = Ranking(), **options) -> DataFrame:
     """BM25 top k. fallback: if nothing scores, the first k, marked; empty: no row then; positive: scored documents only, no diversity."""
-    scores = bm25_scores(docs, queries, **options)
+    corpus = postings(docs, queries, options.get("keep_empty", False)) if "tokens" in docs.columns else docs
+    scores = bm25_scores(docs if options.get("idf") == "okapi" else corpus, queries, **options)
     if how.zero_policy == "positive":
-        return candidates(scores.where("score > 0"), docs, queries, how.k, fill=False)
-    usable = docs.where(F.size("tokens") > 0)
-    return diversified(candidates(scores, usable, queries, how.candidates), how)
+        return candidates(scores.where("score > 0"), corpus, queries, how.k, fill=False)
+    return diversified(candidates(scores, corpus, queries, how.candidates), how)
 
 
 def dense_top(docs: DataFrame, queries: DataFrame, how: Ranking = Ranking()) -> DataFrame:

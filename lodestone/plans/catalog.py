@@ -386,7 +386,8 @@ norm AS (SELECT *, CASE WHEN max(bm25) OVER w - min(bm25) OVER w > 1e-12 THEN (b
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    docs, items = _docs(spark, d).where(F.size("tokens") > 0), _items(spark, d)
+    items = _items(spark, d)
+    docs = retrieval.postings(_docs(spark, d), items)
     a = retrieval.candidates(retrieval.bm25_scores(docs, items), docs, items, 10)
     s = docs.select("participant_id", "doc_id", "pos").join(items.select("item_id")).withColumn("score", ((F.col("pos") * 37 + F.col("item_id") * 11) % 101).cast("double") / 100)
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("participant_id", "item_id").orderBy(F.desc("score"), "pos"))).where("rank <= 10")
