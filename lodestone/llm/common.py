@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine one of our own.
+
+    On a cluster without that setting it is an error: no folder of one machine is read by the others.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext.getCheckpointDir()
         if known is None:
+            master = spark.conf.get("spark.master", "local")
+            if master.startswith("local-cluster") or not master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
             known = spark.sparkContext.getCheckpointDir()
         where = known
@@ -40,11 +49,36 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Iterator[dict]], Iterator[dict]], width: int) -> DataFrame:
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows, and of at most `size` bytes of strings and lists unless one row has more."""
+    each = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+            each += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            each += 4 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(each), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Gives what a task no longer holds back to the system: an idle worker keeps its memory of words, not its buffers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Iterator[dict]], Iterator[dict]], width: int, size: int = 4 << 20) -> DataFrame:
     """Runs rows(batches) over Arrow batches of the named columns only.
 
-    rows gets an iterator of column dictionaries (name -> list) and yields such dictionaries; `width`
-    names how many rows a batch of results may hold. Batches bound what Python holds at a time.
+    rows gets an iterator of column dictionaries (name -> list) and yields such dictionaries. `width`
+    rows and `size` bytes of texts bound what a batch holds, and so what Python holds at a time.
     """
     names = [f.name for f in DataFrameSchema(schema)]
     arrow = arrow_schema(schema)
@@ -52,12 +86,12 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def plain() -> Iterator[dict]:
             for b in batches:
-                for at in range(0, b.num_rows, width):
-                    part = b.slice(at, width)
+                for part in slices(b, width, size):
                     yield {n: part.column(i).to_pylist() for i, n in enumerate(columns)}
 
         for out in rows(plain()):
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t.type) for n, t in zip(names, arrow)], schema=arrow)
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 

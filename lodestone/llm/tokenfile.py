@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, cut, shared_dir
+from lodestone.llm.common import arrow_schema, cut, release, shared_dir, slices
 
 FORMAT = 1
 #: Encoded stretches a worker remembers, and bytes of ids it holds back before it writes them.
 REMEMBERED, HELD_BYTES = 500_000, 8 << 20
-#: Documents whose new stretches are encoded together.
-GROUP = 4096
+#: Documents, and bytes of their texts, that are encoded together.
+GROUP, GROUP_BYTES = 4096, 8 << 20
 _STRETCH = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than space and line feed; texts with any are divided by the pattern.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -143,8 +143,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         store, path = _store(name)
         ids, ends, out, held, size, total = [], [0], None, [], 0, 0
         for b in batches:
-            for k in range(0, b.num_rows, GROUP):
-                part = b.slice(k, GROUP)
+            for part in slices(b, GROUP, GROUP_BYTES):
                 ids += part.column(0).to_pylist()
                 for data in enc.encode([t or "" for t in part.column(1).to_pylist()]):
                     total += len(data) // enc.dtype.itemsize + 1
@@ -166,6 +165,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
             idx.write(np.array([i or 0 for i in ids], "<i8").tobytes())
             idx.write(np.array([i is None for i in ids], "u1").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "n_docs": [len(ids)], "n_tokens": [total]}, schema)
+        del held, ends, ids
+        release()
 
     _make(folder)
     placed = docs.select("doc_id", "text").repartitionByRange(F.asc("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")

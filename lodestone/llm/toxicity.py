@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, held_out, map_rows
+from lodestone.llm.common import cut, held_out, map_rows, release, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Cost of a word without evidence; the prior's weight in documents, or fewer if there are fewer toxic ones; standard
@@ -252,8 +252,10 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordScores(model.weights)
-        for b in batches:
-            good = [model.score(model.segments(words(t.as_py()), known)) < threshold for t in b.column("text")]
-            yield b.filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, 512, 4 << 20):
+                good = [model.score(model.segments(words(t.as_py()), known)) < threshold for t in b.column("text")]
+                yield b.filter(pa.array(good, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
