@@ -122,3 +122,10 @@ def range_of(bounds: list, value: Column) -> Column:
     every = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>")  # a constant
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(every, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def mean_pool(vectors: Column, mask: Column, size: int) -> Column:
+    """The mean of those token vectors that the mask has, scaled to length 1; null if there is none."""
+    kept = F.filter(F.zip_with(vectors, mask, lambda v, m: F.when(m > 0, v)), lambda v: v.isNotNull())
+    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), size), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    return F.when(F.size(kept) > 0, unit(F.transform(total, lambda x: x / F.size(kept))))

@@ -12,6 +12,7 @@ WINDOW_SEP, TURN_SEP, UTTERANCE_SEP = " [WINDOW_SEP] ", " [TURN_SEP] ", " [UTT_S
 STOPWORDS = "a an and are be been being did do does for in is of on or the to was were with".split()
 INTERVIEWER_MARKS = ("ellie", "interviewer", "therapist", "clinician", "doctor", "agent", "system")
 PARTICIPANT_MARKS = ("participant", "subject", "patient", "client", "user")
+#: The reply patterns of the salvage functions below are fixed values, too: what they find is what counts as an answer.
 #: Column names to look for, first come first served.
 TEXT_COLUMNS = ["Text", "text", "Utterance", "utterance", "Value", "value", "transcript_text"]
 SPEAKER_COLUMNS = ["Speaker", "speaker", "Role", "role", "speaker_role", "Participant", "participant"]
@@ -167,6 +168,77 @@ def difficult_items(raw: Column) -> Column:
     return F.array_sort(F.array_except(digits(read["difficult"]), digits(read["confident"])))
 
 
+def transcript_scores(raw: Column, items: int = 8) -> Column:
+    """array of struct(item_id, label, reasoning) for items 1..items of a reply that rates all of them.
+
+    The reply's object holds a list `scores` of objects, or has item numbers as keys with a label or an
+    object each. Of several entries of an item the last counts; what is no label 0..3 is null. Items
+    without an entry have a null label and no reasoning.
+    """
+    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    text = F.when(body != "", body)
+    listed = F.from_json(text, "scores array<string>")["scores"]
+    keyed = F.filter(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.regexp_like(e["key"], F.lit(r"^\d+$")))
+    entry = "id string, label string, reasoning string"
+
+    def of_list(x: Column) -> Column:
+        o = F.from_json(x, entry)
+        return F.struct(o["id"].try_cast("double").cast("int").alias("id"), o["label"].alias("label"), o["reasoning"].alias("reasoning"))
+
+    def of_key(e: Column) -> Column:
+        o = F.from_json(F.when(F.startswith(F.trim(e["value"]), F.lit("{")), e["value"]), entry)
+        own = F.coalesce(o["id"], e["key"]).try_cast("int")
+        return F.struct(own.alias("id"), F.when(o.isNotNull(), o["label"]).otherwise(e["value"]).alias("label"), o["reasoning"].alias("reasoning"))
+
+    found = F.coalesce(F.when(listed.isNotNull(), F.transform(listed, of_list)).otherwise(F.transform(keyed, of_key)), F.array().cast("array<struct<id:int,label:string,reasoning:string>>"))
+
+    def item(i: Column) -> Column:
+        own = F.element_at(F.concat(F.array(F.lit(None).cast("struct<id:int,label:string,reasoning:string>")), F.filter(found, lambda e: e["id"] == i)), -1)
+        number = own["label"].try_cast("double").cast("int")
+        digit = F.regexp_extract(F.coalesce(own["label"], F.lit("")), "[0-3]", 0)
+        label = F.when(number.isNotNull(), F.when(number.between(0, 3), number)).when(digit != "", digit.cast("int"))
+        return F.struct(i.alias("item_id"), label.alias("label"), F.coalesce(own["reasoning"], F.lit("")).alias("reasoning"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(items)), item)
+
+
+def term_lists(raw: Column) -> Column:
+    """struct(lay, clinical) of a reply's lists, lower-cased and trimmed, without blank ones; null if nothing reads."""
+    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    read = F.from_json(F.when(body != "", body), "lay array<string>, clinical array<string>, _corrupt_record string")
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.trim(F.lower(t))), lambda t: t != "")
+    return F.when((body != "") & read["_corrupt_record"].isNull(), F.struct(clean(read["lay"]).alias("lay"), clean(read["clinical"]).alias("clinical")))
+
+
+def highlighted(text: Column, terms: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """Escaped text with every term marked, whatever its case, longer terms first."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    quoted = F.transform(terms, lambda t: F.regexp_replace(escape(t), r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
+    ordered = F.transform(F.array_sort(F.transform(quoted, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    return F.when(F.size(terms) > 0, F.regexp_replace(escape(text), F.concat(F.lit("(?i)("), F.array_join(ordered, "|"), F.lit(")")), F.lit(f"{before}$1{after}"))).otherwise(escape(text))
+
+
+def retrieval_method(dataset: Column, column: Column) -> Column:
+    """How a run's evidence was found, from the names of its data set and of its evidence column."""
+    name = F.element_at(F.split(dataset, "/"), -1)
+    return (
+        F.when(column == "transcript_text", "full transcript (no retrieval)")
+        .when(column == "baseline_utterances", "first-K utterances (no retrieval)")
+        .when((column == "retrieved_utterances") & F.contains(name, F.lit("full_bm25")), "BM25 (utterance retrieval)")
+        .when(column == "retrieved_utterances", "TF-IDF (utterance retrieval)")
+        .when(F.contains(column, F.lit("bm25_pack")), "BM25 (participant-side context windows)")
+        .when(F.contains(column, F.lit("hybrid_pack")), "Hybrid: BM25 + semantic (participant-side context windows)")
+        .otherwise("unknown")
+    )
+
+
+def model_input(item: Column, evidence: Column, longest: int = 256, special: int = 3) -> Column:
+    """struct(text, text_pair) within `longest` words and `special` marks: the item stays whole, the evidence is cut. A blank item gives null."""
+    words = lambda c: F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    room = F.greatest(F.lit(longest - special) - F.size(words(item)), F.lit(0))
+    return F.when(F.trim(F.coalesce(item, F.lit(""))) != "", F.struct(item.alias("text"), F.array_join(F.slice(words(evidence), F.lit(1), room), " ").alias("text_pair")))
+
+
 def chat_prompt(system: Column, user: Column) -> Column:
     """A system and a user message in one instruction prompt."""
     return F.concat(F.lit("[INST] <<SYS>>\n"), system, F.lit("\n<</SYS>>\n\n"), user, F.lit(" [/INST]"))

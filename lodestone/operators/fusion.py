@@ -72,21 +72,36 @@ def nested_blend(df: DataFrame, weights: list[float]) -> DataFrame:
     return df.join(F.broadcast(nested_choice(df, weights, predict)), "fold").withColumn("prediction", predict(F.col("param")))  # a row a fold
 
 
-def nested_route(df: DataFrame, taus: list[float], margin: float = 0.02) -> DataFrame:
-    """The encoder's class unless it is unsure and the item is one the LLM is better at (MAE by over `margin` on other folds).
-
-    The threshold is chosen by kappa on the other folds.
+def nested_route(df: DataFrame, taus: list[float], direction: str = "encoder_first", margin: float = 0.02) -> DataFrame:
+    """df with tau and a routed prediction, threshold and items chosen on the other folds.
+
+    encoder_first: the LLM's class where the encoder's best probability is under tau, the evidence's
+    status is ambiguous or none, or the item is one that the LLM rates better (MAE lower by over
+    `margin`); else the encoder's. llm_first: the encoder's class where the LLM's lead over its second
+    class is under tau or the item is one that the encoder rates better; else the LLM's. tau is the
+    first with the highest kappa.
     """
-    errors = df.groupBy("fold", "item_id").agg(F.sum(F.abs(argmax(F.col("llm")) - F.col("label"))).alias("l"), F.sum(F.abs(argmax(F.col("encoder")) - F.col("label"))).alias("e"), F.count("*").alias("n"))
+    if direction not in ("encoder_first", "llm_first"):
+        raise ValueError("direction must be encoder_first or llm_first")
+    llm, encoder = argmax(F.col("llm")), argmax(F.col("encoder"))
+    errors = df.groupBy("fold", "item_id").agg(F.sum(F.abs(llm - F.col("label"))).alias("l"), F.sum(F.abs(encoder - F.col("label"))).alias("e"), F.count("*").alias("n"))
     folds = df.select(F.col("fold").alias("held")).distinct()
-    other = errors.join(folds, F.col("fold") != F.col("held")).groupBy("held", "item_id").agg((F.sum("e") / F.sum("n") - F.sum("l") / F.sum("n") > margin).alias("llm_item"))
+    gain = F.round(F.sum("e") / F.sum("n") - F.sum("l") / F.sum("n"), 12) * (1 if direction == "encoder_first" else -1)
+    other = errors.join(folds, F.col("fold") != F.col("held")).groupBy("held", "item_id").agg((gain > margin).alias("other_item"))
+    seen = df.join(F.broadcast(other), "item_id")  # a row a fold and item
+
+    def route(tau: Column) -> Column:
+        if direction == "encoder_first":
+            away = (F.array_max("encoder") < tau) | F.coalesce("status", F.lit("none")).isin("ambiguous", "none") | F.col("other_item")
+            return F.when(away, llm).otherwise(encoder)
+        top = F.sort_array("llm", asc=False)
+        return F.when((F.get(top, F.lit(0)) - F.get(top, F.lit(1)) < tau) | F.col("other_item"), encoder).otherwise(llm)
+
     # every held-out fold sees every other fold's rows: folds are few, and rows become cells at once
-    seen = df.join(other, "item_id")
-    route = lambda tau: F.when(F.col("llm_item") & (F.array_max("encoder") < tau), argmax(F.col("llm"))).otherwise(argmax(F.col("encoder")))
     grid = seen.where("fold <> held").withColumn("tau", F.explode(F.array(*map(F.lit, taus)))).withColumn("prediction", route(F.col("tau")))
     chosen = item_metrics(cells(grid, ["held", "tau"]), ["held", "tau"]).groupBy("held").agg(F.max_by("tau", F.struct(F.round("qwk", 12), -F.col("tau"))).alias("tau"))
     mine = seen.where("fold = held").join(F.broadcast(chosen), "held")  # a row a fold
-    return mine.withColumn("prediction", route(F.col("tau"))).drop("held")
+    return mine.withColumn("prediction", route(F.col("tau"))).drop("held", "other_item")
 
 
 def item_source(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -149,14 +164,54 @@ def accepted(cascade_row: Column, better: Column) -> Column:
     )
 
 
-def missing_policy(df: DataFrame, policy: str) -> DataFrame:
-    """Training rows without evidence (status `none`): zero keeps their labels but empties the text, mask takes them out of the loss, drop removes them."""
+#: Fixed value: the label of rows that a loss leaves out.
+MASKED = -1
+
+
+def missing_policy(train: DataFrame, policy: str) -> DataFrame:
+    """Training rows under a policy for those without evidence (status `none`): zero leaves them, mask sets their label to MASKED and loss_weight 0, drop removes them."""
+    if policy not in ("zero", "mask", "drop"):
+        raise ValueError(f"unknown missing policy: {policy}")
     none = F.coalesce("status", F.lit("none")) == "none"
     if policy == "drop":
-        return df.where(~none)
+        return train.where(~none)
     if policy == "mask":
-        return df.withColumn("loss_weight", F.when(none, 0.0).otherwise(1.0))
-    return df.withColumn("text", F.when(none, "").otherwise(F.col("text")))
+        return train.withColumn("loss_weight", F.when(none, 0.0).otherwise(1.0)).withColumn("label", F.when(none, MASKED).otherwise(F.col("label")))
+    return train
+
+
+def missing_policy_stats(train: DataFrame, policies: tuple[str, ...] = ("zero", "mask", "drop"), by: list[str] = []) -> DataFrame:
+    """(by..., policy, n_train, n_no_evidence, n_train_effective); zero counts no row as without evidence."""
+    none = F.coalesce("status", F.lit("none")) == "none"
+    g = train.groupBy(*by).agg(F.count("*").alias("n_train"), F.count_if(none).alias("_none"))
+    each = g.withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
+    lost = F.when(F.col("policy") == "zero", 0).otherwise(F.col("_none"))
+    return each.select(*by, "policy", "n_train", lost.cast("long").alias("n_no_evidence"), (F.col("n_train") - lost).alias("n_train_effective"))
+
+
+def model_frame(df: DataFrame, prediction: Column, items: DataFrame, classes: int = 4) -> DataFrame:
+    """The frame that evaluations read: key, fold, label, prediction, the item's name, and the prediction as one-hot probabilities."""
+    one_hot = F.array(*((F.col("prediction") == c).cast("double") for c in range(classes)))
+    named = df.withColumn("prediction", prediction).join(items.select("item_id", "item_name"), "item_id", "left")
+    return named.select("participant_id", "item_id", "item_name", "fold", "label", "prediction", one_hot.alias("probs"))
+
+
+def selected_status(judged: list[DataFrame], config: str, retriever: str, prefix: str) -> DataFrame:
+    """(participant_id, item_id, evidence_status) of the chosen configuration, from all shards of judgments; null counts as none."""
+    whole = judged[0]
+    for more in judged[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    mine = whole.where((F.col("config") == config) & (F.col("retriever") == retriever) & (F.col("prefix") == prefix))
+    return mine.select("participant_id", "item_id", F.coalesce("status", F.lit("none")).alias("evidence_status"))
+
+
+def aligned(runs: dict[str, DataFrame], keys: list[str], label: str = "label") -> DataFrame:
+    """Predictions of several runs side by side, by key and not by place; only keys that all runs have, with the first run's label."""
+    out = None
+    for name, run in runs.items():
+        mine = run.select(*keys, *([label] if out is None else []), F.col("prediction").alias(name))
+        out = mine if out is None else out.join(mine, keys)
+    return out
 
 
 def attention_pool(scores: DataFrame, keys: list[str], score: str, value: str) -> DataFrame:

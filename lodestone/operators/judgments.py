@@ -84,8 +84,9 @@ def redundancy(ranked: DataFrame, keys: list[str], k: int, gap: int = 10) -> Dat
 
 
 def complementarity(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """One class for what two retrievers found, from their statuses side by side; counts of each."""
-    wide = sets.groupBy(*keys).pivot("retriever", ["bm25", "semantic"]).agg(F.min("status"))
+    """One class for what two retrievers found, from their statuses side by side: a cell's first judged status by rank and window."""
+    first = F.min(F.struct("rank", "window_no", "status"))["status"]
+    wide = sets.where(F.col("status").isNotNull()).groupBy(*keys).pivot("retriever", ["bm25", "semantic"]).agg(first)
     a, b = F.col("bm25").isin(*INFORMATIVE), F.col("semantic").isin(*INFORMATIVE)
     kind = (
         F.when(F.col("bm25").isNull() | F.col("semantic").isNull(), "unpaired")

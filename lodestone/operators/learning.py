@@ -10,20 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.operators.sequences import hash_order
 
-def stratified_group_folds(df: DataFrame, group: str, k: int = 5, classes: int = 4, buckets: int = 4096) -> DataFrame:
-    """(group, fold): whole groups into k folds of even class shares.
 
-    Groups of equal class counts are interchangeable, so they are dealt in turn, largest spread
-    first: counts are sums before the shuffle, and the deal is a row number inside hash buckets and
-    count signatures, offset by the bucket, so that no task sees all groups.
+def stratified_group_folds(df: DataFrame, group: str, k: int = 5, classes: int = 4, seed: str = "42") -> DataFrame:
+    """(group, fold): whole groups into k folds of even size and class shares.
+
+    Groups are put into one order, by the spread of their class counts, the counts, then a hash, and
+    dealt to the folds in turn; so each fold gets as many of every kind as any other, give or take
+    one. Places come from row numbers inside hash buckets of equal class counts and the sizes of the
+    buckets before, so no task sees all groups.
     """
-    counts = df.groupBy(group).agg(*(F.count_if(F.col("label") == c).alias(f"_{c}") for c in range(classes)))
     names = [f"_{c}" for c in range(classes)]
+    counts = df.groupBy(group).agg(*(F.count_if(F.col("label") == c).alias(n) for c, n in enumerate(names)))
     spread = F.array_max(F.array(*names)) - F.array_min(F.array(*names))
-    signed = counts.withColumns({"_bucket": F.pmod(F.xxhash64(*names), F.lit(buckets)), "_spread": spread, "_h": F.xxhash64(group)})
-    deal = F.row_number().over(Window.partitionBy("_bucket", *names).orderBy(F.desc("_spread"), "_h", group)) + F.col("_bucket")
-    return signed.select(group, (F.pmod(deal, F.lit(k)) + 1).cast("int").alias("fold"))
+    signed = counts.withColumn("_spread", spread).withColumn("_h", hash_order(seed, group)).withColumn("_bucket", F.substring("_h", 1, 2))
+    kind = ["_spread", *names, "_bucket"]
+    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("_spread"), *names, "_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a kind of class counts
+    starts = signed.groupBy(*kind).agg(F.count("*").alias("_n")).select(*kind, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*kind).orderBy("_h", group)) - 1
+    return signed.withColumn("_own", own).join(starts, kind).select(group, (F.pmod(F.col("_start") + F.col("_own"), F.lit(k)) + 1).cast("int").alias("fold"))
 
 
 def stacker_features(df: DataFrame, classes: int = 4, items: int = 8) -> DataFrame:

@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOPWORDS, tokens
 
-#: Which tiers a configuration uses, in order of the expanded query.
-CONFIGS = {"L0_CORE": ("core",), "L1_LAY": ("core", "lay"), "L2_CLINICAL": ("core", "clinical"), "L3_FULL": ("core", "lay", "clinical")}
-#: Cues of an indirect relation.
-INDIRECT = ("when ", "because", "due to", "side effect", "history")
+#: Which tiers a configuration uses, in order of the expanded query, and the kind of query a tier stands for.
+CONFIGS = {
+    "L0_CORE": ("core",),
+    "L1_CORE_LAY": ("core", "lay"),
+    "L2_CORE_CLINICAL": ("core", "clinical"),
+    "L3_FULL": ("core", "lay", "clinical"),
+}
+KINDS = {"core": "item", "lay": "lay", "clinical": "clinical"}
+#: Cues of an indirect relation.
+INDIRECT = (
+    "don't go out", "keep to myself", "withdrawn", "stopped", "gave up", "no point", "can't get out of bed", "force myself", "skip meals",
+    "forget to eat", "stay in bed", "hard to get up", "hard to get going", "everything is an effort", "everything takes effort", "no get up and go",
+    "going through the motions", "no longer interested in friends", "stop participating", "don't look forward", "hit the hay", "clock watching",
+    "dragging my feet", "pace around", "pacing", "leg bouncing", "lose track",
+)
 
 
 def core_terms(items: DataFrame) -> DataFrame:
@@ -43,7 +54,7 @@ def manifest(terms: DataFrame, cues: tuple[str, ...] = INDIRECT) -> DataFrame:
     cue = F.lit(False)
     for c in cues:
         cue = cue | F.contains(F.lower("term"), F.lit(c))
-    return terms.withColumn("relation_class", F.when(cue, "indirect").otherwise("direct")).withColumn(
+    return terms.withColumn("relation_class", F.when(cue, "indirect_manifestation").otherwise("direct_paraphrase")).withColumn(
         "in_primary_query", (F.col("decision") == "keep") & (F.col("relation") != "related_nonspecific")
     )
 
@@ -57,7 +68,32 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.join(terms, "item_id").where(F.contains(F.lower("text"), F.lower("term"))).groupBy("id", "item_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def query_payload(queries: DataFrame) -> DataFrame:
-    """One JSON document an item: its queries by pole, and how many of each kind."""
-    row = F.sort_array(F.collect_list(F.struct("pole", "id", "kind", "text")))
-    return queries.groupBy("item_id").agg(F.to_json(F.struct(F.count("*").alias("n"), F.count_if(F.col("kind") == "clinical").alias("clinical"), row.alias("queries"))).alias("payload"))
+def active_queries(queries: DataFrame, configs: dict[str, tuple[str, ...]] = CONFIGS) -> DataFrame:
+    """queries (item_id, id, kind, pole, text) once for each configuration whose tiers stand for their kind, with `config`."""
+    kinds = {c: [KINDS[t] for t in tiers] for c, tiers in configs.items()}
+    fits = F.filter(F.array(*(F.when(F.col("kind").isin(ks), F.lit(c)) for c, ks in kinds.items())), lambda x: x.isNotNull())
+    return queries.select(F.explode(fits).alias("config"), "*")
+
+
+def query_payload(queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(item_id, payload): one JSON document an item.
+
+    poles, bipolar (more than one), n_queries, active_by_config (id:pole of each configuration's
+    queries) and the queries themselves; clinical ones name those of `terms` (item_id, term) that they
+    contain. An item's queries are a handful.
+    """
+    if terms is None:
+        terms = queries.select("item_id", F.lit(None).cast("string").alias("term")).limit(0)
+    known = terms.groupBy("item_id").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    used = F.when(F.col("kind") == "clinical", F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda t: F.contains(F.lower("text"), F.lower(t))))
+    row = F.struct("id", "pole", "kind", "text", used.alias("clinical_terms_used"))
+    g = queries.join(known, "item_id", "left").groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("q"))
+    poles = F.array_sort(F.array_distinct(F.transform("q", lambda x: x["pole"])))
+
+    def ids(tiers: tuple[str, ...]):
+        kinds = [KINDS[t] for t in tiers]
+        return F.transform(F.filter("q", lambda x: x["kind"].isin(kinds)), lambda x: F.concat(x["id"], F.lit(":"), x["pole"]))
+
+    active = F.struct(*(ids(tiers).alias(c) for c, tiers in CONFIGS.items()))
+    body = F.struct(poles.alias("poles"), (F.size(poles) > 1).alias("bipolar"), F.size("q").alias("n_queries"), active.alias("active_by_config"), F.col("q").alias("queries"))
+    return g.select("item_id", F.to_json(body).alias("payload"))

@@ -248,3 +248,22 @@ def leaderboard(long: DataFrame, lower_is_better: list[str]) -> DataFrame:
     sign = F.when(F.col("metric").isin(lower_is_better), F.col("value")).otherwise(-F.col("value"))
     r = F.rank().over(Window.partitionBy("metric").orderBy(sign))
     return long.withColumn("rank", r).withColumn("best", F.col("rank") == 1)
+
+
+def corn_loss(df: DataFrame, logits: str, label: str = "label", weight: str | None = None, classes: int = CLASSES, by: list[str] = []) -> DataFrame:
+    """(by..., loss) of conditional ordinal logits (an array of classes - 1): the mean over all conditional tasks, weighted by `weight` if given.
+
+    Task k asks the rows with a label of k or more whether it is more than k.
+    """
+    z = lambda k: F.get(logits, F.lit(k)).cast("double")
+    log1pexp = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    each = [F.when(F.col(label) >= k, F.when(F.col(label) > k, log1pexp(-z(k))).otherwise(log1pexp(z(k)))) for k in range(classes - 1)]
+    total = sum((F.coalesce(F.sum(w * e), F.lit(0.0)) for e in each[1:]), F.coalesce(F.sum(w * each[0]), F.lit(0.0)))
+    mass = sum((F.sum(F.when(F.col(label) >= k, w).otherwise(0.0)) for k in range(1, classes - 1)), F.sum(w))
+    return df.where(F.col(label) >= 0).groupBy(*by).agg((total / F.greatest(mass, F.lit(1.0))).alias("loss"))
+
+
+def headline(nested: DataFrame, paths: dict[str, str], keep: list[str] = []) -> DataFrame:
+    """Nested metric records -> a flat row: name -> path, as in total_qwk -> total.total_qwk."""
+    return nested.select(*keep, *(F.col(p).alias(n) for n, p in paths.items()))

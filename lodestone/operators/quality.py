@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import clean_transcript
+
 
 def violations(df: DataFrame, key: Column, checks: dict[str, Column]) -> DataFrame:
     """(check, key) for every row and check that holds for it; one pass, one row a violation."""
@@ -66,6 +68,7 @@ def window_bank(windows: DataFrame, expected: DataFrame) -> DataFrame:
     both = F.col("a.context_window_id").isNotNull() & F.col("b.context_window_id").isNotNull()
     checks = {"missing_window": F.col("a.context_window_id").isNull(), "extra_window": F.col("b.context_window_id").isNull()}
     checks |= {f"differs_{f}": both & ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in fields}
+    checks |= {f"differs_{f}": both & ~near(F.col(f"a.{f}"), F.col(f"b.{f}")) for f in ("start_time", "end_time")}
     return violations(met, F.coalesce("a.context_window_id", "b.context_window_id"), checks)
 
 
@@ -122,5 +125,74 @@ def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
+def numeric(df: DataFrame, columns: list[str], key: str, pos: str = "pos") -> DataFrame:
+    """Values that are no numbers, nulls too: (check, key), the key with the row's line in a file that has a head (pos + 2)."""
+    line = F.concat_ws("|", F.col(key).cast("string"), (F.col(pos) + 2).cast("string"))
+    return violations(df, line, {f"invalid_{c}": F.col(c).cast("string").try_cast("double").isNull() for c in columns})
+
+
+def utterance_bank(bank: DataFrame, key: str = "participant_id", text: str = "text") -> DataFrame:
+    """Blank participants, and participants who have nothing left when their utterances are cleaned."""
+    left = F.count_if(clean_transcript(F.col(text)) != "")
+    g = bank.groupBy(key).agg(left.alias("_left"))
+    return violations(g, F.col(key), {"blank_participant": F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == "", "empty_participant": F.col("_left") == 0})
+
+
+def dimension(items: DataFrame, size: int, texts: list[str]) -> DataFrame:
+    """Ids other than 1..size, ids that lack or repeat, blank texts of a dimension of a few rows."""
+    want = items.sparkSession.range(1, size + 1).select(F.col("id").cast("int").alias("_id"))
+    met = items.join(want, F.col("item_id") == F.col("_id"), "full_outer")
+    key = F.coalesce("item_id", "_id")
+    checks = {"missing_id": F.col("item_id").isNull() & F.col("_id").isNotNull(), "unknown_id": F.col("_id").isNull()}
+    checks |= {f"blank_{c}": F.col("item_id").isNotNull() & (F.trim(F.coalesce(c, F.lit(""))) == "") for c in texts}
+    return violations(met, key, checks).unionAll(repeated(items, ["item_id"], "repeated_id"))
+
+
+def coverage(run: DataFrame, whole: DataFrame, keys: list[str], least: float = 0.95) -> DataFrame:
+    """One row: whether a run has every fold of the whole and at least `least` of its rows, so that the two may be compared."""
+    met = run.select(*keys).distinct().join(whole.select(*keys, "fold"), keys)
+    a = met.agg(F.count_distinct("fold").alias("folds"), F.count("*").alias("rows"))
+    b = whole.agg(F.count_distinct("fold").alias("all_folds"), F.count("*").alias("all_rows"))
+    both = a.join(F.broadcast(b))  # one row each
+    return both.withColumn("complete", (F.col("folds") == F.col("all_folds")) & (F.col("rows") >= least * F.col("all_rows")))
+
+
+def label_disagreements(a: DataFrame, b: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """Keys of both whose labels differ, null-safe; runs may be compared if there are none."""
+    both = a.select(*keys, F.col(label).alias("label_a")).join(b.select(*keys, F.col(label).alias("label_b")), keys)
+    return both.where(~F.col("label_a").eqNullSafe(F.col("label_b")))
+
+
+def unmatched(base: DataFrame, other: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows of base that find no value of `column` in other: a lookup that must not miss."""
+    return base.join(other.where(F.col(column).isNotNull()).select(*keys).distinct(), keys, "left_anti")
+
+
+def scored_records(records: DataFrame, keys: list[str], ids: str, scores: str) -> DataFrame:
+    """Records whose id and score lists are null, differ in length or repeat an id, and keys that come twice."""
+    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+    rows = violations(records, key, {
+        "invalid_lists": F.col(ids).isNull() | F.col(scores).isNull(),
+        "length_mismatch": F.size(ids) != F.size(scores),
+        "repeated_id": F.size(F.array_distinct(ids)) < F.size(ids),
+    })
+    return rows.unionAll(repeated(records, keys, "repeated_key"))
+
+
+def key_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(side, keys...): keys that only one of two record tables has."""
+    one = lambda x, y, side: x.select(*keys).distinct().join(y.select(*keys), keys, "left_anti").select(F.lit(side).alias("side"), *keys)
+    return one(a, b, "left_only").unionAll(one(b, a, "right_only"))
+
+
+def columns_like(df: DataFrame, parts: list[str], needed: bool = True) -> list[str]:
+    """Columns whose names contain any of the parts, whatever their case; an error if a needed part is in none."""
+    low = {c: c.lower() for c in df.columns}
+    lacking = [p for p in parts if not any(p.lower() in x for x in low.values())]
+    if needed and lacking:
+        raise ValueError(f"no column like {lacking}")
+    return [c for c, x in low.items() if any(p.lower() in x for p in parts)]
+
+
 def all_of(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, checks)

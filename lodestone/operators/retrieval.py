@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions.arrays import choose_diverse, dot, unit
+from lodestone.operators.sequences import word_budget
 from lodestone.sources.scratch import cut
 
 KEY = ["participant_id", "item_id"]
@@ -240,3 +241,73 @@ def packed(ranked: DataFrame, base: DataFrame, sep: str) -> DataFrame:
     got = lists.select(*KEY, ids.alias("ids"), scores.alias("scores"), F.array_join(texts, sep).alias("pack"), F.size("_l").alias("n_windows"))
     out = base.join(got, KEY, "left")
     return out.withColumns({"pack": F.coalesce("pack", F.lit("")), "n_windows": F.coalesce("n_windows", F.lit(0))})
+
+
+def hybrid_prototype(bm25: DataFrame, semantic: DataFrame, alpha: float = 0.5, k: int = 5) -> DataFrame:
+    """The k best by alpha * semantic + (1 - alpha) * BM25, each scaled over all documents of a key; here alpha weights the semantic side.
+
+    Both sides are (KEY, doc_id, pos, score); a document that one lacks counts as 0 there. Ties go by position.
+    """
+    a = bm25.select(*KEY, "doc_id", "pos", F.col("score").alias("bm25"))
+    s = semantic.select(*KEY, "doc_id", "pos", F.col("score").alias("semantic"))
+    both = a.join(s, [*KEY, "doc_id", "pos"], "full_outer").fillna(0.0, ["bm25", "semantic"])
+    fused = both.withColumn("score", alpha * minmax(F.col("semantic"), KEY) + (1 - alpha) * minmax(F.col("bm25"), KEY))
+    return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= k)
+
+
+#: Retrievers by the name a run asks for; each gives (KEY, doc_id, score).
+METHODS = {"bm25": bm25_scores, "tfidf": tfidf_scores}
+
+
+def retrieve(method: str, docs: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFrame:
+    """The k best scored documents of each key by a named method; `scores` (KEY, doc_id, rank, score)."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {sorted(METHODS)}")
+    return candidates(METHODS[method](docs, queries, **options), docs, queries, k, fill=False)
+
+
+def expansion_variants(docs: DataFrame, variants: dict[str, DataFrame], base: DataFrame, k: int = 5) -> DataFrame:
+    """base (KEY) with ids_<v> and n_<v> of each variant's query table: bare, expanded or both; keys without a hit get an empty list and 0."""
+    out = base
+    for name, queries in variants.items():
+        ranked = candidates(bm25_scores(docs, queries), docs, queries, k, fill=False)
+        ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+        got = ranked.groupBy(*KEY).agg(ids.alias(f"ids_{name}"))
+        out = out.join(got, KEY, "left").withColumn(f"n_{name}", F.coalesce(F.size(f"ids_{name}"), F.lit(0)))
+        out = out.withColumn(f"n_{name}", F.when(F.col(f"ids_{name}").isNull(), 0).otherwise(F.col(f"n_{name}")))
+    return out
+
+
+def full_rankings(docs: DataFrame, queries: DataFrame, semantic: DataFrame, k: int = 20) -> DataFrame:
+    """(participant_id, item_id, config, retriever, rank, doc_id, score): the k best of both retrievers for every configuration at once.
+
+    queries: item_id, config, tokens; semantic: participant_id, item_id, config, doc_id, score. All
+    configurations share one pass over the texts.
+    """
+    asked = queries.select(F.struct("item_id", "config").alias("item_id"), "tokens")
+    corpus = postings(docs, asked)
+    b = candidates(bm25_scores(corpus, asked), corpus, asked, k, fill=False).withColumn("retriever", F.lit("bm25"))
+    s = semantic.withColumn("item_id", F.struct("item_id", "config"))
+    s = candidates(s.select(*KEY, "doc_id", "score"), corpus, asked, k, fill=False).withColumn("retriever", F.lit("semantic"))
+    both = b.select(*KEY, "retriever", "rank", "doc_id", "score").unionByName(s.select(*KEY, "retriever", "rank", "doc_id", "score"))
+    return both.select("participant_id", F.col("item_id.item_id").alias("item_id"), F.col("item_id.config").alias("config"), "retriever", "rank", "doc_id", "score")
+
+
+def score_maps(records: DataFrame, ids: str, scores: str) -> DataFrame:
+    """KEY with `by_id`, a map from id to score, of records that quality.scored_records() has nothing against."""
+    return records.select(*KEY, F.map_from_arrays(F.transform(ids, lambda x: x.cast("string")), F.transform(scores, lambda x: x.cast("double"))).alias("by_id"))
+
+
+def hybrid_columns(base: DataFrame, ranked: DataFrame, texts: DataFrame, budget: int = 350, sep: str = " [WINDOW_SEP] ") -> DataFrame:
+    """base (KEY) with ids, scores, pack and n_windows of its ranked documents that fit a budget of words.
+
+    texts (participant_id, doc_id, text) are looked up within the participant, so a foreign id finds
+    nothing and counts in n_foreign. A separator costs a word, the first document always stays.
+    """
+    met = ranked.join(texts.select("participant_id", "doc_id", "text"), ["participant_id", "doc_id"], "left")
+    words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""))
+    local = met.where(F.col("text").isNotNull()).withColumn("n_words", words)
+    local = local.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("rank")))
+    foreign = met.groupBy(*KEY).agg(F.count_if(F.col("text").isNull()).alias("n_foreign"))
+    out = packed(word_budget(local, KEY, budget), base, sep).join(foreign, KEY, "left")
+    return out.withColumn("n_foreign", F.coalesce("n_foreign", F.lit(0)))

@@ -73,7 +73,10 @@ def word_budget(ranked: DataFrame, keys: list[str], budget: int, words: str = "n
 
 
 def token_budget(ranked: DataFrame, keys: list[str], budget: Column, tokens: str = "n_tokens", rank: str = "rank", sep_tokens: int = 1) -> DataFrame:
-    """The ranked rows that fit a budget of tokens, none of them excepted, with budget_unused and excluded_next_len."""
+    """The ranked rows that fit a budget of tokens, none of them excepted, with budget_unused and excluded_next_len.
+
+    A key whose first row is over budget has no row here; token_budget_stats() has all keys.
+    """
     by = Window.partitionBy(*keys).orderBy(rank)
     cost = F.col(tokens) + F.when(F.col(rank) > 1, sep_tokens).otherwise(0)
     used = F.sum(cost).over(by.rowsBetween(Window.unboundedPreceding, 0))
@@ -85,6 +88,37 @@ def token_budget(ranked: DataFrame, keys: list[str], budget: Column, tokens: str
     ).drop("_next", "_budget")
 
 
+def token_budget_stats(ranked: DataFrame, keys: list[str], budget: Column, tokens: str = "n_tokens", rank: str = "rank", sep_tokens: int = 1) -> DataFrame:
+    """A row a key, empty packs included: budget, n_windows, total_tokens, unused_capacity, excluded_next_len (0 if nothing is left out)."""
+    by = Window.partitionBy(*keys).orderBy(rank)
+    first = F.row_number().over(by) == 1
+    rows = ranked.withColumn("_budget", budget).withColumn("_first", first)
+    rows = rows.withColumn("_used", F.sum(F.col(tokens) + F.when(F.col("_first"), 0).otherwise(sep_tokens)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    fits = F.col("_used") <= F.col("_budget")
+    total = F.coalesce(F.max(F.when(fits, F.col("_used"))), F.lit(0))
+    return rows.groupBy(*keys).agg(
+        F.first("_budget").alias("budget"), F.count_if(fits).alias("n_windows"), total.alias("total_tokens"), (F.first("_budget") - total).alias("unused_capacity"),
+        F.coalesce(F.min_by(tokens, F.when(~fits, F.col(rank))), F.lit(0)).alias("excluded_next_len"),
+    )
+
+
+def transcript_text(turns: DataFrame, key: str = "participant_id", order: str = "pos", text: str = "text") -> DataFrame:
+    """(key, transcript): trimmed lines that aren't blank, in order, a line each; null if there is none."""
+    rows = turns.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, F.trim(text).alias("line")))), lambda x: x["line"])
+    found = rows.groupBy(key).agg(F.array_join(lines, "\n").alias("transcript"))
+    return turns.select(key).distinct().join(found, key, "left")
+
+
+def severe_then_random(rows: DataFrame, keys: list[str], order: str, k: int, severe: Column, seed: str = "42") -> DataFrame:
+    """k rows a group: one severe one, if there is any, then others whatever they are; both by hash order."""
+    by = hash_order(seed, *keys, order)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(severe, 0).otherwise(1), by, order)) == 1
+    marked = rows.withColumn("_lead", first & severe)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("_lead"), 0).otherwise(1), by, order))
+    return marked.withColumn("pick", place).where(F.col("pick") <= k).drop("_lead")
+
+
 def prefix(ranked: DataFrame, keys: list[str], kind: str, budget: int = 350) -> DataFrame:
     """top3, top5 or budget."""
     if kind == "budget":

@@ -106,3 +106,24 @@ def parse_summary(df: DataFrame, by: list[str]) -> DataFrame:
     of = lambda s: F.count_if(F.col("status") == s)
     return df.groupBy(*by).agg(*(of(s).alias(s) for s in ("supports", "against", "ambiguous", "none")), F.count_if(F.col("status").isNull()).alias("unparsed"),
                                F.when(n > 0, (of("supports") + of("against")) / n).alias("informative_rate"), F.when(n > 0, of("none") / n).alias("none_rate"), (n / F.count("*")).alias("parse_rate"))
+
+
+def pivoted(df: DataFrame, by: list[str], over: str, values: list[str], value: str) -> DataFrame:
+    """Means of `value` at (by..., over), a column for each of `values`."""
+    return df.groupBy(*by).pivot(over, values).agg(F.avg(value))
+
+
+def rate_deltas(a: DataFrame, b: DataFrame, key: str, rate: str) -> DataFrame:
+    """(key, a, b, delta) of a rate in two runs, with the mean row under a null key."""
+    met = a.select(key, F.col(rate).alias("a")).join(b.select(key, F.col(rate).alias("b")), key).withColumn("delta", F.col("b") - F.col("a"))
+    return met.unionByName(met.agg(*(F.avg(c).alias(c) for c in ("a", "b", "delta"))).withColumn(key, F.lit(None).cast(met.schema[key].dataType)))
+
+
+def seed_rollup(df: DataFrame, model: str, seed: str, value: str, a: str, b: str) -> DataFrame:
+    """One row: means and spreads of two models' values over seeds both have, the paired difference's t, and how often b wins."""
+    both = df.where(F.col(model).isin(a, b)).groupBy(seed).pivot(model, [a, b]).agg(F.first(value)).dropna()
+    d = F.col(b) - F.col(a)
+    return both.agg(
+        F.count("*").alias("seeds"), F.avg(a).alias("mean_a"), F.stddev_samp(a).alias("sd_a"), F.avg(b).alias("mean_b"), F.stddev_samp(b).alias("sd_b"),
+        F.count_if(d > 0).alias("wins"), F.when(F.stddev_samp(d) > 0, F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t"),
+    )

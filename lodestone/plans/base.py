@@ -54,8 +54,8 @@ AS q(item_id, glossary)
 TERMS = """
 SELECT * FROM (VALUES
   (1, 'core', 1, 'sleep trouble', 'keep', 'direct'), (1, 'lay', 1, 'up all night', 'keep', 'direct'), (1, 'clinical', 1, 'insomnia', 'keep', 'direct'),
-  (1, 'clinical', 2, 'tired when ill', 'remove', 'related_nonspecific'), (2, 'core', 1, 'no interest', 'keep', 'direct'), (2, 'lay', 1, 'the', 'keep', 'direct'),
-  (2, 'lay', 2, 'bored of it', 'keep', 'direct'), (2, 'clinical', 1, 'anhedonia', 'keep', 'direct'), (3, 'core', 1, 'tion and the', 'keep', 'direct'),
+  (1, 'clinical', 2, 'tired when ill', 'remove', 'related_nonspecific'), (1, 'lay', 2, 'stay in bed all day', 'keep', 'direct'), (2, 'core', 1, 'no interest', 'keep', 'direct'), (2, 'lay', 1, 'the', 'keep', 'direct'),
+  (2, 'lay', 2, 'bored of it', 'keep', 'direct'), (2, 'lay', 3, 'Gave up on friends', 'keep', 'direct'), (2, 'clinical', 1, 'anhedonia', 'keep', 'direct'), (3, 'core', 1, 'tion and the', 'keep', 'direct'),
   (3, 'lay', 1, 'license', 'keep', 'direct'), (3, 'clinical', 1, 'side effect of', 'keep', 'related_nonspecific'), (3, 'clinical', 2, 'os', 'remove', 'direct'))
 AS t(item_id, tier, pos, term, decision, relation)
 """
@@ -63,14 +63,23 @@ AS t(item_id, tier, pos, term, decision, relation)
 #: Judgments of ranked windows under configurations, made from line items.
 JUDGED = """
 SELECT CAST(l_suppkey AS BIGINT) AS participant_id, CAST(l_partkey % 8 + 1 AS INT) AS item_id,
-  CASE l_orderkey % 3 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' ELSE 'L3' END AS config, CASE l_partkey % 2 WHEN 0 THEN 'bm25' ELSE 'semantic' END AS retriever,
+  CASE l_orderkey % 3 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' ELSE 'L3' END AS config, CASE CAST(floor(l_extendedprice) AS BIGINT) % 2 WHEN 0 THEN 'bm25' ELSE 'semantic' END AS retriever,
   CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'top3' WHEN 1 THEN 'top5' ELSE 'budget' END AS prefix,
   CASE (l_orderkey * 3 + l_partkey) % 6 WHEN 0 THEN 'supports' WHEN 1 THEN 'against' WHEN 2 THEN 'ambiguous' WHEN 5 THEN NULL ELSE 'none' END AS status,
   CAST((l_orderkey + l_partkey) % 4 AS INT) AS severity_hint, CAST(l_quantity / 50 AS DOUBLE) AS agreement, l_orderkey AS window_no, CAST(l_linenumber AS INT) AS rank
 FROM lineitem
 """
 
-BASES = {"preds": PREDS, "turns": TURNS, "utterances": UTTERANCES, "items": ITEMS, "terms": TERMS, "judged": JUDGED}
+#: Sentences asked for an item: kinds by tier, two poles for the third item.
+ASKED = """
+SELECT * FROM (VALUES
+  (1, 'Q0_ITEM', 'item', 'default', 'The person has trouble sleeping.'), (1, 'Q1_LAY', 'lay', 'default', 'The person is up all night.'), (1, 'Q2_CLINICAL', 'clinical', 'default', 'The person has insomnia and is tired when ill.'),
+  (2, 'Q0_ITEM', 'item', 'default', 'The person has no interest.'), (2, 'Q1_LAY', 'lay', 'default', 'The person is bored of it.'), (2, 'Q2_CLINICAL', 'clinical', 'default', 'The person shows anhedonia.'),
+  (3, 'Q0_ITEM', 'item', 'more', 'The person eats more.'), (3, 'Q0_ITEM', 'item', 'less', 'The person eats less.'), (3, 'Q2_CLINICAL', 'clinical', 'less', 'A side effect of the license.'))
+AS q(item_id, id, kind, pole, text)
+"""
+
+BASES = {"preds": PREDS, "turns": TURNS, "utterances": UTTERANCES, "items": ITEMS, "terms": TERMS, "judged": JUDGED, "asked_of": ASKED}
 
 
 def base(spark: SparkSession, folder: str, name: str) -> DataFrame:

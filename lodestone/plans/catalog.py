@@ -243,7 +243,7 @@ def core_terms(spark, d):
 
 
 @query("""
-WITH c(config, tier, i) AS (VALUES ('L0_CORE', 'core', 0), ('L1_LAY', 'core', 0), ('L1_LAY', 'lay', 1), ('L2_CLINICAL', 'core', 0), ('L2_CLINICAL', 'clinical', 1), ('L3_FULL', 'core', 0), ('L3_FULL', 'lay', 1), ('L3_FULL', 'clinical', 2))
+WITH c(config, tier, i) AS (VALUES ('L0_CORE', 'core', 0), ('L1_CORE_LAY', 'core', 0), ('L1_CORE_LAY', 'lay', 1), ('L2_CORE_CLINICAL', 'core', 0), ('L2_CORE_CLINICAL', 'clinical', 1), ('L3_FULL', 'core', 0), ('L3_FULL', 'lay', 1), ('L3_FULL', 'clinical', 2))
 SELECT item_id, config, string_agg(term, ' ' ORDER BY i, pos) AS query FROM terms JOIN c USING (tier) GROUP BY item_id, config
 """)
 def expanded_queries(spark, d):
@@ -258,8 +258,8 @@ def flat_terms(spark, d):
     return lexicon.flat_terms(base(spark, d, "items"), base(spark, d, "terms"))
 
 
-@query("""
-SELECT item_id, term, CASE WHEN regexp_matches(lower(term), 'when |because|due to|side effect|history') THEN 'indirect' ELSE 'direct' END AS relation_class,
+@query(f"""
+SELECT item_id, term, CASE WHEN regexp_matches(lower(term), '{"|".join(c.replace("'", "''") for c in lexicon.INDIRECT)}') THEN 'indirect_manifestation' ELSE 'direct_paraphrase' END AS relation_class,
   decision = 'keep' AND relation <> 'related_nonspecific' AS in_primary_query FROM terms
 """)
 def lexicon_manifest(spark, d):
@@ -740,16 +740,27 @@ def fitted_temperature(spark, d):
     return fusion.fitted_temperature(base(spark, d, "preds"), "encoder", [0.5, 0.8, 1.0, 1.5, 2.0])
 
 
-@query("""
-WITH e AS (SELECT h.fold AS held, item_id, avg(abs(encoder_pred - label)) - avg(abs(llm_pred - label)) > 0.02 AS llm_item FROM preds p JOIN (SELECT DISTINCT fold FROM preds) h ON p.fold <> h.fold GROUP BY ALL),
-g AS (SELECT e.held, p.*, t AS tau, CASE WHEN llm_item AND greatest(e0, e1, e2, e3) < t THEN llm_pred ELSE encoder_pred END AS pred FROM preds p JOIN e USING (item_id), (VALUES (0.4::DOUBLE), (0.6), (0.8)) v(t)),
-r AS (SELECT held, tau, label AS y, pred AS p FROM g WHERE fold <> held),
-n AS (SELECT held, tau, count(*) AS n, sum(power(y - p, 2)) AS o, sum(y * y) AS yy, sum(p * p) AS pp, sum(y) AS sy, sum(p) AS sp FROM r GROUP BY ALL),
-c AS (SELECT held, tau FROM n QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(1 - o / (yy + pp - 2.0 * sy * sp / n), 12) DESC, tau) = 1)
+def sql_route(gain: str, route: str, taus: str) -> str:
+    """Nested routing: items by MAE on the other folds, tau by kappa on them, the first of equals."""
+    return f"""
+WITH e AS (SELECT h.fold AS held, item_id, round({gain}, 12) > 0.02 AS other_item FROM preds p JOIN (SELECT DISTINCT fold FROM preds) h ON p.fold <> h.fold GROUP BY ALL),
+g AS (SELECT e.held, p.*, t AS tau, {route} AS pred FROM preds p JOIN e USING (item_id), (VALUES {taus}) v(t)),
+o AS (SELECT held, tau, avg(power(label - pred, 2)) AS o, count(*) AS n FROM g WHERE fold <> held GROUP BY ALL),
+r AS (SELECT held, tau, label AS y, count(*) AS r FROM g WHERE fold <> held GROUP BY ALL), k AS (SELECT held, tau, pred AS p, count(*) AS k FROM g WHERE fold <> held GROUP BY ALL),
+x AS (SELECT held, tau, sum(power(y - p, 2) * r * k) AS x FROM r JOIN k USING (held, tau) GROUP BY ALL),
+c AS (SELECT held, tau FROM o JOIN x USING (held, tau) QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(1 - o / (x / n / n), 12) DESC, tau) = 1)
 SELECT participant_id, g.item_id, g.tau, CAST(pred AS INT) AS prediction FROM g JOIN c ON g.held = c.held AND g.tau = c.tau WHERE g.fold = g.held
-""")
+"""
+
+
+@query(sql_route("avg(abs(encoder_pred - label)) - avg(abs(llm_pred - label))", "CASE WHEN greatest(e0, e1, e2, e3) < t OR status IN ('ambiguous', 'none') OR other_item THEN llm_pred ELSE encoder_pred END", "(0.4::DOUBLE), (0.5), (0.6), (0.7), (0.8), (0.9)"))
 def nested_route(spark, d):
-    return fusion.nested_route(base(spark, d, "preds"), [0.4, 0.6, 0.8]).select("participant_id", "item_id", "tau", "prediction")
+    return fusion.nested_route(base(spark, d, "preds"), [0.4, 0.5, 0.6, 0.7, 0.8, 0.9]).select("participant_id", "item_id", "tau", "prediction")
+
+
+@query(sql_route("avg(abs(llm_pred - label)) - avg(abs(encoder_pred - label))", "CASE WHEN list_sort([l0, l1, l2, l3])[4] - list_sort([l0, l1, l2, l3])[3] < t OR other_item THEN encoder_pred ELSE llm_pred END", "(0.1::DOUBLE), (0.2), (0.3), (0.4), (0.5), (0.6)"))
+def nested_route_llm_first(spark, d):
+    return fusion.nested_route(base(spark, d, "preds"), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], "llm_first").select("participant_id", "item_id", "tau", "prediction")
 
 
 @query("SELECT participant_id, item_id, CAST(greatest(least(round_even(e1 + 2 * e2 + 3 * e3, 0), 3), 0) AS INT) AS decoded, round(e1 + 2 * e2 + 3 * e3, 6) AS expected FROM preds")
@@ -844,7 +855,7 @@ def window_redundancy(spark, d):
 
 
 SQL_KINDS = """
-w AS (SELECT config, prefix, participant_id, item_id, min(status) FILTER (retriever = 'bm25') AS a, min(status) FILTER (retriever = 'semantic') AS b FROM judged GROUP BY ALL),
+w AS (SELECT config, prefix, participant_id, item_id, (min({'r': rank, 'w': window_no, 's': status}) FILTER (retriever = 'bm25')).s AS a, (min({'r': rank, 'w': window_no, 's': status}) FILTER (retriever = 'semantic')).s AS b FROM judged WHERE status IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'unpaired' WHEN a IN ('supports', 'against') AND b IN ('supports', 'against') THEN CASE WHEN a = b THEN 'both_agree' ELSE 'both_disagree' END
   WHEN a IN ('supports', 'against') THEN 'bm25_only' WHEN b IN ('supports', 'against') THEN 'semantic_only' WHEN a = 'ambiguous' OR b = 'ambiguous' THEN 'ambiguous' ELSE 'neither' END AS kind FROM w)"""
 KINDS = ["config", "prefix", "participant_id", "item_id"]
@@ -873,10 +884,12 @@ SQL_CAND = """
 c AS (SELECT config, retriever, prefix, avg(CAST(status IN ('supports', 'against') AS INT)) AS inf, avg(CAST(status = 'none' AS INT)) AS non, avg(CAST(status = 'ambiguous' AS INT)) AS amb FROM judged GROUP BY ALL)"""
 
 
-@query(f"""WITH {SQL_CAND}, t AS (SELECT * FROM c WHERE inf >= (SELECT max(inf) FROM c) - 0.05)
-SELECT config, retriever, prefix, round(inf, 6) AS informative_rate FROM t ORDER BY non, amb, list_position(['top3', 'top5', 'budget'], prefix), list_position(['bm25', 'semantic', 'hybrid'], retriever), inf DESC, config LIMIT 1""")
+@query(f"""WITH {SQL_CAND}, t AS (SELECT *, CAST(len(config || retriever || prefix) * 7 % 5 AS DOUBLE) AS red FROM c WHERE inf >= (SELECT max(inf) FROM c) - 0.05)
+SELECT config, retriever, prefix, round(inf, 6) AS informative_rate FROM t ORDER BY round(non, 1), round(amb, 1), red, list_position(['top3', 'top5', 'budget'], prefix), list_position(['bm25', 'semantic', 'hybrid'], retriever), inf DESC, config LIMIT 1""")
 def select_config(spark, d):
-    c = judgments.set_rates(base(spark, d, "judged"), ["config", "retriever", "prefix"]).withColumn("redundancy", F.lit(0.0))
+    c = judgments.set_rates(base(spark, d, "judged"), ["config", "retriever", "prefix"])
+    # coarse rates, so that ties reach the redundancy
+    c = c.withColumns({"redundancy": (F.length(F.concat("config", "retriever", "prefix")) * 7 % 5).cast("double"), "none_rate": F.round("none_rate", 1), "ambiguous_rate": F.round("ambiguous_rate", 1)})
     return rounded(fusion.select_config(c, tie=0.05).select("config", "retriever", "prefix", "informative_rate"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import STOPWORDS, WINDOW_SEP, tokens
+from lodestone.functions.text import STOPWORDS, WINDOW_SEP, retrieval_method, tokens
 from lodestone.operators import fusion, inference, judgments, metrics, retrieval, sequences
 
 
@@ -52,3 +52,19 @@ def overlap_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A stand-in for a cross-encoder: score over one plus rank."""
     for b in batches:
         yield b.assign(rerank_score=b["score"] / (1.0 + b["rank"] % 3))
+
+
+def run_manifest(preds: DataFrame, runs: DataFrame) -> DataFrame:
+    """A row a run: where its evidence came from, its rows, participants and folds, and its headline metrics.
+
+    preds are long (run, participant_id, fold, label, prediction); runs: run, dataset, evidence_column.
+    """
+    sizes = preds.groupBy("run").agg(F.count("*").alias("rows"), F.count_distinct("participant_id").alias("participants"), F.count_distinct("fold").alias("folds"))
+    m = metrics.item_metrics(metrics.cells(preds, ["run"]), ["run"]).select("run", "accuracy", "macro_f1", "qwk", "mae")
+    named = runs.withColumn("method", retrieval_method(F.col("dataset"), F.col("evidence_column")))
+    return named.join(sizes, "run", "left").join(m, "run", "left")
+
+
+def results_summary(manifest: DataFrame) -> DataFrame:
+    """(run, metric, value, rank, best) of all runs with results."""
+    return metrics.leaderboard(manifest.where("rows IS NOT NULL").unpivot(["run"], ["accuracy", "macro_f1", "qwk", "mae"], "metric", "value"), ["mae"])

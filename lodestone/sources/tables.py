@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,8 +20,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """A query over the tables it names, each read from folder; only columns it uses are read."""
-    import re
-
     for name in TABLES:
         if re.search(rf"\b{name}\b", text):
             table(spark, folder, name).createOrReplaceTempView(name)
@@ -122,3 +123,35 @@ def manifest(spark: SparkSession, pattern: str) -> DataFrame:
 def artifact_status(spark: SparkSession, expected: list[str]) -> DataFrame:
     """(artifact, status) for a list of paths."""
     return spark.createDataFrame([(p, "present" if exists(spark, p) else "MISSING") for p in expected], "artifact string, status string")
+
+
+def discovered(spark: SparkSession, root: str, name: str) -> str:
+    """The first path, in order, of a file of that name anywhere below root; an error if there is none."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path").orderBy("path").head()
+    if found is None:
+        raise FileNotFoundError(f"no {name} below {root}")
+    return found.path
+
+
+def parquet_or_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, or the CSV file with a head beside it if only that is there."""
+    if exists(spark, path):
+        return spark.read.parquet(path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(re.sub(r"\.parquet$", ".csv", path))
+
+
+def json_document(df: DataFrame, most: int = 100_000) -> str:
+    """A small table as one indented JSON list; an error if it has more rows than a document should."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, indent=2, default=str)
+
+
+def markdown_lines(df: DataFrame, order: str) -> DataFrame:
+    """(place, line): a Markdown table, head and rule first, rows in order; a bar or line feed in a value is escaped."""
+    cells = (F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in df.columns)
+    line = F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    rows = df.select(F.concat(F.lit("2:"), F.lpad(F.col(order).cast("string"), 24, "0")).alias("place"), line.alias("line"))
+    return df.sparkSession.createDataFrame(list(zip(("0", "1"), head)), "place string, line string").unionAll(rows)
