@@ -60,7 +60,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     docs have tokens, or are postings(). The corpus is the participant's documents, without those that
     have no token unless keep_empty. A term that a query repeats counts as often. idf `plus` is
     ln(1 + (N - df + .5) / (df + .5)), `okapi` ln((N - df + .5) / (df + .5)) with negative values set to
-    floor times the corpus mean; only okapi reads all tokens a second time, for that mean.
+    floor times the corpus mean; only okapi reads all tokens a second time, for that mean. Scores are
+    rounded to nine places, so that equal ones are equal in whatever order they were summed.
     """
     if idf == "okapi" and "tokens" not in docs.columns:
         raise ValueError("okapi needs all tokens")
@@ -80,7 +81,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
         weights = raw.join(mean, "participant_id").withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
     scored = tf.join(weights.join(asked, "term"), ["participant_id", "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("participant_id", "item_id", "doc_id").agg(F.sum(part).alias("score"))
+    return scored.groupBy("participant_id", "item_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, stopwords: list[str], ngrams: int = 2) -> DataFrame:
@@ -251,7 +252,7 @@ def hybrid_prototype(bm25: DataFrame, semantic: DataFrame, alpha: float = 0.5, k
     a = bm25.select(*KEY, "doc_id", "pos", F.col("score").alias("bm25"))
     s = semantic.select(*KEY, "doc_id", "pos", F.col("score").alias("semantic"))
     both = a.join(s, [*KEY, "doc_id", "pos"], "full_outer").fillna(0.0, ["bm25", "semantic"])
-    fused = both.withColumn("score", alpha * minmax(F.col("semantic"), KEY) + (1 - alpha) * minmax(F.col("bm25"), KEY))
+    fused = both.withColumn("score", F.round(alpha * minmax(F.col("semantic"), KEY) + (1 - alpha) * minmax(F.col("bm25"), KEY), 9))
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= k)
 
 

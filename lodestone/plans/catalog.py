@@ -310,7 +310,7 @@ raw AS (SELECT participant_id, term, {idf} AS idf FROM df JOIN corpus USING (par
 mean AS (SELECT participant_id, avg(idf) AS m FROM raw GROUP BY 1),
 asked AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(glossary, ' '), lambda x: x NOT IN ({SQL_STOP}))) AS term FROM items),
 scores AS (
-  SELECT tf.participant_id, item_id, tf.doc_id, sum((CASE WHEN raw.idf < 0 THEN 0.25 * m ELSE raw.idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(l.t) / avgdl))) AS score
+  SELECT tf.participant_id, item_id, tf.doc_id, round(sum((CASE WHEN raw.idf < 0 THEN 0.25 * m ELSE raw.idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(l.t) / avgdl))), 9) AS score
   FROM asked JOIN tf USING (term) JOIN raw USING (participant_id, term) JOIN mean USING (participant_id) JOIN corpus USING (participant_id) JOIN live l ON l.participant_id = tf.participant_id AND l.doc_id = tf.doc_id
   GROUP BY ALL)"""
 
@@ -628,9 +628,11 @@ def bootstrap_draws(spark, d):
     return inference.draws(p, "participant_id").groupBy("replicate").agg(F.count("*").alias("clusters"), F.sum("weight").alias("draws"), F.sum(F.col("weight") * F.col("participant_id")).alias("checksum"))
 
 
-#: Confusion cells of each participant and run, weighted and written out again as metrics over (y, p, n).
-SQL_BOOT = f"""{SQL_DRAWS},
-cells AS (SELECT participant_id, 'encoder_pred' AS run, label AS y, encoder_pred AS p, count(*) AS k FROM preds GROUP BY ALL UNION ALL SELECT participant_id, 'llm_pred', label, llm_pred, count(*) FROM preds GROUP BY ALL),
+def sql_boot(other: str = "llm_pred", value: str = "llm_pred", rows: str = "preds", replicates: int = 2000, digits: str = ", 6") -> str:
+    """Confusion cells of each participant and run, weighted and written out again as metrics over (y, p, n)."""
+    r = lambda x: f"round({x}{digits})" if digits else x
+    return f"""{SQL_DRAWS.replace('range(2000)', f'range({replicates})')},
+cells AS (SELECT participant_id, 'encoder_pred' AS run, label AS y, encoder_pred AS p, count(*) AS k FROM {rows} GROUP BY ALL UNION ALL SELECT participant_id, '{other}', label, CAST({value} AS INT), count(*) FROM {rows} GROUP BY ALL),
 s AS (SELECT replicate, run, y, p, CAST(sum(k * weight) AS DOUBLE) AS n FROM weights JOIN cells USING (participant_id) GROUP BY ALL),
 rows_of AS (SELECT replicate, run, y, sum(n) AS r FROM s GROUP BY ALL), columns_of AS (SELECT replicate, run, p, sum(n) AS c FROM s GROUP BY ALL),
 f AS (SELECT replicate, run, sum(f) / 4 AS macro_f1 FROM (
@@ -638,7 +640,10 @@ f AS (SELECT replicate, run, sum(f) / 4 AS macro_f1 FROM (
     SELECT replicate, run, y AS v, 0 AS hit, 0 AS said, r AS true_n FROM rows_of UNION ALL SELECT replicate, run, p, 0, c, 0 FROM columns_of UNION ALL SELECT replicate, run, y, n, 0, 0 FROM s WHERE y = p) GROUP BY ALL) GROUP BY ALL),
 x AS (SELECT replicate, run, sum(power(y - p, 2) * r * c) AS e FROM rows_of JOIN columns_of USING (replicate, run) GROUP BY ALL),
 m AS (SELECT replicate, run, sum(n) AS n, sum(n) FILTER (y = p) / sum(n) AS accuracy, sum(n * abs(y - p)) / sum(n) AS mae, sum(n * power(y - p, 2)) AS o FROM s GROUP BY ALL),
-metrics AS (SELECT replicate, run, round(accuracy, 6) AS accuracy, round(mae, 6) AS mae, round(macro_f1, 6) AS macro_f1, round(1 - o / (e / n), 6) AS qwk FROM m JOIN x USING (replicate, run) JOIN f USING (replicate, run))"""
+metrics AS (SELECT replicate, run, {r("accuracy")} AS accuracy, {r("mae")} AS mae, {r("macro_f1")} AS macro_f1, {r("1 - o / (e / n)")} AS qwk FROM m JOIN x USING (replicate, run) JOIN f USING (replicate, run))"""
+
+
+SQL_BOOT = sql_boot()
 
 
 @query(f"""WITH {SQL_BOOT}, long AS (UNPIVOT (SELECT replicate, run, accuracy, macro_f1, qwk FROM metrics) ON accuracy, macro_f1, qwk INTO NAME metric VALUE value)
@@ -1086,19 +1091,39 @@ def missing_policy_mask(spark, d):
     return m.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("loss_weight").cast("long").alias("in_loss"))
 
 
-@query()
+@query("""
+WITH i AS (SELECT participant_id, item_id, llm_pred, '- item ' || item_id || ': ' || llm_pred || ' (' || CASE WHEN greatest(l0, l1, l2, l3) >= 0.6 THEN 'high' WHEN greatest(l0, l1, l2, l3) >= 0.4 THEN 'moderate' ELSE 'low' END || ' confidence)'
+  || CASE WHEN status = 'none' AND label >= 1 THEN ', not discussed' WHEN abs(llm_pred - label) >= 2 OR (status = 'against' AND label >= 1) THEN ', contradicts the questionnaire' ELSE '' END AS line FROM preds)
+SELECT participant_id, 'Participant ' || participant_id || ': total ' || sum(llm_pred) || ' of ' || count(*) || ' items.' || chr(10) || string_agg(line, chr(10) ORDER BY item_id) AS report FROM i GROUP BY participant_id
+""")
 def narrative_reports(spark, d):
     p = base(spark, d, "preds").withColumns({"prediction": F.col("llm_pred"), "p_max": F.array_max("llm"), "evidence": F.lit("a"), "self_score": F.col("label")})
     return reports.narrative(reports.records(p))
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT participant_id, doc_id, pos, list_filter({SQL_TOKENS}, lambda x: len(x) > 1 AND x NOT IN ({SQL_STOP})) AS w FROM utterances),
+g AS (SELECT participant_id, doc_id, pos, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+qw AS (SELECT item_id, list_filter(regexp_split_to_array(glossary, ' '), lambda x: len(x) > 1 AND x NOT IN ({SQL_STOP})) AS w FROM items),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM qw) GROUP BY ALL),
+n AS (SELECT participant_id, count(*) + 1 AS n FROM g GROUP BY 1),
+tf AS (SELECT participant_id, doc_id, pos, term, count(*) AS tf FROM (SELECT participant_id, doc_id, pos, unnest(g) AS term FROM g) GROUP BY ALL),
+df AS (SELECT participant_id, term, count(*) AS df FROM tf GROUP BY ALL),
+qv AS (SELECT participant_id, item_id, term, qtf * (ln((1 + n) / (2.0 + coalesce(df, 0))) + 1) AS v FROM n CROSS JOIN q LEFT JOIN df USING (participant_id, term)),
+qn AS (SELECT participant_id, item_id, sqrt(sum(v * v)) AS q FROM qv GROUP BY ALL),
+met AS (SELECT DISTINCT tf.participant_id, item_id, doc_id, pos FROM tf JOIN q USING (term)),
+dv AS (SELECT met.participant_id, met.item_id, met.doc_id, met.pos, term, tf * (ln((1 + n) / (1.0 + df + CASE WHEN q.qtf IS NULL THEN 0 ELSE 1 END)) + 1) AS v FROM met JOIN tf USING (participant_id, doc_id) JOIN df USING (participant_id, term) JOIN n USING (participant_id) LEFT JOIN q ON q.item_id = met.item_id AND q.term = tf.term),
+c AS (SELECT dv.participant_id, dv.item_id, doc_id, dv.pos, round(sum(dv.v * coalesce(qv.v, 0)) / sqrt(sum(dv.v * dv.v)) / any_value(qn.q), 12) AS score FROM dv JOIN qn ON qn.participant_id = dv.participant_id AND qn.item_id = dv.item_id LEFT JOIN qv ON qv.participant_id = dv.participant_id AND qv.item_id = dv.item_id AND qv.term = dv.term GROUP BY ALL)
+SELECT participant_id, item_id, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score DESC, pos) AS rank, doc_id, round(score, 6) AS score FROM c QUALIFY rank <= 5
+""".replace("GROUP BY ALL)\nSELECT participant_id, item_id, row", "GROUP BY dv.participant_id, dv.item_id, doc_id, dv.pos)\nSELECT participant_id, item_id, row"))
 def tfidf_top(spark, d):
     docs, items = _docs(spark, d), _items(spark, d)
-    return rounded(retrieval.candidates(retrieval.tfidf_scores(docs, items, T.STOPWORDS), docs, items, 5, fill=False).select("participant_id", "item_id", "rank", "doc_id", "score"))
+    scores = rounded(retrieval.tfidf_scores(docs, items, T.STOPWORDS), 12)  # ties are ties in any order of sums
+    return rounded(retrieval.candidates(scores, docs, items, 5, fill=False).select("participant_id", "item_id", "rank", "doc_id", "score"))
 
 
-@query()
+@query("""WITH g AS (SELECT participant_id, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b, count(*) FILTER (label = 2) AS c, count(*) FILTER (label = 3) AS e FROM preds GROUP BY 1)
+SELECT participant_id, CAST((row_number() OVER (ORDER BY greatest(a, b, c, e) - least(a, b, c, e) DESC, a, b, c, e, md5('42|' || participant_id), participant_id) - 1) % 5 + 1 AS INT) AS fold FROM g""")
 def stratified_folds(spark, d):
     return learning.stratified_group_folds(base(spark, d, "preds"), "participant_id")
 
@@ -1109,7 +1134,12 @@ def stacked_predictions(spark, d):
     return s.select("participant_id", "item_id", "fold", "label", "prediction")
 
 
-@query()
+def _sql_fingerprint(name: str, columns: str) -> str:
+    row = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted(columns.split()))
+    return f"SELECT '{name}' AS name, count(*) AS rows, {len(columns.split())} AS columns, sha256(count(*) || ':' || CAST(coalesce(sum(CAST(CAST('0x' || substr(sha256({row}), 1, 12) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR)) AS sha256 FROM {name}"
+
+
+@query(" UNION ALL ".join(_sql_fingerprint(n, c) for n, c in (("labels", "doc_id quality toxic"), ("benchmark", "item_id text"), ("nation", "n_name n_nationkey n_regionkey"))))
 def bundle_fingerprints(spark, d):
     out = [reports.fingerprint(table(spark, d, n), n) for n in ("labels", "benchmark", "nation")]
     return out[0].unionAll(out[1]).unionAll(out[2])
@@ -1122,9 +1152,10 @@ def evidence_dataset(spark, d):
     return studies.evidence_dataset(base(spark, d, "turns"), base(spark, d, "items"))
 
 
-@query()
+@query(f"WITH {SQL_FULL} SELECT participant_id, item_id, doc_id, round(score / (1.0 + rank % 3), 6) AS rerank_score, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY round(score / (1.0 + rank % 3), 9) DESC, rank) AS new_rank FROM ranked WHERE rank <= 10 QUALIFY new_rank <= 3")
 def rerank_windows(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
+    items = _items(spark, d)
+    docs = retrieval.postings(_docs(spark, d), items)
     ranked = retrieval.candidates(retrieval.bm25_scores(docs, items), docs, items, 10)
     return rounded(retrieval.reranked(ranked, studies.overlap_scorer, 3).select("participant_id", "item_id", "doc_id", "new_rank", "rerank_score"))
 
@@ -1191,12 +1222,12 @@ def difficult_shares(spark, d):
     return judgments.difficult_share(chains, ["fold"])
 
 
-@query("SELECT item_id, count(*) AS n, count(*) FILTER (tier = 'clinical') AS clinical, string_agg(tier || ':' || term, '|' ORDER BY tier, pos) AS queries FROM terms GROUP BY item_id")
+@query("SELECT item_id, CAST(count(*) AS INT) AS n, string_agg(tier || ':' || term, '|' ORDER BY tier || pos) AS queries FROM terms GROUP BY item_id")
 def query_payloads(spark, d):
     q = base(spark, d, "terms").select("item_id", F.lit("p").alias("pole"), F.concat("tier", F.col("pos").cast("string")).alias("id"), F.col("tier").alias("kind"), F.col("term").alias("text"))
     p = lexicon.query_payload(q)
-    read = F.from_json("payload", "n long, clinical long, queries array<struct<pole:string,id:string,kind:string,text:string>>")
-    return p.select("item_id", read.alias("r")).select("item_id", "r.n", "r.clinical", F.array_join(F.transform("r.queries", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "|").alias("queries"))
+    read = F.from_json("payload", "n_queries int, queries array<struct<pole:string,id:string,kind:string,text:string>>")
+    return p.select("item_id", read.alias("r")).select("item_id", F.col("r.n_queries").alias("n"), F.array_join(F.transform("r.queries", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "|").alias("queries"))
 
 
 @query("""
@@ -1289,16 +1320,21 @@ def confidence_bins(spark, d):
     return rounded(b.groupBy("conf_bin").agg(F.count("*").alias("n"), ok("llm_pred").alias("llm_accuracy"), ok("encoder_pred").alias("encoder_accuracy")))
 
 
-@query()
+@query(f"""WITH routed AS (SELECT *, {SQL_TOP2} AS two, greatest(l0, l1, l2, l3) < 0.8 OR difficult_frac >= 0.8 AS routed FROM preds),
+{sql_boot("cascade_pred", SQL_CASCADE, "routed", 100, "")}, names AS (SELECT unnest(['macro_f1', 'qwk', 'mae', 'accuracy']) AS metric),
+v AS (SELECT replicate, run, metric, CASE metric WHEN 'macro_f1' THEN macro_f1 WHEN 'qwk' THEN qwk WHEN 'mae' THEN mae ELSE accuracy END AS v FROM metrics, names),
+dd AS (SELECT replicate, metric, round(max(v) FILTER (run = 'cascade_pred') - max(v) FILTER (run = 'encoder_pred'), 12) AS d FROM v GROUP BY ALL)
+{SQL_SUMMARY}""")
 def decision_study(spark, d):
-    return rounded(studies.decision_study(base(spark, d, "preds"), 100))
+    return rounded(studies.decision_study(base(spark, d, "preds"), 100), 5)
 
 
-@query()
+@query(f"""WITH {SQL_CAND}, t AS (SELECT * FROM c WHERE inf >= (SELECT max(inf) FROM c) - 0.005)
+SELECT config, retriever, prefix, round(inf, 6) AS informative_rate FROM t ORDER BY non, amb, list_position(['top3', 'top5', 'budget'], prefix), list_position(['bm25', 'semantic', 'hybrid'], retriever), inf DESC, config LIMIT 1""")
 def retrieval_study(spark, d):
-    return rounded(studies.retrieval_study(base(spark, d, "judged")))
+    return rounded(studies.retrieval_study(base(spark, d, "judged")).select("config", "retriever", "prefix", "informative_rate"))
 
 
-@query()
+@query(f"""WITH two AS (SELECT item_id, 'encoder_pred' AS run, label AS y, encoder_pred AS p FROM preds UNION ALL SELECT item_id, 'llm_pred', label, llm_pred FROM preds UNION ALL SELECT 0, 'encoder_pred', label, encoder_pred FROM preds UNION ALL SELECT 0, 'llm_pred', label, llm_pred FROM preds), {sql_metrics('two', 'run, item_id')} SELECT * FROM metrics""")
 def run_comparison(spark, d):
     return rounded(studies.run_comparison(base(spark, d, "preds"), ["encoder_pred", "llm_pred"]))

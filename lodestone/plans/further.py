@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import arrays as A
 from lodestone.functions import text as T
-from lodestone.operators import fusion, learning, lexicon, metrics, quality, reports, retrieval, sequences, summaries
+from lodestone.operators import fusion, lexicon, metrics, quality, reports, retrieval, sequences, summaries
 from lodestone.plans import studies
 from lodestone.plans.base import base
-from lodestone.plans.catalog import IDF_PLUS, SQL_CASCADE, SQL_DRAWS, SQL_FULL, SQL_STOP, SQL_SUMMARY, SQL_TOP2, SQL_TWO, _docs, _items, _sql_bm25, query, rounded, sql_metrics
+from lodestone.plans.catalog import IDF_PLUS, SQL_FULL, SQL_STOP, SQL_TWO, _docs, _items, _sql_bm25, query, rounded, sql_metrics
 from lodestone.sources.tables import table
 
 # ---------------------------------------------------------------- queries asked of an item
@@ -107,13 +107,6 @@ def hybrid_columns(spark, d):
     return out.select("participant_id", "item_id", F.array_join("ids", ",").alias("ids"), F.md5("pack").alias("pack_md5"), "n_windows")
 
 
-@query(f"WITH {SQL_FULL}, p AS (SELECT participant_id, item_id, doc_id, rank, score FROM ranked WHERE rank <= 10 AND score > 0) SELECT participant_id, item_id, doc_id, round(score / (1.0 + rank % 3), 6) AS rerank_score, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score / (1.0 + rank % 3) DESC, rank) AS new_rank FROM p QUALIFY new_rank <= 3")
-def rerank_scored(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
-    ranked = retrieval.bm25_top(docs, items, retrieval.Ranking(k=10, zero_policy="positive"))
-    return rounded(retrieval.reranked(ranked, studies.overlap_scorer, 3).select("participant_id", "item_id", "doc_id", "new_rank", "rerank_score"))
-
-
 @query(f"WITH {SQL_FULL} SELECT 'bm25' AS method, participant_id, item_id, count(*) AS n, round(sum(score), 4) AS score_sum FROM ranked WHERE rank <= 5 AND score > 0 GROUP BY ALL")
 def dispatched_retrieval(spark, d):
     r = retrieval.retrieve("bm25", _docs(spark, d), _items(spark, d)).where("score > 0")
@@ -252,12 +245,6 @@ def severe_then_random(spark, d):
     return sequences.severe_then_random(base(spark, d, "preds"), ["item_id"], "participant_id", 3, F.col("label") >= 2).select("item_id", "participant_id", "label", "pick")
 
 
-@query("""WITH g AS (SELECT participant_id, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b, count(*) FILTER (label = 2) AS c, count(*) FILTER (label = 3) AS e FROM preds GROUP BY 1)
-SELECT participant_id, CAST((row_number() OVER (ORDER BY greatest(a, b, c, e) - least(a, b, c, e) DESC, a, b, c, e, md5('42|' || participant_id), participant_id) - 1) % 5 + 1 AS INT) AS fold FROM g""")
-def balanced_folds(spark, d):
-    return learning.stratified_group_folds(base(spark, d, "preds"), "participant_id")
-
-
 @query("""WITH r AS (SELECT item_id, participant_id, row_number() OVER (PARTITION BY item_id ORDER BY greatest(l0, l1, l2, l3) DESC, participant_id) AS r, greatest(l0, l1, l2, l3) AS s FROM preds)
 SELECT item_id, participant_id FROM r ORDER BY r, s DESC, participant_id LIMIT 10""")
 def showcase_examples(spark, d):
@@ -388,26 +375,6 @@ def headline_rows(spark, d):
     return metrics.headline(reports.records(p), {"true_total": "total.true_total", "pred_total": "total.pred_total", "pred_band": "total.pred_band"}, ["participant_id"])
 
 
-@query(f"""WITH two AS (SELECT item_id, 'encoder_pred' AS run, label AS y, encoder_pred AS p FROM preds UNION ALL SELECT item_id, 'llm_pred', label, llm_pred FROM preds UNION ALL SELECT 0, 'encoder_pred', label, encoder_pred FROM preds UNION ALL SELECT 0, 'llm_pred', label, llm_pred FROM preds), {sql_metrics('two', 'run, item_id')} SELECT * FROM metrics""")
-def run_metric_rows(spark, d):
-    return rounded(studies.run_comparison(base(spark, d, "preds"), ["encoder_pred", "llm_pred"]))
-
-
-@query(f"""WITH {SQL_DRAWS.replace('2000', '100')},
-t AS (SELECT *, {SQL_TOP2} AS two, greatest(l0, l1, l2, l3) < 0.8 OR difficult_frac >= 0.8 AS routed FROM preds),
-a AS (SELECT participant_id, avg(CAST(encoder_pred = label AS INT)) AS ea, count(*) AS n, sum(CAST(encoder_pred = label AS INT)) AS e, sum(CAST(CAST({SQL_CASCADE} AS INT) = label AS INT)) AS c, sum(abs(encoder_pred - label)) AS em, sum(abs({SQL_CASCADE} - label)) AS cm FROM t GROUP BY 1),
-r AS (SELECT replicate, round(sum(c * weight) / sum(n * weight), 6) - round(sum(e * weight) / sum(n * weight), 6) AS acc, round(sum(cm * weight) / sum(n * weight), 6) - round(sum(em * weight) / sum(n * weight), 6) AS mae FROM weights JOIN a USING (participant_id) GROUP BY 1),
-dd AS (SELECT replicate, 'accuracy' AS metric, acc AS d FROM r UNION ALL SELECT replicate, 'mae', mae FROM r)
-{SQL_SUMMARY}""")
-def cascade_study(spark, d):
-    from lodestone.operators import inference
-
-    routed = fusion.gate("merged", F.col("llm"), F.col("difficult_frac"), 0.8, 0.8)
-    p = base(spark, d, "preds").withColumn("cascade_pred", fusion.cascade(F.col("llm"), F.col("encoder"), routed))
-    reps = rounded(inference.replicate_metrics(p, "participant_id", ["encoder_pred", "cascade_pred"], 100))
-    return rounded(inference.paired_deltas(reps, "encoder_pred", "cascade_pred", ["accuracy", "mae"]), 5)
-
-
 @query(f"SELECT DISTINCT item_id, term FROM terms WHERE decision = 'keep' AND relation <> 'related_nonspecific' AND lower(term) NOT IN ({SQL_STOP})")
 def kept_terms(spark, d):
     return lexicon.kept_terms(base(spark, d, "terms")).where(~F.lower("term").isin(T.STOPWORDS)).select("item_id", "term").distinct()
