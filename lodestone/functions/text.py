@@ -244,6 +244,12 @@ def chat_prompt(system: Column, user: Column) -> Column:
     return F.concat(F.lit("[INST] <<SYS>>\n"), system, F.lit("\n<</SYS>>\n\n"), user, F.lit(" [/INST]"))
 
 
+def few_shot_prompt(system: Column, examples: Column, user: Column) -> Column:
+    """A chat prompt with worked examples, an array of struct(user, answer), before the question; without any it is chat_prompt()."""
+    turns = F.transform(F.coalesce(examples, F.array().cast("array<struct<user:string,answer:string>>")), lambda e: F.concat(e["user"], F.lit(" [/INST] "), e["answer"], F.lit(" </s><s>[INST] ")))
+    return F.concat(F.lit("[INST] <<SYS>>\n"), system, F.lit("\n<</SYS>>\n\n"), F.array_join(turns, ""), user, F.lit(" [/INST]"))
+
+
 def masked_example(prompt: Column, target: Column, longest: int = 700, ignore: int = -100) -> Column:
     """struct(input_ids, labels) for training on the target alone: whitespace tokens hashed, prompt labels ignored."""
     ids = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), lambda w: F.crc32(w.cast("binary")))

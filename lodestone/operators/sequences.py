@@ -196,3 +196,12 @@ def length_batches(rows: DataFrame, cap: int, largest: int, samples: int = 1, le
 
     schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
     return rows.sortWithinPartitions(length, key).mapInPandas(run, schema)
+
+
+def padded_batches(rows: DataFrame, batch: str, ids: str = "input_ids", labels: str = "labels", pad: int = 0, ignore: int = -100) -> DataFrame:
+    """rows with ids and labels padded on the right to the longest of their batch, and attention_mask; batches are bounded by whoever made them."""
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    grown = rows.withColumn("_n", longest)
+    fill = lambda c, value: F.concat(F.col(c), F.array_repeat(F.lit(value).cast("bigint"), F.col("_n") - F.size(c)))
+    mask = F.concat(F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), F.col("_n") - F.size(ids)))
+    return grown.withColumns({"attention_mask": mask, ids: fill(ids, pad), labels: fill(labels, ignore)}).drop("_n")
