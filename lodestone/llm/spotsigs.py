@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import range_of
 from lodestone.llm.common import cut
 
 #: Common words of the languages served; each is an anchor, and no anchor is content.
@@ -70,43 +71,37 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _range(bounds: list[int]) -> Column:
-    """How many bounds are not above doc_id; 0 for a null one."""
-    return F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("doc_id")))
-
-
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """docs (doc_id, text) with sigs, next_text and next_sigs of the row that follows in descending doc_id.
 
     After the last row comes the first. Equal ids are ordered by a hash of the text; null ids come
-    last. Rows are dealt by ranges of ids whose bounds are approximate percentiles (`ranges` numbers,
-    by default twice the shuffle partitions); within a range the next row is the next row, and each
-    range's last row gets the first of the next range, one row a range.
+    last. Rows are dealt by ranges of ids (`ranges` numbers, by default twice the shuffle partitions)
+    whose bounds are percentiles of a sample of some hundred ids a range, chosen by hash; the sample
+    only says how even ranges are. Within a range the next row is the next row, and the first row of
+    the next range is dealt to both. What is broadcast has an id and a hash a range.
     """
     spark = docs.sparkSession
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+    some = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(ids.count() // (100 * ranges) + 1)) == 0)
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(docs.select(F.percentile_approx("doc_id", cuts, 20 * ranges).alias("b")).first().b or []))
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), (_range(bounds) if bounds else F.lit(0)).alias("range"))
-    order = [F.desc_nulls_last("doc_id"), F.desc("h")]
+    bounds = sorted(set(some.select(F.percentile_approx("doc_id", cuts, 20 * ranges).alias("b")).first().b or [])) if cuts else []
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), range_of(bounds, F.col("doc_id")).alias("range"))
 
     firsts = base.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("top"))  # nulls are least
-    ring = Window.partitionBy(F.lit(0)).orderBy(F.desc("range"))  # one row a range
-    ring = firsts.select("range", F.coalesce(F.lead("top").over(ring), F.first("top").over(ring)).alias("top")).select("range", "top.*")
-    found = base.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "text").join(F.broadcast(ring), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("h")))
-    found = found.groupBy("range").agg(F.max("text").alias("first_text"))
-    found = signatures(found, "first_text", "first_sigs")
-
-    rows = signatures(base.repartition("range"), "text", "sigs")
-    by = Window.partitionBy("range").orderBy(*order)
-    rows = rows.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(by)).withColumn("next_sigs", F.lead("sigs").over(by))
-    rows = rows.join(F.broadcast(found), "range", "left")
-    last = F.col("next_sigs").isNull()
-    return rows.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "sigs",
-        F.when(last, F.coalesce("first_text", F.lit(""))).otherwise(F.col("next_text")).alias("next_text"),
-        F.when(last, F.col("first_sigs")).otherwise(F.col("next_sigs")).alias("next_sigs"),
-    )
+    ring = Window.partitionBy(F.lit(0)).orderBy("range")  # one row a range, what follows the first range is the last
+    before = F.coalesce(F.lead("range").over(ring), F.min("range").over(Window.partitionBy(F.lit(0))))
+    ring = cut(firsts.select(F.col("top.doc_id").alias("d"), F.col("top.h").alias("k"), before.alias("before")))
+    met = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
+    own = F.struct("range", F.lit(False).alias("lent"))
+    lent = F.struct(F.col("before").alias("range"), F.lit(True).alias("lent"))
+    dealt = base.join(F.broadcast(ring), met, "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, lent))))
+
+    rows = signatures(dealt.select("doc_id", "text", "h", "to.range", "to.lent").repartition("range"), "text", "sigs")
+    by = Window.partitionBy("range").orderBy("lent", F.desc_nulls_last("doc_id"), F.desc("h"))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumn("next_text", F.lead(text).over(by)).withColumn("next_sigs", F.lead("sigs").over(by))
+    return rows.where(~F.col("lent")).select("doc_id", text.alias("text"), "sigs", "next_text", "next_sigs")
 
 
 def edit_probe(docs: DataFrame) -> DataFrame:
