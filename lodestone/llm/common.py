@@ -3,44 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
+import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import cut, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine one of our own.
-
-    On a cluster without that setting it is an error: no folder of one machine is read by the others.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            master = spark.conf.get("spark.master", "local")
-            if master.startswith("local-cluster") or not master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-            known = spark.sparkContext.getCheckpointDir()
-        where = known
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, so that later stages and lost executors restart there.
-
-    A written table rather than checkpoint(): that one runs its last stage twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Recent", "arrow_schema", "cut", "held_out", "letter_words", "map_rows", "new_path", "release", "shared_dir", "slices"]
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -49,6 +24,17 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str | None) -> list[str]:
+    """The runs of letters of a text, lower-cased. Numerals that are no digits, as in `²` or `Ⅷ`, are no letters."""
+    found = _LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for letters, run in groupby(w, str.isalpha) if letters]
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` rows, and of at most `size` bytes of strings and lists unless one row has more."""
     each = np.zeros(batch.num_rows, np.int64)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_schema, cut, release, shared_dir, slices
+from lodestone.llm.common import arrow_schema, cut, new_path, release, slices
 
 FORMAT = 1
 #: Encoded stretches a worker remembers, and bytes of ids it holds back before it writes them.
@@ -230,5 +230,5 @@ def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
     """Encodes docs into shards under `folder` (default: a new one in the shared folder) and reads them back."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or new_path(spark, "tokens")
     return read_documents(spark, write_shards(docs, tokenizer, folder, end_id))
