@@ -7,9 +7,9 @@ over its words. The probabilities are fitted by expectation-maximisation on a bo
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+import hashlib
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, map_rows
+from lodestone.llm.common import held_out, letter_words, map_rows
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Words a worker remembers scores of, the longest word that is scored in one go, a strange letter's log-probability.
+#: Words a worker remembers scores of, the longest word that is learned from (any is scored), a strange letter's log-probability.
 REMEMBERED, LONGEST, STRANGE = 1_000_000, 48, -18.0
+#: A sum below this is scaled up, so that those of long words don't vanish.
+SMALL = 1e-150
 
 
 @lru_cache(maxsize=2)
@@ -34,21 +35,10 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(p for p in found if p == "▁" or p.removeprefix("▁").isalpha() and p == p.lower()))}
 
 
-def words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
-
-
-def _cut_long(word: str) -> list[str]:
-    """A word longer than LONGEST counts as its stretches of that length."""
-    word = "▁" + word
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
-def spans(same_length: list[str], vocab: dict[str, int], longest: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+def each_span(same_length: list[str], vocab: dict[str, int], longest: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
     """For each end in words of one length: (start, words that have a piece from there, the pieces' numbers)."""
     n = len(same_length[0])
     get = vocab.get
-    out = []
     for end in range(1, n + 1):
         row = []
         for start in range(max(0, end - longest), end):
@@ -56,8 +46,11 @@ def spans(same_length: list[str], vocab: dict[str, int], longest: int) -> list[l
             has = np.flatnonzero(ids >= 0)
             if end - start == 1 or len(has):
                 row.append((start, has, ids[has]))
-        out.append(row)
-    return out
+        yield row
+
+
+def spans(same_length: list[str], vocab: dict[str, int], longest: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    return list(each_span(same_length, vocab, longest))
 
 
 def forward(lattice: list, k: int, probs: np.ndarray, strange: float) -> np.ndarray:
@@ -74,6 +67,31 @@ def forward(lattice: list, k: int, probs: np.ndarray, strange: float) -> np.ndar
     return a
 
 
+def log_sums(lattice: Iterable, k: int, probs: np.ndarray, strange: float, longest: int) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of k words of any length: array (words, languages).
+
+    Only the sums that a piece can still start from are held, and where they get small they are scaled
+    up, for each word and language by itself.
+    """
+    held: deque[np.ndarray] = deque([np.ones((k, probs.shape[1]))], maxlen=longest)
+    scale = np.zeros((k, probs.shape[1]))
+    for end, row in enumerate(lattice, 1):
+        here, first = np.zeros_like(scale), end - len(held)
+        for start, has, ids in row:
+            if end - start == 1 and len(has) < k:
+                none = np.ones(k, bool)
+                none[has] = False
+                here[none] += held[start - first][none] * strange
+            here[has] += held[start - first][has] * probs[ids]
+        held.append(here)
+        if here.min() < SMALL:
+            by = np.where((here < SMALL) & (here > 0), here, 1.0)
+            scale += np.log(by)
+            for a in held:
+                a /= by
+    return np.log(held[-1]) + scale
+
+
 def _fit(counts: Counter, vocab: dict[str, int], rounds: int) -> np.ndarray:
     """EM for one language: expected counts of pieces over all segmentations of the counted words."""
     longest = max(map(len, vocab))
@@ -108,7 +126,8 @@ def _fit(counts: Counter, vocab: dict[str, int], rounds: int) -> np.ndarray:
 def fit(docs: DataFrame, vocabulary: str, per_language: int = 200, rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from at most `per_language` documents of each language.
 
-    Learns from text and non-null lang of rows that are not held out, chosen by a hash of doc_id.
+    Learns from text and non-null lang of rows that are not held out, chosen by a hash of doc_id, there
+    from their words of fewer than LONGEST letters.
     The sample's ids are chosen without their texts; its words are counted where the texts are.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -118,7 +137,7 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = 200, rounds: int =
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         vocab = pieces(vocabulary)
-        counts = Counter(x for t in rows["text"] for w in words(t) for x in _cut_long(w))
+        counts = Counter("▁" + w for t in rows["text"] for w in letter_words(t) if len(w) < LONGEST)
         prob = _fit(counts, vocab, rounds) if counts else np.full(len(vocab), 1 / len(vocab))
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "prob": [prob]})
 
@@ -137,21 +156,19 @@ class Scorer:
     def learn(self, new: list[str]) -> None:
         if len(self.at) > REMEMBERED:
             self.table, self.at = self.table[:0], {}
-        cut = {w: _cut_long(w) for w in new}
-        groups: dict[int, list[str]] = defaultdict(list)
-        for x in dict.fromkeys(x for xs in cut.values() for x in xs):
-            groups[len(x)].append(x)
-        logs: dict[str, np.ndarray] = {}
-        for ws in groups.values():
-            total = forward(spans(ws, self.vocab, self.longest), len(ws), self.probs, np.exp(STRANGE))[-1]
-            logs.update(zip(ws, np.log(np.maximum(total, 1e-300))))
-        rows = np.array([sum(logs[x] for x in cut[w]) for w in new])
+        groups: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(new):
+            groups[len(w)].append(i)
+        rows = np.zeros((len(new), self.probs.shape[1]))
+        for at in groups.values():
+            marked = ["▁" + new[i] for i in at]
+            rows[at] = log_sums(each_span(marked, self.vocab, self.longest), len(at), self.probs, np.exp(STRANGE), self.longest)
         self.at.update(zip(new, range(len(self.table), len(self.table) + len(new))))
         self.table = np.vstack([self.table, rows])
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Summed log-probabilities of each text; None if it has no letter."""
-        each = [words(t) for t in texts]
+        each = [letter_words(t) for t in texts]
         need = {w for ws in each for w in ws}
         new = [w for w in need if w not in self.at]
         if new:
@@ -174,7 +191,7 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, vocabulary: st
     """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        key = probs.tobytes()[:4096] + repr(langs).encode()
+        key = hashlib.blake2b(probs.tobytes() + repr((langs, probs.shape, vocabulary)).encode()).digest()
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(pieces(vocabulary), probs) if langs else None
