@@ -11,7 +11,6 @@ and a logistic curve fitted to labelled texts turns that into a probability.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,37 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, held_out, map_rows, release, slices
+from lodestone.llm.common import cut, held_out, letter_words, map_rows, release, slices
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 #: Cost of a word without evidence; the prior's weight in documents, or fewer if there are fewer toxic ones; standard
-#: errors taken off; the least score that is evidence; K of the extreme-value law.
-DRIFT, PRIOR, DOUBT, LEAST, K = 0.2, 100.0, 2.0, 1.0, 0.1
+#: errors taken off; K of the extreme-value law.
+DRIFT, PRIOR, DOUBT, K = 0.2, 100.0, 2.0, 0.1
+#: What fit() chooses the least score that is evidence from, by the loss on the texts it learns from.
+LEAST = (0.0, 0.5, 1.0, 1.5)
 NOTHING = -12.0
 #: Lengths of beginnings; words whose scores a worker remembers.
 STEMS, REMEMBERED = (4, 5, 6), 500_000
 
 
-def words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
-
-
 def features(word: str) -> list[str]:
     """The word, and its beginnings of a few lengths, which inflected words share."""
     return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
 
 class WordScores(dict):
-    """Scores of words, the best of their features', worked out when first asked for."""
+    """Scores of words, the best of their features' or 0 if that is under `least`, worked out when first asked for."""
 
-    def __init__(self, weights: dict[str, float]) -> None:
+    def __init__(self, weights: dict[str, float], least: float = 0.0) -> None:
         super().__init__()
-        self.weights = weights
+        self.weights, self.least = weights, least
 
     def __missing__(self, word: str) -> float:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = score = max(self.weights.get(f, 0.0) for f in features(word))
+        score = max(self.weights.get(f, 0.0) for f in features(word))
+        self[word] = score = score if score >= self.least else 0.0
         return score
 
 
@@ -68,39 +65,48 @@ class Segment:
 def maximal_segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[Segment]:
     """All maximal-scoring segments of a text whose words at `places` have positive scores and all others cost drift.
 
-    Linear in the number of places, and amortised so in the joins: each place becomes a segment, and
-    is joined to the nearest earlier one that starts lower while that raises the total.
+    Each place becomes a segment, and is joined to the nearest earlier one that starts lower while that
+    raises the total. A segment knows the nearest earlier one that starts lower than itself, and what lies
+    between them is never looked at again: linear in the number of places.
     """
-    # per segment: start, end, sum before it, sum up to its end
-    found: list[tuple[int, int, float, float]] = []
+    # per segment: start, end, sum before it, sum up to its end, the nearest earlier one with a lower sum before it
+    found: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
     for at, s in zip(places, scores):
         total -= drift * (at - last)
         start, before, total, last = at, total, total + s, at + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
                 break
-            start, before = found[j][0], found[j][2]
+            start, _, before, _, lower = found[j]
             del found[j:]
-        found.append((start, last, before, total))
-    return [Segment(a, b, up - low) for a, b, low, up in found]
+            j = lower
+        found.append((start, last, before, total, j))
+    return [Segment(a, b, up - low) for a, b, low, up, _ in found]
 
 
 @dataclass
 class Model:
-    """weights: positive scores of features; rate: lambda of the extreme-value law; slope, shift of the curve."""
+    """weights: positive scores of features, those from `least` on count; rate: lambda of the extreme-value law; slope, shift of the curve."""
 
     weights: dict[str, float]
     rate: float = 1.0
     slope: float = 1.0
     shift: float = 0.0
+    least: float = 0.0
+
+    def known(self) -> WordScores:
+        return WordScores(self.weights, self.least)
 
     def segments(self, ws: list[str], scores: WordScores) -> list[Segment]:
-        places = [i for i, w in enumerate(ws) if scores[w]]
-        out = maximal_segments(places, [scores[ws[i]] for i in places])
+        return self.judged(ws, [scores[w] for w in ws])
+
+    def judged(self, ws: list[str], each: list[float]) -> list[Segment]:
+        places = [i for i, x in enumerate(each) if x]
+        out = maximal_segments(places, [each[i] for i in places])
         for s in out:
             s.expected = K * len(ws) * math.exp(-self.rate * s.score)
         return out
@@ -122,13 +128,13 @@ def _level(excess):
 
 
 def weight(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
-    """Log-odds ratio of document counts under a Dirichlet prior, less DOUBT standard errors; 0 where that is under LEAST."""
+    """Log-odds ratio of document counts under a Dirichlet prior, less DOUBT standard errors; 0 where that is negative."""
     toxic, clean = np.maximum(toxic, 0.0), np.maximum(clean, 0.0)
     mass = max(min(PRIOR, n_toxic), 1.0)
     prior = np.maximum(mass * (toxic + clean) / max(n_toxic + n_clean, 1.0), 1e-9)
     odds = np.log((toxic + prior) / (n_toxic + mass - toxic - prior)) - np.log((clean + prior) / (n_clean + mass - clean - prior))
     sure = odds - DOUBT * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    return np.where(sure >= LEAST, sure, 0.0)
+    return np.maximum(sure, 0.0)
 
 
 def _rate(weights: np.ndarray, share: np.ndarray) -> float:
@@ -166,8 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model | No
 
     Held-out rows are never used. Words count once a document, for lambda as often as clean ones use them; only those in three or more of the
     sample's documents (two, if the sample has fewer than 300 toxic ones) reach the driver. Each
-    labelled text is scored for the curve as if its own words had not been counted. Without labels of
-    both classes there is no model.
+    labelled text is scored for the curve as if its own words had not been counted, and by the loss of
+    these scores the least score that is evidence is chosen. Without labels of both classes there is no
+    model.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -179,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model | No
         for b in batches:
             each, uses = {0: Counter(), 1: Counter()}, Counter()
             for t, y in zip(b["text"], b["toxic"]):
-                found = words(t)
+                found = letter_words(t)
                 each[y].update({f for w in set(found) for f in features(w)})
                 each[y][""] += len(found)  # no word: how long texts are
                 if not y:
@@ -200,18 +207,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model | No
     table = table[table["word"] != ""].sort_values("word")
     t, c, uses = (table[x].to_numpy(float) for x in ("toxic", "clean", "uses"))
     w = weight(t, c, n1, n0)
-    model = Model({x: float(v) for x, v in zip(table["word"], w) if v > 0}, _rate(w[w > 0], uses[w > 0] / max(length, 1.0)))
-    less_toxic = {x: float(v) for x, v in zip(table["word"], weight(t - 1, c, n1 - 1, n0)) if v > 0}
-    less_clean = {x: float(v) for x, v in zip(table["word"], weight(t, c - 1, n1, n0 - 1)) if v > 0}
+    weights, less_toxic, less_clean = ({x: float(v) for x, v in zip(table["word"], vs) if v > 0} for vs in (w, weight(t - 1, c, n1 - 1, n0), weight(t, c - 1, n1, n0 - 1)))
+    share = uses / max(length, 1.0)
+    models = [Model(weights, _rate(w[on], share[on]), least=x) for x in LEAST for on in [(w > 0) & (w >= x)]]
 
     def rate(batches: Iterator[dict]) -> Iterator[dict]:
         less = (WordScores(less_clean), WordScores(less_toxic))
         for b in batches:
-            yield {"x": [model.excess(model.segments(words(s), less[y])) for s, y in zip(b["text"], b["toxic"])], "y": [float(y) for y in b["toxic"]]}
-
-    seen = map_rows(sample, ["text", "toxic"], "x double, y double", rate, 256).toPandas().sort_values(["x", "y"])
-    model.slope, model.shift = _logistic(_level(seen["x"].to_numpy()), seen["y"].to_numpy())
-    return model
+            each = []
+            for text, y in zip(b["text"], b["toxic"]):
+                ws = letter_words(text)
+                scores = [less[y][w] for w in ws]
+                each.append([m.excess(m.judged(ws, [x if x >= m.least else 0.0 for x in scores])) for m in models])
+            yield {"x": each, "y": [float(y) for y in b["toxic"]]}
+
+    seen = map_rows(sample, ["text", "toxic"], "x array<double>, y double", rate, 256).toPandas()
+    x, y = _level(np.array(seen["x"].tolist())), seen["y"].to_numpy()
+    losses = []
+    for k, m in enumerate(models):
+        order = np.lexsort((y, x[:, k]))  # sums don't depend on the order that rows come in
+        m.slope, m.shift = _logistic(x[order, k], y[order])
+        z = np.clip(m.slope * x[order, k] + m.shift, -500, 500)
+        losses.append(float(np.logaddexp(0, np.where(y[order] > 0, -z, z)).sum()))
+    return models[int(np.argmin(losses))]
 
 
 def predict(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
@@ -224,11 +242,11 @@ def predict(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> Dat
     """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        known = WordScores(model.weights if model else {})
+        known = model.known() if model else {}
         for b in batches:
             scores, passages, size = [], [], []
             for text in b["text"]:
-                ws = words(text) if model else []
+                ws = letter_words(text) if model else []
                 found = model.segments(ws, known) if model else []
                 scores.append(model.score(found) if model else 0.0)
                 found = [s for s in found if s.expected < 1]
@@ -251,10 +269,10 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7) ->
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(model.weights)
+        known = model.known()
         for whole in batches:
             for b in slices(whole, 512, 4 << 20):
-                good = [model.score(model.segments(words(t.as_py()), known)) < threshold for t in b.column("text")]
+                good = [model.score(model.segments(letter_words(t.as_py()), known)) < threshold for t in b.column("text")]
                 yield b.filter(pa.array(good, pa.bool_()))
         release()
 
