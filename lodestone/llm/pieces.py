@@ -35,6 +35,7 @@ GROUP, RESULTS = 2048, 128
 #: Words whose further segmentations a worker remembers.
 OPENED = 5000
 _WORDS = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n")
+_LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"
 #: For marks in a text itself; no valid text has a lone surrogate.
 STAND_IN = "\ud800"
@@ -65,9 +66,12 @@ class Lattice:
         #: Every end of a piece: the piece's score and id, or None if it is only an end.
         self.tails: dict[str, tuple[float, tuple[int, ...]] | None] = {p[-k:]: None for p in self.scores for k in range(1, len(p))}
         self.tails.update((p, (s, (i,))) for p, (i, s) in self.scores.items())
-        #: Marks that no piece holds right behind a letter: a text falls apart there, too.
-        self.marks = "".join(m for m in ".,;:!?" if not any(x.isalpha() and y == m for p in self.scores for x, y in zip(p, p[1:])))
-        self.behind = re.compile(rf"(?<=[^\W\d_])([{re.escape(self.marks)}])") if self.marks else None
+        #: Marks that no piece holds right behind a letter: a text falls apart there, too. What counts as one by the pattern but
+        #: stands before a mark in some piece, a raised two for one, is no letter here.
+        before = {m: {x for p in self.scores for x, y in zip(p, p[1:]) if y == m and _LETTER.match(x)} for m in ".,;:!?"}
+        self.marks = "".join(m for m, xs in before.items() if not any(map(str.isalpha, xs)))
+        others = "".join(sorted(set().union(*(before[m] for m in self.marks))))
+        self.behind = re.compile(rf"(?<=[^\W\d_{re.escape(others)}])([{re.escape(self.marks)}])") if self.marks else None
         #: What an id reads as; bytes over 127 only read together.
         self.texts = [chr(self.values[i]) if self.values.get(i, 128) < 128 else n.replace(MARK, " ") for i, n in enumerate(self.names)]
         self.joint = np.array([self.values.get(i, 0) >= 128 for i in range(size)])
