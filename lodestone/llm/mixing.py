@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import cut
+
+#: Up to so many probabilities in all, eight bytes each, the table of rates goes to every executor.
+BROADCAST = 1 << 20
+
 
 def unit_hash(*parts: Column) -> Column:
     """A number strictly between 0 and 1: the first 52 bits of the parts' MD5."""
@@ -50,14 +55,17 @@ def poisson_mix(docs: DataFrame, rates: DataFrame | None = None, seed: int = 42,
     """The columns of docs with `copy` (from 1) and `order_key`, in the global order of order_key.
 
     rates: (source, rate), by default source_rates(). A source without a rate, or one of 0, leaves no
-    copy; null sources match a null rate. Rows of equal doc_id get equal counts; a null doc_id counts
-    as an empty string in the hash. Columns `copy`, `order_key`, `rate` of docs are replaced. The
-    rates have a row a source and no hint: Spark broadcasts them if it has measured them to be
-    small, and else splits a hot source.
+    copy; null sources match a null source of rates. Rows of equal doc_id get equal counts; a null
+    doc_id counts as an empty string in the hash. Columns `copy` and `order_key` of docs are replaced,
+    its `_point`, `_source`, `_below` and `_times` dropped; an empty table gives no rows. The table of
+    rates is written and its size counted first: below BROADCAST probabilities no text moves until the
+    copies do, into their order; a larger one is joined by source, where Spark splits a hot source.
     """
-    docs = docs.drop("copy", "order_key")
+    docs = docs.drop("copy", "order_key", "_point", "_source", "_below", "_times")
     rates = source_rates(docs, power, epochs) if rates is None else rates
-    known = rates.where("rate > 0").select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_below"))
+    known = cut(rates.where("rate > 0").select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_below")))
+    if (known.agg(F.sum(F.size("_below"))).first()[0] or 0) <= BROADCAST:
+        known = F.broadcast(known)
     point = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     counted = docs.withColumn("_point", point).join(known, F.col("source").eqNullSafe(F.col("_source")))
     times = F.size(F.filter("_below", lambda c: c <= F.col("_point")))
