@@ -27,6 +27,10 @@ from lodestone.llm.components import connected_components
 
 #: Fixed bits of a subtree's path by level, for a budget of 3: a quarter of what is left each time.
 LEVELS = ((0, 16), (16, 12), (28, 9))
+#: Texts of a block that meet in one task, their shingles, and cells of a matrix in which they are compared.
+BLOCK, BLOCK_SIZE, CELLS = 1024, 1 << 20, 1 << 22
+#: Texts of a shingle up to which a join pairs them, and pairs a text up to which a task lists them.
+FEW, EACH_TEXT = 32, 8
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -174,7 +178,8 @@ def near_links(fps: DataFrame, budget: int = 3, crowded: int = 4096, pairs: bool
 
     By default links join exactly the fingerprints that a chain of steps of at most `budget` bits
     joins; within a task the pairs found are reduced to a spanning forest before they leave it. With
-    `pairs` they are all pairs at most `budget` bits apart. budget: 1 to 3.
+    `pairs` they are all pairs at most `budget` bits apart. budget: 1 to 3. Rows must be distinct and
+    without nulls, other columns are ignored, and an empty table gives no links.
     """
     if not 1 <= budget <= 3:
         raise ValueError("budget must be 1, 2 or 3")
@@ -283,69 +288,156 @@ def prefix(shingles: np.ndarray, similarity: float, values: np.ndarray, ranks: n
     return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 10_000) -> DataFrame:
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of x shares with each of y: products of 0/1 matrices, as many columns at a time as fit."""
+    values = np.concatenate([*x, *y])
+    rows = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    distinct, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
+    both = counts[codes] > 1  # what only one set has is shared with none
+    columns = np.cumsum(counts > 1) - 1
+    rows, codes, width = rows[both], columns[codes[both]], int((counts > 1).sum())
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    out, some = np.zeros((len(x), len(y)), np.float32), max(256, CELLS // (len(x) + len(y)))
+    for at in range(0, width, some):
+        i, j = np.searchsorted(codes, [at, at + some])
+        m = np.zeros((len(x) + len(y), min(some, width - at)), np.float32)
+        m[rows[i:j], codes[i:j] - at] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def _unit_links(similarity: float):
+    """Links of a forest among the texts of one or two blocks of a shingle; those with one root r are joined already."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h, n, r = (rows[c].to_numpy(np.int64) for c in ("h", "n", "r"))
+        sets = [np.asarray(v, np.int64) for v in rows["s"]]
+        first = np.flatnonzero(rows["block"].to_numpy() == rows["one"].iloc[0])
+        second = np.flatnonzero(rows["block"].to_numpy() == rows["two"].iloc[0])
+        roots, at = np.unique(r, return_inverse=True)
+        held: list[tuple[int, int]] = []
+        if len(roots) > 1:
+            common = overlaps([sets[k] for k in first], [sets[k] for k in second]).astype(float)
+            near = common + 1e-9 >= similarity * (n[first][:, None] + n[second][None, :] - common)
+            i, j = np.nonzero(near & (r[first][:, None] != r[second][None, :]))
+            parent = list(range(len(roots)))
+
+            def top(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            for u, v in zip(first[i].tolist(), second[j].tolist()):
+                x, y = top(at[u]), top(at[v])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    held.append((u, v))
+        return pd.DataFrame({"a": h[[u for u, _ in held]], "b": h[[v for _, v in held]]}, dtype=np.int64)
+
+    return run
+
+
+def _unit_candidates(share: float, most: int):
+    """Pairs of a shingle's texts whose places let them be alike, or only that they are more than `most` a text."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h, n, p = (rows[c].to_numpy(np.int64) for c in ("h", "n", "p"))
+        rest = n - p
+        can = np.minimum(rest[:, None], rest[None, :]) >= share * (n[:, None] + n[None, :]) - 1e-9
+        i, j = np.nonzero(np.triu(can, 1))
+        if len(i) > most * len(h):
+            return pd.DataFrame({"t": rows["t"].iloc[:1], "x": [0], "y": [0], "dense": [True]})
+        return pd.DataFrame({"t": rows["t"].iloc[0], "x": np.minimum(h[i], h[j]), "y": np.maximum(h[i], h[j]), "dense": False})
+
+    return run
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 10_000, few: int = FEW, each_text: int = EACH_TEXT) -> DataFrame:
     """Links (a, b) that join the same text hashes as all pairs of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
 
     Two such sets share one of the first shingles of each, a fifth of them at 0.8, in any order that is
-    common to all sets (the prefix filter): texts that share one are candidates, so no pair is lost. Rare
-    shingles come first. Every candidate is held against the exact similarity. Links only have to join,
-    so the texts of a shingle first meet one of them, then another one that is still apart, and only
-    what is still apart after that meets in all pairs.
+    common to all sets (the prefix filter), and their sizes and the places of that shingle leave room
+    for the rest: texts for which that holds are candidates, so no pair is lost. Rare shingles come
+    first. Every candidate is held against the exact similarity.
+
+    Candidates of a shingle with at most `few` texts come from a join. Those of one with up to BLOCK
+    texts are listed by a task if they are no more than `each_text` a text. They go on if they share so
+    many of their first shingles that all others would do, and only then are whole sets compared. What is left is dense:
+    many texts that are nearly alike. They are compared inside tasks, in blocks of bounded size, to
+    which each text's set comes once, and of which only a forest of links leaves; blocks of a shingle
+    meet each other only if their texts aren't joined yet.
+
+    Texts without words are alike; null ids, repeated rows and further columns change nothing; an
+    empty table has no links.
     """
-    texts = docs.select(F.xxhash64("text").alias("h"), "text")
+    share = similarity / (1 + similarity)  # of two alike sets' sizes, what they have in common at least
+    texts = docs.select(F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "text")
     order = frequent_shingles(texts, words, sample)
     ranks = np.argsort(order)
     values = order[ranks]
 
     def first_shingles(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set[int] = set()  # a task makes the shingles of equal texts once
         for b in batches:
-            sets = [shingle_set(t, words) for t in b["text"]]
+            new = [k for k, h in enumerate(b["h"]) if not (h in seen or seen.add(h))]
+            sets = [shingle_set(b["text"][k], words) for k in new]
             # texts without words share one made-up shingle
-            yield {"h": b["h"], "n": list(map(len, sets)), "t": [prefix(s, similarity, values, ranks).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in sets]}
+            yield {"h": [b["h"][k] for k in new], "n": list(map(len, sets)), "t": [prefix(s, similarity, values, ranks).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in sets]}
 
     each = cut(map_rows(texts, ["h", "text"], "h long, n int, t array<long>", first_shingles, 256))
-    classes = each.groupBy("h").agg(F.first("n").alias("n"), F.first("t").alias("t"))  # equal texts have equal sets
-    by_shingle = Window.partitionBy("t")
-    met = classes.select(F.posexplode("t").alias("p", "t"), "h", "n").select("t", "h", "n", "p")
-    met = met.withColumns({"texts": F.count("*").over(by_shingle), "one": F.min(F.struct("h", "n", "p")).over(by_shingle)})
-    shared = cut(met.where("texts > 1").drop("texts"))
+    met = each.select(F.posexplode("t").alias("p", "t"), "h", "n").select("t", "h", "n", "p").repartition("t").dropDuplicates(["t", "h"])
+    by_size, by_shingle = Window.partitionBy("t").orderBy("n", "h"), Window.partitionBy("t")
+    # a text that is alike has from `similarity` times as many shingles up to what this one's place leaves room for
+    near = (F.lag("n").over(by_size) >= similarity * F.col("n") - 1e-6) | (F.lead("n").over(by_size) <= F.col("n") / similarity - F.col("p") / share + 1e-6)
+    met = met.withColumn("near", near).where("near").drop("near").withColumns({"texts": F.count("*").over(by_shingle), "size": F.sum("n").over(by_shingle)})
+    shared = cut(met.where("texts > 1"))
 
     def enough(n, p, n2, p2):
         """Whether the shingles from the shared one on can be as many as the two sets must share."""
-        return F.least(n - p, n2 - p2) >= F.lit(similarity / (1 + similarity)) * (n + n2) - 1e-9
-
-    def pairs(df: DataFrame) -> DataFrame:
-        """(x, y) of each row's text and its one."""
-        ends = df.where((F.col("h") != F.col("one.h")) & enough(F.col("n"), F.col("p"), F.col("one.n"), F.col("one.p")))
-        return ends.select(F.least("h", "one.h").alias("x"), F.greatest("h", "one.h").alias("y")).distinct()
+        return F.least(n - p, n2 - p2) >= F.lit(share) * (n + n2) - 1e-9
+
+    small = shared.where(F.col("texts") <= few)
+    other = small.select("t", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    pairs = small.join(other, "t").where((F.col("h") < F.col("h2")) & enough(F.col("n"), F.col("p"), F.col("n2"), F.col("p2"))).select(F.col("h").alias("x"), F.col("h2").alias("y"))
+    listed = cut(shared.where((F.col("texts") > few) & (F.col("texts") <= BLOCK)).select("t", "h", "n", "p").groupBy("t").applyInPandas(_unit_candidates(share, each_text), "t long, x long, y long, dense boolean"))
+    pairs = pairs.unionAll(listed.where("NOT dense").select("x", "y")).distinct()
+    # of the set whose first shingles end first, what lies in the other set at all lies in its first shingles
+    firsts = each.groupBy("h").agg(F.first("n").alias("n"), F.first("t").alias("t"))  # equal texts have equal sets
+    of = lambda end: firsts.select(F.col("h").alias(end), F.col("n").alias(f"n{end}"), F.col("t").alias(f"t{end}"))
+    most = F.size(F.array_intersect("tx", "ty")) + F.greatest(F.col("nx") - F.size("tx"), F.col("ny") - F.size("ty"))
+    pairs = cut(pairs.join(of("x"), "x").join(of("y"), "y").where(most >= F.lit(share) * (F.col("nx") + F.col("ny")) - 1e-9).select("x", "y"))
+    dense = shared.where(F.col("texts") <= BLOCK).join(listed.where("dense").select("t"), "t", "left_semi").unionAll(shared.where(F.col("texts") > BLOCK))
+    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK), F.ceil(F.col("size") / BLOCK_SIZE)).cast("int")
+    dense = cut(dense.withColumn("blocks", blocks).select("t", "h", "n", "blocks", F.pmod(F.xxhash64("h", "t"), "blocks").cast("int").alias("block")))
 
     def shingles(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"h": b["h"], "s": [shingle_set(t, words).astype(np.uint32).view(np.int32) for t in b["text"]]}
+            yield {"h": b["h"], "s": [shingle_set(t, words).view(np.int64) for t in b["text"]]}
 
-    nodes = shared.select("h").distinct()
-    sets = cut(map_rows(texts.join(nodes, "h", "left_semi"), ["h", "text"], "h long, s array<int>", shingles, 256).dropDuplicates(["h"]))
+    # one row a text, named by ids alone before any text moves: copies in any number are dealt by their own ids and end there
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("h")).union(dense.select("h")).distinct()
+    named = texts.select("h", "id").groupBy("h").agg(F.min("id").alias("id")).join(needed, "h", "left_semi")
+    nodes = texts.join(named, ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
+    sets = cut(map_rows(nodes, ["h", "text"], "h long, s array<long>", shingles, 256))
 
-    def alike(some: DataFrame) -> DataFrame:
-        both = some.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
-        common = F.size(F.array_intersect("sx", "sy"))
-        near = common + 1e-9 >= F.lit(similarity) * (F.size("sx") + F.size("sy") - common)
-        return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    both = pairs.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    links = both.where(common + 1e-9 >= F.lit(similarity) * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    def apart(df: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows of shingles whose texts links don't join to one; r names what a text is joined to."""
-        roots = cut(connected_components(links))
-        named = df.select("t", "h", "n", "p").join(roots.withColumnsRenamed({"node": "h", "root": "r"}), "h", "left").withColumn("r", F.coalesce("r", "h"))
-        several = F.min("r").over(by_shingle) != F.max("r").over(by_shingle)
-        return cut(named.withColumn("several", several).where("several").drop("several"))
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.join(sets, "h").groupBy("t", "one", "two").applyInPandas(_unit_links(similarity), "a long, b long")
 
-    links = alike(pairs(shared))
-    left = apart(shared, links)
-    some = F.min(F.struct(F.xxhash64("h", "t").alias("by"), "h", "n", "p", "r")).over(by_shingle)
-    links = cut(links.unionAll(alike(pairs(left.withColumn("one", some).where("r <> one.r")))))
-    left = apart(left, links)
-    other = left.select("t", F.struct("h", "n", "p", "r").alias("one"))
-    return links.unionAll(alike(pairs(left.join(other, "t").where("h < one.h AND r <> one.r"))))
+    links = cut(links.unionAll(compared(dense.select("t", "h", "n", F.col("h").alias("r"), "block", F.col("block").alias("one"), F.col("block").alias("two")))))
+    large = dense.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    roots = connected_components(links).withColumnsRenamed({"node": "h", "root": "r"})
+    left = large.join(roots, "h", "left").withColumn("r", F.coalesce("r", "h"))
+    several = left.groupBy("t").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("t")
+    unit = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")), lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"))))
+    return links.unionAll(compared(left.join(several, "t", "left_semi").select("t", "h", "n", "r", "block", unit.alias("u")).select("t", "h", "n", "r", "block", "u.*")))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, **options) -> DataFrame:
@@ -353,15 +445,22 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *
 
     Groups are joined by equal texts and by near_copies(); texts without words, null ones too, are
     one group. A null doc_id stays only where the group has no other; repeated rows leave
-    one; an empty table gives none. All columns stay.
+    one; an empty table gives none. All columns stay, `_k` and `_g` excepted.
+
+    Texts are told apart by 96 bits of hashes. near_copies() knows them by 64 bits; of texts that
+    share those by chance one is compared and the others stay, so no document is lost by a collision.
     """
-    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    marked = docs.withColumns({"_k": F.xxhash64("text"), "_g": F.hash("text")})
+    ids = marked.select("doc_id", F.col("_k").alias("h"), F.col("_g").alias("g"))
     roots = cut(connected_components(near_copies(docs, words, similarity, **options)))
-    grouped = ids.join(roots, ids.h == roots.node, "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
-    kept = grouped.groupBy("root").agg(first, F.count("*").alias("n")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
-    here = docs.withColumn("_k", F.xxhash64("text"))
-    out = here.join(kept, (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_h")
-    if not cut(ids.groupBy("doc_id", "h").count().where(F.col("count") > 1)).isEmpty():
-        out = out.dropDuplicates(["doc_id", "_k"])
-    return out.drop("_k")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "g"))
+    classes = ids.groupBy("h", "g").agg(first.alias("first"))  # copies are gone before anything is joined
+    classes = classes.withColumn("met", F.col("g") == F.min("g").over(Window.partitionBy("h")))
+    root = F.when(F.col("met"), F.coalesce("root", "h")).otherwise(F.xxhash64("h", "g"))
+    grouped = classes.join(roots, classes.h == roots.node, "left").select("first", root.alias("root"), "met")
+    kept = grouped.groupBy("root", "met").agg(F.min("first").alias("first")).select(*(F.col(f"first.{a}").alias(b) for a, b in (("doc_id", "_id"), ("h", "_h"), ("g", "_i"))))
+    same = (F.col("_k") == F.col("_h")) & (F.col("_g") == F.col("_i")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    out = marked.join(kept, same).drop("_id", "_h", "_i")
+    if not ids.groupBy("doc_id", "h", "g").count().where(F.col("count") > 1).isEmpty():
+        out = out.dropDuplicates(["doc_id", "_k", "_g"])
+    return out.drop("_k", "_g")
