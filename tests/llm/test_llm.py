@@ -474,7 +474,7 @@ def test_poisson_counts(spark, odd):
     many = mixing.poisson_mix(df.where("doc_id < 300").withColumn("source", F.lit("s")), spark.createDataFrame([("s", 900.0)], "source string, rate double"))
     assert abs(many.count() / 300 - 900) < 10
     got = mixing.poisson_mix(odd)
-    assert set(odd.columns) | {"order_key"} == set(got.columns) and got.count() >= 0
+    assert set(odd.columns) | {"order_key"} == set(got.columns) and {r.doc_id for r in got.collect()} <= {i for i, _ in ODD}
     assert mixing.poisson_mix(odd.limit(0)).count() == 0
 
 
@@ -507,3 +507,223 @@ def test_pipeline(spark):
 
 def test_rules_from_documents_or_statistics(docs, labels):
     assert rules.fit(rules.statistics(docs), labels) == rules.fit_documents(docs, labels)
+
+
+@pytest.mark.parametrize(("few", "each_text", "block"), [(1, 0, 7), (3, 0, 1024), (2, 100, 1024), (1, 3, 40)])
+def test_near_copies_in_blocks(spark, monkeypatch, few, each_text, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # on the driver, where blocks are counted
+    rnd = random.Random(21)
+    base, rows = made_up(rnd, 100), []
+    for k in range(90):
+        c = list(base)
+        for p in rnd.sample(range(100), rnd.randrange(1, 4)):
+            c[p] = made_up(rnd, 1)[0]
+        rows.append((k, " ".join(c)))
+    shared = " ".join(made_up(rnd, 40))
+    rows += [(200 + k, " ".join(made_up(rnd, 30)) + " " + shared) for k in range(30)]
+    want = least_of_near_copies(rows)
+    assert 30 < len(want) < len(rows)
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), few=few, each_text=each_text)
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_overlaps_are_exact(monkeypatch):
+    rnd = np.random.default_rng(4)
+    x, y = ([np.unique(rnd.integers(0, 200, rnd.integers(0, 60))) for _ in range(n)] for n in (25, 18))
+    for cells in (1 << 22, 40):
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        got = simhash.overlaps(x, y)
+        assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(x) for j, b in enumerate(y))
+
+
+def spot_set(text):
+    """Signatures of a text as tuples, without hashes."""
+    import regex
+
+    anchors = set(spotsigs.ANCHORS)
+    w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    content = [(p if p in anchors else None, x) for p, x in zip(["", *w], w) if x not in anchors]
+    follow = [x for _, x in content[1:]] + [None]
+    found = {(a, x, y) for (a, x), y in zip(content, follow) if a}
+    return found or {(x, y) for (_, x), y in zip(content, follow)} or ({text} if text else set())
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+def test_spotsigs_probe_brute_force(spark, docs, odd, ranges, monkeypatch):
+    whole = spotsigs.with_next
+    monkeypatch.setattr(spotsigs, "with_next", lambda d: whole(d, ranges))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for df in (docs, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), reverse=True)
+        got, names = {r.doc_id: r for r in spotsigs.edit_probe(df).collect()}, {}
+        assert len(got) == len(rows)
+        for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+            cut = len(t) // 3
+            e = t[: len(t) - cut] + n[:cut]
+            own, edited = spot_set(t), spot_set(e)
+            assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[i].n_signatures == len(own)
+            assert got[i].near_edited == pytest.approx(like(own, edited)) and got[i].near_next == pytest.approx(like(own, spot_set(n)))
+            for s, name in ((own, got[i].fingerprint), (edited, got[i].edited_fingerprint)):
+                assert names.setdefault(frozenset(s), name) == name
+        assert len(set(names.values())) == len(names)
+
+
+def test_two_language_fits_in_one_session(spark):
+    """Fits that differ in a later language only don't share a scorer."""
+    vocab = langid.pieces(PIECES)
+    df = spark.createDataFrame([(1, "hello there"), (2, "²½ Ⅷ ٣"), (3, "x²")], "doc_id long, text string")
+    flat = np.full(len(vocab), 1 / len(vocab))
+    for k, want in ((0, "a"), (1, "b")):
+        probs = np.array([flat, flat])
+        probs[k] *= 1.5
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, ["a", "b"], probs, PIECES).collect()}
+        assert got[1][0] == want and got[2] == ("und", 0.0) and got[3][0] == want
+
+
+def test_long_words_are_summed_whole():
+    rnd = np.random.default_rng(5)
+    vocab = {"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "bab": 5}
+    p = rnd.random((6, 3)) / np.array([40.0, 1e5, 1e9])
+    for w in ("▁" + "ab" * 10, "▁" + "abbac" * 40):
+        best = [np.zeros(3)]
+        for end in range(1, len(w) + 1):
+            ways = []
+            for k in range(max(0, end - 3), end):
+                if w[k:end] in vocab:
+                    ways.append(best[k] + np.log(p[vocab[w[k:end]]]))
+                elif end - k == 1:
+                    ways.append(best[k] + langid.STRANGE)
+            best.append(np.logaddexp.reduce(ways))
+        got = langid.log_sums(langid.each_span([w], vocab, 3), 1, p, np.exp(langid.STRANGE), 3)[0]
+        assert np.allclose(got, best[-1], rtol=1e-9)
+
+
+def test_quality_verdicts_brute_force(docs, labels):
+    learned = rules.fit_documents(docs, labels)
+    assert learned
+    for r, s in zip(rules.judge(docs, labels).collect(), rules.statistics(docs).collect()):
+        assert r.doc_id == s.doc_id
+        words, chars = max(s.n_words, 1), max(s.word_chars, 1)
+        x = {"words": s.n_words, "word_length": s.word_chars / words, "symbols_a_word": s.n_symbols / words, "dup_lines": s.n_dup_lines / max(s.n_lines, 1), "repeat_words": s.n_repeat_words / words,
+             "capitals": s.n_capitals / chars, "marks_a_word": s.n_marks / words, "distinct_words": s.n_distinct / words}
+        failed = s.n_words < 50 or 100 * s.n_repeat_words > 50 * s.n_words
+        hit = any(all(x[f] <= t if op == "<=" else x[f] > t for f, op, t in rule.tests) for rule in learned)
+        assert (r.base_failed, r.kept) == (failed, not failed and not hit)
+
+
+def plain_segments(line):
+    """Maximal segments by definition: the best stretch, then the best ones on either side of it."""
+    if not len(line):
+        return []
+    sums = np.r_[0.0, np.cumsum(line)]
+    gains = np.where(np.tri(len(sums), k=-1, dtype=bool), sums[:, None] - sums[None, :], -np.inf)  # end, start
+    top = gains.max()
+    if top <= 1e-12:
+        return []
+    ends, starts = np.nonzero(gains >= top - 1e-9)
+    a, b = min(zip(starts, ends))
+    return [*plain_segments(line[:a]), top, *plain_segments(line[b:])]
+
+
+def test_toxic_scores_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    some = docs.where("length(text) < 1500").limit(150)
+    got = toxicity.predict(some, model).collect()
+    for r, text in zip(got, [r.text for r in some.collect()]):
+        ws = re.findall(r"[^\W\d_]+", text.lower())
+        odds = [max(model.weights.get(f, 0.0) for f in (w, *("^" + w[:n] for n in (4, 5, 6) if len(w) > n))) for w in ws]
+        line = np.array([x if x >= model.least and x > 0 else -0.2 for x in odds])
+        logs = [model.rate * s - math.log(0.1 * len(ws)) for s in plain_segments(line)]
+        z = sum(x for x in logs if x > 0) if any(x > 0 for x in logs) else max([-12.0, *logs])
+        want = 1 / (1 + math.exp(-(model.slope * np.sign(z) * np.log1p(abs(z)) + model.shift)))
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == int(r.score >= 0.7)
+
+
+def test_segments_take_linear_time():
+    n = 200_000
+    falling = toxicity.maximal_segments([3 * i for i in range(n)], [0.1] * n)
+    assert len(falling) == n
+    rising = toxicity.maximal_segments([2 * i for i in range(n)], [1.0] * n)
+    assert len(rising) == 1
+
+
+def test_pieces_of_whole_texts():
+    """Fast paths against one lattice over the whole text: every piece as a text, and marks behind what is no letter."""
+    at = pieces.lattice(PIECES)
+
+    def best(text):
+        _, edges = at.forward("▁" + text.replace(" ", "▁"))
+        top = [0.0]
+        for row in edges[1:]:
+            top.append(max(top[s] + score for s, score, _ in row))
+        return top[-1]
+
+    rnd = random.Random(10)
+    names = [n.replace("▁", " ") for n in at.scores]
+    parts = [*"abzé²½Ⅷ.,;:!?', ", "km²", "the", "9"]
+    texts = [*rnd.sample(names, 3000), *names[-500:], *("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 12))) for _ in range(1500)), "a².", "An area of 5 km². So."]
+    for t, (_, _, scores) in zip(texts, at.encode(texts, 2)):
+        if "▁" not in t and "\n" not in t:
+            assert scores[0] == best(t), t
+
+
+def test_mixing_without_a_broadcast(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") % 7).cast("string")).alias("source"))
+    whole = sorted(map(tuple, mixing.poisson_mix(df).collect()), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(map(tuple, mixing.poisson_mix(df).collect()), key=repr) == whole
+
+
+def test_pipeline_brute_force(spark, docs, labels):
+    """Each stage of the pipeline against plain Python on its own input."""
+    import corpus_pipeline
+
+    stages, rows = dict(corpus_pipeline.STAGES), lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    at = docs
+    for name in ("quality", "toxicity", "near_copies"):
+        out = stages[name](spark, at, FOLDER)
+        have = rows(at)
+        if name == "quality":
+            kept = {r.doc_id for r in rules.apply(rules.statistics(at), rules.fit_documents(at, labels)).collect() if r.kept}
+            want = [r for r in have if r[0] in kept]
+        elif name == "toxicity":
+            model = toxicity.fit(at, labels)
+            want = [r for r in have if model is None or model.score(model.segments(re.findall(r"[^\W\d_]+", r[1].lower()), model.known())) < 0.7]
+        else:
+            least = least_of_near_copies(have)
+            want = [r for r in have if r[0] in least]
+        assert rows(out) == want and out.columns == docs.columns
+        at = spark.createDataFrame(out.collect(), docs.schema)
+    sizes = Counter(r.source for r in at.collect())
+    total, roots = sum(sizes.values()), sum(math.sqrt(n) for n in sizes.values())
+    want = []
+    for r in at.collect():
+        rate = math.sqrt(sizes[r.source]) / roots * total / sizes[r.source]
+        point = (int(hashlib.md5(f"42|{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        k, below = 0, math.exp(-rate)
+        while below <= point:
+            k += 1
+            below += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        want += [(r.doc_id, r.text)] * k
+    mixed = stages["mixing"](spark, at, FOLDER)
+    assert rows(mixed) == sorted(want)
+    coded = stages["pieces"](spark, mixed, FOLDER).collect()
+    lattice = pieces.lattice(PIECES)
+    assert sorted((r.doc_id, lattice.decode(np.array(r.ids, "i4"))) for r in coded) == sorted(want)
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, FOLDER)
+        if name != "pieces":
+            assert out.columns == corpus_pipeline.COLUMNS
+        out.collect()
+        assert stage(spark, odd.limit(0), FOLDER).count() == 0
+    assert stage(spark, odd, FOLDER).count() == len(ODD)
+    kept = corpus_pipeline.quality(spark, odd, FOLDER).collect()
+    assert all(r.text is not None and len(r.text.split()) >= 50 for r in kept)
+    mixed = corpus_pipeline.mix(spark, odd, FOLDER).collect()
+    assert {r.doc_id for r in mixed} <= {i for i, _ in ODD}
