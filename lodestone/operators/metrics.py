@@ -216,6 +216,36 @@ def risk_coverage(df: DataFrame, confidence: str, correct: Column, order: str, c
     return rest.groupBy("coverage").agg(F.first("keep").alias("kept"), ((F.first("good_above") + F.sum("ok")) / F.first("keep")).alias("accuracy"))
 
 
+def deferred_mix(df: DataFrame, confidence: str, threshold: float, label: str = "label") -> DataFrame:
+    """(label, deferred, kept, deferred_share): what classes the rows are from that a threshold of confidence leaves to people."""
+    away = F.col(confidence) < threshold
+    g = df.groupBy(label).agg(F.count_if(away).alias("deferred"), F.count_if(~away).alias("kept"))
+    whole = df.agg(F.count_if(away).alias("_d"))  # one row
+    return g.join(F.broadcast(whole)).withColumn("deferred_share", _ratio(F.col("deferred"), F.col("_d"))).drop("_d")
+
+
+def wins(deltas: DataFrame, lower_is_better: list[str]) -> DataFrame:
+    """run_deltas() -> (metric, wins, losses, ties, mean_delta) of b against a over the keys, by each metric's direction."""
+    better = F.when(F.col("metric").isin(lower_is_better), -F.col("delta")).otherwise(F.col("delta"))
+    return deltas.groupBy("metric").agg(F.count_if(better > 0).alias("wins"), F.count_if(better < 0).alias("losses"), F.count_if(better == 0).alias("ties"), F.avg("delta").alias("mean_delta"))
+
+
+def failure_report(df: DataFrame, weakest: int = 3) -> DataFrame:
+    """(section, key, n, value): the items of lowest kappa, accuracy by evidence status, severe misses and false alarms by item."""
+    items = item_metrics(cells(df, ["item_id"]), ["item_id"]).withColumn("qwk", F.round("qwk", 9)).orderBy("qwk", "item_id").limit(weakest)
+    y, p = F.col("label"), F.col("prediction")
+    text = lambda c: F.col(c).cast("string").alias("key")
+    by_status = df.groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"), F.avg((y == p).cast("double")).alias("value"))
+    by_item = df.groupBy("item_id").agg(F.count("*").alias("n"), F.avg(((y >= 2) & (p == 0)).cast("double")).alias("miss"), F.avg(((y == 0) & (p >= 2)).cast("double")).alias("alarm"))
+    parts = [
+        items.select(F.lit("weakest_items").alias("section"), text("item_id"), "n", F.col("qwk").alias("value")),
+        by_status.select(F.lit("by_status"), text("status"), "n", "value"),
+        by_item.select(F.lit("severe_misses"), text("item_id"), "n", "miss"),
+        by_item.select(F.lit("false_alarms"), text("item_id"), "n", "alarm"),
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
 def rank_recovery(df: DataFrame, ranked: Column, by: list[str] = []) -> DataFrame:
     """Of the label's place among ranked classes: top-1..3 accuracy, mean place, near misses and recoveries among errors."""
     r = df.withColumn("_r", F.array_position(ranked, F.col("label")))

@@ -125,6 +125,44 @@ def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
+def turn_texts(bank: DataFrame, raw: DataFrame, key: list[str], texts: list[str], confidence: str = "confidence") -> DataFrame:
+    """Turns whose texts aren't those of the raw rows, whose confidence is not within 0..1, or that only one side has."""
+    a, b = bank.alias("a"), raw.alias("b")
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full_outer")
+    both = F.col(f"a.{key[0]}").isNotNull() & F.col(f"b.{key[0]}").isNotNull()
+    checks = {"missing_turn": F.col(f"a.{key[0]}").isNull(), "extra_turn": F.col(f"b.{key[0]}").isNull()}
+    checks |= {f"changed_{t}": both & ~F.col(f"a.{t}").eqNullSafe(F.col(f"b.{t}")) for t in texts}
+    if confidence in bank.columns:
+        checks["confidence_range"] = ~F.coalesce(F.col(f"a.{confidence}").between(0, 1), F.lit(True))
+    return violations(met, F.concat_ws("|", *(F.coalesce(f"a.{k}", f"b.{k}").cast("string") for k in key)), checks)
+
+
+def split_domain(splits: DataFrame, names: list[str], key: str = "participant_id") -> DataFrame:
+    """Rows of a split that isn't one of the names, and names that no row has."""
+    want = splits.sparkSession.createDataFrame([(n,) for n in names], "split string")
+    lacking = want.join(splits.select("split").distinct(), "split", "left_anti").select(F.lit("empty_split").alias("check"), F.col("split").alias("key"))
+    return violations(splits, F.col(key), {"unknown_split": ~F.coalesce(F.col("split").isin(names), F.lit(False))}).unionAll(lacking)
+
+
+def retrieval_outputs(ranked: DataFrame, docs: DataFrame, keys: list[str], k: int, budget: int | None = None, words: str = "n_words") -> DataFrame:
+    """Ranked rows of documents that aren't the participant's, ranks beyond k or with gaps, repeated documents, packs over a budget of words."""
+    own = docs.select("participant_id", "doc_id").distinct().withColumn("_own", F.lit(True))
+    key = F.concat_ws("|", *(F.col(c).cast("string") for c in keys))
+    met = ranked.join(own, ["participant_id", "doc_id"], "left")
+    rows = violations(met, F.concat_ws("|", key, F.col("doc_id").cast("string")), {"foreign_document": F.col("_own").isNull(), "rank_over_k": F.col("rank") > k})
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("rank").alias("_top"), F.count_distinct("doc_id").alias("_docs"), *([F.sum(words).alias("_words")] if budget else []))
+    checks = {"rank_gap": F.col("_top") != F.col("_n"), "repeated_document": F.col("_docs") < F.col("_n")}
+    if budget:
+        checks["over_budget"] = (F.col("_words") + F.col("_n") - 1 > budget) & (F.col("_n") > 1)
+    return rows.unionAll(violations(sizes, key, checks))
+
+
+def same_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys only one side has, and whether the sets are equal."""
+    d = set_differences(a, b, key)
+    return d.agg(F.count_if(F.col("side") == "left_only").alias("left_only"), F.count_if(F.col("side") == "right_only").alias("right_only")).withColumn("equal", F.col("left_only") + F.col("right_only") == 0)
+
+
 def numeric(df: DataFrame, columns: list[str], key: str, pos: str = "pos") -> DataFrame:
     """Values that are no numbers, nulls too: (check, key), the key with the row's line in a file that has a head (pos + 2)."""
     line = F.concat_ws("|", F.col(key).cast("string"), (F.col(pos) + 2).cast("string"))

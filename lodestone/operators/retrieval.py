@@ -230,6 +230,13 @@ def reranked(ranked: DataFrame, scorer, k: int) -> DataFrame:
     return ranked.mapInPandas(scorer, schema).withColumn("new_rank", F.row_number().over(by)).where(F.col("new_rank") <= k)
 
 
+def reranked_or_kept(base: DataFrame, top: DataFrame, existing: str = "pack", sep: str = " [WINDOW_SEP] ") -> DataFrame:
+    """base (KEY and an existing pack) with `pack` and `changed`: reranked rows (KEY, new_rank, text) packed, or the existing pack where a key has none."""
+    rows = F.sort_array(F.collect_list(F.struct("new_rank", "text")))
+    got = top.groupBy(*KEY).agg(F.array_join(F.transform(rows, lambda x: x["text"]), sep).alias("_new"))
+    return base.join(got, KEY, "left").withColumns({existing: F.coalesce("_new", existing), "changed": F.col("_new").isNotNull()}).drop("_new")
+
+
 def packed(ranked: DataFrame, base: DataFrame, sep: str) -> DataFrame:
     """base with ids, scores and one text of each key's ranked rows (which carry `text`); keys without any get empty ones."""
     row = F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "text")))

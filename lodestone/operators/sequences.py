@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.functions.text import TURN_SEP, collapse, is_participant
+from lodestone.operators.ordering import running
 
 
 def turns(rows: DataFrame, gap_column: str | None = None) -> DataFrame:
@@ -205,3 +206,9 @@ def padded_batches(rows: DataFrame, batch: str, ids: str = "input_ids", labels:
     fill = lambda c, value: F.concat(F.col(c), F.array_repeat(F.lit(value).cast("bigint"), F.col("_n") - F.size(c)))
     mask = F.concat(F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), F.col("_n") - F.size(ids)))
     return grown.withColumns({"attention_mask": mask, ids: fill(ids, pad), labels: fill(labels, ignore)}).drop("_n")
+
+
+def row_index(rows: DataFrame, order: str, into: str = "row") -> DataFrame:
+    """rows numbered from 0 in the order of a numeric column, by ranges and not in one task; sorting by it restores the order."""
+    counted = running(rows.withColumn("_one", F.lit(1).cast("long")), order, {into: "_one"})
+    return counted.withColumn(into, F.col(into) - 1).drop("_one")

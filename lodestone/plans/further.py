@@ -378,3 +378,86 @@ def headline_rows(spark, d):
 @query(f"SELECT DISTINCT item_id, term FROM terms WHERE decision = 'keep' AND relation <> 'related_nonspecific' AND lower(term) NOT IN ({SQL_STOP})")
 def kept_terms(spark, d):
     return lexicon.kept_terms(base(spark, d, "terms")).where(~F.lower("term").isin(T.STOPWORDS)).select("item_id", "term").distinct()
+
+
+# ---------------------------------------------------------------- checks of banks and outputs, reports of failures
+
+@query("""SELECT 'changed_text' AS check, participant_id || '|' || pos AS key FROM turns WHERE pos = 1 UNION ALL SELECT 'missing_turn', participant_id || '|' || pos FROM turns WHERE pos = 2 UNION ALL SELECT 'confidence_range', participant_id || '|' || pos FROM turns WHERE pos = 0""")
+def validate_turn_texts(spark, d):
+    raw = base(spark, d, "turns")
+    bank = raw.where("pos <> 2").withColumn("confidence", F.when(F.col("pos") == 0, 1.5).otherwise(0.9)).withColumn("text", F.when(F.col("pos") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return quality.turn_texts(bank, raw, ["participant_id", "pos"], ["text", "speaker"])
+
+
+@query("SELECT 'unknown_split' AS check, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 301 = 0 UNION ALL SELECT 'empty_split', 'test'")
+def validate_splits(spark, d):
+    k = F.col("o_orderkey")
+    s = table(spark, d, "orders").select(k.alias("participant_id"), F.when(k % 301 == 0, "dev2").when(k % 2 == 0, "train").otherwise("validation").alias("split"))
+    return quality.split_domain(s, ["train", "validation", "test"])
+
+
+@query(f"""WITH {SQL_FULL}, r AS (SELECT participant_id, item_id, doc_id, rank + CASE WHEN rank = 5 THEN 1 ELSE 0 END AS rank FROM ranked WHERE rank <= 5)
+SELECT 'rank_over_k' AS check, participant_id || '|' || item_id || '|' || doc_id AS key FROM r WHERE rank > 5 UNION ALL SELECT 'rank_gap', participant_id || '|' || item_id FROM r GROUP BY participant_id, item_id HAVING max(rank) > count(*)
+UNION ALL SELECT 'foreign_document', participant_id || '|' || item_id || '|x' || doc_id FROM r WHERE rank = 1""")
+def validate_retrieval(spark, d):
+    docs, items = _docs(spark, d), _items(spark, d)
+    post = retrieval.postings(docs, items)
+    r = retrieval.candidates(retrieval.bm25_scores(post, items), post, items, 5).select(*retrieval.KEY, "doc_id", "rank")
+    known = post.select("participant_id", "doc_id")
+    bent = r.withColumn("doc_id", F.when(F.col("rank") == 1, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("doc_id"))).withColumn("rank", F.when(F.col("rank") == 5, 6).otherwise(F.col("rank")))
+    return quality.retrieval_outputs(bent, known, retrieval.KEY, 5)
+
+
+@query("SELECT count(*) FILTER (o_custkey % 9 = 0 AND o_custkey % 10 <> 0) AS left_only, 0::BIGINT AS right_only, count(*) FILTER (o_custkey % 9 = 0 AND o_custkey % 10 <> 0) = 0 AS \"equal\" FROM (SELECT DISTINCT o_custkey FROM orders)")
+def compared_sets(spark, d):
+    o = table(spark, d, "orders").select("o_custkey")
+    return quality.same_sets(o, o.where("NOT (o_custkey % 9 = 0 AND o_custkey % 10 <> 0)"), "o_custkey")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS row FROM orders")
+def row_index(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (-F.col("o_orderkey")).alias("place"))
+    return sequences.row_index(o, "place").select("o_orderkey", "row")
+
+
+@query(f"""WITH {SQL_FULL}, r AS (SELECT participant_id, item_id, doc_id, score, rank FROM ranked WHERE rank <= 10 AND score > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY round(score / (1.0 + rank % 3), 9) DESC, rank) AS k FROM r), p AS (SELECT participant_id, item_id, string_agg(doc_id, ' [WINDOW_SEP] ' ORDER BY k) AS pack FROM n WHERE k <= 3 GROUP BY ALL)
+SELECT a.participant_id, i.item_id, coalesce(p.pack, 'before') AS pack, p.pack IS NOT NULL AS changed FROM (SELECT DISTINCT participant_id FROM live) a CROSS JOIN (SELECT item_id FROM items) i LEFT JOIN p ON p.participant_id = a.participant_id AND p.item_id = i.item_id""")
+def reranked_packs(spark, d):
+    docs, items = _docs(spark, d), _items(spark, d)
+    post = retrieval.postings(docs, items)
+    ranked = retrieval.bm25_top(post, items, retrieval.Ranking(k=10, zero_policy="positive"))
+    top = rounded(retrieval.reranked(ranked, studies.overlap_scorer, 3), 9).withColumn("text", F.col("doc_id"))
+    keys = post.select("participant_id").distinct().join(items.select("item_id")).withColumn("pack", F.lit("before"))
+    return retrieval.reranked_or_kept(keys, top).select("participant_id", "item_id", "pack", "changed")
+
+
+@query(f"""WITH {SQL_FULL} SELECT participant_id, item_id, '[' || string_agg('"' || doc_id || '"', ',' ORDER BY rank) || ']' AS ids_json FROM ranked WHERE rank <= 5 AND score > 0 GROUP BY ALL""")
+def serialised_ids(spark, d):
+    r = retrieval.retrieve("bm25", _docs(spark, d), _items(spark, d)).where("score > 0")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    return r.groupBy("participant_id", "item_id").agg(F.to_json(ids).alias("ids_json"))
+
+
+@query("""WITH d AS (SELECT label, greatest(e0, e1, e2, e3) < 0.5 AS away FROM preds)
+SELECT label, count(*) FILTER (away) AS deferred, count(*) FILTER (NOT away) AS kept, round(count(*) FILTER (away) / (SELECT count(*) FILTER (away) FROM d), 6) AS deferred_share FROM d GROUP BY label""")
+def deferred_classes(spark, d):
+    return rounded(metrics.deferred_mix(base(spark, d, "preds").withColumn("conf", F.array_max("encoder")), "conf", 0.5))
+
+
+@query(f"""WITH {SQL_TWO}, long AS (UNPIVOT (SELECT run, item_id, accuracy, mae, qwk FROM metrics) ON accuracy, mae, qwk INTO NAME metric VALUE v),
+beside AS (SELECT a.metric, round(b.v - a.v, 6) AS delta FROM long a JOIN long b ON a.item_id = b.item_id AND a.metric = b.metric AND a.run = 'encoder' AND b.run = 'llm')
+SELECT metric, count(*) FILTER (CASE WHEN metric = 'mae' THEN delta < 0 ELSE delta > 0 END) AS wins, count(*) FILTER (CASE WHEN metric = 'mae' THEN delta > 0 ELSE delta < 0 END) AS losses, count(*) FILTER (delta = 0) AS ties, round(avg(delta), 5) AS mean_delta FROM beside GROUP BY metric""")
+def run_wins(spark, d):
+    p = base(spark, d, "preds")
+    m = {n: rounded(metrics.item_metrics(metrics.cells(p.withColumn("prediction", F.col(f"{n}_pred")), ["item_id"]), ["item_id"])) for n in ("encoder", "llm")}
+    deltas = metrics.run_deltas(m["encoder"], m["llm"], ["item_id"], ["accuracy", "mae", "qwk"])
+    return rounded(metrics.wins(rounded(deltas), ["mae"]), 5)
+
+
+@query(f"""WITH rows_ AS (SELECT *, label AS y, encoder_pred AS p FROM preds), {sql_metrics('rows_', 'item_id')},
+w AS (SELECT item_id, n, qwk FROM metrics ORDER BY qwk, item_id LIMIT 3)
+SELECT 'weakest_items' AS section, CAST(item_id AS VARCHAR) AS key, n, round(qwk, 6) AS value FROM w UNION ALL SELECT 'by_status', status, count(*), round(avg(CAST(label = encoder_pred AS INT)), 6) FROM preds GROUP BY status
+UNION ALL SELECT 'severe_misses', CAST(item_id AS VARCHAR), count(*), round(avg(CAST(label >= 2 AND encoder_pred = 0 AS INT)), 6) FROM preds GROUP BY item_id UNION ALL SELECT 'false_alarms', CAST(item_id AS VARCHAR), count(*), round(avg(CAST(label = 0 AND encoder_pred >= 2 AS INT)), 6) FROM preds GROUP BY item_id""")
+def failure_report(spark, d):
+    return rounded(metrics.failure_report(base(spark, d, "preds").withColumn("prediction", F.col("encoder_pred"))))

@@ -155,3 +155,18 @@ def markdown_lines(df: DataFrame, order: str) -> DataFrame:
     head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
     rows = df.select(F.concat(F.lit("2:"), F.lpad(F.col(order).cast("string"), 24, "0")).alias("place"), line.alias("line"))
     return df.sparkSession.createDataFrame(list(zip(("0", "1"), head)), "place string, line string").unionAll(rows)
+
+
+def first_available(spark: SparkSession, folders: list[str], names: list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, missing): each named CSV file from the first folder that has it, with `file` and `folder`, and the names that none has."""
+    found, lacking = {}, []
+    for n in names:
+        where = next((f for f in folders if exists(spark, f"{f}/{n}")), None)
+        found.setdefault(where, []).append(n) if where else lacking.append((n,))
+    out = None
+    for f, files in found.items():
+        part = spark.read.schema(schema).option("header", True).csv([f"{f}/{n}" for n in files]).select("*", F.col("_metadata.file_name").alias("file"), F.lit(f).alias("folder"))
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = spark.createDataFrame([], f"{schema}, file string, folder string")
+    return out, spark.createDataFrame(lacking, "file string")

@@ -207,3 +207,11 @@ def test_stream_without_repeats(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         sessions.run_once(sessions.first_only(stream, ["k"], "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_first_available_folder(spark, tmp_path):
+    for folder, name, text in (("raw", "1.csv", "a"), ("processed", "1.csv", "b"), ("processed", "2.csv", "c")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(f"t\n{text}\n")
+    rows, missing = tables.first_available(spark, [str(tmp_path / "raw"), str(tmp_path / "processed")], ["1.csv", "2.csv", "3.csv"], "t string")
+    assert sorted((r.file, r.t) for r in rows.collect()) == [("1.csv", "a"), ("2.csv", "c")] and [r.file for r in missing.collect()] == ["3.csv"]
