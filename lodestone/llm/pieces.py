@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from lodestone.llm.common import map_rows
 
 REMEMBERED = 200_000
-#: Documents whose words are looked up together, and whose results leave together.
-GROUP, RESULTS = 2048, 128
+#: Documents, and bytes of their texts, whose words are looked up together, and documents whose results leave together.
+GROUP, GROUP_BYTES, RESULTS = 2048, 8 << 20, 128
 #: Words whose further segmentations a worker remembers.
 OPENED = 5000
 _WORDS = re.compile(r"▁+[^▁\n]*|[^▁\n]+|\n")
@@ -341,7 +341,7 @@ def encode_documents(docs: DataFrame, model: str, nbest: int = 3) -> DataFrame:
                 }
 
     schema = "doc_id long, n_pieces long, ids array<int>, scores array<double>, ids_crc32 long, round_trip boolean, other_ids array<array<int>>, nbest_crc32 array<long>"
-    return map_rows(docs, ["doc_id", "text"], schema, rows, GROUP)
+    return map_rows(docs, ["doc_id", "text"], schema, rows, GROUP, GROUP_BYTES)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
