@@ -323,14 +323,14 @@ def pooled_vectors(spark, d):
 
 # ---------------------------------------------------------------- run tables
 
-RUNS = "runs(run, dataset, evidence_column) AS (VALUES ('encoder_pred', 'out/phq_full_bm25.csv', 'retrieved_utterances'), ('llm_pred', 'out/windows.csv', 'hybrid_pack_top5'), ('later', 'out/plain.csv', 'retrieved_utterances'), ('whole', 'x', 'transcript_text'))"
+RUNS = "runs(run, dataset, evidence_column) AS (VALUES ('encoder_pred', 'out/items_full_bm25.csv', 'retrieved_utterances'), ('llm_pred', 'out/windows.csv', 'hybrid_pack_top5'), ('later', 'out/plain.csv', 'retrieved_utterances'), ('whole', 'x', 'transcript_text'))"
 LONG = "SELECT participant_id, fold, label AS y, encoder_pred AS p, 'encoder_pred' AS run FROM preds UNION ALL SELECT participant_id, fold, label, llm_pred, 'llm_pred' FROM preds"
 METHOD = "CASE run WHEN 'encoder_pred' THEN 'BM25 (utterance retrieval)' WHEN 'llm_pred' THEN 'Hybrid: BM25 + semantic (participant-side context windows)' WHEN 'later' THEN 'TF-IDF (utterance retrieval)' ELSE 'full transcript (no retrieval)' END"
 
 
 def _manifest(spark, d) -> DataFrame:
     long = base(spark, d, "preds").unpivot(["participant_id", "fold", "label"], ["encoder_pred", "llm_pred"], "run", "prediction")
-    runs = spark.createDataFrame([("encoder_pred", "out/phq_full_bm25.csv", "retrieved_utterances"), ("llm_pred", "out/windows.csv", "hybrid_pack_top5"), ("later", "out/plain.csv", "retrieved_utterances"), ("whole", "x", "transcript_text")], "run string, dataset string, evidence_column string")
+    runs = spark.createDataFrame([("encoder_pred", "out/items_full_bm25.csv", "retrieved_utterances"), ("llm_pred", "out/windows.csv", "hybrid_pack_top5"), ("later", "out/plain.csv", "retrieved_utterances"), ("whole", "x", "transcript_text")], "run string, dataset string, evidence_column string")
     return rounded(studies.run_manifest(long, runs))
 
 
