@@ -418,7 +418,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
 
     # one row a text, named by ids alone before any text moves: copies in any number are dealt by their own ids and end there
     needed = pairs.select(F.explode(F.array("x", "y")).alias("h")).union(dense.select("h")).distinct()
-    named = texts.select("h", "id").groupBy("h").agg(F.min("id").alias("id")).join(needed, "h", "left_semi")
+    # (no semi join here: Spark would move it, and with it the shuffle of all copies, before the minimum)
+    named = texts.select("h", "id").groupBy("h").agg(F.min("id").alias("id")).join(needed, "h")
     nodes = texts.join(named, ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
     sets = cut(map_rows(nodes, ["h", "text"], "h long, s array<long>", shingles, 256))
 
