@@ -10,12 +10,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import cut, new_path, shared_dir
 
-__all__ = ["Recent", "arrow_schema", "cut", "held_out", "letter_words", "map_rows", "new_path", "release", "shared_dir", "slices"]
+__all__ = ["Recent", "arrow_schema", "cut", "held_out", "letter_words", "in_order", "map_rows", "new_path", "release", "shared_dir", "slices"]
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -82,6 +82,25 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Ite
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None) -> DataFrame:
+    """df with `place`, its rows' places from 1 in a global order, and for each (new, old) of sums the sum of old up to the row.
+
+    Rows are dealt to ranges of the order, so rows that are equal in its first columns spread by the
+    others, and written once in it. Counts and sums of the ranges, a row a partition, give every
+    range its start. Columns `place`, `_id` and `_range` of df must not exist.
+    """
+    low = (1 << 33) - 1  # what monotonically_increasing_id() counts within a partition
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
+    sums = sums or {}
+    whole = placed.groupBy("_range").agg(F.count("*").alias("_place"), *(F.sum(old).alias(f"_{new}") for new, old in sums.items()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in ("place", *sums)))
+    within = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.select("*", *(F.sum(old).over(within).alias(new) for new, old in sums.items())).join(F.broadcast(starts), "_range")
+    place = F.col("_place") + F.col("_id").bitwiseAND(F.lit(low)) + 1
+    return rows.select(*df.columns, place.alias("place"), *((F.col(new) + F.col(f"_{new}")).alias(new) for new in sums))
+
+
 class Recent(dict):
     """A memory of `size` to 2 * size recently used entries, which notes what it was asked for in vain.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, langid, mixing, pieces, rules, simhash, spotsigs, tokencount, tokenfile, toxicity
+from lodestone.llm import chat, langid, linededup, mixing, pieces, prefixtrie, resample, rules, simhash, spotsigs, tokencount, tokenfile, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(documents(spark, sf_dir), power=0.5, epochs=1.0, seed=42)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(linededup.drop_shared_lines(documents(spark, sf_dir), least_docs=10, least_chars=1))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.family_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), buckets=10_000, longest=2, least_words=20, percent=25, seed=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_spotsigs": op2_spotsigs,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_resampling": op13_resampling,
 }
 
-SQL: dict[str, str] = {"op6_chat": chat.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_chat": chat.SQL, "op10_mixing": mixing.SQL, "op11_line_dedup": linededup.SQL, "op12_prefix_trie": prefixtrie.SQL, "op13_resampling": resample.SQL}
