@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import held_out, letter_words, map_rows
 
-#: Words a worker remembers scores of, the longest word that is learned from (any is scored), a strange letter's log-probability.
-REMEMBERED, LONGEST, STRANGE = 1_000_000, 48, -18.0
+#: Words a worker remembers scores of, a strange letter's log-probability.
+REMEMBERED, STRANGE = 1_000_000, -18.0
 #: A sum below this is scaled up, so that those of long words don't vanish.
 SMALL = 1e-150
 
@@ -53,20 +53,6 @@ def spans(same_length: list[str], vocab: dict[str, int], longest: int) -> list[l
     return list(each_span(same_length, vocab, longest))
 
 
-def forward(lattice: list, k: int, probs: np.ndarray, strange: float) -> np.ndarray:
-    """Sums over all segmentations of k words: array (ends + 1, words, languages). A letter without a piece has `strange`."""
-    a = np.zeros((len(lattice) + 1, k, probs.shape[1]))
-    a[0] = 1.0
-    for end, row in enumerate(lattice, 1):
-        for start, has, ids in row:
-            if end - start == 1 and len(has) < k:
-                none = np.ones(k, bool)
-                none[has] = False
-                a[end, none] += a[start, none] * strange
-            a[end, has] += a[start, has] * probs[ids]
-    return a
-
-
 def log_sums(lattice: Iterable, k: int, probs: np.ndarray, strange: float, longest: int) -> np.ndarray:
     """Logarithms of the sums over all segmentations of k words of any length: array (words, languages).
 
@@ -92,6 +78,37 @@ def log_sums(lattice: Iterable, k: int, probs: np.ndarray, strange: float, longe
     return np.log(held[-1]) + scale
 
 
+def _ways(row: list, k: int, logs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For one end of k words: (start, words, log-probabilities of what lies between, piece numbers or nothing for strange letters)."""
+    for start, has, ids in row:
+        if len(has):
+            yield start, has, logs[ids], ids
+        if start == row[-1][0] and len(has) < k:  # the last start is a letter before the end
+            none = np.ones(k, bool)
+            none[has] = False
+            none = np.flatnonzero(none)
+            yield start, none, np.full(len(none), STRANGE), ids[:0]
+
+
+def expected(lattice: list, weight: np.ndarray, logs: np.ndarray, seen: np.ndarray) -> None:
+    """Adds to `seen` how often each piece is expected in words of one length, each counted `weight` times.
+
+    Sums over segmentations are carried as logarithms, forward and backward, so words of any length count.
+    """
+    k, n = len(weight), len(lattice)
+    a, b = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
+    a[0] = b[n] = 0.0
+    for end, row in enumerate(lattice, 1):
+        for start, has, log, _ in _ways(row, k, logs):
+            a[end, has] = np.logaddexp(a[end, has], a[start, has] + log)
+    for end in range(n, 0, -1):
+        for start, has, log, ids in _ways(lattice[end - 1], k, logs):
+            way = log + b[end, has]
+            b[start, has] = np.logaddexp(b[start, has], way)
+            if len(ids):
+                np.add.at(seen, ids, weight[has] * np.exp(a[start, has] + way - a[n, has]))
+
+
 def _fit(counts: Counter, vocab: dict[str, int], rounds: int) -> np.ndarray:
     """EM for one language: expected counts of pieces over all segmentations of the counted words."""
     longest = max(map(len, vocab))
@@ -101,24 +118,10 @@ def _fit(counts: Counter, vocab: dict[str, int], rounds: int) -> np.ndarray:
     lattices = [(spans(ws, vocab, longest), np.array([counts[w] for w in ws], float)) for ws in groups.values()]
     prob = np.array([0.5 ** len(p) for p in vocab])
     prob /= prob.sum()
-    strange = np.exp(STRANGE)
     for _ in range(rounds):
         seen = np.full(len(prob), 0.01)  # the prior leaves no piece without a chance
         for lattice, weight in lattices:
-            k = len(weight)
-            a = forward(lattice, k, prob[:, None], strange)[:, :, 0]
-            b = np.zeros_like(a)
-            b[-1] = 1.0
-            scale = weight / a[-1]
-            for end in range(len(lattice), 0, -1):
-                for start, has, ids in lattice[end - 1]:
-                    if end - start == 1 and len(has) < k:
-                        none = np.ones(k, bool)
-                        none[has] = False
-                        b[start, none] += b[end, none] * strange
-                    way = prob[ids] * b[end, has]
-                    b[start, has] += way
-                    np.add.at(seen, ids, a[start, has] * way * scale[has])
+            expected(lattice, weight, np.log(prob), seen)
         prob = seen / seen.sum()
     return prob
 
@@ -126,18 +129,19 @@ def _fit(counts: Counter, vocab: dict[str, int], rounds: int) -> np.ndarray:
 def fit(docs: DataFrame, vocabulary: str, per_language: int = 200, rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from at most `per_language` documents of each language.
 
-    Learns from text and non-null lang of rows that are not held out, chosen by a hash of doc_id, there
-    from their words of fewer than LONGEST letters.
-    The sample's ids are chosen without their texts; its words are counted where the texts are.
+    Learns from text and non-null lang of rows that are not held out, chosen by a hash of doc_id. The
+    sample's ids are chosen without their texts; its words are counted where the texts are. Rows that
+    are chosen by id and language come with all rows of that id and language, of which one is taken.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    sample = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         vocab = pieces(vocabulary)
-        counts = Counter("▁" + w for t in rows["text"] for w in letter_words(t) if len(w) < LONGEST)
+        counts = Counter("▁" + w for t in rows["text"] for w in letter_words(t))
         prob = _fit(counts, vocab, rounds) if counts else np.full(len(vocab), 1 / len(vocab))
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "prob": [prob]})
 

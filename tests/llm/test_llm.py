@@ -270,7 +270,7 @@ def test_forward_sums_all_segmentations():
     vocab = {"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "▁ab": 5}
     p = np.random.default_rng(1).random((6, 2))
     lattice = langid.spans(["▁abab", "▁bbab"], vocab, 3)
-    got = langid.forward(lattice, 2, p, 1e-9)[-1]
+    got = np.exp(langid.log_sums(lattice, 2, p, 1e-9, 3))
 
     def total(w):
         if not w:
