@@ -10,6 +10,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.functions.text import TURN_SEP, collapse, is_participant
 from lodestone.operators.ordering import running
+from lodestone.operators.selection import order_values
+from lodestone.sources.scratch import cut
 
 
 def turns(rows: DataFrame, gap_column: str | None = None) -> DataFrame:
@@ -151,17 +153,24 @@ def first_seen(rows: DataFrame, key: str, order: str, limit: int | None = None)
 
 
 def group_split(rows: DataFrame, key: str, train: float = 0.7, validation: float = 0.15, seed: str = "42") -> DataFrame:
-    """(key, split): whole groups into train, validation, test, close to the shares and none empty from three groups on.
+    """(key, split): whole groups into train, validation, test, close to the shares and none of them empty.
 
-    A group's bucket is a hash; the bounds are the exact ranks' hashes, found with percentiles over
-    one row a group, so that no global sort is needed. Shares are exact to the percentiles' grain.
+    Groups go by the first 32 bits of their hash; the two bounds are exact order statistics of it, found
+    by selection, so nothing is sorted as a whole. Groups of equal bits go together. Shares must be
+    positive and leave a test share; fewer than three groups are an error.
     """
-    groups = rows.select(key).distinct().withColumn("_h", hash_order(seed, key))
-    number = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    groups = groups.withColumn("_u", number)
-    bounds = groups.agg(F.percentile("_u", [train, train + validation]).alias("b"))
-    place = F.when(F.col("_u") <= F.col("b")[0], "train").when(F.col("_u") <= F.col("b")[1], "validation").otherwise("test")
-    return groups.crossJoin(F.broadcast(bounds)).select(key, place.alias("split"))  # bounds: one row
+    if train <= 0 or validation <= 0 or train + validation >= 1:
+        raise ValueError("train and validation must be positive and sum to less than 1")
+    groups = cut(rows.select(key).distinct().withColumn("_u", F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("long")))
+    n = groups.count()
+    if n < 3:
+        raise ValueError("three groups are needed for train, validation and test")
+    first = min(int((n - 1) * train) + 1, n - 2)
+    second = min(max(int((n - 1) * (train + validation)) + 1, first + 1), n - 1)
+    ranks = rows.sparkSession.createDataFrame([(first,), (second,)], "k long")
+    a, b = (r.x for r in order_values(groups, "_u", ranks).orderBy("k").collect())
+    place = F.when(F.col("_u") <= a, "train").when(F.col("_u") <= b, "validation").otherwise("test")
+    return groups.select(key, place.alias("split"))
 
 
 def informative_first(rows: DataFrame, keys: list[str], policy: str = "informative_first") -> DataFrame:

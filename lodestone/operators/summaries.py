@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.selection import wide_quantiles
+
 
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean with sample and population deviation, smallest and largest."""
@@ -12,8 +14,10 @@ def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def described(df: DataFrame, value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, p)
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("most"))
+    """Count, mean, deviation, ends and quartiles of a column; quartiles are exact, by selection."""
+    ends = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    out = ends.join(F.broadcast(wide_quantiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})), F.lit(True), "left")  # one row each
+    return out.select("n", "mean", "sd", "least", "q25", "q50", "q75", "most")
 
 
 def set_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -96,8 +100,11 @@ def best_per_cell(df: DataFrame, rows: str, columns: str, names: list[str], valu
 
 
 def truncation_audit(df: DataFrame, by: list[str], tokens: str, longest: int) -> DataFrame:
-    q = lambda p: F.percentile(tokens, p)
-    return df.groupBy(*by).agg(F.avg(tokens).alias("mean_tokens"), q(0.5).alias("median_tokens"), q(0.95).alias("p95_tokens"), F.max(tokens).alias("most_tokens"), F.avg((F.col(tokens) > longest).cast("double")).alias("truncated_share"))
+    """Mean, exact median and 95th percentile, and largest number of tokens of each group, with the share over `longest`."""
+    plain = df.groupBy(*by).agg(F.avg(tokens).alias("mean_tokens"), F.max(tokens).alias("most_tokens"), F.avg((F.col(tokens) > longest).cast("double")).alias("truncated_share"))
+    q = wide_quantiles(df, tokens, {"median_tokens": 0.5, "p95_tokens": 0.95}, by)
+    met = plain.join(q.select(*(F.col(c).alias(f"_{c}") for c in by), "median_tokens", "p95_tokens"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    return met.select(*by, "mean_tokens", "median_tokens", "p95_tokens", "most_tokens", "truncated_share")
 
 
 def parse_summary(df: DataFrame, by: list[str]) -> DataFrame:
