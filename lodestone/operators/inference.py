@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +49,69 @@ def _replicated(vectors: DataFrame, key: str, names: list[str], replicates: int,
     return drawn.join(vectors.join(placed, key).select("place", *names), "place").groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names))
 
 
-def replicate_metrics(df: DataFrame, key: str, preds: list[str], replicates: int = 2000, seed: int = 42, classes: int = CLASSES) -> DataFrame:
+#: A prime below 2^31: squares of remainders fit 64 bits in any engine.
+PRIME = 2147483647
+#: P(X <= 0), P(X <= 1), ... of a Poisson distribution of mean 1; beyond lies less than 1 / PRIME.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+#: Replicates that are weighed at a time.
+CHUNK = 256
+
+
+def poisson_weights(points: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """[replicate, cluster]: how often a replicate counts a cluster, Poisson of mean 1, from remainders that square and add.
+
+    A cluster's point is point(); any engine with 64-bit integers gives the same numbers.
+    """
+    a = (points.astype(np.int64) + seed * 48271) % PRIME
+    r = replicates.astype(np.int64)[:, None]
+    x = (a * a + r * 69621 + 1) % PRIME
+    x = (x * x + a) % PRIME
+    x = (x * x + r) % PRIME
+    return np.searchsorted(np.array(POISSON), x / PRIME, side="right")
+
+
+def point(key: Column) -> Column:
+    """A cluster's number below PRIME: its first 32 bits of MD5, as a remainder."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % PRIME
+
+
+def _weighted(vectors: DataFrame, key: str, names: list[str], replicates: int, seed: int) -> DataFrame:
+    """As _replicated(), but by poisson_weights(): a cluster's weights are made beside its row.
+
+    A task holds replicates x names sums, whatever the number of clusters, and these rows are all that
+    is shuffled: no draw is ever a row. Replicates differ in size, by about the root of the number of clusters.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seen = np.zeros((replicates, len(names))), False
+        for b in batches:
+            cells, points, seen = b[names].to_numpy(float), b["_point"].to_numpy(), True
+            for at in range(0, replicates, CHUNK):
+                some = np.arange(at, min(at + CHUNK, replicates))
+                total[some] += poisson_weights(points, some, seed) @ cells
+        if seen:
+            yield pd.DataFrame({"replicate": np.arange(replicates), **{n: total[:, i] for i, n in enumerate(names)}})
+
+    schema = "replicate long, " + ", ".join(f"`{n}` double" for n in names)
+    summed = vectors.select(point(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_point"), *names).mapInPandas(run, schema)
+    return summed.groupBy("replicate").agg(*(F.sum(n).cast("long").alias(n) for n in names))
+
+
+def replicate_metrics(df: DataFrame, key: str, preds: list[str], replicates: int = 2000, seed: int = 42, classes: int = CLASSES, resampling: str = "draws") -> DataFrame:
     """(replicate, run, metrics...): every run under the same draws.
 
     Rows become confusion cells of a cluster first, side by side in one row; a replicate is the sum of
     the rows it draws. A run is a prediction column; rows without one of the predictions are left out
-    of all runs.
+    of all runs. resampling: `draws` takes as many clusters as there are, with replacement, and makes
+    replicates x clusters draws; `poisson` gives each cluster a Poisson weight of its own and makes none,
+    which is the way for many clusters.
     """
+    if resampling not in ("draws", "poisson"):
+        raise ValueError("resampling must be draws or poisson")
     whole = df.dropna(subset=[*preds])
     grid = {f"{run}_{y}_{p}": (run, y, p) for run in preds for y in range(classes) for p in range(classes)}
     vectors = whole.groupBy(key).agg(*(F.count_if((F.col("label") == y) & (F.col(run) == p)).alias(n) for n, (run, y, p) in grid.items()))
-    summed = _replicated(vectors, key, list(grid), replicates, seed)
+    summed = (_replicated if resampling == "draws" else _weighted)(vectors, key, list(grid), replicates, seed)
     cell = F.explode(F.array(*(F.struct(F.lit(run).alias("run"), F.lit(y).alias("y"), F.lit(p).alias("p"), F.col(n).alias("n")) for n, (run, y, p) in grid.items())))
     return item_metrics(summed.select("replicate", cell.alias("c")).select("replicate", "c.*").where("n > 0"), ["replicate", "run"], classes)
 

@@ -1,16 +1,13 @@
-"""Learned stand-ins by Spark ML, and the assignment of groups to folds."""
+"""The stacker, the assignment of groups to folds in turn, and the plug-in point of other models."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.operators.sequences import hash_order
+from lodestone.operators.training import out_of_fold
 
 
 def stratified_group_folds(df: DataFrame, group: str, k: int = 5, classes: int = 4, seed: str = "42") -> DataFrame:
@@ -40,23 +37,15 @@ def stacker_features(df: DataFrame, classes: int = 4, items: int = 8) -> DataFra
     return df.withColumns(cols).withColumn("_names", F.array(*map(F.lit, cols))).drop("_names")
 
 
-def stacked(df: DataFrame, folds: int = 5, iterations: int = 30) -> DataFrame:
-    """Out-of-fold predictions of a balanced multinomial logistic regression on standardised features.
+def stacked(df: DataFrame, iterations: int = 50, l2: float = 1.0) -> DataFrame:
+    """Out-of-fold predictions of a balanced multinomial logistic regression on standardised features: all folds in one fit.
 
-    One model a held-out fold: a loop over folds, not rows. Rows keep their columns.
+    Rows keep their columns, with `prediction` and `stacked`, the probabilities.
     """
     x = stacker_features(df)
     names = [c for c in x.columns if c not in df.columns]
-    sizes = x.groupBy("label").agg(F.count("*").alias("_n"))
-    total = x.count()
-    x = x.join(F.broadcast(sizes), "label").withColumn("_w", F.lit(total) / (F.lit(4) * F.col("_n")))  # a row a class
-    stages = [VectorAssembler(inputCols=names, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r", maxIter=iterations, family="multinomial")]
-    out = None
-    for f in range(1, folds + 1):
-        model = Pipeline(stages=stages).fit(x.where(F.col("fold") != f))
-        part = model.transform(x.where(F.col("fold") == f)).select(*df.columns, F.col("_y").cast("int").alias("prediction"), vector_to_array("_p").alias("stacked"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    out = out_of_fold(x, names, 4, iterations=iterations, l2=l2)
+    return out.select(*df.columns, "prediction", F.col("probabilities").alias("stacked"))
 
 
 def scored_by(df: DataFrame, model, output: str, kind: str = "double") -> DataFrame:

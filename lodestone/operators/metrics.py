@@ -280,18 +280,56 @@ def leaderboard(long: DataFrame, lower_is_better: list[str]) -> DataFrame:
     return long.withColumn("rank", r).withColumn("best", F.col("rank") == 1)
 
 
-def corn_loss(df: DataFrame, logits: str, label: str = "label", weight: str | None = None, classes: int = CLASSES, by: list[str] = []) -> DataFrame:
+def effective_weights(df: DataFrame, by: list[str] = [], label: str = "label", beta: float = 0.999, classes: int = CLASSES) -> DataFrame:
+    """(by..., label, weight): (1 - beta) / (1 - beta^n) of each class with n rows, scaled to a mean of 1 over the classes that occur."""
+    n = df.where(F.col(label).between(0, classes - 1)).groupBy(*by, label).agg(F.count("*").alias("n"))
+    raw = (1 - beta) / (1 - F.pow(F.lit(beta), F.col("n")))
+    return n.withColumn("_w", raw).withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy(*by))).select(*by, label, "weight")
+
+
+def _tasks(logits: str, label: str, gamma: float, classes: int) -> list[tuple[Column, Column, Column]]:
+    """For each conditional task: (whether the row takes part, its focal loss, the loss's derivative by the task's logit)."""
+    out = []
+    for k in range(classes - 1):
+        side = F.when(F.col(label) > k, 1.0).otherwise(-1.0)
+        z = side * F.get(logits, F.lit(k)).cast("double")
+        nll = F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))  # -log of the true side's probability
+        p = F.exp(-nll)
+        wrong = F.exp(-(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))))  # 1 - p without cancellation
+        focal = F.pow(wrong, F.lit(float(gamma))) if gamma else F.lit(1.0)
+        slope = side * (-gamma * focal * p * nll - focal * wrong)
+        out.append((F.col(label) >= k, focal * nll, slope))
+    return out
+
+
+def corn_loss(df: DataFrame, logits: str, label: str = "label", weight: str | None = None, classes: int = CLASSES, by: list[str] = [], gamma: float = 0.0) -> DataFrame:
     """(by..., loss) of conditional ordinal logits (an array of classes - 1): the mean over all conditional tasks, weighted by `weight` if given.
 
-    Task k asks the rows with a label of k or more whether it is more than k.
+    Task k asks the rows with a label of k or more whether it is more than k. With gamma > 0 what is
+    already likely counts less: each loss is multiplied by (1 - p)^gamma, p being the true side's
+    probability. Null and negative labels take no part; null logits add nothing, but count.
     """
-    z = lambda k: F.get(logits, F.lit(k)).cast("double")
-    log1pexp = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    each = [F.when(F.col(label) >= k, F.when(F.col(label) > k, log1pexp(-z(k))).otherwise(log1pexp(z(k)))) for k in range(classes - 1)]
-    total = sum((F.coalesce(F.sum(w * e), F.lit(0.0)) for e in each[1:]), F.coalesce(F.sum(w * each[0]), F.lit(0.0)))
-    mass = sum((F.sum(F.when(F.col(label) >= k, w).otherwise(0.0)) for k in range(1, classes - 1)), F.sum(w))
-    return df.where(F.col(label) >= 0).groupBy(*by).agg((total / F.greatest(mass, F.lit(1.0))).alias("loss"))
+    tasks = _tasks(logits, label, gamma, classes)
+    sums = [F.coalesce(F.sum(F.when(on, w * loss)), F.lit(0.0)) for on, loss, _ in tasks]
+    mass = [F.coalesce(F.sum(F.when(on, w)), F.lit(0.0)) for on, _, _ in tasks]
+    total, whole = sum(sums[1:], sums[0]), sum(mass[1:], mass[0])
+    return df.where(F.col(label) >= 0).groupBy(*by).agg((total / F.greatest(whole, F.lit(1.0))).alias("loss"))
+
+
+def corn_gradient(df: DataFrame, logits: str, label: str = "label", weight: str | None = None, classes: int = CLASSES, by: list[str] = [], gamma: float = 0.0) -> DataFrame:
+    """df with `gradient`, an array of classes - 1: the derivative of the corn_loss() of the row's group by each of the row's logits."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    tasks = _tasks(logits, label, gamma, classes)
+    valid = F.col(label) >= 0
+    mass = [F.coalesce(F.sum(F.when(valid & on, w)), F.lit(0.0)) for on, _, _ in tasks]
+    if by:
+        sizes = df.groupBy(*by).agg(F.greatest(sum(mass[1:], mass[0]), F.lit(1.0)).alias("_mass")).select(*(F.col(c).alias(f"_by_{c}") for c in by), "_mass")
+        met = df.join(sizes, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    else:
+        met = df.join(F.broadcast(df.agg(F.greatest(sum(mass[1:], mass[0]), F.lit(1.0)).alias("_mass"))), F.lit(True))  # one row
+    each = F.array(*(F.when(valid & on, w * slope / F.col("_mass")).otherwise(0.0) for on, _, slope in tasks))
+    return met.withColumn("gradient", each).select(*df.columns, "gradient")
 
 
 def headline(nested: DataFrame, paths: dict[str, str], keep: list[str] = []) -> DataFrame:

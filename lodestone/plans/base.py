@@ -44,6 +44,11 @@ FROM conversations
 #: Documents as the utterances of their source.
 UTTERANCES = "SELECT source AS participant_id, CAST(doc_id AS STRING) AS doc_id, doc_id AS pos, text FROM documents"
 
+#: Documents that have an embedding, with it.
+DOC_VECTORS = """
+SELECT source AS participant_id, CAST(doc_id AS STRING) AS doc_id, doc_id AS pos, embedding FROM documents JOIN embeddings ON doc_id = vec_id
+"""
+
 #: Eight queries: frequent words of the corpus.
 ITEMS = """
 SELECT * FROM (VALUES (1, 'the and with of that'), (2, 'tion ing ation'), (3, 'de la que'), (4, 'und der die'), (5, 'license terms the the'), (6, 'zebra'), (7, 'that is not'), (8, 'een ment los'))
@@ -79,7 +84,7 @@ SELECT * FROM (VALUES
 AS q(item_id, id, kind, pole, text)
 """
 
-BASES = {"preds": PREDS, "turns": TURNS, "utterances": UTTERANCES, "items": ITEMS, "terms": TERMS, "judged": JUDGED, "asked_of": ASKED}
+BASES = {"preds": PREDS, "turns": TURNS, "utterances": UTTERANCES, "doc_vectors": DOC_VECTORS, "items": ITEMS, "terms": TERMS, "judged": JUDGED, "asked_of": ASKED}
 
 
 def base(spark: SparkSession, folder: str, name: str) -> DataFrame:

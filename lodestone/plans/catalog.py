@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import arrays as A
 from lodestone.functions import text as T
-from lodestone.operators import fusion, inference, judgments, learning, lexicon, metrics, quality, reports, retrieval, sequences, summaries
+from lodestone.operators import dense, fusion, inference, judgments, learning, lexicon, metrics, quality, reports, retrieval, sequences, summaries
 from lodestone.plans import studies
 from lodestone.plans.base import base, with_bases
 from lodestone.sources.tables import table
@@ -348,17 +348,17 @@ def bm25_top_positive(spark, d):
     return rounded(retrieval.bm25_top(_docs(spark, d), _items(spark, d), retrieval.Ranking(k=10, zero_policy="positive")).select("participant_id", "item_id", "rank", "doc_id", "score"))
 
 
-SQL_UNIT = "(e / sqrt(list_dot_product(e, e)))"
 SQL_COS = """
 e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-cos AS (SELECT d.label AS participant_id, CAST(q.vec_id AS INT) AS item_id, d.vec_id AS doc_id, list_dot_product(d.v, q.v) AS score FROM u d, u q WHERE q.vec_id < 8)"""
+cos AS (SELECT d.label AS participant_id, CAST(q.vec_id AS INT) AS item_id, d.vec_id AS doc_id, round(list_dot_product(d.v, q.v), 9) AS score FROM u d, u q WHERE q.vec_id % 20 = 0)"""
 
 
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All vectors by label, and every twentieth as a query."""
     e = table(spark, d, "embeddings")
     docs = e.select(F.col("label").alias("participant_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("pos"), F.array(F.col("vec_id").cast("string")).alias("turn_ids"), "embedding")
-    return docs, e.where("vec_id < 8").select(F.col("vec_id").cast("int").alias("item_id"), "embedding")
+    return docs, e.where("vec_id % 20 = 0").select(F.col("vec_id").cast("int").alias("item_id"), "embedding")
 
 
 @query(f"WITH {SQL_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score DESC, doc_id) AS rank FROM cos) SELECT participant_id, item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 5")
@@ -367,17 +367,22 @@ def dense_top(spark, d):
     return rounded(retrieval.dense_top(docs, q).select("participant_id", "item_id", "rank", "doc_id", "score"))
 
 
-@query(f"""WITH {SQL_COS}, g AS (SELECT participant_id, item_id // 4 AS item, item_id AS q, doc_id, score FROM cos)
-SELECT participant_id, item AS item_id, doc_id, round(max(score), 6) AS score, 'q' || arg_max(q, round(score, 12) - q * 1e-15) AS winning_query, CAST(count(*) AS BIGINT) AS n_queries FROM g GROUP BY participant_id, item, doc_id""")
+@query(f"""WITH {SQL_COS}, g AS (SELECT participant_id, item_id // 80 AS item, item_id AS q, doc_id, score FROM cos),
+b AS (SELECT participant_id, item AS item_id, doc_id, max(score) AS score, first('q' || q ORDER BY score DESC, q) AS winning_query FROM g GROUP BY participant_id, item, doc_id)
+SELECT participant_id, item_id, doc_id, round(score, 6) AS score, winning_query, CAST(row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM b QUALIFY rank <= 5""")
 def multiquery_top(spark, d):
+    """Four queries an item; the five best documents of each label."""
     docs, q = _vectors(spark, d)
-    many = q.select(F.floor(F.col("item_id") / 4).cast("int").alias("item_id"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_key"), F.col("item_id").alias("query_ord"), "embedding")
-    s = retrieval.multiquery_scores(docs, many)
-    return rounded(s.select("participant_id", "item_id", "doc_id", "score", "winning_query", F.size("per_query").cast("long").alias("n_queries")))
+    many = q.select(F.floor(F.col("item_id") / 80).cast("int").alias("item_id"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_key"), F.col("item_id").alias("query_ord"), "embedding")
+    return rounded(dense.nearest(docs, many, 5).drop("pos"))
 
 
+#: Cosines of the eight items' vectors, every twentieth one, to the documents that have one.
+SQL_SEMANTIC = """qv AS (SELECT CAST(vec_id // 20 AS INT) AS item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 20 = 0 AND vec_id // 20 BETWEEN 1 AND 8),
+dv AS (SELECT participant_id, doc_id, pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM doc_vectors),
+sem AS (SELECT participant_id, item_id, doc_id, pos, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)), 9) AS semantic FROM dv, qv)"""
 SQL_SIDES = f"""{SQL_FULL}, a AS (SELECT participant_id, item_id, doc_id, score AS bm25, rank AS ra FROM ranked WHERE rank <= 10),
-sem AS (SELECT participant_id, item_id, doc_id, pos, CAST((pos * 37 + item_id * 11) % 101 AS DOUBLE) / 100 AS semantic FROM every),
+{SQL_SEMANTIC},
 s AS (SELECT *, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY semantic DESC, pos) AS rs FROM sem QUALIFY rs <= 10),
 sides AS (SELECT participant_id, item_id, doc_id, coalesce(bm25, 0) AS bm25, coalesce(semantic, 0) AS semantic, ra, rs FROM a FULL JOIN s USING (participant_id, item_id, doc_id)),
 norm AS (SELECT *, CASE WHEN max(bm25) OVER w - min(bm25) OVER w > 1e-12 THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0 END AS nb,
@@ -385,13 +390,16 @@ norm AS (SELECT *, CASE WHEN max(bm25) OVER w - min(bm25) OVER w > 1e-12 THEN (b
   FROM sides WINDOW w AS (PARTITION BY participant_id, item_id))"""
 
 
+def item_vectors(spark, d) -> DataFrame:
+    """(item_id, embedding) of the eight items: every twentieth vector from the twentieth on."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0 AND vec_id div 20 BETWEEN 1 AND 8").select(F.expr("CAST(vec_id div 20 AS INT)").alias("item_id"), "embedding")
+
+
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     items = _items(spark, d)
     docs = retrieval.postings(_docs(spark, d), items)
     a = retrieval.candidates(retrieval.bm25_scores(docs, items), docs, items, 10)
-    s = docs.select("participant_id", "doc_id", "pos").join(items.select("item_id")).withColumn("score", ((F.col("pos") * 37 + F.col("item_id") * 11) % 101).cast("double") / 100)
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("participant_id", "item_id").orderBy(F.desc("score"), "pos"))).where("rank <= 10")
-    return a, s
+    return a, dense.nearest(base(spark, d, "doc_vectors"), item_vectors(spark, d), 10)
 
 
 @query(f"WITH {SQL_SIDES} SELECT participant_id, item_id, doc_id, round(nb, 6) AS bm25_norm, round(ns, 6) AS semantic_norm, round(0.25 * nb + 0.75 * ns, 6) AS score, candidate_count FROM norm")

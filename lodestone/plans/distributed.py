@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import folds, sketches
+from lodestone.operators import folds, inference, metrics, sketches, training
 from lodestone.operators.selection import wide_quantiles
 from lodestone.plans.base import base
-from lodestone.plans.catalog import query, rounded
-from lodestone.sources.scratch import cut
+from lodestone.plans.catalog import SQL_DRAWS, SQL_SUMMARY, SQL_WINDOWS, query, rounded, sql_boot
+from lodestone.sources import commits
+from lodestone.sources.scratch import cut, new_path
 from lodestone.sources.tables import table
+from lodestone.streaming import sessions, windows
 
 # ---------------------------------------------------------------- folds
 
@@ -83,3 +85,107 @@ def sketched_groups(spark, d):
     off = 2 * sketches.rank_error(200)
     held = (F.col("least") <= 0.5 + off) & (F.col("most") >= 0.5 - off)
     return both.select(*keys, F.col("grouping_id").cast("long").alias("grouping_id"), "n", "users", near.alias("users_within"), held.alias("median_within"))
+
+
+# ---------------------------------------------------------------- learning and resampling
+
+_LOGITS = [f"l{c} * 4 - 1" for c in range(3)]
+
+
+def _focal_terms(gamma: float) -> str:
+    """(fold, w, k, loss, slope) a row a conditional task, written out with logarithms."""
+    one = lambda k: f"""SELECT participant_id, item_id, fold, w, {k} AS k, power(1 - p, {gamma}) * -ln(p) AS loss, side * ({gamma} * power(1 - p, {gamma}) * p * ln(p) - power(1 - p, {gamma} + 1)) AS slope FROM (
+  SELECT *, 1 / (1 + exp(-side * z)) AS p FROM (SELECT participant_id, item_id, fold, w, {_LOGITS[k]} AS z, CASE WHEN label > {k} THEN 1 ELSE -1 END AS side FROM weighed WHERE label >= {k}))"""
+    return " UNION ALL ".join(one(k) for k in range(3))
+
+
+_WEIGHED = """n AS (SELECT fold, label, count(*) AS n FROM preds GROUP BY ALL), r AS (SELECT fold, label, 0.001 / (1 - power(0.999, n)) AS r FROM n),
+e AS (SELECT fold, label, r / avg(r) OVER (PARTITION BY fold) AS w FROM r), weighed AS (SELECT preds.*, w FROM preds JOIN e USING (fold, label))"""
+
+
+@query(f"""WITH {_WEIGHED}, plain AS ({_focal_terms(0.0)}), focal AS ({_focal_terms(2.0)}),
+a AS (SELECT fold, avg(loss) AS loss, sum(w * loss) / sum(w) AS balanced FROM plain GROUP BY fold), b AS (SELECT fold, avg(loss) AS focal, sum(w * loss) / sum(w) AS balanced_focal FROM focal GROUP BY fold)
+SELECT fold, round(loss, 6) AS loss, round(balanced, 6) AS balanced, round(focal, 6) AS focal, round(balanced_focal, 6) AS balanced_focal FROM a JOIN b USING (fold)""")
+def focal_losses(spark, d):
+    p = _weighed(spark, d)
+    out = None
+    for name, weight, gamma in (("loss", None, 0.0), ("balanced", "w", 0.0), ("focal", None, 2.0), ("balanced_focal", "w", 2.0)):
+        part = metrics.corn_loss(p, "z", weight=weight, by=["fold"], gamma=gamma).withColumnRenamed("loss", name)
+        out = part if out is None else out.join(part, "fold")
+    return rounded(out)
+
+
+def _weighed(spark, d):
+    p = base(spark, d, "preds").withColumn("z", F.array(*(F.expr(x) for x in _LOGITS)))
+    return cut(p.join(metrics.effective_weights(p, ["fold"]).withColumnRenamed("weight", "w"), ["fold", "label"]).select("participant_id", "item_id", "fold", "label", "z", "w"))
+
+
+@query(f"""WITH {_WEIGHED}, focal AS ({_focal_terms(2.0)}), mass AS (SELECT fold, sum(w) AS m FROM focal GROUP BY fold)
+SELECT participant_id, item_id, round(coalesce(sum(w * slope / m) FILTER (k = 0), 0) * 1e4, 6) AS g0, round(coalesce(sum(w * slope / m) FILTER (k = 1), 0) * 1e4, 6) AS g1, round(coalesce(sum(w * slope / m) FILTER (k = 2), 0) * 1e4, 6) AS g2 FROM focal JOIN mass USING (fold) GROUP BY ALL""")
+def focal_gradients(spark, d):
+    g = metrics.corn_gradient(_weighed(spark, d), "z", weight="w", by=["fold"], gamma=2.0)
+    return rounded(g.select("participant_id", "item_id", *((F.get("gradient", F.lit(k)) * 1e4).alias(f"g{k}") for k in range(3))))
+
+
+@query()
+def encoder_out_of_fold(spark, d):
+    """An encoder's head: vectors to their label's remainder by 4, five folds fitted at once. Learned, so there is no SQL."""
+    e = table(spark, d, "embeddings")
+    size = 64
+    x = e.select("vec_id", (F.col("vec_id") % 5 + 1).cast("int").alias("fold"), (F.col("label") % 4).cast("int").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(size)))
+    return training.out_of_fold(x, [f"x{i}" for i in range(size)], 4).select("vec_id", "fold", "label", "prediction")
+
+
+_POISSON = f"""
+clusters AS (SELECT participant_id, (CAST('0x' || substr(md5(CAST(participant_id AS VARCHAR)), 1, 8) AS BIGINT) % {inference.PRIME} + 42 * 48271) % {inference.PRIME} AS a FROM (SELECT DISTINCT participant_id FROM preds)),
+x1 AS (SELECT participant_id, b, a, (a * a + b * 69621 + 1) % {inference.PRIME} AS x FROM clusters, range(2000) r(b)),
+x2 AS (SELECT participant_id, b, (x * x + a) % {inference.PRIME} AS x FROM x1),
+x3 AS (SELECT participant_id, b AS replicate, (x * x + b) % {inference.PRIME} / {inference.PRIME}.0::DOUBLE AS u FROM x2),
+weights AS (SELECT participant_id, replicate, {' + '.join(f'CAST(u >= {c!r}::DOUBLE AS INT)' for c in inference.POISSON)} AS weight FROM x3 WHERE u >= {inference.POISSON[0]!r}::DOUBLE)"""
+_POISSON_BOOT = sql_boot().replace(SQL_DRAWS, _POISSON)
+
+
+@query(f"""WITH {_POISSON_BOOT}, long AS (UNPIVOT (SELECT replicate, run, accuracy, macro_f1, qwk FROM metrics) ON accuracy, macro_f1, qwk INTO NAME metric VALUE value)
+SELECT run, metric, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.025), 5) AS ci_lo, round(quantile_cont(value, 0.975), 5) AS ci_hi FROM long GROUP BY run, metric""")
+def poisson_intervals(spark, d):
+    reps = inference.replicate_metrics(base(spark, d, "preds"), "participant_id", ["encoder_pred", "llm_pred"], resampling="poisson")
+    return rounded(inference.intervals(rounded(reps), ["accuracy", "macro_f1", "qwk"]), 5)
+
+
+@query(f"""WITH {_POISSON_BOOT}, long AS (UNPIVOT (SELECT replicate, run, accuracy, macro_f1, qwk FROM metrics) ON accuracy, macro_f1, qwk INTO NAME metric VALUE value),
+dd AS (SELECT replicate, metric, max(value) FILTER (run = 'llm_pred') - max(value) FILTER (run = 'encoder_pred') AS d FROM long GROUP BY ALL)
+{SQL_SUMMARY}""")
+def poisson_deltas(spark, d):
+    reps = inference.replicate_metrics(base(spark, d, "preds"), "participant_id", ["encoder_pred", "llm_pred"], resampling="poisson")
+    return rounded(inference.paired_deltas(rounded(reps), "encoder_pred", "llm_pred", ["accuracy", "macro_f1", "qwk"]), 5)
+
+
+# ---------------------------------------------------------------- sinks and streams
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderkey % 3 AS batch FROM orders")
+def committed_batches(spark, d):
+    """Orders appended in three batches, each sent twice, and one more time as a whole with only what is missing."""
+    path = new_path(spark, "appended")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    for batch in (0, 1, 1, 2, 0, 2):
+        commits.append_once(o.where(F.col("o_orderkey") % 3 == batch), path, "orders", batch)
+    commits.append_missing_once(o, path, ["o_orderkey"], "again", 0)
+    return commits.committed(spark, path, "o_orderkey long, o_custkey long").select("o_orderkey", "o_custkey", "batch")
+
+
+@query(f"WITH {SQL_WINDOWS} SELECT participant_id, window_id AS context_window_id, array_to_string(turn_ids, ',') AS turn_ids, md5(window_text) AS text_md5 FROM windows")
+def streamed_windows(spark, d):
+    """Conversations as a stream of files, three turns of every conversation each; then one far later turn, which lets the watermark pass all sessions."""
+    path, out, state = (new_path(spark, k) for k in ("turns", "windows", "state"))
+    columns = ["participant_id", "pos", "start_time", "end_time", "text"]
+    t = base(spark, d, "turns").select(*columns)
+    last = t.agg(F.max("pos")).first()[0] or 0
+    for k in range(0, last + 1, 3):
+        t.where(F.col("pos").between(k, k + 2)).coalesce(1).write.mode("append").parquet(path)
+    end = t.agg(F.max("end_time").alias("e")).select(F.lit("~").alias("participant_id"), F.lit(0).alias("pos"), (F.col("e") + 1e6).alias("start_time"), (F.col("e") + 1e6).alias("end_time"), F.lit("").alias("text"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    sessions.run_once(windows.stream_windows(stream, "0 seconds", size=3), out, state)
+    found = spark.read.schema(windows.WINDOW).parquet(out).where("participant_id <> '~'")
+    return found.select("participant_id", "context_window_id", F.array_join("turn_ids", ",").alias("turn_ids"), F.md5("window_text").alias("text_md5"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import arrays as A
 from lodestone.functions import text as T
-from lodestone.operators import fusion, lexicon, metrics, quality, reports, retrieval, sequences, summaries
+from lodestone.operators import dense, fusion, lexicon, metrics, quality, reports, retrieval, sequences, summaries
 from lodestone.plans import studies
 from lodestone.plans.base import base
-from lodestone.plans.catalog import IDF_PLUS, SQL_FULL, SQL_STOP, SQL_TWO, _docs, _items, _sql_bm25, query, rounded, sql_metrics
+from lodestone.plans.catalog import IDF_PLUS, SQL_FULL, SQL_SEMANTIC, SQL_STOP, SQL_TWO, _docs, _items, _sql_bm25, item_vectors, query, rounded, sql_metrics
 from lodestone.sources.tables import table
 
 # ---------------------------------------------------------------- queries asked of an item
@@ -55,14 +55,19 @@ def _sql_configs() -> str:
 
 @query(f"""WITH {_sql_configs()},
 b AS (SELECT participant_id, item_id, 'bm25' AS retriever, doc_id, score, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score DESC, pos) AS rank FROM scores JOIN live USING (participant_id, doc_id)),
-s AS (SELECT l.participant_id, c.item_id, 'semantic' AS retriever, l.doc_id, CAST((l.pos * 37 + c.item_id // 10 * 11) % 101 AS DOUBLE) / 100 AS score, l.pos FROM live l, coded c),
+qv AS (SELECT vec_id // 40 * 10 + vec_id // 20 % 2 AS item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 20 = 0 AND vec_id // 40 BETWEEN 1 AND 8),
+dv AS (SELECT participant_id, doc_id, pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM doc_vectors JOIN live USING (participant_id, doc_id, pos)),
+s AS (SELECT participant_id, item_id, 'semantic' AS retriever, doc_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)), 9) AS score, pos FROM dv, qv),
 sr AS (SELECT participant_id, item_id, retriever, doc_id, score, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score DESC, pos) AS rank FROM s)
 SELECT participant_id, CAST(item_id // 10 AS INT) AS item_id, CASE item_id % 10 WHEN 0 THEN 'bare' ELSE 'expanded' END AS config, retriever, rank, doc_id, round(score, 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM sr) WHERE rank <= 20""")
 def full_rankings(spark, d):
+    """An item's configurations have a vector each: every twentieth one, two an item."""
     docs, asked = _docs(spark, d), _configs(spark, d)
-    live = docs.where(F.size("tokens") > 0).select("participant_id", "doc_id", "pos")
-    semantic = live.join(F.broadcast(asked.select("item_id", "config"))).withColumn("score", ((F.col("pos") * 37 + F.col("item_id") * 11) % 101).cast("double") / 100)  # a row an item and configuration
-    return rounded(retrieval.full_rankings(docs, asked, semantic.drop("pos")))
+    vectors = table(spark, d, "embeddings").where("vec_id % 20 = 0 AND vec_id div 40 BETWEEN 1 AND 8").select(F.expr("CAST(vec_id div 20 AS INT)").alias("item_id"), "embedding")
+    near = dense.nearest(base(spark, d, "doc_vectors").join(docs.where(F.size("tokens") > 0).select("participant_id", "doc_id"), ["participant_id", "doc_id"]), vectors, 20)
+    config = F.when(F.col("item_id") % 2 == 0, "bare").otherwise("expanded")
+    semantic = near.select("participant_id", F.floor(F.col("item_id") / 2).cast("int").alias("item_id"), config.alias("config"), "doc_id", "score")
+    return rounded(retrieval.full_rankings(docs, asked, semantic))
 
 
 @query(f"""WITH {_sql_configs()},
@@ -80,16 +85,19 @@ def expansion_variants(spark, d):
     return v.select("participant_id", "item_id", *(F.array_join(F.coalesce(f"ids_{c}", F.array().cast("array<string>")), ",").alias(f"ids_{c}") for c in variants), "n_bare", "n_expanded")
 
 
-@query(f"""WITH {SQL_FULL}, b AS (SELECT participant_id, item_id, doc_id, pos, score AS b, CAST((pos * 37 + item_id * 11) % 101 AS DOUBLE) / 100 AS s FROM every),
+@query(f"""WITH {SQL_FULL}, {SQL_SEMANTIC}, b AS (SELECT participant_id, item_id, doc_id, pos, score AS b, coalesce(semantic, 0) AS s FROM every LEFT JOIN sem USING (participant_id, item_id, doc_id, pos)),
 n AS (SELECT *, CASE WHEN max(b) OVER w - min(b) OVER w > 1e-12 THEN (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) ELSE 0 END AS nb, CASE WHEN max(s) OVER w - min(s) OVER w > 1e-12 THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0 END AS ns FROM b WINDOW w AS (PARTITION BY participant_id, item_id)),
 f AS (SELECT *, round(0.7 * ns + 0.3 * nb, 9) AS f FROM n)
 SELECT participant_id, item_id, doc_id, round(f, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY participant_id, item_id ORDER BY f DESC, pos) <= 5""")
 def hybrid_prototype(spark, d):
+    """Every document takes part; one without a vector, or without a term, counts as 0 on that side."""
     docs, items = _docs(spark, d), _items(spark, d)
     post = retrieval.postings(docs, items)
-    s = post.select("participant_id", "doc_id", "pos").join(F.broadcast(items.select("item_id"))).withColumn("score", ((F.col("pos") * 37 + F.col("item_id") * 11) % 101).cast("double") / 100)  # eight items
-    b = retrieval.bm25_scores(post, items).join(post.select("participant_id", "doc_id", "pos"), ["participant_id", "doc_id"])
-    return rounded(retrieval.hybrid_prototype(b, s, alpha=0.7).select("participant_id", "item_id", "doc_id", "score"))
+    live = post.select("participant_id", "doc_id", "pos")
+    near = dense.all_scores(base(spark, d, "doc_vectors").join(live, ["participant_id", "doc_id", "pos"]), item_vectors(spark, d)).select("participant_id", "item_id", "doc_id", "score")
+    rest = live.join(F.broadcast(items.select("item_id"))).join(near, ["participant_id", "item_id", "doc_id"], "left").fillna(0.0, ["score"])  # eight items
+    b = retrieval.bm25_scores(post, items).join(live, ["participant_id", "doc_id"])
+    return rounded(retrieval.hybrid_prototype(b, rest, alpha=0.7).select("participant_id", "item_id", "doc_id", "score"))
 
 
 @query(f"""WITH {SQL_FULL}, t AS (SELECT source AS participant_id, CAST(doc_id AS VARCHAR) AS doc_id, text, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
@@ -127,10 +135,10 @@ def model_inputs(spark, d):
     return t.select("doc_id", F.md5("x.text_pair").alias("pair_md5"), F.size(F.filter(F.split("x.text_pair", " "), lambda w: w != "")).alias("n_kept"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(replace(replace(replace(substr(text, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(license of|license|the)', '<mark>\\1</mark>', 'gi')) AS marked_md5 FROM documents""")
+@query("""SELECT doc_id, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(license of|license|the)', '<mark>\\1</mark>', 'gi')) AS marked_md5 FROM documents""")
 def highlighted_terms(spark, d):
     terms = F.array(*map(F.lit, ("the", "license", "license of")))
-    return table(spark, d, "documents").select("doc_id", F.md5(T.highlighted(F.substring("text", 1, 400), terms)).alias("marked_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.highlighted(F.col("text"), terms)).alias("marked_md5"))
 
 
 REPLY = """CASE o_orderkey % 6

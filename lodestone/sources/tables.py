@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -75,16 +75,18 @@ def optional(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends, as JSON lines, the rows whose keys aren't in path yet; returns how many. Run again, it goes on where it stopped."""
+    """Appends, as JSON lines, the rows whose keys aren't in path yet; returns how many. Run again, it goes on where it stopped.
+
+    Rows are counted as they are written. For writers that may fail half-way or run again see commits.append_once().
+    """
     spark = df.sparkSession
     new = df
     if exists(spark, path):
         done = spark.read.schema(df.select(*keys).schema).json(path)
         new = df.join(done, keys, "left_anti")
-    n = new.count()
-    if n:
-        new.write.mode("append").json(path)
-    return n
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:

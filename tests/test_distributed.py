@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import folds, selection, sequences, sketches
+from lodestone.operators import dense, folds, inference, metrics, selection, sequences, sketches, training
+from lodestone.sources import commits
+from lodestone.streaming import sessions, windows
 
 
 def uneven(seed, groups=500, classes=4):
@@ -161,3 +163,254 @@ def test_sketches_hold_their_errors_after_merging(spark):
         assert (r.quantiles is None) == (r.a == 99)
         if r.a is None:
             assert all(abs(x - p) < 2 * sketches.rank_error(200) for x, p in zip(r.quantiles, probs))
+
+
+# dense retrieval
+
+
+def plain_nearest(docs, queries, k):
+    best = {}
+    for p, d, pos, e in docs:
+        for item, key, order, q in queries:
+            if e is None or q is None:
+                continue
+            a, b = np.array(e, float), np.array(q, float)
+            n = np.linalg.norm(a) * np.linalg.norm(b)
+            s = round(float(a @ b / n) if n else 0.0, 9) + 0.0
+            have = best.get((p, item, d))
+            if have is None or (s, -order) > (have[0], -have[1]):
+                best[p, item, d] = (s, order, key, pos)
+    lists = defaultdict(list)
+    for (p, item, d), (s, _, key, pos) in best.items():
+        lists[p, item].append((-s, pos, d, key))
+    return {(p, item, i + 1): (d, -s, key) for (p, item), rows in lists.items() for i, (s, pos, d, key) in enumerate(sorted(rows)[:k])}
+
+
+@pytest.mark.parametrize("size", [(4096, 2048), (7, 3), (1, 1)])
+def test_nearest_by_blocks(spark, size):
+    rnd = random.Random(8)
+    vec = lambda: [rnd.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]  # noqa: E731  many ties
+    docs = [(rnd.choice(["a", "b", None]), f"d{i}", i, vec()) for i in range(60)] + [("a", "none", 900, None), ("a", "zero", 901, [0.0] * 4)]
+    queries = [(i // 3, f"q{i}", i, vec()) for i in range(12)] + [(9, "qn", 0, None)]
+    d = spark.createDataFrame(docs, "participant_id string, doc_id string, pos long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "item_id int, query_key string, query_ord int, embedding array<double>")
+    got = {(r.participant_id, r.item_id, r["rank"]): (r.doc_id, r.score + 0.0, r.winning_query) for r in dense.nearest(d, q, 5, size).collect()}
+    assert got == plain_nearest(docs, queries, 5)
+    every = dense.all_scores(d, q, size)
+    assert every.count() == 61 * 4
+    assert dense.nearest(d, q.limit(0), 5).count() == 0 and dense.nearest(d.limit(0), q, 5).count() == 0
+
+
+# learning
+
+
+def plain_fit(x, y, weight, l2, classes):
+    """Newton's method with the full Hessian, on standardised columns."""
+    a = np.column_stack([x, np.ones(len(x))])
+    d, w = a.shape[1], np.zeros(a.shape[1] * classes)
+    penalty = np.tile(np.append(np.full(d - 1, l2), 0), classes)
+    for _ in range(60):
+        z = a @ w.reshape(classes, d).T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = ((p - np.eye(classes)[y]) * weight[:, None]).T @ a
+        h = np.zeros((classes * d, classes * d))
+        for n in range(len(x)):
+            h += weight[n] * np.kron(np.diag(p[n]) - np.outer(p[n], p[n]), np.outer(a[n], a[n]))
+        w = w - np.linalg.lstsq(h + np.diag(penalty), g.ravel() + penalty * w, rcond=1e-12)[0]
+    return w.reshape(classes, d)
+
+
+def test_all_folds_at_once_equal_single_fits(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1, 5, 0.1] + [0, 10, 3]
+    y = (x[:, 0] + rng.normal(size=400) * 0.2 > 0).astype(int) + (x[:, 1] > 14)
+    fold = np.arange(400) % 4 + 1
+    df = spark.createDataFrame([(int(f), int(c), *map(float, v), 1.0) for f, c, v in zip(fold, y, x)], "fold int, label int, a double, b double, c double, flat double").repartition(5)
+    models = training.fit_folds(df, ["a", "b", "c", "flat"], 3)
+    assert set(models) == {1, 2, 3, 4}
+    for held, model in models.items():
+        at = fold != held
+        z = np.column_stack([(x[at] - x[at].mean(0)) / x[at].std(0), np.zeros(at.sum())])
+        each = np.bincount(y[at], minlength=3)
+        want = plain_fit(z, y[at], (at.sum() / (3 * each))[y[at]], 1.0, 3)
+        assert np.allclose(model.mean[:3], x[at].mean(0)) and np.allclose(model.deviation[:3], x[at].std(0))
+        assert np.allclose(model.w, want, atol=1e-6)
+    got = training.out_of_fold(df, ["a", "b", "c", "flat"], 3).collect()
+    assert len(got) == 400 and all(abs(sum(r.probabilities) - 1) < 1e-9 for r in got)
+    for r in got[:50]:  # by the model that hasn't seen the row
+        p = models[r.fold].probabilities(np.array([[r.a, r.b, r.c, r.flat]]))[0]
+        assert r.prediction == int(p.argmax()) and np.allclose(p, r.probabilities)
+    assert sum(r.prediction == r.label for r in got) > np.bincount(y).max() + 40  # better than the largest class alone
+
+
+def test_learning_with_odd_rows(spark):
+    rows = [(1, 0, 1.0), (1, 1, 2.0), (2, 0, 0.5), (2, 1, None), (2, None, 1.0), (2, 7, 1.0), (None, 1, 2.0), (2, 1, 2.5)]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "fold int, label int, a double, prediction int")
+    got = training.out_of_fold(df, ["a"], 2).collect()
+    assert len(got) == len(rows) and [r.prediction is None for r in got] == [r.a is None or r.fold is None for r in got]
+    one = training.out_of_fold(df.where("fold = 1"), ["a"], 2).collect()  # nothing to learn from
+    assert [r.prediction for r in one] == [None, None]
+    assert training.out_of_fold(df.limit(0), ["a"], 2).count() == 0
+
+
+# ordinal loss
+
+
+def plain_loss(rows, gamma, weights):
+    total = mass = 0.0
+    for (z, y), w in zip(rows, weights):
+        for k in range(3):
+            if y >= k:
+                p = 1 / (1 + math.exp(-z[k])) if y > k else 1 / (1 + math.exp(z[k]))
+                total += w * (1 - p) ** gamma * -math.log(p)
+                mass += w
+    return total / max(mass, 1.0)
+
+
+@pytest.mark.parametrize("gamma", [0.0, 0.5, 2.0])
+def test_focal_loss_and_its_gradient_by_differences(spark, gamma):
+    rnd = random.Random(11)
+    rows = [([rnd.uniform(-4, 4) for _ in range(3)], rnd.randrange(4)) for _ in range(40)]
+    weights = [rnd.uniform(0.2, 3) for _ in rows]
+    df = spark.createDataFrame([(i, z, y, w, i % 2) for i, ((z, y), w) in enumerate(zip(rows, weights))], "i int, z array<double>, label int, w double, g int")
+    assert metrics.corn_loss(df, "z", weight="w", gamma=gamma).first().loss == pytest.approx(plain_loss(rows, gamma, weights))
+    got = {r.i: r.gradient for r in metrics.corn_gradient(df, "z", weight="w", gamma=gamma).collect()}
+    step = 1e-5
+    for i in range(0, 40, 7):
+        for k in range(3):
+            moved = []
+            for s in (step, -step):
+                z = list(rows[i][0])
+                z[k] += s
+                moved.append(plain_loss([*rows[:i], (z, rows[i][1]), *rows[i + 1 :]], gamma, weights))
+            assert got[i][k] == pytest.approx((moved[0] - moved[1]) / (2 * step), abs=1e-7)
+    by = {r.g: r.loss for r in metrics.corn_loss(df, "z", weight="w", by=["g"], gamma=gamma).collect()}
+    assert by[1] == pytest.approx(plain_loss(rows[1::2], gamma, weights[1::2]))
+
+
+def test_far_logits_stay_finite(spark):
+    df = spark.createDataFrame([([800.0, -800.0, 0.0], 0), ([-800.0, 1.0, 2.0], 3), (None, 2), ([1.0, 1.0, 1.0], None), ([1.0, 1.0, 1.0], -1)], "z array<double>, label int")
+    for gamma in (0.0, 2.0):
+        assert 0 < metrics.corn_loss(df, "z", gamma=gamma).first().loss < 1000
+        assert all(x is None or math.isfinite(x) for r in metrics.corn_gradient(df, "z", gamma=gamma).collect() for x in r.gradient)
+    w = {r.label: r.weight for r in metrics.effective_weights(df).collect()}
+    assert set(w) == {0, 2, 3} and sum(w.values()) == pytest.approx(3)
+
+
+# bootstrap
+
+
+def test_poisson_weights():
+    points = np.random.default_rng(2).integers(0, inference.PRIME, 3000)
+    w = inference.poisson_weights(points, np.arange(1500), 42)
+    assert abs(w.mean() - 1) < 0.002 and abs(w.var() - 1) < 0.005 and w.max() < 13
+    assert (np.bincount(w.ravel(), minlength=4)[:4] / w.size == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.002))
+    assert np.abs(np.corrcoef(w[:60])[np.triu_indices(60, 1)]).max() < 0.1 and np.abs(np.corrcoef(w[:, :60].T)[np.triu_indices(60, 1)]).max() < 0.15
+    assert (w != inference.poisson_weights(points, np.arange(1500), 43)).mean() > 0.5
+
+
+def test_poisson_intervals_are_near_those_of_draws(spark):
+    rnd = random.Random(1)
+    rows = [(c, rnd.randrange(4), 0, 0) for c in range(400) for _ in range(8)]
+    rows = [(c, y, y if rnd.random() < 0.6 else rnd.randrange(4), y if rnd.random() < 0.55 else rnd.randrange(4)) for c, y, _, _ in rows]
+    df = spark.createDataFrame(rows, "c long, label int, a int, b int")
+    found = {}
+    for how in ("draws", "poisson"):
+        reps = inference.replicate_metrics(df, "c", ["a", "b"], replicates=800, resampling=how)
+        assert reps.count() == 1600
+        found[how] = {(r.run, r.metric): r for r in inference.intervals(reps, ["accuracy", "qwk"]).collect()}
+    for k, x in found["draws"].items():
+        y = found["poisson"][k]
+        width = x.ci_hi - x.ci_lo
+        assert abs(x.mean - y.mean) < 0.1 * width and abs(x.ci_lo - y.ci_lo) < 0.2 * width and abs(x.ci_hi - y.ci_hi) < 0.2 * width
+
+
+# appends that happen once
+
+
+def test_replayed_batches_are_appended_once(spark, tmp_path, monkeypatch):
+    path, df = f"{tmp_path}/t", spark.range(10).select("id", (F.col("id") * 2).alias("x"))
+    assert commits.committed(spark, path, "id long, x long").count() == 0 and commits.records(spark, path).count() == 0
+    assert commits.append_once(df, path, "a", 0) == 10
+    assert commits.append_once(df, path, "a", 0) is None
+
+    def dies(*_):
+        raise RuntimeError("killed between write and commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(commits, "commit", dies)
+        with pytest.raises(RuntimeError):
+            commits.append_once(df.select((F.col("id") + 100).alias("id"), "x"), path, "a", 1)
+    assert commits.committed(spark, path, "id long, x long").count() == 10  # the files are there, the batch isn't
+    assert commits.append_once(df.select((F.col("id") + 200).alias("id"), "x").limit(3), path, "a", 1) == 3
+    got = commits.committed(spark, path, "id long, x long")
+    assert sorted(r.id for r in got.collect()) == [*range(10), 200, 201, 202]
+    assert commits.append_missing_once(spark.range(5, 15).select("id", F.col("id").alias("x")), path, ["id"], "b", 0) == 5
+    assert commits.append_once(df.limit(0), path, "b", 1) == 0
+    assert sorted((r.run, r.batch, r["rows"]) for r in commits.records(spark, path).collect()) == [("a", 0, 10), ("a", 1, 3), ("b", 0, 5), ("b", 1, 0)]
+    with pytest.raises(ValueError):
+        commits.append_once(df.withColumn("run", F.lit(1)), path, "c", 0)
+    with pytest.raises(ValueError):
+        commits.append_once(df, path, "a/b", 0)
+
+
+def test_streams_survive_death_before_and_after_the_commit(spark, tmp_path, monkeypatch):
+    source, path = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(source)
+    read = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    commit = commits.commit
+
+    def before(*a):
+        if a[3] == 1:
+            raise RuntimeError("dies before the commit of batch 1")
+        commit(*a)
+
+    def after(*a):
+        commit(*a)
+        if a[3] == 2:
+            raise RuntimeError("dies after the commit of batch 2")
+
+    for dying in (before, after):
+        with monkeypatch.context() as m:
+            m.setattr(commits, "commit", dying)
+            with pytest.raises(Exception):
+                commits.stream_once(read(), path, "s", f"{tmp_path}/check")
+    commits.stream_once(read(), path, "s", f"{tmp_path}/check")
+    got = sorted(r.id for r in commits.committed(spark, path, "id long").collect())
+    assert got == list(range(40))
+
+
+# windows over streams
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 7])
+def test_windows_of_streams_are_those_of_tables(spark, tmp_path, size):
+    rnd = random.Random(size)
+    rows = []
+    for p in ("a", "b", "c", "d e"):
+        t = 0.0
+        for pos in range(rnd.randrange(1, 25)):
+            t = max(0.0, t + rnd.choice([1, 1, 5, 30, 59, 61, 200, -3]))
+            rows.append((p, pos, t, t + rnd.choice([0.5, 2.0]), rnd.choice(["x  y", " z", "", None])))
+    schema = "participant_id string, pos long, start_time double, end_time double, text string"
+    whole = spark.createDataFrame([(*r[:4], r[4] or "") for r in rows], schema)
+    want = sequences.context_windows(sequences.turns(whole), size=size).select(*windows.WINDOW.replace("array<string>", "x").split(", ")[0].split()[:1], "context_window_id", "center_turn_id", "center_turn_index", "turn_ids", "start_time", "end_time", "n_turns", "window_text")
+    for k in range(0, 25, 4):
+        spark.createDataFrame([r for r in rows if k <= r[1] < k + 4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("~", 0, 1e7, 1e7, "")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sessions.run_once(windows.stream_windows(stream, "10000 seconds", size), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.schema(windows.WINDOW).parquet(f"{tmp_path}/out").where("participant_id <> '~'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_held_turns_are_bounded():
+    held = windows.Held(3, 60.0)
+    seen = []
+    for i in range(500):
+        seen += held.add(float(i), i + 0.5, f"t{i}")
+        assert len(held.turns) <= 7
+    seen += held.flush()
+    assert [i for i, _ in seen] == list(range(500)) and all(len(ts) == min(i, 3) + min(499 - i, 3) + 1 for i, ts in seen)
