@@ -131,6 +131,27 @@ def salvage_judgment(raw: Column) -> Column:
     )
 
 
+def salvage_set_judgment(raw: Column) -> Column:
+    """struct(status, severity_hint, reason) of a reply about a whole list of windows.
+
+    As salvage_judgment(), but a hint counts only if it is a JSON number (its fraction is cut, true is 1), the
+    reason isn't cut, and what is found by pattern has a status alone.
+    """
+    known = ("supports", "against", "ambiguous", "none")
+    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    text = F.when(body != "", body)
+    read = F.from_json(text, "status string, reason string")
+    number = F.coalesce(F.from_json(text, "severity_hint double")["severity_hint"], F.from_json(text, "severity_hint boolean")["severity_hint"].cast("double")).try_cast("int")
+    status = F.lower(F.trim(read["status"]))
+    found = F.lower(F.regexp_extract(raw, r'(?i)"?status"?\s*[:=]\s*"?(supports|against|ambiguous|none)', 1))
+    parsed = F.coalesce(status.isin(*known), F.lit(False))
+    return F.struct(
+        F.when(parsed, status).when(found != "", found).alias("status"),
+        F.when(parsed & number.between(0, 3), number).alias("severity_hint"),
+        F.when(parsed, F.coalesce(read["reason"], F.lit(""))).when(found != "", "[unparsed reason]").otherwise("[unparseable output]").alias("reason"),
+    )
+
+
 def salvage_relevant(raw: Column) -> Column:
     """true/false of a JSON `relevant`, a boolean or a text that starts with t, else of a bare one by pattern; null if there is none."""
     body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
@@ -218,8 +239,52 @@ def highlighted(text: Column, terms: Column, before: str = "<mark>", after: str
     return F.when(F.size(terms) > 0, F.regexp_replace(escape(text), F.concat(F.lit("(?i)("), F.array_join(ordered, "|"), F.lit(")")), F.lit(f"{before}$1{after}"))).otherwise(escape(text))
 
 
+# What runs are called by the names of their data sets, columns, models, losses and folders.
+FAMILIES = {
+    "cv/seedconf_": "Multi-seed confirmation (CORN×Hybrid, 5 seeds)",
+    "cv/ctxm_": "MentalBERT context-window matrix",
+    "cv/ctx_": "BERT context-window matrix",
+    "cv/bm25base_": "Unified BM25 baseline (BERT vs MentalBERT)",
+    "cv/": "Original CV (TF-IDF baseline)",
+    "sweep_": "MentalBERT LR×epoch sweep",
+    "seeds_": "Multi-seed weighted-CE (TF-IDF)",
+}
+OTHER_FAMILY = "Single split (val/test)"
+LOSSES = {"CORN": "CORN", "weighted": "weighted CE"}
+OTHER_LOSS = "plain CE"
+MODELS = {"mental": "MentalBERT"}
+OTHER_MODEL = "BERT"
+
+
+def named_by(name: Column, names: dict[str, str], other: str, prefix: bool = False) -> Column:
+    """The label of the first of names that is in `name`, or that it starts with."""
+    out = None
+    for part, label in names.items():
+        met = F.startswith(name, F.lit(part)) if prefix else F.contains(name, F.lit(part))
+        out = F.when(met, label) if out is None else out.when(met, label)
+    return out.otherwise(other)
+
+
+def experiment_family(run: Column, families: dict[str, str] = FAMILIES, other: str = OTHER_FAMILY) -> Column:
+    """The family that a run's folder and prefix stand for; longer prefixes come first."""
+    return named_by(run, dict(sorted(families.items(), key=lambda x: -len(x[0]))), other, prefix=True)
+
+
+def evidence_kind(method: Column, dataset: Column) -> Column:
+    """Short label of a run's evidence: its retrieval_method() and the window size in its data set's name."""
+    wide = F.when(F.contains(dataset, F.lit("w3")), "W3").otherwise("W5")
+    return (
+        F.when(F.contains(method, F.lit("first-K")), "Plain (no-retrieval utt)")
+        .when(F.startswith(method, F.lit("TF-IDF")), "TF-IDF utt")
+        .when(F.startswith(method, F.lit("BM25 (utt")), "BM25 utt")
+        .when(F.startswith(method, F.lit("BM25")) & F.contains(method, F.lit("context windows")), F.concat(F.lit("BM25 "), wide))
+        .when(F.contains(method, F.lit("Hybrid")), F.concat(F.lit("Hybrid "), wide))
+        .otherwise("other")
+    )
+
+
 def retrieval_method(dataset: Column, column: Column) -> Column:
-    """How a run's evidence was found, from the names of its data set and of its evidence column."""
+    """How a run's evidence was found, from the names of its data set and of its evidence column; its labels are fixed values."""
     name = F.element_at(F.split(dataset, "/"), -1)
     return (
         F.when(column == "transcript_text", "full transcript (no retrieval)")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.metrics import CLASSES, item_metrics, position_kappa
 from lodestone.operators.ordering import running
+from lodestone.sources.scratch import cut
 
 
 def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
@@ -110,7 +111,7 @@ def replicate_metrics(df: DataFrame, key: str, preds: list[str], replicates: int
         raise ValueError("resampling must be draws or poisson")
     whole = df.dropna(subset=[*preds])
     grid = {f"{run}_{y}_{p}": (run, y, p) for run in preds for y in range(classes) for p in range(classes)}
-    vectors = whole.groupBy(key).agg(*(F.count_if((F.col("label") == y) & (F.col(run) == p)).alias(n) for n, (run, y, p) in grid.items()))
+    vectors = cut(whole.groupBy(key).agg(*(F.count_if((F.col("label") == y) & (F.col(run) == p)).alias(n) for n, (run, y, p) in grid.items())))
     summed = (_replicated if resampling == "draws" else _weighted)(vectors, key, list(grid), replicates, seed)
     cell = F.explode(F.array(*(F.struct(F.lit(run).alias("run"), F.lit(y).alias("y"), F.lit(p).alias("p"), F.col(n).alias("n")) for n, (run, y, p) in grid.items())))
     return item_metrics(summed.select("replicate", cell.alias("c")).select("replicate", "c.*").where("n > 0"), ["replicate", "run"], classes)
@@ -122,7 +123,7 @@ def replicate_totals(df: DataFrame, key: str, preds: list[str], replicates: int
     Rows without one of the predictions are left out of all runs.
     """
     whole = df.dropna(subset=[*preds])
-    sums = whole.groupBy(key).agg(F.sum("label").alias("true_total"), *(F.sum(p).alias(p) for p in preds))
+    sums = cut(whole.groupBy(key).agg(F.sum("label").alias("true_total"), *(F.sum(p).alias(p) for p in preds)))
     drawn, placed = _drawn(sums, key, replicates, seed)
     runs = F.explode(F.array(*(F.struct(F.lit(p).alias("run"), F.col(p).alias("pred_total")) for p in preds)))
     each = drawn.join(sums.join(placed, key), "place").groupBy("replicate", "true_total", *preds).agg(F.count("*").alias("n"))

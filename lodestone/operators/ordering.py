@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import range_of
+from lodestone.sources.scratch import cut
 
 
 def bounds(df: DataFrame, column: str, ranges: int) -> list[float]:
@@ -20,8 +21,9 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
 
     Rows are dealt into ranges of that column whose sums, at most `ranges` rows, give every range its
     start; rows are sorted within a range only. The column's values should be distinct: of equal ones
-    either may come first.
+    either may come first. df is written once, as it is read for the bounds, the sums and the rows.
     """
+    df = cut(df)
     by = F.desc("_range") if descending else F.asc("_range")
     own = F.desc(order) if descending else F.asc(order)
     dealt = df.withColumn("_range", range_of(bounds(df, order, ranges), F.col(order).cast("double")))

@@ -46,6 +46,82 @@ def narrative(rec: DataFrame) -> DataFrame:
     return rec.select("participant_id", F.concat(head, F.lit("\n"), F.array_join(line, "\n")).alias("report"))
 
 
+#: Wording of a report, to be replaced by whoever sends it: {placeholders} are an item's or participant's fields.
+TEMPLATES = {
+    "head": "Participant {participant_id}: predicted total {total} ({band}). Self-reported total {self_total} ({self_band}).",
+    "scored": "- {name}: predicted {prediction} of 3, {confidence} confidence ({p_max}). {clause}",
+    "unscored": "- {name}: not enough evidence for a score.",
+    "supports": 'Said: "{snippet}".',
+    "against": "What was said speaks against this score; please check it.",
+    "ambiguous": 'What was said can be read either way: "{snippet}".',
+    "ambiguous_bare": "What was said can be read either way.",
+    "no_evidence": "Nothing was said about it; the score is inferred and should be checked.",
+    "high": "High confidence:",
+    "lower": "Lower confidence, to be read with care:",
+    "missing": "Without a score:",
+    "contradiction": "- {name}: self-reported {self_score}, evidence {status}.",
+    "contradictions": "Answers that don't agree:",
+    "not_discussed": "Reported, but not talked about: {names}.",
+    "interview_only": "Talked about, but not reported: {names}.",
+    "followup": "To be followed up: {names}.",
+    "none": "- none",
+    "end": "These are predictions for a reader to check, not findings.",
+}
+
+
+#: Names of the bands of a total, from 0-4 on.
+BANDS = ("minimal", "mild", "moderate", "moderately severe", "severe")
+
+
+def band_name(total: Column) -> Column:
+    return F.get(F.array(*map(F.lit, BANDS)), band(total))
+
+
+def filled(template: str, fields: dict[str, Column]) -> Column:
+    """The template with its {placeholders} replaced; a null field is empty."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(F.lit(""), *(F.lit(p) if i % 2 == 0 else F.coalesce(fields[p].cast("string"), F.lit("")) for i, p in enumerate(parts) if p))
+
+
+def rendered(df: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """(participant_id, report): a text a participant from rows (participant_id, item_id, name, prediction, p_max, status, self_score, snippet).
+
+    Items go by item_id. Each is worded by its evidence status and sorted into a section by its
+    confidence; items with a null prediction have a section of their own, and sections about flags() come
+    only where some item has the flag. A null status is `none`, `supports` without a snippet reads like
+    it. templates replace TEMPLATES by name.
+    """
+    t = TEMPLATES | (templates or {})
+    marked = flags(df).withColumn("status", F.coalesce("status", F.lit("none")))
+    said = F.coalesce("snippet", F.lit("")) != ""
+    fields = {c: F.col(c) for c in ("name", "prediction", "confidence", "self_score", "status", "snippet")} | {"p_max": F.format_number("p_max", 2)}
+    clause = (
+        F.when((F.col("status") == "supports") & said, filled(t["supports"], fields))
+        .when(F.col("status") == "against", filled(t["against"], fields))
+        .when((F.col("status") == "ambiguous") & said, filled(t["ambiguous"], fields))
+        .when(F.col("status") == "ambiguous", filled(t["ambiguous_bare"], fields))
+        .otherwise(filled(t["no_evidence"], fields))
+    )
+    line = F.when(F.col("prediction").isNull(), filled(t["unscored"], fields)).otherwise(filled(t["scored"], fields | {"clause": clause}))
+    section = F.when(F.col("prediction").isNull(), "missing").when(F.col("confidence") == "high", "high").otherwise("lower")
+    row = F.struct("item_id", line.alias("line"), section.alias("section"), "name", filled(t["contradiction"], fields).alias("clash"), "contradiction", "not_discussed", "interview_only", "followup")
+    g = marked.groupBy("participant_id").agg(F.sort_array(F.collect_list(row)).alias("items"), F.sum("prediction").alias("total"), F.sum("self_score").alias("self_total"))
+    lines = lambda s: F.transform(F.filter("items", lambda x: x["section"] == s), lambda x: x["line"])
+    block = lambda s: F.concat(F.array(F.lit(t[s])), F.when(F.size(lines(s)) > 0, lines(s)).otherwise(F.array(F.lit(t["none"]))))
+    some = lambda title, found: F.when(F.size(found) > 0, F.concat(F.array(F.lit(title)), found)).otherwise(F.array().cast("array<string>"))
+    clashes = F.transform(F.filter("items", lambda x: x["contradiction"]), lambda x: x["clash"])
+
+    def named(flag: str) -> Column:
+        names = F.array_join(F.transform(F.filter("items", lambda x: x[flag]), lambda x: x["name"]), ", ")
+        return F.when(names != "", F.array(filled(t[flag], {"names": names}))).otherwise(F.array().cast("array<string>"))
+
+    head = filled(t["head"], {"participant_id": F.col("participant_id"), "total": F.col("total"), "self_total": F.col("self_total"), "band": band_name(F.col("total")), "self_band": band_name(F.col("self_total"))})
+    whole = F.concat(F.array(head), block("high"), block("lower"), some(t["missing"], lines("missing")), some(t["contradictions"], clashes), named("not_discussed"), named("interview_only"), named("followup"), F.array(F.lit(t["end"])))
+    return g.select("participant_id", F.array_join(whole, "\n").alias("report"))
+
+
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """(name, rows, columns, sha256) of a table, whatever the order of its rows: hashes of rows add up before the last hash."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns))), 256)

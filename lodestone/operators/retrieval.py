@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -227,6 +227,50 @@ def multiquery_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def english_stopwords(spark: SparkSession) -> list[str]:
+    """Spark's own list of English stopwords; any other list can be passed in its place."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords("english") if spark else []
+
+
+def tfidf_top(docs: DataFrame, queries: DataFrame, k: int, stopwords: list[str], ngrams: int = 2) -> DataFrame:
+    """(participant_id, item_id, rank, doc_id, score, fallback): the k best documents of each participant for every query.
+
+    docs: participant_id, doc_id, pos, text, tokens; queries: item_id, text, tokens. Documents with a blank
+    text never count. By score, ties and documents that share nothing (0) by falling pos. Where there is
+    nothing to rank by, the first k by pos come, marked, with a null score: all non-blank ones if the
+    query is blank or no document has a token, those with tokens if neither they nor the query have a
+    word that counts. Scores are rounded to nine decimals, so that ties are ties in any order of sums.
+    """
+    live = docs.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    counts = lambda c: F.exists(c, lambda w: (F.length(w) > 1) & ~w.isin(stopwords))
+    people = live.groupBy("participant_id").agg(F.max((F.size("tokens") > 0).cast("int")).alias("any_tokens"), F.max(counts("tokens").cast("int")).alias("any_words"))
+    asked = queries.select("item_id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), counts("tokens").alias("asks"))
+    state = people.join(F.broadcast(asked) if queries.limit(LISTED + 1).count() <= LISTED else asked)  # every participant answers every query
+    plain = F.col("blank") | (F.col("any_tokens") == 0)
+    state = state.select(*KEY, plain.alias("plain"), (plain | ((F.col("any_words") == 0) & ~F.col("asks"))).alias("fallback"))
+    tokened = live.where(F.size("tokens") > 0)
+    scores = tfidf_scores(tokened, queries.where(F.trim(F.coalesce("text", F.lit(""))) != ""), stopwords, ngrams).withColumn("score", F.round("score", 9)).where("score > 0")
+    first = Window.partitionBy("participant_id").orderBy("pos")
+    last = Window.partitionBy("participant_id").orderBy(F.desc("pos"))
+    listed = live.select("participant_id", "doc_id", "pos", (F.size("tokens") > 0).alias("has"))
+    started = listed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r").withColumn("how", F.lit("plain"))
+    valid = listed.where("has")
+    valid_start = valid.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r").withColumn("how", F.lit("valid"))
+    fallen = state.where("fallback").withColumn("how", F.when(F.col("plain"), "plain").otherwise("valid")).join(started.unionByName(valid_start), ["participant_id", "how"])
+    # of the documents that share nothing only the k latest can be needed
+    tail = valid.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k).select("participant_id", "doc_id", "pos")
+    ranked_by = state.where("NOT fallback").select(*KEY)
+    zero = ranked_by.join(tail, "participant_id").join(scores.select(*KEY, "doc_id"), [*KEY, "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    got = ranked_by.join(scores, KEY).join(valid.select("participant_id", "doc_id", "pos"), ["participant_id", "doc_id"])
+    columns = [*KEY, "doc_id", "pos", "score"]
+    best = got.select(*columns).unionByName(zero.select(*columns)).withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), F.desc("pos")))).where(F.col("rank") <= k)
+    plainly = fallen.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos"))).withColumn("score", F.lit(None).cast("double"))
+    out = best.select(*KEY, "rank", "doc_id", "score", F.lit(False).alias("fallback"))
+    return out.unionByName(plainly.select(*KEY, "rank", "doc_id", "score", F.lit(True).alias("fallback")))
+
+
 def candidates(scores: DataFrame, docs: DataFrame, queries: DataFrame, c: int, fill: bool = True) -> DataFrame:
     """The c best documents of each key by falling score, then position; documents without a score count as 0 if fill.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import folds, inference, metrics, sketches, training
+from lodestone.functions import text as T
+from lodestone.operators import folds, inference, metrics, policies, reports, retrieval, sketches, training
 from lodestone.operators.selection import wide_quantiles
 from lodestone.plans.base import base
-from lodestone.plans.catalog import SQL_DRAWS, SQL_SUMMARY, SQL_WINDOWS, query, rounded, sql_boot
+from lodestone.plans.catalog import IDF_PLUS, QUERIES, SQL, SQL_DRAWS, SQL_SUMMARY, SQL_TOKENS, SQL_WINDOWS, _docs, _items, _sql_bm25, query, rounded, sql_boot
 from lodestone.sources import commits
 from lodestone.sources.scratch import cut, new_path
 from lodestone.sources.tables import table
@@ -189,3 +191,124 @@ def streamed_windows(spark, d):
     sessions.run_once(windows.stream_windows(stream, "0 seconds", size=3), out, state)
     found = spark.read.schema(windows.WINDOW).parquet(out).where("participant_id <> '~'")
     return found.select("participant_id", "context_window_id", F.array_join("turn_ids", ",").alias("turn_ids"), F.md5("window_text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- policies, parsers, families, reports
+
+_RANKED = """ranked AS (SELECT participant_id, item_id, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY window_no, rank, agreement) AS rank, 'w' || window_no || '.' || row_number() OVER (PARTITION BY participant_id, item_id ORDER BY window_no, rank, agreement) AS doc_id, CAST(rank AS DOUBLE) / 10 AS score, 'text ' || window_no || '.' || rank AS text, status FROM judged),
+keys AS (SELECT DISTINCT participant_id, item_id FROM judged UNION SELECT DISTINCT participant_id, CAST(99 AS INT) FROM judged),
+sets AS (SELECT participant_id, item_id, 'none' AS status FROM keys WHERE (participant_id + item_id) % 5 = 0),
+kept AS (SELECT * FROM ranked WHERE coalesce(status, 'none') <> 'none'),
+lists AS (SELECT k.participant_id, k.item_id, coalesce(list(r.doc_id ORDER BY r.rank) FILTER (r.doc_id IS NOT NULL), []) AS f, coalesce(list(r.text ORDER BY r.rank) FILTER (r.doc_id IS NOT NULL), []) AS ft,
+  coalesce(list(r.doc_id ORDER BY CASE WHEN r.status = 'ambiguous' THEN 1 ELSE 0 END, r.rank) FILTER (r.doc_id IS NOT NULL), []) AS i, coalesce(list(r.text ORDER BY CASE WHEN r.status = 'ambiguous' THEN 1 ELSE 0 END, r.rank) FILTER (r.doc_id IS NOT NULL), []) AS it
+  FROM keys k LEFT JOIN kept r USING (participant_id, item_id) GROUP BY k.participant_id, k.item_id),
+fell AS (SELECT l.*, len(f) = 0 OR s.status IS NOT NULL AS fell, n FROM lists l LEFT JOIN sets s USING (participant_id, item_id) LEFT JOIN (SELECT participant_id, item_id, count(*) AS n FROM ranked GROUP BY ALL) c USING (participant_id, item_id)),
+policies AS (SELECT participant_id, item_id, 'filter' AS policy, f AS ids, ft AS texts, coalesce(n, 0) AS n_ranked, FALSE AS fell_back FROM fell
+  UNION ALL SELECT participant_id, item_id, 'informative_first', i, it, coalesce(n, 0), FALSE FROM fell
+  UNION ALL SELECT participant_id, item_id, 'fallback', CASE WHEN fell THEN ['__transcript__'] ELSE f END, CASE WHEN fell THEN ['whole ' || participant_id] ELSE ft END, coalesce(n, 0), fell FROM fell)"""
+
+
+def _policies(spark, d):
+    j = base(spark, d, "judged")
+    name = F.concat(F.col("window_no").cast("string"), F.lit("."), F.col("rank").cast("string"))
+    place = F.row_number().over(Window.partitionBy("participant_id", "item_id").orderBy("window_no", "rank", "agreement"))
+    rows = cut(j.select("participant_id", "item_id", place.alias("place"), F.concat_ws(".", F.concat(F.lit("w"), F.col("window_no").cast("string")), place.cast("string")).alias("doc_id"), (F.col("rank") / 10).alias("score"), F.concat(F.lit("text "), name).alias("text"), "status"))
+    people = rows.select("participant_id").distinct()
+    keys = rows.select("participant_id", "item_id").distinct().unionAll(people.select("participant_id", F.lit(99)))
+    sets = keys.where("(participant_id + item_id) % 5 = 0").withColumn("status", F.lit("none"))
+    transcripts = people.select("participant_id", F.concat(F.lit("whole "), F.col("participant_id").cast("string")).alias("text"))
+    judged = rows.where("status IS NOT NULL").select("participant_id", "item_id", "doc_id", "status")
+    return policies.evidence_policies(keys, rows.withColumnRenamed("place", "rank").drop("status"), judged, sets, transcripts)
+
+
+@query(f"WITH {_RANKED} SELECT participant_id, item_id, policy, array_to_string(ids, ',') AS ids, md5(array_to_string(texts, ' [WINDOW_SEP] ')) AS pack_md5, n_ranked, fell_back FROM policies")
+def evidence_policies(spark, d):
+    return _policies(spark, d).select("participant_id", "item_id", "policy", F.array_join("ids", ",").alias("ids"), F.md5("pack").alias("pack_md5"), "n_ranked", "fell_back")
+
+
+@query(f"WITH {_RANKED} SELECT policy, count(*) AS n, count(*) FILTER (NOT fell_back AND len(ids) <> n_ranked) AS changed, count(*) FILTER (len(ids) = 0) AS emptied, count(*) FILTER (fell_back) AS fell_back FROM policies GROUP BY policy")
+def evidence_policy_counts(spark, d):
+    return policies.policy_counts(_policies(spark, d))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <= 3 THEN ['supports', 'none', 'against', 'ambiguous'][o_orderkey % 7 + 1] WHEN o_orderkey % 7 = 4 THEN 'against' END AS status,
+  CAST(CASE o_orderkey % 7 WHEN 0 THEN CASE WHEN o_orderkey % 6 <= 3 THEN o_orderkey % 6 END WHEN 2 THEN 1 WHEN 3 THEN 2 END AS INT) AS severity_hint,
+  CASE WHEN o_orderkey % 7 = 0 THEN repeat('long ', 40) || o_orderkey WHEN o_orderkey % 7 = 1 THEN 'r' WHEN o_orderkey % 7 <= 3 THEN '' WHEN o_orderkey % 7 = 4 THEN '[unparsed reason]' ELSE '[unparseable output]' END AS reason FROM orders""")
+def salvage_set_judgments(spark, d):
+    i = F.col("o_orderkey")
+    text = i.cast("string")
+    raw = (
+        F.when(i % 7 == 0, F.concat(F.lit('Well: {"status": " Supports ", "severity_hint": '), (i % 6).cast("string"), F.lit(', "reason": "'), F.repeat(F.lit("long "), F.lit(40)), text, F.lit('"}!')))
+        .when(i % 7 == 1, '{"status": "none", "severity_hint": "2", "reason": "r"}')  # a text is no number
+        .when(i % 7 == 2, '{"status": "against", "severity_hint": true}')
+        .when(i % 7 == 3, '{"status": "ambiguous", "severity_hint": 2.9}')
+        .when(i % 7 == 4, '{"status": "AGAINST", "severity_hint": 3, "reason": "cut off')
+        .when(i % 7 == 5, "nothing here").otherwise('{"status": "maybe"}')
+    )
+    return table(spark, d, "orders").select("o_orderkey", T.salvage_set_judgment(raw).alias("x")).select("o_orderkey", "x.*")
+
+
+_RUN = "CASE o_orderkey % 9 WHEN 0 THEN 'cv/seedconf_' WHEN 1 THEN 'cv/ctxm_' WHEN 2 THEN 'cv/ctx_' WHEN 3 THEN 'cv/bm25base_' WHEN 4 THEN 'cv/' WHEN 5 THEN 'sweep_' WHEN 6 THEN 'seeds_' ELSE 'run_' END || o_orderkey"
+_SET = "'out/' || CASE o_orderkey % 4 WHEN 0 THEN 'items_full_bm25.csv' WHEN 1 THEN 'windows_w3.csv' WHEN 2 THEN 'windows_w5.csv' ELSE 'plain.csv' END"
+_COL = "CASE o_orderkey % 5 WHEN 0 THEN 'retrieved_utterances' WHEN 1 THEN 'bm25_pack' WHEN 2 THEN 'hybrid_pack' WHEN 3 THEN 'baseline_utterances' ELSE 'transcript_text' END"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_orderkey % 9 AS k, {_SET} AS dataset, {_COL} AS col, CASE WHEN o_custkey % 2 = 0 THEN 'x/mental-base' ELSE 'x/base' END AS model, CASE o_custkey % 3 WHEN 0 THEN 'CORN head' WHEN 1 THEN 'weighted CE' ELSE 'CE' END AS loss FROM orders)
+SELECT o_orderkey, ['Multi-seed confirmation (CORN×Hybrid, 5 seeds)', 'MentalBERT context-window matrix', 'BERT context-window matrix', 'Unified BM25 baseline (BERT vs MentalBERT)', 'Original CV (TF-IDF baseline)', 'MentalBERT LR×epoch sweep', 'Multi-seed weighted-CE (TF-IDF)', 'Single split (val/test)', 'Single split (val/test)'][k + 1] AS family,
+  CASE WHEN model LIKE '%mental%' THEN 'MentalBERT' ELSE 'BERT' END AS model, CASE loss WHEN 'CORN head' THEN 'CORN' WHEN 'weighted CE' THEN 'weighted CE' ELSE 'plain CE' END AS loss,
+  CASE col WHEN 'retrieved_utterances' THEN CASE WHEN dataset LIKE '%full_bm25%' THEN 'BM25 utt' ELSE 'TF-IDF utt' END WHEN 'baseline_utterances' THEN 'Plain (no-retrieval utt)' WHEN 'bm25_pack' THEN 'BM25 ' || CASE WHEN dataset LIKE '%w3%' THEN 'W3' ELSE 'W5' END
+    WHEN 'hybrid_pack' THEN 'Hybrid ' || CASE WHEN dataset LIKE '%w3%' THEN 'W3' ELSE 'W5' END ELSE 'other' END AS evidence FROM r""")
+def experiment_catalog(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr(_RUN).alias("run"), F.expr(_SET).alias("dataset"), F.expr(_COL).alias("col"))
+    model, loss = F.when(F.col("o_custkey") % 2 == 0, "x/mental-base").otherwise("x/base"), F.when(F.col("o_custkey") % 3 == 0, "CORN head").when(F.col("o_custkey") % 3 == 1, "weighted CE").otherwise("CE")
+    method = T.retrieval_method(F.col("dataset"), F.col("col"))
+    return o.select("o_orderkey", T.experiment_family(F.col("run")).alias("family"), T.named_by(model, T.MODELS, T.OTHER_MODEL).alias("model"), T.named_by(loss, T.LOSSES, T.OTHER_LOSS).alias("loss"), T.evidence_kind(method, F.col("dataset")).alias("evidence"))
+
+
+_BAND = "CASE WHEN {0} <= 4 THEN 'minimal' WHEN {0} <= 9 THEN 'mild' WHEN {0} <= 14 THEN 'moderate' WHEN {0} <= 19 THEN 'moderately severe' ELSE 'severe' END"
+
+
+@query(f"""WITH p AS (SELECT participant_id, item_id, 'Item ' || item_id AS name, CASE WHEN difficult_frac < 0.9 THEN llm_pred END AS y, greatest(l0, l1, l2, l3) AS p_max, status, CASE WHEN self_score >= 0 THEN self_score END AS own, CASE WHEN item_id % 2 = 0 THEN 'words ' || item_id END AS snippet FROM preds),
+f AS (SELECT *, CASE WHEN p_max >= 0.6 THEN 'high' WHEN p_max >= 0.4 THEN 'moderate' ELSE 'low' END AS confidence, coalesce(abs(y - own) >= 2 OR (status = 'against' AND own >= 1), FALSE) AS clash, coalesce(status = 'none' AND own >= 1, FALSE) AS quiet, coalesce(status = 'supports' AND own = 0, FALSE) AS only_, coalesce(y = 3 AND p_max >= 0.6, FALSE) AS sure FROM p),
+l AS (SELECT *, CASE WHEN y IS NULL THEN '- ' || name || ': not enough evidence for a score.' ELSE '- ' || name || ': predicted ' || y || ' of 3, ' || confidence || ' confidence (' || printf('%.2f', p_max) || '). ' ||
+  CASE WHEN status = 'supports' AND snippet IS NOT NULL THEN 'Said: "' || snippet || '".' WHEN status = 'against' THEN 'What was said speaks against this score; please check it.' WHEN status = 'ambiguous' THEN 'What was said can be read either way' || coalesce(': "' || snippet || '".', '.')
+    ELSE 'Nothing was said about it; the score is inferred and should be checked.' END END AS line, CASE WHEN y IS NULL THEN 'm' WHEN confidence = 'high' THEN 'h' ELSE 'l' END AS section FROM f),
+g AS (SELECT participant_id, 'Participant ' || participant_id || ': predicted total ' || coalesce(CAST(sum(y) AS VARCHAR), '') || ' (' || coalesce({_BAND.format('sum(y)')}, '') || '). Self-reported total ' || coalesce(CAST(sum(own) AS VARCHAR), '') || ' (' || coalesce({_BAND.format('sum(own)')}, '') || ').' AS head,
+  string_agg(line, chr(10) ORDER BY item_id) FILTER (section = 'h') AS h, string_agg(line, chr(10) ORDER BY item_id) FILTER (section = 'l') AS l, string_agg(line, chr(10) ORDER BY item_id) FILTER (section = 'm') AS m,
+  string_agg('- ' || name || ': self-reported ' || coalesce(CAST(own AS VARCHAR), '') || ', evidence ' || status || '.', chr(10) ORDER BY item_id) FILTER (clash) AS c, string_agg(name, ', ' ORDER BY item_id) FILTER (quiet) AS q, string_agg(name, ', ' ORDER BY item_id) FILTER (only_) AS o, string_agg(name, ', ' ORDER BY item_id) FILTER (clash OR quiet OR only_ OR sure) AS w FROM l GROUP BY participant_id)
+SELECT participant_id, head || chr(10) || 'High confidence:' || chr(10) || coalesce(h, '- none') || chr(10) || 'Lower confidence, to be read with care:' || chr(10) || coalesce(l, '- none') || coalesce(chr(10) || 'Without a score:' || chr(10) || m, '') || coalesce(chr(10) || 'Answers that don''t agree:' || chr(10) || c, '')
+  || coalesce(chr(10) || 'Reported, but not talked about: ' || q || '.', '') || coalesce(chr(10) || 'Talked about, but not reported: ' || o || '.', '') || coalesce(chr(10) || 'To be followed up: ' || w || '.', '') || chr(10) || 'These are predictions for a reader to check, not findings.' AS report FROM g""")
+def clinician_reports(spark, d):
+    p = base(spark, d, "preds")
+    rows = p.select(
+        "participant_id", "item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("name"), F.when(F.col("difficult_frac") < 0.9, F.col("llm_pred")).alias("prediction"), F.array_max("llm").alias("p_max"), "status",
+        F.when(F.col("self_score") >= 0, F.col("self_score")).alias("self_score"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("words "), F.col("item_id").cast("string"))).alias("snippet"),
+    )
+    return reports.rendered(rows)
+
+
+_TFIDF = SQL["tfidf_top"]
+_TFIDF = _TFIDF[: _TFIDF.rindex("SELECT participant_id, item_id, row_number()")].rstrip().replace("AS w FROM utterances)", f"AS w FROM utterances WHERE len({SQL_TOKENS}) > 0)", 1)
+
+
+def tfidf_ranked(spark, d):
+    """The eight items, a blank one and one of stopwords only; ties and documents that share nothing by falling position."""
+    docs = _docs(spark, d).join(base(spark, d, "utterances").select("doc_id", "text"), "doc_id")
+    items = base(spark, d, "items").select("item_id", F.col("glossary").alias("text")).unionAll(spark.range(1).selectExpr("9", "' '")).unionAll(spark.range(1).selectExpr("10", "'the and'"))
+    asked = items.withColumn("tokens", T.tokens(F.col("text")))
+    return rounded(retrieval.tfidf_top(docs, asked, 5, T.STOPWORDS))
+
+
+QUERIES["tfidf_ranked"] = tfidf_ranked
+SQL["tfidf_ranked"] = f"""{_TFIDF},
+live AS (SELECT participant_id, doc_id, pos, len({SQL_TOKENS}) > 0 AS has FROM utterances WHERE trim(coalesce(text, '')) <> ''),
+every AS (SELECT l.participant_id, i.item_id, l.doc_id, l.pos, round(coalesce(c.score, 0), 9) AS s FROM live l, (SELECT item_id FROM items UNION ALL SELECT 10) i LEFT JOIN c ON c.participant_id = l.participant_id AND c.item_id = i.item_id AND c.doc_id = l.doc_id WHERE l.has)
+SELECT participant_id, item_id, CAST(row_number() OVER (PARTITION BY participant_id, item_id ORDER BY s DESC, pos DESC) AS INT) AS rank, doc_id, round(s, 6) AS score, FALSE AS fallback FROM every QUALIFY rank <= 5
+UNION ALL SELECT participant_id, 9, CAST(row_number() OVER (PARTITION BY participant_id ORDER BY pos) AS INT) AS rank, doc_id, NULL, TRUE FROM live QUALIFY rank <= 5"""
+
+
+@query(f"WITH {_sql_bm25(IDF_PLUS, True)}, r AS (SELECT participant_id, item_id, doc_id, score, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY score DESC, pos) AS rank FROM scores JOIN live USING (participant_id, doc_id) WHERE score > 0) SELECT participant_id, item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 100")
+def bm25_candidates(spark, d):
+    """The hundred best of each key, over a corpus that keeps documents without a token."""
+    got = retrieval.bm25_top(_docs(spark, d), _items(spark, d), retrieval.Ranking(k=100, zero_policy="positive"), keep_empty=True)
+    return rounded(got.select("participant_id", "item_id", "rank", "doc_id", "score"))
