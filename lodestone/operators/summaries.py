@@ -107,6 +107,17 @@ def truncation_audit(df: DataFrame, by: list[str], tokens: str, longest: int) ->
     return met.select(*by, "mean_tokens", "median_tokens", "p95_tokens", "most_tokens", "truncated_share")
 
 
+def window_stats(df: DataFrame, keys: list[str], by: str, hits: str, chars: str, order: str, k: int) -> DataFrame:
+    """(by, hit_rate, mean_hits, mean_top, mean_windows, mean_chars) over each key's k rows with most hits, ties by `order`.
+
+    hit_rate is the share of keys with a hit, mean_hits and mean_top a key's hits in all and at most in
+    one row, mean_windows its rows, mean_chars a row's length. `by` is one of the keys.
+    """
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(hits), order))
+    each = df.withColumn("_r", r).where(F.col("_r") <= k).groupBy(*keys).agg(F.count("*").alias("_n"), F.max(hits).alias("_top"), F.sum(hits).alias("_hits"), F.sum(chars).alias("_chars"))
+    return each.groupBy(by).agg(F.avg((F.col("_top") > 0).cast("double")).alias("hit_rate"), F.avg("_hits").alias("mean_hits"), F.avg("_top").alias("mean_top"), F.avg("_n").alias("mean_windows"), (F.sum("_chars") / F.sum("_n")).alias("mean_chars"))
+
+
 def parse_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """Counts of statuses, rates over parsed rows, share parsed."""
     n = F.count("status")

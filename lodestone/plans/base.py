@@ -55,16 +55,17 @@ SELECT * FROM (VALUES (1, 'the and with of that'), (2, 'tion ing ation'), (3, 'd
 AS q(item_id, glossary)
 """
 
-#: Terms of three tiers with an audit's decisions.
+#: Parts as terms, twelve an item, in three tiers with an audit's decisions; some have a cue of an indirect relation, some are frequent words.
 TERMS = """
-SELECT * FROM (VALUES
-  (1, 'core', 1, 'sleep trouble', 'keep', 'direct'), (1, 'lay', 1, 'up all night', 'keep', 'direct'), (1, 'clinical', 1, 'insomnia', 'keep', 'direct'),
-  (1, 'clinical', 2, 'tired when ill', 'remove', 'related_nonspecific'), (1, 'lay', 2, 'stay in bed all day', 'keep', 'direct'), (2, 'core', 1, 'no interest', 'keep', 'direct'), (2, 'lay', 1, 'the', 'keep', 'direct'),
-  (2, 'lay', 2, 'bored of it', 'keep', 'direct'), (2, 'lay', 3, 'Gave up on friends', 'keep', 'direct'), (2, 'clinical', 1, 'anhedonia', 'keep', 'direct'), (3, 'core', 1, 'tion and the', 'keep', 'direct'),
-  (3, 'lay', 1, 'license', 'keep', 'direct'), (3, 'clinical', 1, 'side effect of', 'keep', 'related_nonspecific'), (3, 'clinical', 2, 'os', 'remove', 'direct'))
-AS t(item_id, tier, pos, term, decision, relation)
+SELECT CAST(floor(p_partkey / 12) AS INT) + 1 AS item_id, CASE p_size % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'lay' ELSE 'clinical' END AS tier, CAST(p_partkey % 12 + 10 AS INT) AS pos,
+  CASE p_partkey % 11 WHEN 0 THEN p_name || ', stay in bed all day' WHEN 1 THEN 'Gave up on ' || p_name WHEN 2 THEN 'the' WHEN 3 THEN 'os' WHEN 4 THEN 'tion and the' ELSE p_name END AS term,
+  CASE WHEN p_size % 5 = 0 THEN 'remove' ELSE 'keep' END AS decision, CASE WHEN p_partkey % 7 = 0 THEN 'related_nonspecific' ELSE 'direct' END AS relation
+FROM part
 """
 
+#: What the items of TERMS are about, a row a part.
+GLOSSARIES = "SELECT CAST(floor(p_partkey / 12) AS INT) + 1 AS item_id, p_name || ' and the ' || p_type AS glossary FROM part"
+
 #: Judgments of ranked windows under configurations, made from line items.
 JUDGED = """
 SELECT CAST(l_suppkey AS BIGINT) AS participant_id, CAST(l_partkey % 8 + 1 AS INT) AS item_id,
@@ -75,16 +76,14 @@ SELECT CAST(l_suppkey AS BIGINT) AS participant_id, CAST(l_partkey % 8 + 1 AS IN
 FROM lineitem
 """
 
-#: Sentences asked for an item: kinds by tier, two poles for the third item.
+#: Sentences asked for the items of TERMS, of three kinds; every fourth item has two poles.
 ASKED = """
-SELECT * FROM (VALUES
-  (1, 'Q0_ITEM', 'item', 'default', 'The person has trouble sleeping.'), (1, 'Q1_LAY', 'lay', 'default', 'The person is up all night.'), (1, 'Q2_CLINICAL', 'clinical', 'default', 'The person has insomnia and is tired when ill.'),
-  (2, 'Q0_ITEM', 'item', 'default', 'The person has no interest.'), (2, 'Q1_LAY', 'lay', 'default', 'The person is bored of it.'), (2, 'Q2_CLINICAL', 'clinical', 'default', 'The person shows anhedonia.'),
-  (3, 'Q0_ITEM', 'item', 'more', 'The person eats more.'), (3, 'Q0_ITEM', 'item', 'less', 'The person eats less.'), (3, 'Q2_CLINICAL', 'clinical', 'less', 'A side effect of the license.'))
-AS q(item_id, id, kind, pole, text)
+SELECT CAST(floor(p_partkey / 12) AS INT) + 1 AS item_id, 'Q' || CAST(p_partkey % 12 + 10 AS STRING) AS id, CASE p_partkey % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'lay' ELSE 'clinical' END AS kind,
+  CASE WHEN CAST(floor(p_partkey / 12) AS INT) % 4 <> 0 THEN 'default' WHEN p_partkey % 12 < 6 THEN 'more' ELSE 'less' END AS pole, 'The person speaks of ' || p_name || ' and the os.' AS text
+FROM part
 """
 
-BASES = {"preds": PREDS, "turns": TURNS, "utterances": UTTERANCES, "doc_vectors": DOC_VECTORS, "items": ITEMS, "terms": TERMS, "judged": JUDGED, "asked_of": ASKED}
+BASES = {"preds": PREDS, "turns": TURNS, "utterances": UTTERANCES, "doc_vectors": DOC_VECTORS, "items": ITEMS, "terms": TERMS, "glossaries": GLOSSARIES, "judged": JUDGED, "asked_of": ASKED}
 
 
 def base(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import folds, inference, metrics, policies, reports, retrieval, sketches, training
+from lodestone.operators import folds, inference, metrics, policies, quality, reports, retrieval, sketches, summaries, training
 from lodestone.operators.selection import wide_quantiles
 from lodestone.plans.base import base
 from lodestone.plans.catalog import IDF_PLUS, QUERIES, SQL, SQL_DRAWS, SQL_SUMMARY, SQL_TOKENS, SQL_WINDOWS, _docs, _items, _sql_bm25, query, rounded, sql_boot
@@ -312,3 +312,28 @@ def bm25_candidates(spark, d):
     """The hundred best of each key, over a corpus that keeps documents without a token."""
     got = retrieval.bm25_top(_docs(spark, d), _items(spark, d), retrieval.Ranking(k=100, zero_policy="positive"), keep_empty=True)
     return rounded(got.select("participant_id", "item_id", "rank", "doc_id", "score"))
+
+
+@query("""SELECT 'lost' AS side, o_orderkey, o_custkey FROM orders WHERE o_orderkey % 500 = 0 UNION ALL SELECT 'added', o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 500 = 0
+UNION ALL SELECT 'added', o_orderkey, o_custkey FROM orders WHERE o_orderkey % 700 = 1""")
+def input_changes(spark, d):
+    """Orders against a copy in which some differ and some come twice."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    other = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 500 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).unionAll(o.where("o_orderkey % 700 = 1"))
+    return quality.unchanged(o, other)
+
+
+_HITS = f"""t AS (SELECT source AS participant_id, doc_id, length(text) AS chars, {SQL_TOKENS} AS words FROM documents),
+w AS (SELECT t.*, i.item_id, len(list_filter(regexp_split_to_array(i.glossary, ' '), lambda x: list_contains(words, x))) AS hits FROM t, items i)"""
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY participant_id, item_id ORDER BY hits DESC, doc_id) AS rank FROM w), k AS (SELECT * FROM r WHERE rank <= 5),
+p AS (SELECT participant_id, item_id, count(*) AS n_windows, max(hits) AS top, sum(hits) AS hits, sum(chars) AS chars FROM k GROUP BY ALL)
+SELECT item_id, round(avg(CAST(top > 0 AS INT)), 6) AS hit_rate, round(avg(hits), 6) AS mean_hits, round(avg(top), 6) AS mean_top, round(avg(n_windows), 6) AS mean_windows, round(sum(chars) / sum(n_windows), 6) AS mean_chars FROM p GROUP BY item_id""")
+def item_window_stats(spark, d):
+    """Five documents of each source by keyword hits, and what an item's share of them is like."""
+    items = base(spark, d, "items").select("item_id", F.split("glossary", " ").alias("words"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("participant_id"), "doc_id", T.tokens(F.col("text")).alias("tokens"), F.length("text").alias("chars"))
+    hits = F.size(F.filter("words", lambda x: F.array_contains("tokens", x)))
+    met = docs.join(F.broadcast(items)).select("participant_id", "item_id", "doc_id", "chars", hits.alias("hits"))  # eight items
+    return rounded(summaries.window_stats(met, ["participant_id", "item_id"], "item_id", "hits", "chars", "doc_id", 5))

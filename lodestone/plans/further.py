@@ -183,11 +183,16 @@ def validate_utterances(spark, d):
     return quality.utterance_bank(one.unionAll(one.where("text LIKE 'yes%'").withColumn("text", F.lit("  "))))
 
 
-@query("SELECT 'missing_id' AS check, '8' AS key UNION ALL SELECT 'unknown_id', CAST(item_id + 8 AS VARCHAR) FROM items WHERE item_id = 8 UNION ALL SELECT 'blank_glossary', CAST(item_id AS VARCHAR) FROM items WHERE item_id = 3 UNION ALL SELECT 'repeated_id', '1'")
+@query("""WITH i AS (SELECT p_partkey + 1 AS item_id FROM part), n AS (SELECT count(*) AS n FROM part)
+SELECT 'missing_id' AS check, CAST(item_id AS VARCHAR) AS key FROM i WHERE item_id % 40 = 8 UNION ALL SELECT 'unknown_id', CAST(item_id + n AS VARCHAR) FROM i, n WHERE item_id % 40 = 8
+UNION ALL SELECT 'blank_glossary', CAST(item_id AS VARCHAR) FROM i WHERE item_id % 25 = 3 AND item_id % 40 <> 8 UNION ALL SELECT 'blank_glossary', CAST(item_id + n AS VARCHAR) FROM i, n WHERE item_id % 25 = 3 AND item_id % 40 = 8
+UNION ALL SELECT 'repeated_id', CAST(item_id AS VARCHAR) FROM i WHERE item_id % 90 = 1 AND item_id % 40 <> 8""")
 def validate_dimension(spark, d):
-    items = base(spark, d, "items")
-    changed = items.select(F.when(F.col("item_id") == 8, 16).otherwise(F.col("item_id")).alias("item_id"), F.when(F.col("item_id") == 3, " ").otherwise(F.col("glossary")).alias("glossary"))
-    return quality.dimension(changed.unionAll(items.where("item_id = 1")), 8, ["glossary"])
+    """Parts as a dimension with ids that are shifted out of it, blank texts and repeated rows."""
+    items = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("item_id"), F.col("p_name").alias("glossary"))
+    n = items.count()
+    changed = items.select(F.when(F.col("item_id") % 40 == 8, F.col("item_id") + n).otherwise(F.col("item_id")).cast("int").alias("item_id"), F.when(F.col("item_id") % 25 == 3, " ").otherwise(F.col("glossary")).alias("glossary"))
+    return quality.dimension(changed.unionAll(changed.where("item_id % 90 = 1")), n, ["glossary"])
 
 
 @query("""WITH m AS (SELECT count(DISTINCT fold) AS folds, count(*) AS rows FROM preds WHERE status <> 'ambiguous'), w AS (SELECT count(DISTINCT fold) AS all_folds, count(*) AS all_rows FROM preds)
