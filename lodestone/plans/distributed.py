@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import folds, inference, metrics, policies, quality, reports, retrieval, sketches, summaries, training
 from lodestone.operators.selection import wide_quantiles
-from lodestone.plans.base import base
+from lodestone.plans.base import base, with_bases
 from lodestone.plans.catalog import IDF_PLUS, QUERIES, SQL, SQL_DRAWS, SQL_SUMMARY, SQL_TOKENS, SQL_WINDOWS, _docs, _items, _sql_bm25, query, rounded, sql_boot
 from lodestone.sources import commits
 from lodestone.sources.scratch import cut, new_path
@@ -337,3 +337,23 @@ def item_window_stats(spark, d):
     hits = F.size(F.filter("words", lambda x: F.array_contains("tokens", x)))
     met = docs.join(F.broadcast(items)).select("participant_id", "item_id", "doc_id", "chars", hits.alias("hits"))  # eight items
     return rounded(summaries.window_stats(met, ["participant_id", "item_id"], "item_id", "hits", "chars", "doc_id", 5))
+
+
+# ---------------------------------------------------------------- the whole way from turns to packs
+
+#: BM25 over context windows, then the greedy choice of three that overlap by at most half, one candidate a step.
+SQL["evidence_dataset"] = with_bases(f"""WITH RECURSIVE {SQL_WINDOWS.strip()},
+wdocs AS (SELECT participant_id, window_id AS doc_id, i AS pos, window_text AS text, turn_ids FROM windows),
+{_sql_bm25(IDF_PLUS).strip().replace('FROM utterances', 'FROM wdocs')},
+every AS (SELECT l.participant_id, i.item_id, l.doc_id, l.pos, coalesce(s.score, 0) AS score FROM live l CROSS JOIN (SELECT item_id FROM items) i LEFT JOIN scores s ON s.participant_id = l.participant_id AND s.item_id = i.item_id AND s.doc_id = l.doc_id),
+cand AS (SELECT e.*, d.turn_ids, d.text, row_number() OVER (PARTITION BY e.participant_id, e.item_id ORDER BY score DESC, e.pos) AS r, max(score) OVER (PARTITION BY e.participant_id, e.item_id) AS top FROM every e JOIN wdocs d ON d.participant_id = e.participant_id AND d.doc_id = e.doc_id QUALIFY r <= 15),
+walk AS (
+  SELECT participant_id, item_id, 0 AS r, CAST([] AS VARCHAR[][]) AS taken, CAST([] AS BIGINT[]) AS chosen, CAST([] AS BIGINT[]) AS rest FROM cand GROUP BY ALL
+  UNION ALL
+  SELECT w.participant_id, w.item_id, CAST(c.r AS INT), CASE WHEN ok THEN list_append(w.taken, c.turn_ids) ELSE w.taken END, CASE WHEN ok THEN list_append(w.chosen, c.r) ELSE w.chosen END, CASE WHEN ok THEN w.rest ELSE list_append(w.rest, c.r) END
+  FROM walk w JOIN cand c ON c.participant_id = w.participant_id AND c.item_id = w.item_id AND c.r = w.r + 1,
+  LATERAL (SELECT len(w.taken) < 3 AND (c.top = 0 OR len(list_filter(w.taken, lambda t: len(list_intersect(t, c.turn_ids)) > 0.5 * least(len(t), len(c.turn_ids)))) = 0) AS ok)),
+done AS (SELECT participant_id, item_id, list_concat(chosen, rest)[1:3] AS picks FROM walk QUALIFY row_number() OVER (PARTITION BY participant_id, item_id ORDER BY r DESC) = 1),
+picked AS (SELECT participant_id, item_id, unnest(picks) AS r, unnest(range(1, len(picks) + 1)) AS place FROM done),
+packs AS (SELECT p.participant_id, p.item_id, list(c.doc_id ORDER BY place) AS ids, list(c.score ORDER BY place) AS scores, string_agg(c.text, ' [WINDOW_SEP] ' ORDER BY place) AS pack, count(*) AS n FROM picked p JOIN cand c ON c.participant_id = p.participant_id AND c.item_id = p.item_id AND c.r = p.r GROUP BY ALL)
+SELECT k.participant_id, k.item_id, ids, scores, coalesce(pack, '') AS pack, CAST(coalesce(n, 0) AS INT) AS n_windows FROM (SELECT DISTINCT w.participant_id, i.item_id FROM windows w, items i) k LEFT JOIN packs USING (participant_id, item_id)""")
