@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -40,14 +41,39 @@ def draws(clusters: DataFrame, key: str, replicates: int = 2000, seed: int = 42)
     return drawn.groupBy("replicate", "place").agg(F.count("*").alias("weight")).join(placed, "place").select("replicate", key, "weight")
 
 
+#: Up to so many bytes of clusters' numbers go to every executor; beyond, draws are joined to them.
+SENT_BYTES = 64 << 20
+
+
 def _replicated(vectors: DataFrame, key: str, names: list[str], replicates: int, seed: int) -> DataFrame:
     """A row a cluster with numbers `names` -> a row a replicate with their sums over its draws.
 
-    A draw meets its cluster's row, which Spark broadcasts or sorts by what it measures, and is summed
-    up where it is: what is shuffled after that is a row a replicate and task.
+    Where the clusters' numbers are counted to fit, replicates are dealt out, and a task makes a
+    replicate's draws, counts those of each cluster and multiplies: nothing is shuffled. Else a draw
+    meets its cluster's row, which Spark broadcasts or sorts by what it measures, and is summed up
+    where it is, so that a row a replicate and task is shuffled.
     """
-    drawn, placed = _drawn(vectors, key, replicates, seed)
-    return drawn.join(vectors.join(placed, key).select("place", *names), "place").groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names))
+    if vectors.count() * (len(names) + 1) * 8 > SENT_BYTES:
+        drawn, placed = _drawn(vectors, key, replicates, seed)
+        return drawn.join(vectors.join(placed, key).select("place", *names), "place").groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names))
+    spark = vectors.sparkSession
+    cells = vectors.select(key, *names).toPandas().sort_values(key)[names].to_numpy(np.int64)  # places are the order of keys
+    sent = spark.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = sent.value
+        places = [str(j).encode() for j in range(len(cells))]
+        for b in batches:
+            out = []
+            for replicate in b["id"].tolist():
+                head = f"{seed}:{replicate}:".encode()
+                drawn = np.frombuffer(b"".join([hashlib.md5(head + j).digest()[:4] for j in places]), ">u4") % max(len(cells), 1)  # draw()
+                out.append((replicate, *(np.bincount(drawn, minlength=len(cells)) @ cells)))
+            yield pd.DataFrame(out, columns=["replicate", *names])
+
+    schema = "replicate long, " + ", ".join(f"`{n}` long" for n in names)
+    parts = min(replicates, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, replicates if len(cells) else 0, 1, max(parts, 1)).mapInPandas(run, schema)
 
 
 #: A prime below 2^31: squares of remainders fit 64 bits in any engine.

@@ -414,3 +414,19 @@ def test_held_turns_are_bounded():
         assert len(held.turns) <= 7
     seen += held.flush()
     assert [i for i, _ in seen] == list(range(500)) and all(len(ts) == min(i, 3) + min(499 - i, 3) + 1 for i, ts in seen)
+
+
+def test_draws_are_the_same_either_way(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(c * 3, rnd.randrange(4), rnd.randrange(4)) for c in range(60) for _ in range(5)]
+    df = spark.createDataFrame(rows, "c long, label int, a int")
+    found = []
+    for most in (inference.SENT_BYTES, 0):
+        monkeypatch.setattr(inference, "SENT_BYTES", most)
+        found.append(sorted(map(tuple, inference.replicate_metrics(df, "c", ["a"], replicates=70).select("replicate", "n", "accuracy", "qwk").collect())))
+    assert found[0] == found[1] and len(found[0]) == 70
+    w = {(r.replicate, r.c): r.weight for r in inference.draws(df, "c", 70).collect()}
+    hits = {c: sum(y == p for k, y, p in rows if k == c) for c in {r[0] for r in rows}}
+    for rep, n, accuracy, _ in found[0][:10]:
+        assert n == 300 and accuracy == pytest.approx(sum(x * hits[c] for (b, c), x in w.items() if b == rep) / 300)
+    assert inference.replicate_metrics(df.limit(0), "c", ["a"], replicates=5).count() == 0
