@@ -481,7 +481,7 @@ def test_poisson_counts(spark, odd):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
     df = queries.QUERIES[name](spark, FOLDER)
     found = c.sql(queries.SQL[name])
