@@ -35,6 +35,35 @@ def item_dataset(df: DataFrame, items: int = 8, labels: int = 3) -> DataFrame:
     return rows.unionAll(repeated(df, ["participant_id"], "too_many_items", items)).unionAll(repeated(df, ["participant_id", "item_id"], "repeated_key"))
 
 
+def coerced_items(df: DataFrame, items: int = 8, labels: int = 3, splits: tuple[str, ...] = ()) -> DataFrame:
+    """df, its columns of any type, as typed rows: participant_id string, item_id int, label int, text string, split string, and `problems`.
+
+    Names and texts lose outer white space, blank names and texts are null, numbers may be written as
+    texts or with a fraction of zero, splits are lower-cased (null where df has none). problems lists what item_dataset() would
+    say of the row by itself, and `unknown_split` for a split that isn't one of splits, if any are given; what
+    can't be coerced is null and a problem. No row is dropped: good ones have no problem.
+    """
+    text = lambda c: F.trim(F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", ""))
+    filled = lambda c: F.when(text(c) != "", text(c))
+
+    def whole(c: str) -> Column:
+        n = text(c).try_cast("double")
+        return F.when(n == F.floor(n), n.try_cast("int"))
+
+    split = F.lower(filled("split")) if "split" in df.columns else F.lit(None).cast("string")
+    out = df.select(filled("participant_id").alias("participant_id"), whole("item_id").alias("item_id"), whole("label").alias("label"), filled("text").alias("text"), split.alias("split"))
+    checks = {
+        "null_participant": F.col("participant_id").isNull(),
+        "item_domain": ~F.coalesce(F.col("item_id").between(1, items), F.lit(False)),
+        "label_domain": ~F.coalesce(F.col("label").between(0, labels), F.lit(False)),
+        "blank_text": F.col("text").isNull(),
+    }
+    if splits:
+        checks["unknown_split"] = ~F.coalesce(F.col("split").isin(*splits), F.lit(False))
+    found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())), lambda x: x.isNotNull())
+    return out.withColumn("problems", found)
+
+
 def near(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     """Equal within a relative or absolute tolerance; two nulls are equal."""
     return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(tolerance) * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance)), a.isNull() & b.isNull())

@@ -136,3 +136,24 @@ def showcase(df: DataFrame, score: str, per: str, order: str, k: int) -> DataFra
 
     r = F.row_number().over(Window.partitionBy(per).orderBy(F.desc(score), order))
     return df.withColumn("_r", r).where(F.col("_r") <= k).orderBy("_r", F.desc(score), order).limit(k).drop("_r")
+
+
+def qualitative(df: DataFrame, section: str, order: list[str], fields: list[str], quote: str, title: str, k: int) -> DataFrame:
+    """(section, report): a Markdown text for each section with its first k rows by `order`, fields as bold names and `quote` as a block quote.
+
+    A section's rows beyond k are only counted. Null fields are a dash; line feeds in a field are spaces, and each line of
+    a quote is quoted. The k rows of a section are what a report shows, whatever the section holds.
+    """
+    from pyspark.sql import Window
+
+    by = Window.partitionBy(section).orderBy(*order)
+    top = df.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k)
+    name = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\r\n]+", " "), F.lit("-"))
+    facts = F.concat_ws(", ", *(F.concat(F.lit(f"**{c}** "), name(c)) for c in fields))
+    quoted = F.concat(F.lit("> "), F.replace(F.coalesce(quote, F.lit("")), F.lit("\n"), F.lit("\n> ")))
+    part = F.concat(F.lit("### "), F.col("_r").cast("string"), F.lit("\n\n"), facts, F.lit("\n\n"), quoted)
+    shown = top.groupBy(section).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("_t"))
+    sizes = df.groupBy(section).agg(F.count("*").alias("_n"))
+    met = sizes.join(shown.select(F.col(section).alias("_s"), "_t"), F.col(section).eqNullSafe(F.col("_s")))
+    head = F.concat(F.lit(f"## {title} "), F.coalesce(F.col(section).cast("string"), F.lit("-")), F.lit("\n\n"), F.least("_n", F.lit(k)).cast("string"), F.lit(" of "), F.col("_n").cast("string"), F.lit(" rows\n\n"))
+    return met.select(section, F.concat(head, "_t").alias("report"))

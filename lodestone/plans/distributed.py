@@ -12,7 +12,7 @@ from lodestone.plans.base import base, with_bases
 from lodestone.plans.catalog import IDF_PLUS, QUERIES, SQL, SQL_DRAWS, SQL_SUMMARY, SQL_TOKENS, SQL_WINDOWS, _docs, _items, _sql_bm25, query, rounded, sql_boot
 from lodestone.sources import commits
 from lodestone.sources.scratch import cut, new_path
-from lodestone.sources.tables import table
+from lodestone.sources.tables import sql, table
 from lodestone.streaming import sessions, windows
 
 # ---------------------------------------------------------------- folds
@@ -357,3 +357,29 @@ done AS (SELECT participant_id, item_id, list_concat(chosen, rest)[1:3] AS picks
 picked AS (SELECT participant_id, item_id, unnest(picks) AS r, unnest(range(1, len(picks) + 1)) AS place FROM done),
 packs AS (SELECT p.participant_id, p.item_id, list(c.doc_id ORDER BY place) AS ids, list(c.score ORDER BY place) AS scores, string_agg(c.text, ' [WINDOW_SEP] ' ORDER BY place) AS pack, count(*) AS n FROM picked p JOIN cand c ON c.participant_id = p.participant_id AND c.item_id = p.item_id AND c.r = p.r GROUP BY ALL)
 SELECT k.participant_id, k.item_id, ids, scores, coalesce(pack, '') AS pack, CAST(coalesce(n, 0) AS INT) AS n_windows FROM (SELECT DISTINCT w.participant_id, i.item_id FROM windows w, items i) k LEFT JOIN packs USING (participant_id, item_id)""")
+
+
+# ---------------------------------------------------------------- loading, and reports of examples
+
+_MESSY = """messy AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '  ' ELSE ' p' || o_custkey || ' ' END AS participant_id, CASE o_orderkey % 7 WHEN 0 THEN '3.0' WHEN 1 THEN '2.5' WHEN 2 THEN 'two' ELSE ' ' || o_orderkey % 10 END AS item_id,
+  CASE o_orderkey % 5 WHEN 0 THEN '1e0' WHEN 1 THEN '-1' WHEN 2 THEN NULL ELSE CAST(o_orderkey % 4 AS STRING) END AS label, CASE o_orderkey % 11 WHEN 0 THEN ' ' ELSE ' said ' END AS text, CASE o_orderkey % 6 WHEN 0 THEN 'Train ' WHEN 1 THEN 'other' WHEN 2 THEN NULL ELSE 'TEST' END AS split FROM orders)"""
+
+
+@query(f"""WITH {_MESSY}, t AS (SELECT o_orderkey, nullif(trim(participant_id), '') AS participant_id, TRY_CAST(trim(item_id) AS DOUBLE) AS i, TRY_CAST(trim(label) AS DOUBLE) AS l, nullif(trim(text), '') AS text, lower(trim(split)) AS split FROM messy),
+c AS (SELECT o_orderkey, participant_id, CASE WHEN i = floor(i) THEN CAST(i AS INT) END AS item_id, CASE WHEN l = floor(l) THEN CAST(l AS INT) END AS label, text, split FROM t)
+SELECT participant_id, item_id, label, text, split, concat_ws(',', CASE WHEN participant_id IS NULL THEN 'null_participant' END, CASE WHEN NOT coalesce(item_id BETWEEN 1 AND 8, FALSE) THEN 'item_domain' END, CASE WHEN NOT coalesce(label BETWEEN 0 AND 3, FALSE) THEN 'label_domain' END,
+  CASE WHEN text IS NULL THEN 'blank_text' END, CASE WHEN NOT coalesce(split IN ('train', 'test'), FALSE) THEN 'unknown_split' END) AS problems, count(*) AS n FROM c GROUP BY ALL""")
+def loaded_items(spark, d):
+    """Orders as a messy data set, read into typed rows, counted by what they have become."""
+    df = quality.coerced_items(sql(spark, d, f"WITH {_MESSY} SELECT * FROM messy"), splits=("train", "test"))
+    return df.withColumn("problems", F.array_join("problems", ",")).groupBy("participant_id", "item_id", "label", "text", "split", "problems").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT status, participant_id, item_id, llm_pred, label, self_score, row_number() OVER (PARTITION BY status ORDER BY abs(llm_pred - label) DESC, participant_id, item_id) AS r, count(*) OVER (PARTITION BY status) AS n FROM preds)
+SELECT status, '## Status ' || status || chr(10) || chr(10) || least(any_value(n), 3) || ' of ' || any_value(n) || ' rows' || chr(10) || chr(10) || string_agg('### ' || r || chr(10) || chr(10) || '**participant_id** ' || participant_id || ', **item_id** ' || item_id || ', **llm_pred** ' || llm_pred || ', **own** ' || coalesce(CAST(CASE WHEN self_score >= 0 THEN self_score END AS VARCHAR), '-')
+  || chr(10) || chr(10) || '> predicted ' || llm_pred || chr(10) || '> labelled ' || label, chr(10) || chr(10) ORDER BY r) AS report FROM r WHERE r <= 3 GROUP BY status""")
+def qualitative_examples(spark, d):
+    """The three worst predictions of each evidence status, as Markdown."""
+    p = base(spark, d, "preds").withColumn("off", F.abs(F.col("llm_pred") - F.col("label"))).withColumn("own", F.when(F.col("self_score") >= 0, F.col("self_score")))
+    said = F.concat(F.lit("predicted "), F.col("llm_pred").cast("string"), F.lit("\n"), F.lit("labelled "), F.col("label").cast("string"))
+    return reports.qualitative(p.withColumn("said", said), "status", [F.desc("off"), "participant_id", "item_id"], ["participant_id", "item_id", "llm_pred", "own"], "said", "Status", 3)

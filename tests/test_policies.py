@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import policies, reports, retrieval
+from lodestone.operators import policies, quality, reports, retrieval
 
 PRIORITY = {"supports": 0, "against": 0, "ambiguous": 1, "none": 2}
 
@@ -126,3 +126,25 @@ def test_reports_are_worded_by_templates(spark):
     assert got[1] == ["1 4 minimal 2", "high", "B=3 high supports", "lower", "C=1 moderate ambiguous_bare", "missing", "A?", "contradictions", "B!", "not_discussed", "interview_only", "see A, B", "end"]
     assert got[2] == ["2 0 minimal 3", "high", "none", "lower", "A=0 low against", "contradictions", "A!", "see A", "end"]
     assert all("{" not in r.report for r in reports.rendered(df).collect())
+
+
+def test_rows_are_coerced_and_none_is_dropped(spark):
+    rows = [(" a ", "3.0", "2", " x\n", "TRAIN", 1), ("\t", "9", "0", "", "test", 1), (None, None, None, None, None, 1), ("b", "1", "1.5", "y", "dev", 1), ("b", "1e20", "NaN", "y", "dev ", 1), ("b", "1", "1", "y", "dev", 1), ("b", "1", "1", "y", "dev", 1)]
+    df = spark.createDataFrame(rows, "participant_id string, item_id string, label string, text string, split string, problems int")
+    got = [tuple(r) for r in quality.coerced_items(df, splits=("train", "dev")).collect()]
+    assert got[0] == ("a", 3, 2, "x", "train", [])
+    assert got[1] == (None, 9, 0, None, "test", ["null_participant", "item_domain", "blank_text", "unknown_split"])
+    assert got[2] == (None, None, None, None, None, ["null_participant", "item_domain", "label_domain", "blank_text", "unknown_split"])
+    assert got[3] == ("b", 1, None, "y", "dev", ["label_domain"])
+    assert got[4][1:3] == (None, None) and got[5] == got[6] == ("b", 1, 1, "y", "dev", [])
+    numbers = spark.createDataFrame([(7, 2, 3.0, "t")], "participant_id long, item_id int, label double, text string")
+    assert tuple(quality.coerced_items(numbers).first()) == ("7", 2, 3, "t", None, [])
+    assert quality.coerced_items(df.limit(0)).count() == 0
+
+
+def test_reports_of_examples(spark):
+    df = spark.createDataFrame([("s", 2, "b", "two\nlines"), ("s", 1, None, None), ("s", 3, "c", "z"), (None, 1, "d\ne", "w")], "part string, n int, name string, said string")
+    got = {r.part: r.report for r in reports.qualitative(df, "part", ["n"], ["name", "n"], "said", "Part", 2).collect()}
+    assert got["s"] == "## Part s\n\n2 of 3 rows\n\n### 1\n\n**name** -, **n** 1\n\n> \n\n### 2\n\n**name** b, **n** 2\n\n> two\n> lines"
+    assert got[None].startswith("## Part -\n\n1 of 1 rows\n\n### 1\n\n**name** d e, **n** 1\n\n> w")
+    assert reports.qualitative(df.limit(0), "part", ["n"], ["name"], "said", "Part", 2).count() == 0
