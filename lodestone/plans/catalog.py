@@ -721,18 +721,26 @@ def severity_routed(spark, d):
 WEIGHTS = [i / 4 for i in range(5)]
 
 
-@query(f"""
+SQL_BLEND = f"""
 WITH b AS (SELECT fold, label AS y, w AS param, list_transform([0, 1, 2, 3], lambda c: w * [l0, l1, l2, l3][c + 1] + (1 - w) * [e0, e1, e2, e3][c + 1]) AS v FROM preds, (VALUES {', '.join(f'({w}::DOUBLE)' for w in WEIGHTS)}) g(w)),
 z AS (SELECT fold, y, param, list_position(v, list_max(v)) - 1 AS p FROM b),
 t AS (SELECT h.fold AS held, param, y, p FROM z JOIN (SELECT DISTINCT fold FROM preds) h ON z.fold <> h.fold),
 f AS (SELECT held, param, c, coalesce(2.0 * count(*) FILTER (y = c AND p = c) / nullif(count(*) FILTER (y = c) + count(*) FILTER (p = c), 0), 0) AS f1 FROM t, range(4) k(c) GROUP BY ALL),
 m AS (SELECT held, param, round(avg(f1), 12) AS s FROM f GROUP BY ALL)
-SELECT held AS fold, param FROM m QUALIFY row_number() OVER (PARTITION BY held ORDER BY s DESC, param) = 1
-""")
+SELECT held AS fold, param FROM m QUALIFY row_number() OVER (PARTITION BY held ORDER BY s DESC, param) = 1"""
+
+
+@query(SQL_BLEND)
 def nested_blend_weights(spark, d):
     return fusion.nested_choice(base(spark, d, "preds"), WEIGHTS, lambda w: A.argmax(A.blend(F.col("llm"), F.col("encoder"), w)))
 
 
+@query(f"""WITH chosen AS ({SQL_BLEND}), b AS (SELECT participant_id, item_id, fold, param, list_transform([0, 1, 2, 3], lambda c: param * [l0, l1, l2, l3][c + 1] + (1 - param) * [e0, e1, e2, e3][c + 1]) AS v FROM preds JOIN chosen USING (fold))
+SELECT participant_id, item_id, fold, param, CAST(list_position(v, list_max(v)) - 1 AS INT) AS prediction FROM b""")
+def nested_blend(spark, d):
+    return fusion.nested_blend(base(spark, d, "preds"), WEIGHTS).select("participant_id", "item_id", "fold", "param", "prediction")
+
+
 @query("""
 WITH o AS (SELECT h.fold AS held, item_id, p.* EXCLUDE (item_id) FROM preds p JOIN (SELECT DISTINCT fold FROM preds) h ON p.fold <> h.fold),
 f AS (SELECT held, item_id, c, coalesce(2.0 * count(*) FILTER (label = c AND encoder_pred = c) / nullif(count(*) FILTER (label = c) + count(*) FILTER (encoder_pred = c), 0), 0) AS fe,
@@ -1071,11 +1079,21 @@ def validate_turn_bank(spark, d):
     return quality.turn_bank(bank, raw).groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'differs_n_turns' AS check, (SELECT count(*) FROM turns WHERE pos = 0) AS n UNION ALL SELECT 'missing_window', (SELECT count(*) FROM turns WHERE pos = 1)")
+SQL_WIDER = SQL_WINDOWS.replace("sessions AS", "wide_sessions AS").replace("FROM sessions a JOIN sessions b", "FROM wide_sessions a JOIN wide_sessions b").replace("windows AS", "wide AS").replace("> 60 ", "> 100 ")
+SQL_WIDER = SQL_WIDER[SQL_WIDER.index("wide_sessions AS") :]
+
+
+@query(f"""WITH {SQL_WINDOWS}, {SQL_WIDER},
+met AS (SELECT a.window_id AS a, b.window_id AS b, a.turn_ids AS ids_a, b.turn_ids AS ids_b, a.n_turns AS an, b.n_turns AS bn, a.window_text AS aw, b.window_text AS bw, a.start_time AS asx, b.start_time AS bs, a.end_time AS ae, b.end_time AS be
+  FROM (SELECT * FROM wide WHERE i <> 1) a FULL JOIN windows b ON a.window_id = b.window_id),
+checks AS (SELECT unnest([CASE WHEN a IS NULL THEN 'missing_window' END, CASE WHEN ids_a <> ids_b THEN 'differs_turn_ids' END, CASE WHEN an <> bn THEN 'differs_n_turns' END, CASE WHEN aw <> bw THEN 'differs_window_text' END,
+  CASE WHEN asx <> bs THEN 'differs_start_time' END, CASE WHEN ae <> be THEN 'differs_end_time' END]) AS "check" FROM met)
+SELECT "check", count(*) AS n FROM checks WHERE "check" IS NOT NULL GROUP BY 1""")
 def validate_window_bank(spark, d):
-    w = sequences.context_windows(sequences.turns(base(spark, d, "turns")), size=3)
-    changed = w.where("center_turn_index <> 1").withColumn("n_turns", F.when(F.col("center_turn_index") == 0, 99).otherwise(F.col("n_turns")))
-    return quality.window_bank(changed, w).groupBy("check").agg(F.count("*").alias("n"))
+    """A bank made with a wider gap and without second windows, against windows made anew."""
+    t = sequences.turns(base(spark, d, "turns"))
+    bank = sequences.context_windows(t, size=3, max_gap=100).where("center_turn_index <> 1")
+    return quality.window_bank(bank, sequences.context_windows(t, size=3)).groupBy("check").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, metric, value FROM (UNPIVOT (SELECT doc_id, quality, toxic FROM labels) ON quality, toxic INTO NAME metric VALUE value)")
