@@ -80,7 +80,7 @@ def test_line_dedup_hot_line_and_odd_rows(many_ranges):
     assert linededup.drop_shared_lines(df.limit(0)).count() == 0
 
 
-def test_line_streams_over_batches():
+def test_line_streams_over_batches(spark):
     """The same ranges in batches of any size give the same rows, and what isn't settled is bounded."""
     rnd = random.Random(3)
     lines = sorted((rnd.choice([-5, -5, -5, 0, 1, 2, 3, 9]), 0, rnd.randrange(30), 0, p) for p in range(900))
