@@ -27,6 +27,8 @@ from lodestone.llm.components import connected_components
 
 #: Fixed bits of a subtree's path by level, for a budget of 3: a quarter of what is left each time.
 LEVELS = ((0, 16), (16, 12), (28, 9))
+#: Node pairs that advance together, and pairs found that are held before a forest is made of them.
+NODES, HELD = 1 << 16, 1 << 20
 #: Texts of a block that meet in one task, their shingles, and cells of a matrix in which they are compared.
 BLOCK, BLOCK_SIZE, CELLS = 1024, 1 << 20, 1 << 22
 #: Texts of a shingle up to which a join pairs them, and pairs a text up to which a task lists them.
@@ -63,40 +65,49 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, fp long", rows, 512)
 
 
-def trie_pairs(keys: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of keys at most `budget` bits apart, within each subtree.
+def trie_pairs(keys: np.ndarray, roots: np.ndarray, depth: int, budget: int, most: int = NODES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of keys at most `budget` bits apart, within each subtree, some at a time.
 
     keys: sorted unsigned 64-bit paths; roots: the first index of each subtree and the end; within a
-    subtree the first `depth` bits are equal. Nodes are ranges of keys; all node pairs of a level
-    advance together.
+    subtree the first `depth` bits are equal. Nodes are ranges of keys. At most `most` node pairs of a
+    level advance together; the others wait, deepest first, so a subtree with very many near pairs
+    takes no more memory than its keys and some levels of so many node pairs.
     """
     lo, hi = roots[:-1].astype(np.int64), roots[1:].astype(np.int64)
-    keep = hi - lo > 1
-    a0, a1 = lo[keep], hi[keep]
-    b0, b1, spent = a0, a1, np.zeros(keep.sum(), np.int64)
-    found: list[np.ndarray] = []
-    while len(a0):
+    lo, hi = (x[roots[1:] - roots[:-1] > 1] for x in (lo, hi))
+    waiting = [(depth, np.stack([lo, hi, lo, hi, np.zeros_like(lo)]))]
+    while waiting:
+        depth, nodes = waiting.pop()
+        if nodes.shape[1] > most:
+            waiting.append((depth, nodes[:, most:]))
+            nodes = nodes[:, :most]
+        a0, a1, b0, b1, spent = nodes
         small = ((a1 - a0) * (b1 - b0) <= 16) | (depth >= 64)
         if small.any():
-            found.append(_leaf_pairs(keys, a0[small], a1[small], b0[small], b1[small], budget))
-            a0, a1, b0, b1, spent = (x[~small] for x in (a0, a1, b0, b1, spent))
-            if not len(a0):
-                break
-        ones = np.concatenate([[0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
-        am, bm, alone = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0]), a0 == b0
+            yield _leaf_pairs(keys, a0[small], a1[small], b0[small], b1[small], budget)
+            a0, a1, b0, b1, spent = nodes[:, ~small]
+        if not len(a0):
+            continue
+        am, bm, alone = _parting(keys, a0, a1, depth), _parting(keys, b0, b1, depth), a0 == b0
         turn = ~alone  # the mirror image of a node paired with itself is the same pair
-        nodes = [np.concatenate(x) for x in zip((a0, am, b0, bm, spent), (am, a1, bm, b1, spent), (a0, am, bm, b1, spent + 1), (am[turn], a1[turn], b0[turn], bm[turn], spent[turn] + 1))]
+        nodes = np.stack([np.concatenate(x) for x in zip((a0, am, b0, bm, spent), (am, a1, bm, b1, spent), (a0, am, bm, b1, spent + 1), (am[turn], a1[turn], b0[turn], bm[turn], spent[turn] + 1))])
         a0, a1, b0, b1, spent = nodes
         live = (a1 > a0) & (b1 > b0) & (spent <= budget) & ~((a0 == b0) & (a1 - a0 < 2))
-        a0, a1, b0, b1, spent = (x[live] for x in nodes)
-        depth += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.concatenate(found, axis=1)
-    return pairs[0], pairs[1]
+        waiting.append((depth + 1, nodes[:, live]))
+
+
+def _parting(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+    """Where in each sorted range, equal in its first `depth` bits, the next bit turns to 1."""
+    lo, hi, bit = lo.copy(), hi.copy(), np.uint64(63 - depth)
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        one = np.zeros(len(mid), bool)
+        one[open_] = (keys[mid[open_]] >> bit) & np.uint64(1) == 1
+        lo, hi = np.where(open_ & ~one, mid + 1, lo), np.where(open_ & one, mid, hi)
+    return lo
 
 
-def _leaf_pairs(keys, a0, a1, b0, b1, budget) -> np.ndarray:
+def _leaf_pairs(keys, a0, a1, b0, b1, budget) -> tuple[np.ndarray, np.ndarray]:
     """Compares what is left in small node pairs."""
     counts = (a1 - a0) * (b1 - b0)
     which = np.repeat(np.arange(len(counts)), counts)
@@ -104,7 +115,7 @@ def _leaf_pairs(keys, a0, a1, b0, b1, budget) -> np.ndarray:
     width = (b1 - b0)[which]
     i, j = a0[which] + at // width, b0[which] + at % width
     near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-    return np.stack([i[near], j[near]])
+    return i[near], j[near]
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +149,13 @@ def _subtree_links(budget: int, level: int, pairs: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def walk(t: np.ndarray, key: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | ((key[1:] >> np.uint64(64 - depth)) != (key[:-1] >> np.uint64(64 - depth)))])
-            i, j = trie_pairs(key, np.r_[starts, len(key)], depth, budget)
-            own = first_rotation(_restored(key[i], t[i], level) ^ _restored(key[j], t[j], level), (t[i] >> (2 * level)) & 3)
-            i, j = i[own], j[own]
+            roots, held = np.r_[starts, len(key)], [np.zeros((2, 0), np.int64)]
+            for i, j in trie_pairs(key, roots, depth, budget):
+                own = first_rotation(_restored(key[i], t[i], level) ^ _restored(key[j], t[j], level), (t[i] >> (2 * level)) & 3)
+                held.append(np.stack([i[own], j[own]]))
+                if not pairs and sum(x.shape[1] for x in held) > HELD + len(key):
+                    held = [np.stack(forest(len(key), *np.concatenate(held, axis=1)))]
+            i, j = np.concatenate(held, axis=1)
             if not pairs:
                 i, j = forest(len(key), i, j)
             return pd.DataFrame({"table": t[i] >> (2 * (level + 1)), "a": _restored(key[i], t[i], level), "b": _restored(key[j], t[j], level)})
@@ -308,13 +323,13 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _unit_links(similarity: float):
-    """Links of a forest among the texts of one or two blocks of a shingle; those with one root r are joined already."""
+    """Links of a forest between the texts that are `first` and those that aren't (null: both); those with one root r are joined already."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         h, n, r = (rows[c].to_numpy(np.int64) for c in ("h", "n", "r"))
         sets = [np.asarray(v, np.int64) for v in rows["s"]]
-        first = np.flatnonzero(rows["block"].to_numpy() == rows["one"].iloc[0])
-        second = np.flatnonzero(rows["block"].to_numpy() == rows["two"].iloc[0])
+        first = np.flatnonzero(rows["first"].isna() | rows["first"].eq(True))
+        second = np.flatnonzero(rows["first"].isna() | rows["first"].eq(False))
         roots, at = np.unique(r, return_inverse=True)
         held: list[tuple[int, int]] = []
         if len(roots) > 1:
@@ -366,8 +381,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     texts are listed by a task if they are no more than `each_text` a text. They go on if they share so
     many of their first shingles that all others would do, and only then are whole sets compared. What is left is dense:
     many texts that are nearly alike. They are compared inside tasks, in blocks of bounded size, to
-    which each text's set comes once, and of which only a forest of links leaves; blocks of a shingle
-    meet each other only if their texts aren't joined yet.
+    which each text's set comes once, and of which only a forest of links leaves. Of a shingle with
+    several blocks, the texts that are not joined with its largest part by then meet all its blocks.
 
     Texts without words are alike; null ids, repeated rows and further columns change nothing; an
     empty table has no links.
@@ -379,20 +394,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     values = order[ranks]
 
     def first_shingles(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: set[int] = set()  # a task makes the shingles of equal texts once
+        seen: set[int] = set()  # equal texts that are near each other have their shingles made once
         for b in batches:
+            if len(seen) > 1 << 18:
+                seen.clear()
             new = [k for k, h in enumerate(b["h"]) if not (h in seen or seen.add(h))]
             sets = [shingle_set(b["text"][k], words) for k in new]
             # texts without words share one made-up shingle
             yield {"h": [b["h"][k] for k in new], "n": list(map(len, sets)), "t": [prefix(s, similarity, values, ranks).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in sets]}
 
-    each = cut(map_rows(texts, ["h", "text"], "h long, n int, t array<long>", first_shingles, 256))
-    met = each.select(F.posexplode("t").alias("p", "t"), "h", "n").select("t", "h", "n", "p").repartition("t").dropDuplicates(["t", "h"])
-    by_size, by_shingle = Window.partitionBy("t").orderBy("n", "h"), Window.partitionBy("t")
+    made = map_rows(texts, ["h", "text"], "h long, n int, t array<long>", first_shingles, 256)
+    each = cut(made.groupBy("h").agg(F.first("n").alias("n"), F.first("t").alias("t")))  # equal texts have equal sets
+    # narrow bands of sizes: eight of them make up the factor `similarity`, so there are some hundred at most
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) * F.lit(8 / -math.log(similarity) if similarity < 1 else 64.0)).cast("int")
+    rows = each.select(F.posexplode("t").alias("p", "t"), "h", "n").select("t", "h", "n", "p", band.alias("band"))
+    met = cut(rows.join(rows.groupBy("t").count().where("count > 1").select("t"), "t"))
+    around = Window.partitionBy("t").orderBy("band")  # a row a band, not a text
+    bands = met.groupBy("t", "band").agg(F.count("*").alias("same"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    bands = bands.select("t", "band", "same", F.lag("hi").over(around).alias("below"), F.lead("lo").over(around).alias("above"))
     # a text that is alike has from `similarity` times as many shingles up to what this one's place leaves room for
-    near = (F.lag("n").over(by_size) >= similarity * F.col("n") - 1e-6) | (F.lead("n").over(by_size) <= F.col("n") / similarity - F.col("p") / share + 1e-6)
-    met = met.withColumn("near", near).where("near").drop("near").withColumns({"texts": F.count("*").over(by_shingle), "size": F.sum("n").over(by_shingle)})
-    shared = cut(met.where("texts > 1"))
+    near = (F.col("same") > 1) | (F.col("below") >= similarity * F.col("n") - 1e-6) | (F.col("above") <= F.col("n") / similarity - F.col("p") / share + 1e-6)
+    met = cut(met.join(bands, ["t", "band"]).where(near).select("t", "h", "n", "p"))
+    shared = cut(met.join(met.groupBy("t").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where("texts > 1"), "t"))
 
     def enough(n, p, n2, p2):
         """Whether the shingles from the shared one on can be as many as the two sets must share."""
@@ -404,8 +427,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     listed = cut(shared.where((F.col("texts") > few) & (F.col("texts") <= BLOCK)).select("t", "h", "n", "p").groupBy("t").applyInPandas(_unit_candidates(share, each_text), "t long, x long, y long, dense boolean"))
     pairs = pairs.unionAll(listed.where("NOT dense").select("x", "y")).distinct()
     # of the set whose first shingles end first, what lies in the other set at all lies in its first shingles
-    firsts = each.groupBy("h").agg(F.first("n").alias("n"), F.first("t").alias("t"))  # equal texts have equal sets
-    of = lambda end: firsts.select(F.col("h").alias(end), F.col("n").alias(f"n{end}"), F.col("t").alias(f"t{end}"))
+    of = lambda end: each.select(F.col("h").alias(end), F.col("n").alias(f"n{end}"), F.col("t").alias(f"t{end}"))
     most = F.size(F.array_intersect("tx", "ty")) + F.greatest(F.col("nx") - F.size("tx"), F.col("ny") - F.size("ty"))
     pairs = cut(pairs.join(of("x"), "x").join(of("y"), "y").where(most >= F.lit(share) * (F.col("nx") + F.col("ny")) - 1e-9).select("x", "y"))
     dense = shared.where(F.col("texts") <= BLOCK).join(listed.where("dense").select("t"), "t", "left_semi").unionAll(shared.where(F.col("texts") > BLOCK))
@@ -430,15 +452,23 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     def compared(rows: DataFrame) -> DataFrame:
         return rows.join(sets, "h").groupBy("t", "one", "two").applyInPandas(_unit_links(similarity), "a long, b long")
 
-    links = cut(links.unionAll(compared(dense.select("t", "h", "n", F.col("h").alias("r"), "block", F.col("block").alias("one"), F.col("block").alias("two")))))
+    within = dense.select("t", "h", "n", F.col("h").alias("r"), F.col("block").alias("one"), F.lit(-1).alias("two"), F.lit(None).cast("boolean").alias("first"))
+    links = cut(links.unionAll(compared(within)))
     large = dense.where("blocks > 1")
     if large.isEmpty():
         return links
     roots = connected_components(links).withColumnsRenamed({"node": "h", "root": "r"})
-    left = large.join(roots, "h", "left").withColumn("r", F.coalesce("r", "h"))
-    several = left.groupBy("t").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("t")
-    unit = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")), lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"))))
-    return links.unionAll(compared(left.join(several, "t", "left_semi").select("t", "h", "n", "r", "block", unit.alias("u")).select("t", "h", "n", "r", "block", "u.*")))
+    left = cut(large.join(roots, "h", "left").withColumn("r", F.coalesce("r", "h")))
+    # the texts of the root that most have are joined already: only the others need to meet what the blocks hold
+    parts = left.groupBy("t", "r").agg(F.count("*").alias("texts"), F.sum("n").alias("size"))
+    whole = parts.groupBy("t").agg(F.sum("texts").alias("texts"), F.sum("size").alias("size"), F.max(F.struct("texts", "r", "size")).alias("top"))
+    chunks = F.greatest(F.ceil((F.col("texts") - F.col("top.texts")) / BLOCK), F.ceil((F.col("size") - F.col("top.size")) / BLOCK_SIZE)).cast("int")
+    left = left.join(whole.where("texts > top.texts").select("t", F.col("top.r").alias("main"), chunks.alias("chunks")), "t")
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = left.select("t", "h", "n", "r", "block", places("chunks").alias("two")).select("t", "h", "n", "r", F.col("block").alias("one"), "two", F.lit(False).alias("first"))
+    other = left.where("r <> main").withColumn("two", F.pmod(F.xxhash64("t", "h"), "chunks").cast("int"))
+    other = other.select("t", "h", "n", "r", places("blocks").alias("one"), "two", F.lit(True).alias("first"))
+    return links.unionAll(compared(held.unionAll(other)))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, **options) -> DataFrame:
