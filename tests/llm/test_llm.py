@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -160,6 +161,47 @@ def test_pairs_of_dense_fingerprints_are_all_found(spark):
     assert got == {frozenset(p) for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("most", [1, 5, 1 << 16])
+def test_trie_walk_with_few_node_pairs_at_a_time(most):
+    rnd = random.Random(8)
+    centre = rnd.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << b for b in rnd.sample(range(48), rnd.randrange(0, 3))) for _ in range(200)} | {rnd.getrandbits(64) for _ in range(100)})
+    keys = np.array(fps, np.uint64)
+    got = [(int(a), int(b)) for i, j in simhash.trie_pairs(keys, np.array([0, len(keys)]), 0, 3, most) for a, b in zip(i, j)]
+    want = {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert len(got) == len(want) and set(got) == want
+    none = np.zeros(0, np.uint64)
+    assert not list(simhash.trie_pairs(none, np.array([0, 0]), 0, 3))
+
+
+def test_subtree_links_are_a_forest_however_few_are_held(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 0)
+    rnd = random.Random(9)
+    fps = sorted({sum(1 << b for b in rnd.sample(range(48), rnd.randrange(0, 3))) for _ in range(150)})
+    rows = pd.DataFrame({"turn": np.zeros(len(fps), np.int32), "path": (np.array(fps, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)})
+    links = pd.concat(list(simhash._subtree_links(3, 0, False)(iter([rows]))))
+    assert len(links) == len(fps) - 1 and set(links["b"]) == {0}
+
+
+def test_dense_groups_with_texts_apart(spark, monkeypatch):
+    """Texts of a dense shingle that the largest part doesn't join meet each other and all of its blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 12)
+    rnd = random.Random(31)
+    base, rows = made_up(rnd, 100), []
+    for k in range(70):
+        c = list(base)
+        for p in rnd.sample(range(100), 1 if k < 50 else 3):
+            c[p] = made_up(rnd, 1)[0]
+        rows.append((k, " ".join(c)))
+    for g in range(2):  # far from the first, near each other
+        far = base[:80] + made_up(rnd, 25)
+        rows += [(100 * (g + 1) + k, " ".join(far[: 100 + k])) for k in range(5)]
+    want = least_of_near_copies(rows)
+    assert 2 < len(want) < 40
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), few=1, each_text=0)
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_near_copies_in_a_dense_neighbourhood(spark):
     rnd = random.Random(11)
     base, rows = made_up(rnd, 120), []
