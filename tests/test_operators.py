@@ -247,3 +247,33 @@ def test_stream_of_sessions(spark, tmp_path):
     sessions.run_once(sessions.gap_sessions(stream, "user_id", "ts", "1 hour", "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
     assert [(r.n, r.value_sum) for r in got][:2] == [(2, 3.0), (1, 4.0)]
+
+
+def test_md5_starts_are_those_of_hashlib():
+    import hashlib
+
+    from lodestone.operators import inference
+
+    for seed, replicate, n in ((42, 17, 1), (42, 1999, 11), (7, 3, 999), (7, 0, 10_001), (42, 12, 23_456)):
+        want = [0] * n
+        for j in range(n):
+            want[int(hashlib.md5(f"{seed}:{replicate}:{j}".encode()).hexdigest()[:8], 16) % n] += 1
+        assert inference.counted_draws(seed, replicate, n).tolist() == want
+
+
+def test_replicate_totals_weigh_each_cluster_by_its_draws(spark, monkeypatch):
+    """Blocks of few places, totals that some replicates lack, and a cluster without a label."""
+    from lodestone.operators import inference, metrics
+
+    monkeypatch.setattr(inference, "PLACES", 16)
+    rnd = random.Random(5)
+    rows = [(c * 2, rnd.randrange(4), rnd.randrange(4), rnd.randrange(4)) for c in range(70) for _ in range(3)] + [(500, None, 1, 2)]
+    df = spark.createDataFrame(rows, "c long, label int, a int, b int")
+    got = {(r.replicate, r.run): r.total_qwk for r in inference.replicate_totals(df, "c", ["a", "b"], 300).collect()}
+    sums = df.groupBy("c").agg(*(F.sum(x).alias(x) for x in ("label", "a", "b")))
+    w = inference.draws(df, "c", 300).where("replicate < 20").join(sums, "c").where("label IS NOT NULL")
+    assert len(got) == 600
+    for run in ("a", "b"):
+        rows = w.select("replicate", F.col("label").alias("true_total"), F.col(run).alias("pred_total"), "weight")
+        for r in metrics.position_kappa(rows, ["replicate"], weight="weight").collect():
+            assert got[r.replicate, run] == pytest.approx(r.total_qwk)
