@@ -277,3 +277,11 @@ def test_replicate_totals_weigh_each_cluster_by_its_draws(spark, monkeypatch):
         rows = w.select("replicate", F.col("label").alias("true_total"), F.col(run).alias("pred_total"), "weight")
         for r in metrics.position_kappa(rows, ["replicate"], weight="weight").collect():
             assert got[r.replicate, run] == pytest.approx(r.total_qwk)
+
+
+def test_missing_audit_of_many_rows(spark):
+    """Counts of four classes whose product passes 64 bits."""
+    from lodestone.operators import summaries
+
+    some = spark.range(8 * 70_000).select(F.expr("CAST(id % 2 + 1 AS INT)").alias("fold"), F.lit(1).alias("item_id"), F.expr("CAST(id div 2 % 4 AS INT)").alias("label"), F.lit("supports").alias("status"))
+    assert [(r.rows, r.left_3, r.warn_class) for r in summaries.missing_audit(some).collect()] == [(280_000, 70_000, False)] * 2
