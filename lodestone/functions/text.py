@@ -43,8 +43,7 @@ def is_participant(c: Column) -> Column:
 
 def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-cased words of a-z, 0-9 and apostrophes, repeats kept; stopwords taken out if given."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s']+", " "))
-    out = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
+    out = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
     return F.filter(out, lambda x: ~x.isin(stopwords)) if stopwords else out
 
 
