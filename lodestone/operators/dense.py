@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of documents and of queries. A block of 64 numbers a row takes 2 MB.
-DOCS, QUERIES = 4096, 2048
+#: Rows of a block of documents and of queries. A block of documents with 64 numbers a row takes 1 MB, its scores 16 MB.
+DOCS, QUERIES = 2048, 1024
 #: Scores are rounded, so that equal vectors tie in any order of summation.
 PLACES = 9
 
@@ -41,11 +42,13 @@ def document_blocks(docs: DataFrame, size: int = DOCS) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, size: int = QUERIES) -> DataFrame:
-    """(items, keys, orders, q): about `size` queries a row. An item's queries may lie in several blocks."""
+    """(items, keys, orders, q): about `size` queries a row, q their vectors one after another. An item's queries may lie in several blocks."""
     n = max(1, -(-queries.count() // size))
     block = F.pmod(F.xxhash64("item_id", "query_ord", F.col("query_key")), F.lit(n))
     row = F.struct(F.col("item_id").cast("long").alias("item"), F.col("query_ord").cast("long").alias("ord"), F.col("query_key").cast("string").alias("key"), "embedding")
-    return queries.where("embedding IS NOT NULL").groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(row)).alias("all")).select("all")
+    lists = queries.where("embedding IS NOT NULL").groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(row)).alias("all"))
+    each = lambda c: F.transform("all", lambda x: x[c])
+    return lists.select(each("item").alias("items"), each("key").alias("keys"), each("ord").alias("orders"), F.flatten(each("embedding")).cast("array<double>").alias("q"))
 
 
 def _best(scores: np.ndarray, who: np.ndarray, places: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -70,27 +73,29 @@ def _best(scores: np.ndarray, who: np.ndarray, places: np.ndarray, k: int | None
 
 
 def _products(docs: DataFrame, queries: DataFrame, k: int | None, size: tuple[int, int]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for people, ids, places, m, asked in zip(b["participants"], b["ids"], b["places"], b["m"], b["all"]):
-                q = _units([x["embedding"] for x in asked])
-                scores = np.round(np.frombuffer(m, np.float64).reshape(len(ids), q.shape[1]) @ q.T, PLACES)
-                items = np.array([x["item"] for x in asked])
+            for at_row in range(b.num_rows):  # one pair of blocks at a time becomes Python's; the rest stays as it came
+                people, ids, keys = (b.column(c)[at_row].as_py() for c in ("participants", "ids", "keys"))
+                places, items, orders, flat = (b.column(c)[at_row].values.to_numpy() for c in ("places", "items", "orders", "q"))
+                q = _units(list(flat.reshape(len(items), -1)))
+                scores = np.frombuffer(b.column("m")[at_row].as_buffer(), np.float64).reshape(len(ids), q.shape[1]) @ q.T
+                np.round(scores, PLACES, out=scores)
                 starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
                 best = np.maximum.reduceat(scores, starts, axis=1)
                 sizes = np.diff(np.append(starts, len(items)))
                 at = np.where(scores == np.repeat(best, sizes, axis=1), np.arange(len(items)), len(items))
                 winner = np.minimum.reduceat(at, starts, axis=1)  # an item's queries are in order: the first of equal ones
                 who = pd.factorize(pd.Series(people, dtype="object"), use_na_sentinel=False)[0]
-                r, c = _best(best, who, np.asarray(places), k)
+                r, c = _best(best, who, places, k)
                 won = winner[r, c]
-                yield pd.DataFrame({
-                    "p": [people[i] for i in r], "item": items[starts[c]], "d": [ids[i] for i in r], "pos": np.asarray(places)[r], "s": best[r, c],
-                    "winning_query": [asked[i]["key"] for i in won], "ord": np.array([asked[i]["ord"] for i in won], np.int64),
-                })
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([people[i] for i in r], pa.string()), pa.array(items[starts[c]]), pa.array([ids[i] for i in r], pa.string()), pa.array(places[r]), pa.array(best[r, c]),
+                    pa.array([keys[i] for i in won], pa.string()), pa.array(orders[won]),
+                ], ["p", "item", "d", "pos", "s", "winning_query", "ord"])
 
     pairs = document_blocks(docs, size[0]).crossJoin(query_blocks(queries, size[1]))  # blocks, not rows: a stated query set against all documents
-    return pairs.mapInPandas(run, "p string, item long, d string, pos long, s double, winning_query string, ord long")
+    return pairs.mapInArrow(run, "p string, item long, d string, pos long, s double, winning_query string, ord long")
 
 
 def _named(found: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
