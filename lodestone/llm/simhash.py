@@ -369,10 +369,28 @@ def _unit_candidates(share: float, most: int):
     return run
 
 
+def fingerprint_pairs(texts: DataFrame, budget: int = 3, crowded: int = 4096) -> DataFrame:
+    """Text hashes with fingerprints (h, f) -> candidates (x, y), x < y, of the trie walk: no more than some a text.
+
+    The least hash of each fingerprint stands for it and is paired with all others that have it, and with those
+    that stand for the fingerprints that near_links() joins with this one.
+    """
+    firsts = cut(texts.groupBy("f").agg(F.min("h").alias("first")))
+    linked = near_links(firsts.select(F.lit(0).alias("table"), F.col("f").alias("fp")), budget, crowded).select("a", "b").distinct()
+    of = lambda end: firsts.select(F.col("f").alias(end), F.col("first").alias(f"h{end}"))
+    met = linked.join(of("a"), "a").join(of("b"), "b").select(F.least("ha", "hb").alias("x"), F.greatest("ha", "hb").alias("y"))
+    same = texts.join(firsts, "f").where("h <> first").select(F.col("first").alias("x"), F.col("h").alias("y"))
+    return met.unionAll(same)
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 10_000, few: int = FEW, each_text: int = EACH_TEXT) -> DataFrame:
     """Links (a, b) that join the same text hashes as all pairs of docs whose sets of `words`-word shingles have a Jaccard similarity of `similarity`.
 
-    Two such sets share one of the first shingles of each, a fifth of them at 0.8, in any order that is
+    SimHash finds first: pairs of the trie walk over the sets' fingerprints are held against the exact similarity, and
+    what they join is one group from then on. Fingerprints of alike sets can be more than three bits apart, so an
+    exact join completes the groups; it compares no two texts that are in one group already.
+
+    Two alike sets share one of the first shingles of each, a fifth of them at 0.8, in any order that is
     common to all sets (the prefix filter), and their sizes and the places of that shingle leave room
     for the rest: texts for which that holds are candidates, so no pair is lost. Rare shingles come
     first. Every candidate is held against the exact similarity.
@@ -401,10 +419,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
             new = [k for k, h in enumerate(b["h"]) if not (h in seen or seen.add(h))]
             sets = [shingle_set(b["text"][k], words) for k in new]
             # texts without words share one made-up shingle
-            yield {"h": [b["h"][k] for k in new], "n": list(map(len, sets)), "t": [prefix(s, similarity, values, ranks).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in sets]}
+            yield {"h": [b["h"][k] for k in new], "n": list(map(len, sets)), "f": list(map(majority_bits, sets)), "t": [prefix(s, similarity, values, ranks).view(np.int64) if len(s) else np.zeros(1, np.int64) for s in sets]}
 
-    made = map_rows(texts, ["h", "text"], "h long, n int, t array<long>", first_shingles, 256)
-    each = cut(made.groupBy("h").agg(F.first("n").alias("n"), F.first("t").alias("t")))  # equal texts have equal sets
+    made = map_rows(texts, ["h", "text"], "h long, n int, f long, t array<long>", first_shingles, 256)
+    each = cut(made.groupBy("h").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.first("t").alias("t")))  # equal texts have equal sets
+    walked = cut(fingerprint_pairs(each.select("h", "f")))
     # narrow bands of sizes: eight of them make up the factor `similarity`, so there are some hundred at most
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) * F.lit(8 / -math.log(similarity) if similarity < 1 else 64.0)).cast("int")
     rows = each.select(F.posexplode("t").alias("p", "t"), "h", "n").select("t", "h", "n", "p", band.alias("band"))
@@ -439,20 +458,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
             yield {"h": b["h"], "s": [shingle_set(t, words).view(np.int64) for t in b["text"]]}
 
     # one row a text, named by ids alone before any text moves: copies in any number are dealt by their own ids and end there
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("h")).union(dense.select("h")).distinct()
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("h")).union(walked.select(F.explode(F.array("x", "y")).alias("h"))).union(dense.select("h")).distinct()
     # (no semi join here: Spark would move it, and with it the shuffle of all copies, before the minimum)
     named = texts.select("h", "id").groupBy("h").agg(F.min("id").alias("id")).join(needed, "h")
     nodes = texts.join(named, ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
     sets = cut(map_rows(nodes, ["h", "text"], "h long, s array<long>", shingles, 256))
 
-    both = pairs.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    links = both.where(common + 1e-9 >= F.lit(similarity) * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
+        common = F.size(F.array_intersect("sx", "sy"))
+        return both.where(common + 1e-9 >= F.lit(similarity) * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    found = cut(alike(walked))
+    groups = cut(connected_components(found))
+    group = lambda end: groups.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
+    links = found.unionAll(alike(pairs.join(group("x"), "x", "left").join(group("y"), "y", "left").where(apart).select("x", "y")))
 
     def compared(rows: DataFrame) -> DataFrame:
         return rows.join(sets, "h").groupBy("t", "one", "two").applyInPandas(_unit_links(similarity), "a long, b long")
 
-    within = dense.select("t", "h", "n", F.col("h").alias("r"), F.col("block").alias("one"), F.lit(-1).alias("two"), F.lit(None).cast("boolean").alias("first"))
+    within = dense.join(groups, dense.h == groups.node, "left").select("t", "h", "n", F.coalesce("root", "h").alias("r"), F.col("block").alias("one"), F.lit(-1).alias("two"), F.lit(None).cast("boolean").alias("first"))
     links = cut(links.unionAll(compared(within)))
     large = dense.where("blocks > 1")
     if large.isEmpty():
