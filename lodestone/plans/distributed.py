@@ -176,17 +176,26 @@ def committed_batches(spark, d):
     return commits.committed(spark, path, "o_orderkey long, o_custkey long").select("o_orderkey", "o_custkey", "batch")
 
 
+def slices(n: int) -> list[tuple[int, int]]:
+    """Places 0 to n - 1 in turn: 0 to 2, 3 to 5, then twice as many each, so that one long conversation doesn't make a micro-batch every three turns."""
+    out, k = [], 0
+    while k < n:
+        out.append((k, max(k + 3, 2 * k)))
+        k = out[-1][1]
+    return out
+
+
 @query(f"WITH {SQL_WINDOWS} SELECT participant_id, window_id AS context_window_id, array_to_string(turn_ids, ',') AS turn_ids, md5(window_text) AS text_md5 FROM windows")
 def streamed_windows(spark, d):
-    """Conversations as a stream of files, three turns of every conversation each; then one far later turn, which lets the watermark pass all sessions."""
+    """Conversations as a stream of files, three turns of every conversation each and from the seventh turn on twice as many a file; then one far later turn, which lets the watermark pass all sessions."""
     path, out, state = (new_path(spark, k) for k in ("turns", "windows", "state"))
     columns = ["participant_id", "pos", "start_time", "end_time", "text"]
     t = base(spark, d, "turns").select(*columns)
     last = t.agg(F.max("pos")).first()[0] or 0
-    for k in range(0, last + 1, 3):
-        t.where(F.col("pos").between(k, k + 2)).coalesce(1).write.mode("append").parquet(path)
-    end = t.agg(F.max("end_time").alias("e")).select(F.lit("~").alias("participant_id"), F.lit(0).alias("pos"), (F.col("e") + 1e6).alias("start_time"), (F.col("e") + 1e6).alias("end_time"), F.lit("").alias("text"))
-    end.coalesce(1).write.mode("append").parquet(path)
+    for first, end in slices(last + 1):
+        t.where((F.col("pos") >= first) & (F.col("pos") < end)).coalesce(1).write.mode("append").parquet(path)
+    late = t.agg(F.max("end_time").alias("e")).select(F.lit("~").alias("participant_id"), F.lit(0).alias("pos"), (F.col("e") + 1e6).alias("start_time"), (F.col("e") + 1e6).alias("end_time"), F.lit("").alias("text"))
+    late.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
     sessions.run_once(windows.stream_windows(stream, "0 seconds", size=3), out, state)
     found = spark.read.schema(windows.WINDOW).parquet(out).where("participant_id <> '~'")
