@@ -288,9 +288,9 @@ g AS (SELECT participant_id, 'Participant ' || participant_id || ': predicted to
 SELECT participant_id, head || chr(10) || 'High confidence:' || chr(10) || coalesce(h, '- none') || chr(10) || 'Lower confidence, to be read with care:' || chr(10) || coalesce(l, '- none') || coalesce(chr(10) || 'Without a score:' || chr(10) || m, '') || coalesce(chr(10) || 'Answers that don''t agree:' || chr(10) || c, '')
   || coalesce(chr(10) || 'Reported, but not talked about: ' || q || '.', '') || coalesce(chr(10) || 'Talked about, but not reported: ' || o || '.', '') || coalesce(chr(10) || 'To be followed up: ' || w || '.', '') || chr(10) || 'These are predictions for a reader to check, not findings.' AS report FROM g""")
 def clinician_reports(spark, d):
-    p = base(spark, d, "preds")
+    p = base(spark, d, "preds", placed=True)
     rows = p.select(
-        "participant_id", "item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("name"), F.when(F.col("difficult_frac") < 0.9, F.col("llm_pred")).alias("prediction"), F.array_max("llm").alias("p_max"), "status",
+        "place", "participant_id", "item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("name"), F.when(F.col("difficult_frac") < 0.9, F.col("llm_pred")).alias("prediction"), F.array_max("llm").alias("p_max"), "status",
         F.when(F.col("self_score") >= 0, F.col("self_score")).alias("self_score"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("words "), F.col("item_id").cast("string"))).alias("snippet"),
     )
     return reports.rendered(rows)
