@@ -302,7 +302,7 @@ _TFIDF = _TFIDF[: _TFIDF.rindex("SELECT participant_id, item_id, row_number()")]
 
 def tfidf_ranked(spark, d):
     """The eight items, a blank one and one of stopwords only; ties and documents that share nothing by falling position."""
-    docs = _docs(spark, d).join(base(spark, d, "utterances").select("doc_id", "text"), "doc_id")
+    docs = base(spark, d, "utterances").withColumn("tokens", T.tokens(F.col("text"), T.STOPWORDS))
     items = base(spark, d, "items").select("item_id", F.col("glossary").alias("text")).unionAll(spark.range(1).selectExpr("9", "' '")).unionAll(spark.range(1).selectExpr("10", "'the and'"))
     asked = items.withColumn("tokens", T.tokens(F.col("text")))
     return rounded(retrieval.tfidf_top(docs, asked, 5, T.STOPWORDS))
